@@ -8,7 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgrid.operators import extract, normalize, pairing, reports
+from claimgrid.operators import extract, graph, normalize, pairing, reports, summary
+from claimgrid.operators import files as files_ops
 from claimgrid.session import prepare, stage
 from claimgrid.sources import corpus
 
@@ -148,3 +149,157 @@ def conflicts(spark, sf):
 @query
 def conflict_reports(spark, sf):
     return reports.explain(corpus_conflicts(spark, sf)).drop("l_claim_id", "r_claim_id")
+
+
+@query
+def report_files(spark, sf):
+    normalized = stage(corpus_normalized(spark, sf), "normalized")
+    found = pairing.detect_conflicts(normalized)
+    return reports.report_files(found, pairing.evidence_files(normalized))
+
+
+@query
+def report_evidence(spark, sf):
+    normalized = stage(corpus_normalized(spark, sf), "normalized")
+    found = pairing.detect_conflicts(normalized)
+    rows = reports.report_evidence(found, pairing.merged_evidence(normalized))
+    return rows.select("session_id", "conflict_id", "ref_id", "side", "file_path", "text")
+
+
+@query
+def domain_claims(spark, sf):
+    rows = stage(corpus_claims(spark, sf), "claims")
+    files = corpus.snippets(spark, sf).select(
+        "session_id", F.col("file_path").alias("path"), F.col("change_seq").alias("seq"),
+        F.col("change_id").alias("branch_name"),
+    )
+    by_file = files_ops.branch_by_file(files)
+    fallback = files.groupBy("session_id").agg(
+        F.min_by("branch_name", "seq").alias("fallback_branch")
+    )
+    return reports.domain_claims(rows, by_file, fallback).drop(*extract.CLAIM_ORDER)
+
+
+@query
+def findings(spark, sf):
+    rows = stage(corpus_claims(spark, sf), "claims")
+    found = pairing.detect_conflicts(normalize.normalize(rows))
+    table = reports.findings(reports.explain(found), reports.statement_ids(rows))
+    return table.select(
+        "session_id", "conflict_id", "title", "description", "severity", "category",
+        F.array_join("affected_claim_ids", "|").alias("affected_claim_ids"),
+    )
+
+
+@query
+def finding_status(spark, sf):
+    rows = stage(corpus_claims(spark, sf), "claims")
+    found = pairing.detect_conflicts(normalize.normalize(rows))
+    table = reports.findings(reports.explain(found), reports.statement_ids(rows))
+    return summary.finding_status(corpus.sessions(spark, sf), table)
+
+
+@query
+def display_conflicts(spark, sf):
+    shown = reports.display_rows(
+        reports.explain(corpus_conflicts(spark, sf)), corpus.sessions(spark, sf)
+    )
+    return shown.select(
+        "session_id", "conflict_id", "kind", "severity", "confidence", "requirement_text",
+        F.col("claim_a.id").alias("claim_a"), F.col("claim_a.source_file").alias("file_a"),
+        F.col("claim_b.id").alias("claim_b"), F.col("claim_b.produced_by").alias("produced_by_b"),
+        F.col("excerpts")[0]["snippet"].alias("snippet_a"),
+    )
+
+
+@query
+def top_conflicts(spark, sf):
+    ranked = reports.top_conflicts(corpus_conflicts(spark, sf))
+    return ranked.select("session_id", "position", "conflict_id", "severity")
+
+
+@query
+def severity_counts(spark, sf):
+    merged = pairing.merge_claims(corpus_normalized(spark, sf))
+    return summary.severity_counts(
+        corpus.sessions(spark, sf), summary.conflict_counts(merged)
+    )
+
+
+@query
+def session_results(spark, sf):
+    rows = stage(corpus_claims(spark, sf), "claims")
+    merged = pairing.merge_claims(normalize.normalize(rows))
+    return summary.session_results(
+        corpus.sessions(spark, sf), summary.claim_counts(rows), summary.conflict_counts(merged)
+    )
+
+
+def corpus_criteria(spark: SparkSession, sf: str) -> DataFrame:
+    """Acceptance criteria projected from orders and customers."""
+    return corpus.table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("session_id"),
+        F.col("o_orderkey").alias("criterion_key"),
+        F.expr(corpus.CRITERION).alias("description"),
+    )
+
+
+@query
+def covered_criteria(spark, sf):
+    return summary.covered_criteria(corpus_criteria(spark, sf), corpus_claims(spark, sf))
+
+
+@query
+def requirement_coverage(spark, sf):
+    covered = summary.covered_criteria(corpus_criteria(spark, sf), corpus_claims(spark, sf))
+    return summary.coverage(corpus.sessions(spark, sf), covered)
+
+
+def corpus_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.snippets(spark, sf).select("session_id", F.col("file_path").alias("path")).distinct()
+
+
+def corpus_passports(spark: SparkSession, sf: str) -> DataFrame:
+    rows = stage(corpus_claims(spark, sf), "claims")
+    normalized = normalize.normalize(rows)
+    merged = pairing.merge_claims(normalized)
+    shown = reports.top_conflicts(pairing.conflicts_from_merged(merged))
+    files = reports.report_files(shown, pairing.evidence_files(normalized))
+    paths = corpus_paths(spark, sf)
+    sessions = corpus.sessions(spark, sf)
+    results = summary.session_results(
+        sessions, summary.claim_counts(rows), summary.conflict_counts(merged)
+    )
+    changed = paths.groupBy("session_id").agg(F.count("*").alias("files_changed"))
+    return summary.passports(sessions, results, changed, summary.components(files, paths))
+
+
+@query
+def passports(spark, sf):
+    return corpus_passports(spark, sf).select(
+        "passport_id", "session_id", "intent", "files_changed", "n_components", "claims_found",
+        "conflicts_found", "remaining_risk", "status",
+    )
+
+
+@query
+def passport_texts(spark, sf):
+    return summary.passport_text(corpus_passports(spark, sf))
+
+
+def _shown_with_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    normalized = stage(corpus_normalized(spark, sf), "normalized")
+    top = stage(reports.top_conflicts(pairing.detect_conflicts(normalized)), "shown")
+    return reports.explain(top), reports.report_files(top, pairing.evidence_files(normalized))
+
+
+@query
+def graph_nodes(spark, sf):
+    shown, files = _shown_with_files(spark, sf)
+    return graph.nodes(corpus.sessions(spark, sf), corpus.changes(spark, sf), shown, files)
+
+
+@query
+def graph_edges(spark, sf):
+    shown, files = _shown_with_files(spark, sf)
+    return graph.edges(corpus.changes(spark, sf), shown, files)

@@ -19,46 +19,49 @@ from claimgrid.functions.text import (
 )
 
 
-def _lookup(pairs: list[tuple[Column, str]]) -> Column:
-    chain = F.when(pairs[0][0], F.lit(pairs[0][1]))
-    for test, value in pairs[1:]:
-        chain = chain.when(test, F.lit(value))
-    return chain
+def word_map(pairs: dict[str, str]) -> Column:
+    """A literal map; Catalyst folds it into one constant."""
+    return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
 
 
-def _separators(text: Column) -> Column:
+def _synonyms(clusters: list[tuple[str, list[str], str]]) -> Column:
+    return word_map({word: name for name, words, _ in clusters for word in words})
+
+
+def _reasons(clusters: list[tuple[str, list[str], str]]) -> Column:
+    return word_map({name: why for name, _, why in clusters})
+
+
+def entity_synonym(working: Column) -> Column:
+    """Canonical name if the subject, as written or with blanks, is a synonym."""
+    names = _synonyms(fixed.ENTITY_SYNONYMS)
+    return F.coalesce(
+        F.try_element_at(names, F.translate(working, "_", " ")), F.try_element_at(names, working)
+    )
+
+
+def entity_working(raw: Column) -> Column:
+    return snake(trim(raw))
+
+
+def separators(text: Column) -> Column:
     joined = F.regexp_replace(text, rf"[{BLANK_RANGE}\-.]+", "_")
     return strip_edge(F.regexp_replace(joined, "_+", "_"), "_")
 
 
-def canonical_entity(raw: Column) -> Column:
-    """Struct of the canonical subject and, if something changed, why."""
-    working = snake(trim(raw))
-    spaced = F.translate(working, "_", " ")
-    synonym = [
-        (spaced.isin(words) | working.isin(words), canonical, why)
-        for canonical, words, why in fixed.ENTITY_SYNONYMS
-    ]
-    canonical = _lookup([(test, name) for test, name, _ in synonym])
-    cluster_why = _lookup([(test, why) for test, _, why in synonym])
+def without_fillers(working: Column) -> Column:
     filler = f"{NOT_AFTER_WORD}(?:{'|'.join(fixed.FILLER_WORDS)}){NOT_BEFORE_WORD}"
-    stripped = _separators(F.regexp_replace(working, filler, ""))
+    return separators(F.regexp_replace(working, filler, ""))
+
+
+def entity_reason(raw: Column, synonym: Column, canonical: Column) -> Column:
+    """Why the canonical subject differs from the raw one, null if it does not."""
     plain = F.lower(trim(raw))
     return (
-        F.when(is_blank(raw), F.struct(F.lit("").alias("canonical"), F.lit(None).cast("string").alias("why")))
-        .when(
-            canonical.isNotNull(),
-            F.struct(
-                canonical.alias("canonical"),
-                F.when(canonical != plain, cluster_why).alias("why"),
-            ),
-        )
-        .otherwise(
-            F.struct(
-                stripped.alias("canonical"),
-                F.when(stripped != _separators(plain), F.lit(fixed.ENTITY_CHANGED)).alias("why"),
-            )
-        )
+        F.when(is_blank(raw), F.lit(None).cast("string"))
+        .when(synonym == plain, F.lit(None).cast("string"))
+        .when(synonym.isNotNull(), F.try_element_at(_reasons(fixed.ENTITY_SYNONYMS), synonym))
+        .when(canonical != separators(plain), fixed.ENTITY_CHANGED)
     )
 
 
@@ -73,16 +76,16 @@ def predicate_value(predicate: Column) -> Column:
     return F.when(at > 0, trim(F.substring(predicate, at + 1, F.length(predicate)))).otherwise("")
 
 
-def canonical_key(key: Column) -> Column:
-    """Struct of the canonical key and, if a synonym was replaced, why."""
-    plain = F.regexp_replace(F.lower(key), rf"[{BLANK_RANGE}-]+", "_")
-    tests = [(plain.isin(words), name, why) for name, words, why in fixed.KEY_SYNONYMS]
-    name = _lookup([(test, name) for test, name, _ in tests])
-    why = _lookup([(test, why) for test, _, why in tests])
-    return F.struct(
-        F.coalesce(name, plain).alias("canonical"),
-        F.when(name != plain, why).alias("why"),
-    )
+def plain_key(key: Column) -> Column:
+    return F.regexp_replace(F.lower(key), rf"[{BLANK_RANGE}-]+", "_")
+
+
+def canonical_key(plain: Column) -> Column:
+    return F.coalesce(F.try_element_at(_synonyms(fixed.KEY_SYNONYMS), plain), plain)
+
+
+def key_reason(plain: Column, canonical: Column) -> Column:
+    return F.when(canonical != plain, F.try_element_at(_reasons(fixed.KEY_SYNONYMS), canonical))
 
 
 def canonical_value(raw: Column) -> Column:
@@ -95,12 +98,3 @@ def canonical_value(raw: Column) -> Column:
         .when(F.rlike(bare, F.lit(pattern(fixed.HUMPED_IDENTIFIER))), snake(bare))
         .otherwise(lowered)
     )
-
-
-__all__ = [
-    "canonical_entity",
-    "canonical_key",
-    "canonical_value",
-    "predicate_key",
-    "predicate_value",
-]

@@ -108,31 +108,38 @@ def source_label(source_type: str, file: str) -> Column:
     )
 
 
-def fill(template: str, values: dict[str, Column]) -> Column:
-    """Put columns into the ``{name}`` places of a fixed text."""
-    parts = re.split(r"\{(\w+)\}", template)
-    return F.concat(
-        *(values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts) if i % 2 or p)
+TEXT_PLACES = ["e", "l", "r", "ll", "rl", "ls", "rs"]
+
+
+def _positional(template: str) -> str:
+    """Spell ``{name}`` places as the numbered arguments of ``format_string``."""
+    return re.sub(
+        r"\{(\w+)\}", lambda m: f"%{TEXT_PLACES.index(m.group(1)) + 1}$s", template
     )
 
 
 def pair_text(templates: dict[str, str]) -> Column:
+    """A text of the pair: one format call, its template chosen by class."""
+
     def presence(value: str) -> Column:
         return F.when(F.col(value) == "true", fixed.PRESENT).otherwise(fixed.ABSENT)
 
-    values = {
-        "e": F.col("canonical_subject"),
-        "l": F.col("l_value"),
-        "r": F.col("r_value"),
-        "ll": source_label("l_source_type", "l_file"),
-        "rl": source_label("r_source_type", "r_file"),
-        "ls": presence("l_value"),
-        "rs": presence("r_value"),
-    }
-    values["d"] = F.when(
-        F.col("l_value") == "false", fill(fixed.MADE_OPTIONAL, values)
-    ).otherwise(fill(fixed.MADE_REQUIRED, values))
-    chain = F.lit(None).cast("string")
+    chosen = F.lit(None).cast("string")
     for kind, template in templates.items():
-        chain = F.when(F.col("conflict_type") == kind, fill(template, values)).otherwise(chain)
-    return chain
+        required = F.lit(_positional(template.replace("{d}", fixed.MADE_REQUIRED)))
+        optional = F.lit(_positional(template.replace("{d}", fixed.MADE_OPTIONAL)))
+        text = required
+        if "{d}" in template:
+            text = F.when(F.col("l_value") == "false", optional).otherwise(required)
+        chosen = F.when(F.col("conflict_type") == kind, text).otherwise(chosen)
+    return F.call_function(
+        "format_string",
+        chosen,
+        F.col("canonical_subject"),
+        F.col("l_value"),
+        F.col("r_value"),
+        source_label("l_source_type", "l_file"),
+        source_label("r_source_type", "r_file"),
+        presence("l_value"),
+        presence("r_value"),
+    )

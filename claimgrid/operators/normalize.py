@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgrid.functions.normal import (
-    canonical_entity,
     canonical_key,
     canonical_value,
+    entity_reason,
+    entity_synonym,
+    entity_working,
+    key_reason,
+    plain_key,
     predicate_key,
     predicate_value,
+    without_fillers,
 )
-from claimgrid.functions.text import is_blank, trim
+from claimgrid.functions.text import trim
 
 
 def _step(field: Column | str, raw: str, canonical: str, why: Column) -> Column:
@@ -26,35 +31,40 @@ def _step(field: Column | str, raw: str, canonical: str, why: Column) -> Column:
 
 
 def normalize(claims: DataFrame) -> DataFrame:
-    """Add the canonical subject, key, value and predicate. Narrow."""
-    parsed = (
-        claims.filter(F.col("claim_id").isNotNull())
-        .withColumns(
-            {
-                "entity": canonical_entity(F.col("subject")),
-                "raw_key": predicate_key(F.col("predicate")),
-                "raw_value": predicate_value(F.col("predicate")),
-            }
-        )
-        .withColumns(
-            {
-                "key": canonical_key(F.col("raw_key")),
-                "value": canonical_value(F.col("raw_value")),
-            }
-        )
+    """Add the canonical subject, key, value and predicate. Narrow.
+
+    Built in small steps over plain columns: each intermediate is used several
+    times, and Catalyst keeps such a step apart instead of repeating it.
+    """
+    kept = claims.filter(F.col("claim_id").isNotNull())
+    parsed = kept.withColumns(
+        {
+            "working": entity_working(F.col("subject")),
+            "plain_key": plain_key(predicate_key(F.col("predicate"))),
+            "raw_value": predicate_value(F.col("predicate")),
+        }
     )
-    blank = is_blank(F.col("predicate"))
-    canonical = F.when(
-        F.col("value") != "", F.concat("key.canonical", F.lit(" = "), "value")
-    ).otherwise(F.col("key.canonical"))
-    return parsed.select(
+    looked_up = parsed.withColumns(
+        {
+            "synonym": entity_synonym(F.col("working")),
+            "canonical_key": canonical_key(F.col("plain_key")),
+            "value": canonical_value(F.col("raw_value")),
+        }
+    )
+    named = looked_up.withColumn(
+        "canonical_subject", F.coalesce("synonym", without_fillers(F.col("working")), F.lit(""))
+    )
+    predicate = F.when(
+        F.col("value") != "", F.concat("canonical_key", F.lit(" = "), "value")
+    ).otherwise(F.col("canonical_key"))
+    return named.select(
         *claims.columns,
-        F.col("entity.canonical").alias("canonical_subject"),
-        F.when(blank, "").otherwise(F.col("key.canonical")).alias("canonical_key"),
+        "canonical_subject",
+        F.coalesce("canonical_key", F.lit("")).alias("canonical_key"),
         F.nullif(F.col("value"), F.lit("")).alias("canonical_value"),
-        F.when(blank, "").otherwise(canonical).alias("canonical_predicate"),
-        F.col("entity.why").alias("subject_why"),
-        F.when(~blank, F.col("key.why")).alias("key_why"),
+        F.coalesce(predicate, F.lit("")).alias("canonical_predicate"),
+        entity_reason(F.col("subject"), F.col("synonym"), F.col("canonical_subject")).alias("subject_why"),
+        key_reason(F.col("plain_key"), F.col("canonical_key")).alias("key_why"),
         F.when(
             (F.col("raw_value") != "") & (F.col("value") != F.col("raw_value")),
             F.concat(

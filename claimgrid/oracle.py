@@ -418,3 +418,173 @@ ORACLES: dict[str, str] = {
               r_statement, r_predicate, r_evidence_text, r_file FROM conflicts""",
     ),
 }
+
+FILES = """
+  SELECT DISTINCT c.session_id, c.conflict_id, n.source_file AS file_path
+  FROM conflicts c JOIN norm n ON n.session_id = c.session_id
+    AND n.canonical_subject = c.canonical_subject
+    AND n.canonical_predicate IN (c.l_predicate, c.r_predicate)
+  WHERE n.source_file IS NOT NULL"""
+RANKED = """
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY
+      CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END,
+      replace(conflict_id, '_', ' ')) AS position
+  FROM conflicts"""
+SHOWN = f"SELECT * FROM ({RANKED}) WHERE position <= 100"
+SHOWN_FILES = "SELECT f.* FROM files f SEMI JOIN shown s ON f.session_id = s.session_id AND f.conflict_id = s.conflict_id"
+RESULTS = """
+  SELECT c_custkey AS session_id, coalesce(n_claims, 0) AS claims_found, coalesce(n_conflicts, 0) AS conflicts_found,
+    CASE WHEN n_conflicts > 0 THEN 'CONFLICTS_FOUND' ELSE 'PASS' END AS status,
+    CASE WHEN n_conflicts > 0 THEN n_conflicts || ' semantic conflict(s) detected. ' || coalesce(n_claims, 0) || ' assumptions extracted.'
+         ELSE 'No semantic conflicts detected. ' || coalesce(n_claims, 0) || ' assumptions extracted and all agree.' END AS summary,
+    coalesce(n_conflicts, 0) > 0 AS has_conflicts, coalesce(n_high, 0) AS high_severity_conflicts
+  FROM customer
+  LEFT JOIN (SELECT session_id, count(*) AS n_claims FROM claims GROUP BY 1) a ON a.session_id = c_custkey
+  LEFT JOIN (SELECT session_id, count(*) AS n_conflicts, count(*) FILTER (severity = 'HIGH') AS n_high
+             FROM conflicts GROUP BY 1) b ON b.session_id = c_custkey"""
+CHANGED = " UNION ".join(
+    f"SELECT o_custkey AS session_id, {corpus.path(s['at'])} AS path FROM orders" for s in corpus.SNIPPETS
+)
+COVERED = f"""
+  SELECT o_custkey AS session_id, o_orderkey AS criterion_key, description, EXISTS (
+      SELECT 1 FROM claims c WHERE c.session_id = o_custkey
+        AND contains(lower(c.statement), substr(lower(description), 1, 20))) AS covered
+  FROM (SELECT *, {corpus.CRITERION} AS description FROM orders)"""
+FIRST_ID = """
+  SELECT session_id, statement, claim_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY session_id, statement
+      ORDER BY part, change_seq, snippet_seq, seg_idx, rule_idx) AS nth FROM claims) WHERE nth = 1"""
+SNIPPET_FILES = " UNION ALL ".join(
+    f"SELECT o_custkey AS session_id, {corpus.path(s['at'])} AS path, o_orderkey AS seq, "
+    f"{corpus.CHANGE_ID} AS branch_name FROM orders"
+    for s in corpus.SNIPPETS
+)
+CHANGE_ROWS = f"SELECT o_custkey AS session_id, {corpus.CHANGE_ID} AS change_id, {corpus.LABEL} AS label FROM orders"
+PASSPORTS = """
+  SELECT 'live-' || substr(CAST(session_id AS VARCHAR), 1, 8) AS passport_id, r.session_id, intent,
+    coalesce(files_changed, 0) AS files_changed, coalesce(n_components, 0) AS n_components,
+    claims_found, conflicts_found,
+    nullif(concat_ws(' ', CASE WHEN conflicts_found > 0 THEN summary END,
+      CASE WHEN conflicts_found > 100 THEN 'Showing the first 100 of ' || conflicts_found || ' conflicts (ordered by severity).' END), '') AS remaining_risk,
+    CASE WHEN conflicts_found > 0 THEN 'FAIL' ELSE 'PASS' END AS status
+  FROM results r JOIN intents USING (session_id)
+  LEFT JOIN (SELECT session_id, count(*) AS files_changed FROM changed GROUP BY 1) USING (session_id)
+  LEFT JOIN (SELECT session_id, count(*) AS n_components FROM (
+      SELECT session_id, file_path FROM shown_files
+      UNION SELECT session_id, split_part(path, '/', 1) FROM changed) GROUP BY 1) USING (session_id)"""
+PASSPORT_CTES = dict(
+    files=FILES, shown=SHOWN, shown_files=SHOWN_FILES, results=RESULTS, changed=CHANGED,
+    intents=f"SELECT c_custkey AS session_id, {corpus.REQUIREMENT} AS intent FROM customer",
+)
+
+
+def _line(label: str, value: str) -> str:
+    return f"'{(label + ':').ljust(22)}' || {value}"
+
+
+_TEXT = " || chr(10) || ".join(
+    [
+        "'CHANGE PASSPORT'", "''", _line("Feature", "'—'"), _line("Intent", "intent"),
+        _line("Repository", "'—'"), _line("Branches", "'—'"), _line("Files Changed", "files_changed"),
+        _line("Components", "n_components"), "''", _line("Assumptions Found", "claims_found"),
+        _line("Verified", "'—'"), _line("Conflicts Found", "conflicts_found"), _line("Resolved", "'0'"),
+        _line("Tests", "'— / —'"), _line("Req. Coverage", "'—'"), "''",
+        _line("Remaining Risk", "coalesce(remaining_risk, 'None identified')"),
+        _line("Verification Status", "status"), "''", _line("Passport ID", "passport_id"),
+        _line("Session ID", "session_id"), _line("Generated", "'—'"),
+    ]
+)
+_SIDES = """SELECT session_id, conflict_id, conflict_id || '::a' AS id, l_statement AS label FROM shown
+  UNION ALL SELECT session_id, conflict_id, conflict_id || '::b', r_statement FROM shown"""
+
+ORACLES |= {
+    "report_files": upto("conflicts", FILES),
+    "report_evidence": upto(
+        "conflicts",
+        """SELECT c.session_id, c.conflict_id, n.claim_id || '__primary' AS ref_id,
+             CASE WHEN n.canonical_predicate = c.l_predicate THEN 0 ELSE 1 END AS side,
+             n.source_file AS file_path, n.evidence_text AS text
+           FROM conflicts c JOIN norm n ON n.session_id = c.session_id
+             AND n.canonical_subject = c.canonical_subject
+             AND n.canonical_predicate IN (c.l_predicate, c.r_predicate)""",
+    ),
+    "domain_claims": upto(
+        "claims",
+        """SELECT c.session_id, claim_id AS id, coalesce(b.branch_name, f.branch_name) AS branch_name,
+             coalesce(source_file, '—') AS source_file, statement, subject AS concept, predicate AS value,
+             'change' AS source_agent, CASE WHEN source_file <> '' THEN 'FILE_CHANGE' ELSE 'INFERRED' END AS evidence_source,
+             evidence_text AS snippet, confidence,
+             CASE confidence WHEN 'HIGH' THEN 0.9::DOUBLE WHEN 'MEDIUM' THEN 0.7::DOUBLE ELSE 0.4::DOUBLE END AS numeric_confidence
+           FROM claims c
+           LEFT JOIN (SELECT session_id, path, arg_min(branch_name, seq) AS branch_name FROM snippet_files GROUP BY ALL) b
+             ON b.session_id = c.session_id AND b.path = c.source_file
+           LEFT JOIN (SELECT session_id, arg_min(branch_name, seq) AS branch_name FROM snippet_files GROUP BY ALL) f
+             ON f.session_id = c.session_id""",
+        snippet_files=SNIPPET_FILES,
+    ),
+    "findings": upto(
+        "conflicts",
+        f"""SELECT c.session_id, conflict_id, {by_type(fixed.TITLES)} AS title, {by_type(fixed.WHY)} AS description,
+              severity, conflict_type AS category, concat_ws('|', a.claim_id, b.claim_id) AS affected_claim_ids
+            FROM conflicts c LEFT JOIN first_id a ON a.session_id = c.session_id AND a.statement = l_statement
+            LEFT JOIN first_id b ON b.session_id = c.session_id AND b.statement = r_statement""",
+        first_id=FIRST_ID,
+    ),
+    "finding_status": upto(
+        "conflicts",
+        """SELECT c_custkey AS session_id, count(conflict_id) AS conflicts_found, 0 AS conflicts_resolved, 0 AS critical,
+             count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium,
+             count(*) FILTER (severity = 'LOW') AS low,
+             CASE WHEN count(conflict_id) > 0 THEN 'FAIL' ELSE 'PASS' END AS status
+           FROM customer LEFT JOIN conflicts ON session_id = c_custkey GROUP BY c_custkey""",
+    ),
+    "display_conflicts": upto(
+        "conflicts",
+        f"""SELECT session_id, conflict_id, conflict_type AS kind, severity,
+              CASE confidence WHEN 'HIGH' THEN 90 WHEN 'MEDIUM' THEN 65 ELSE 40 END AS confidence,
+              {corpus.REQUIREMENT} AS requirement_text, conflict_id || '::a' AS claim_a,
+              coalesce(l_file, '—') AS file_a, conflict_id || '::b' AS claim_b,
+              coalesce(r_file, replace(lower(r_source_type), '_', ' ')) AS produced_by_b, l_evidence_text AS snippet_a
+            FROM conflicts JOIN customer ON c_custkey = session_id""",
+    ),
+    "top_conflicts": upto("conflicts", f"SELECT session_id, position, conflict_id, severity FROM ({SHOWN})"),
+    "severity_counts": upto(
+        "conflicts",
+        """SELECT c_custkey AS session_id, 0 AS critical, count(*) FILTER (severity = 'HIGH') AS high,
+             count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low,
+             count(conflict_id) AS conflicts_found
+           FROM customer LEFT JOIN conflicts ON session_id = c_custkey GROUP BY c_custkey""",
+    ),
+    "session_results": upto("conflicts", RESULTS),
+    "covered_criteria": upto("claims", COVERED),
+    "requirement_coverage": upto(
+        "claims",
+        """SELECT c_custkey AS session_id, count(criterion_key) AS criteria, count(*) FILTER (covered) AS covered,
+             CASE WHEN count(criterion_key) > 0
+               THEN CAST(floor(100.0 * count(*) FILTER (covered) / count(criterion_key) + 0.5) AS INTEGER) END AS requirement_coverage
+           FROM customer LEFT JOIN covered_rows ON session_id = c_custkey GROUP BY c_custkey""",
+        covered_rows=COVERED,
+    ),
+    "passports": upto("conflicts", PASSPORTS, **PASSPORT_CTES),
+    "passport_texts": upto(
+        "conflicts", f"SELECT session_id, {_TEXT} AS text FROM ({PASSPORTS})", **PASSPORT_CTES
+    ),
+    "graph_nodes": upto(
+        "conflicts",
+        f"""SELECT *, CASE kind WHEN 'REQUIREMENT' THEN 0 WHEN 'CHANGE' THEN 1 WHEN 'ASSUMPTION' THEN 2
+              WHEN 'FILE' THEN 3 ELSE 4 END AS tier FROM (
+            SELECT c_custkey AS session_id, 'req-0' AS id, 'REQUIREMENT' AS kind, 'Requirement' AS label, NULL AS severity FROM customer
+            UNION ALL SELECT session_id, change_id, 'CHANGE', label, NULL FROM ({CHANGE_ROWS})
+            UNION ALL SELECT session_id, id, 'ASSUMPTION', label, NULL FROM ({_SIDES})
+            UNION ALL SELECT session_id, conflict_id, 'CONFLICT', canonical_subject, severity FROM shown
+            UNION ALL SELECT DISTINCT session_id, 'file:' || file_path, 'FILE', file_path, NULL FROM shown_files)""",
+        files=FILES, shown=SHOWN, shown_files=SHOWN_FILES,
+    ),
+    "graph_edges": upto(
+        "conflicts",
+        f"""SELECT session_id, 'req-0' AS from_id, change_id AS to_id, 'frames' AS label FROM ({CHANGE_ROWS})
+            UNION ALL SELECT session_id, id, conflict_id, 'contradicts' FROM ({_SIDES})
+            UNION ALL SELECT session_id, 'file:' || file_path, conflict_id, 'evidences' FROM shown_files""",
+        files=FILES, shown=SHOWN, shown_files=SHOWN_FILES,
+    ),
+}

@@ -93,6 +93,15 @@ CONTEXT_NUMBER = "c_custkey * 13 + 2"
 CONTEXT_TEXT = sentence("n1", "r1")
 
 
+# Acceptance criteria: some are prefixes of claim statements, some are short.
+CRITERION = (
+    "CASE o_orderkey % 6 WHEN 0 THEN 'The PRIVILEGED role is checked' "
+    "WHEN 1 THEN 'Component calls' WHEN 2 THEN 'Field ''email'' is required for login' "
+    "WHEN 3 THEN 'Refunds are paid within a week' WHEN 4 THEN 'API' "
+    "ELSE 'Only ''owners'' may perform refunds' END"
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
