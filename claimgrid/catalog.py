@@ -8,7 +8,19 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgrid.operators import extract, graph, normalize, pairing, reports, summary
+from claimgrid.functions import refs
+from claimgrid.operators import (
+    agents,
+    diffs,
+    evidence,
+    extract,
+    graph,
+    lifecycle,
+    normalize,
+    pairing,
+    reports,
+    summary,
+)
 from claimgrid.operators import files as files_ops
 from claimgrid.session import prepare, stage
 from claimgrid.sources import corpus
@@ -303,3 +315,225 @@ def graph_nodes(spark, sf):
 def graph_edges(spark, sf):
     shown, files = _shown_with_files(spark, sf)
     return graph.edges(corpus.changes(spark, sf), shown, files)
+
+
+# --- diffs and code evidence -----------------------------------------------------
+
+
+@query
+def diff_files(spark, sf):
+    files = diffs.diff_files(corpus.raw_diffs(spark, sf))
+    return files.select(
+        "session_id", "diff_id", "branch_name", "file_idx", "path", "previous_path", "kind",
+        "is_binary", "additions", "deletions", "patch", F.size("hunks").alias("n_hunks"),
+    )
+
+
+@query
+def diff_hunks(spark, sf):
+    files = diffs.diff_files(corpus.raw_diffs(spark, sf))
+    return diffs.diff_hunks(files, "diff_id", "file_idx").drop("added", "removed")
+
+
+@query
+def diff_lines(spark, sf):
+    return diffs.diff_lines(diffs.diff_files(corpus.raw_diffs(spark, sf)), "diff_id", "file_idx")
+
+
+@query
+def languages(spark, sf):
+    files = corpus.changed_files(spark, sf)
+    return (
+        files.withColumn("language", diffs.language(F.col("path")))
+        .groupBy("language")
+        .agg(F.count("*").alias("n_files"))
+    )
+
+
+def _metadata_text(column: str = "metadata"):
+    entries = F.array_sort(F.map_entries(column))
+    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+
+
+@query
+def code_evidence(spark, sf):
+    files = diffs.diff_files(corpus.raw_diffs(spark, sf))
+    rows = evidence.from_diffs(files, "diff_id", "file_idx", "branch_name")
+    return rows.withColumn("metadata", _metadata_text())
+
+
+def corpus_changed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Changed files shredded from the raw diffs, ordered by diff and file."""
+    files = diffs.changed_files(corpus.raw_diffs(spark, sf))
+    return files.withColumn("seq", F.struct("diff_id", "file_idx")).drop("diff_id", "file_idx")
+
+
+@query
+def patch_evidence(spark, sf):
+    rows = evidence.from_changed_files(corpus_changed_files(spark, sf))
+    return rows.select(
+        F.col("seq.diff_id").alias("diff_id"), F.col("seq.file_idx").alias("file_idx"),
+        "file_path", "evidence_idx", "line_start", "line_end", "snippet",
+        _metadata_text().alias("metadata"),
+    )
+
+
+@query
+def comparison_snippets(spark, sf):
+    rows = evidence.comparison_snippets(corpus_changed_files(spark, sf))
+    return rows.select(
+        F.col("seq.diff_id").alias("diff_id"), F.col("seq.file_idx").alias("file_idx"),
+        "file_path", "hunk_idx", "line_start", "line_end", "snippet", "source",
+    )
+
+
+# --- changed files ---------------------------------------------------------------
+
+
+@query
+def files_deduped(spark, sf):
+    kept = files_ops.dedupe(corpus.changed_files(spark, sf))
+    return kept.select(
+        "session_id", "branch_name", "path",
+        F.col("seq.l_orderkey").alias("first_order"), F.col("seq.l_linenumber").alias("first_line"),
+        F.md5("patch").alias("patch_md5"),
+    )
+
+
+@query
+def files_forwarded(spark, sf):
+    rows = files_ops.forwarded(files_ops.dedupe(corpus.changed_files(spark, sf)))
+    return rows.select(
+        "session_id", "branch_name", "path", "nth",
+        F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"),
+    )
+
+
+@query
+def ingestion_warnings(spark, sf):
+    files = files_ops.dedupe(corpus.changed_files(spark, sf))
+    return files_ops.patch_warnings(files).unionByName(files_ops.truncation_warnings(files))
+
+
+@query
+def diff_limits(spark, sf):
+    return files_ops.limits(corpus.changed_files(spark, sf))
+
+
+@query
+def files_changed(spark, sf):
+    return files_ops.files_changed(corpus.changed_files(spark, sf))
+
+
+@query
+def branch_by_file(spark, sf):
+    return files_ops.branch_by_file(corpus.changed_files(spark, sf))
+
+
+@query
+def head_comparisons(spark, sf):
+    heads = corpus.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("session_id"),
+        F.explode(F.array(*map(F.lit, ["feature/a", "feature/n", "feature/idle"]))).alias("branch_name"),
+    )
+    return files_ops.by_head(heads, corpus.changed_files(spark, sf))
+
+
+@query
+def ordered_branches(spark, sf):
+    declared = corpus.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("session_id"),
+        F.posexplode(F.array(F.lit("feature/r"), F.lit("feature/a"))).alias("declared_seq", "branch_name"),
+    )
+    rows = files_ops.ordered_branches(declared, corpus.changed_files(spark, sf))
+    return rows.select(
+        "session_id", "branch_name", "declared_seq", F.col("first_seq.l_orderkey").alias("first_order")
+    )
+
+
+# --- analyser responses ----------------------------------------------------------
+
+
+@query
+def json_claims(spark, sf):
+    read = agents.read_responses(corpus.responses(spark, sf))
+    return agents.with_ids(agents.claims(read))
+
+
+@query
+def json_rejects(spark, sf):
+    return agents.warnings(agents.read_responses(corpus.responses(spark, sf)))
+
+
+@query
+def agent_lines(spark, sf):
+    read = agents.read_responses(corpus.responses(spark, sf))
+    texts = agents.claim_text(agents.claims(read))
+    return agents.unique_lines(texts, ["response_id", "item_idx"])
+
+
+@query
+def dedup_lines(spark, sf):
+    turns = corpus.table(spark, sf, "conversations").withColumnRenamed("conv_id", "session_id")
+    return agents.unique_lines(turns, ["turn"])
+
+
+@query
+def document_lines(spark, sf):
+    docs = corpus.table(spark, sf, "documents").withColumnRenamed("source", "session_id")
+    kept = agents.unique_lines(docs, ["doc_id"])
+    return kept.groupBy("session_id").agg(
+        F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"),
+        F.max("line_idx").alias("max_line_idx"),
+    )
+
+
+@query
+def capped_texts(spark, sf):
+    docs = corpus.table(spark, sf, "documents").select("doc_id", "text")
+    capped = docs.select("doc_id", agents.cap_text(F.col("text")).alias("capped"))
+    return capped.select("doc_id", F.length("capped").alias("n_chars"), F.md5("capped").alias("capped_md5"))
+
+
+# --- references and lifecycle ----------------------------------------------------
+
+
+@query
+def repo_urls(spark, sf):
+    pages = corpus.table(spark, sf, "pages").select("page_id", F.expr(corpus.REPO_URL).alias("url"))
+    return refs.parse_repository(pages)
+
+
+@query
+def ref_names(spark, sf):
+    parts = corpus.table(spark, sf, "part").select("p_partkey", F.expr(corpus.REF_NAME).alias("ref"))
+    return parts.select(
+        "p_partkey", "ref", refs.ref_error(F.col("ref"), "branch").alias("error"),
+        refs.is_branch_name(F.col("ref")).alias("is_branch"),
+    )
+
+
+@query
+def branch_hash(spark, sf):
+    names = corpus.table(spark, sf, "customer").select("c_custkey", "c_name")
+    return names.select("c_custkey", refs.synthetic_sha(F.col("c_name")).alias("sha"))
+
+
+@query
+def session_status(spark, sf):
+    status = lifecycle.latest_status(corpus.status_events(spark, sf))
+    return status.select("session_id", "status", "n_events")
+
+
+@query
+def session_stages(spark, sf):
+    return lifecycle.stage_rows(lifecycle.latest_status(corpus.status_events(spark, sf)))
+
+
+@query
+def merge_attestations(spark, sf):
+    notes = corpus.table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("session_id"), "turn", F.col("text").alias("note")
+    )
+    judged = lifecycle.attest(notes, lifecycle.latest_status(corpus.status_events(spark, sf)))
+    return judged.select("session_id", "turn", "error", F.md5("note").alias("note_md5"))

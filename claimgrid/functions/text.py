@@ -28,7 +28,7 @@ NOT_BEFORE_WORD = r"(?![A-Za-z0-9_])"
 
 
 def pattern(source: str, ignore_case: bool = False) -> str:
-    r"""Spell a rule pattern for Java: ``\s``, closing ``$`` and ``\b``."""
+    r"""Spell a fixed pattern for Java: ``\s``, ``\b``, a closing ``$`` and ``.``."""
     out: list[str] = ["(?i)"] if ignore_case else []
     in_class = False
     i = 0
@@ -51,7 +51,8 @@ def pattern(source: str, ignore_case: bool = False) -> str:
                 in_class = True
             elif char == "]":
                 in_class = False
-            out.append(r"\z" if char == "$" and not in_class else char)
+            special = {"$": r"\z", ".": LINE_CHAR}
+            out.append(char if in_class else special.get(char, char))
             i += 1
     return "".join(out)
 

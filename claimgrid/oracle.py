@@ -588,3 +588,257 @@ ORACLES |= {
         files=FILES, shown=SHOWN, shown_files=SHOWN_FILES,
     ),
 }
+
+# --- diffs, files, responses, refs ----------------------------------------------
+
+DIFFS = f"""
+  SELECT o_custkey AS session_id, o_orderkey AS diff_id, {corpus.DIFF_BRANCH} AS branch_name, {corpus.RAW_DIFF} AS raw
+  FROM (SELECT *, {corpus.sentence('n1', 'r1')} AS s1, {corpus.sentence('n2', 'r2')} AS s2 FROM (
+    SELECT *, {corpus.role('n1')} AS r1, {corpus.role('n2')} AS r2 FROM (
+      SELECT *, o_orderkey % 50 + 1 AS k, {corpus.path('o_orderkey')} AS p1, {corpus.path('o_orderkey + 3')} AS p2,
+        {corpus.DIFF_NUMBERS['n1']} AS n1, {corpus.DIFF_NUMBERS['n2']} AS n2 FROM orders)))"""
+# RE2 has no look-around: split at the marker text and put the marker back.
+CHUNKS = """
+  SELECT session_id, diff_id, branch_name, pos - 2 AS file_idx, 'diff --git ' || piece AS chunk FROM (
+    SELECT *, unnest(string_split(raw, 'diff --git ')) AS piece,
+      generate_subscripts(string_split(raw, 'diff --git '), 1) AS pos FROM diffs) WHERE pos > 1
+  UNION ALL
+  SELECT session_id, diff_id, branch_name, pos - 2,
+    'diff --git a/' || regexp_extract(piece, '^a/(.*)', 1) || ' b/' ||
+      CASE WHEN contains(piece, '+++ /dev/null') THEN regexp_extract(piece, '^a/(.*)', 1)
+           ELSE regexp_extract(piece, '(?m)^\\+\\+\\+ b/(.*)$', 1) END
+    || chr(10) || '--- ' || piece || CASE WHEN pos < n THEN chr(10) ELSE '' END FROM (
+    SELECT *, len(pieces) AS n, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos
+    FROM (SELECT *, string_split(chr(10) || raw, chr(10) || '--- ') AS pieces FROM diffs
+          WHERE NOT contains(raw, 'diff --git '))) WHERE pos > 1"""
+SHREDDED = """
+  SELECT *, CASE WHEN regexp_matches(chunk, '(?m)^new file mode') THEN 'ADDED'
+      WHEN regexp_matches(chunk, '(?m)^deleted file mode') THEN 'DELETED'
+      WHEN regexp_matches(chunk, '(?m)^rename to ') THEN 'RENAMED' ELSE 'MODIFIED' END AS kind,
+    CASE WHEN regexp_matches(chunk, '(?m)^rename to ') THEN regexp_extract(chunk, '(?m)^rename to (.*)$', 1)
+      ELSE regexp_extract(chunk, '^diff --git a/(.+?) b/([^\\n]+)', 2) END AS path,
+    CASE WHEN regexp_matches(chunk, '(?m)^rename from ') THEN regexp_extract(chunk, '(?m)^rename from (.*)$', 1) END AS previous_path,
+    regexp_matches(chunk, '(?m)^Binary files? .+ differ$') AS is_binary,
+    CASE WHEN regexp_matches(chunk, '(?m)^Binary files? .+ differ$') THEN NULL
+      WHEN ends_with(chunk, chr(10)) THEN chunk ELSE chunk || chr(10) END AS patch
+  FROM chunks"""
+HUNKS = """
+  SELECT *, raw_lines[1] AS header, [x FOR x IN raw_lines[2:] IF starts_with(x, '+')] AS added,
+    [x FOR x IN raw_lines[2:] IF starts_with(x, '-')] AS removed,
+    CAST(regexp_extract(raw_lines[1], '^@@ -(\\d+)(,(\\d+))? \\+(\\d+)(,(\\d+))? @@(.*)', 1) AS INTEGER) AS base_start,
+    coalesce(TRY_CAST(regexp_extract(raw_lines[1], '^@@ -(\\d+)(,(\\d+))? \\+(\\d+)(,(\\d+))? @@(.*)', 3) AS INTEGER), 1) AS base_count,
+    CAST(regexp_extract(raw_lines[1], '^@@ -(\\d+)(,(\\d+))? \\+(\\d+)(,(\\d+))? @@(.*)', 4) AS INTEGER) AS head_start,
+    coalesce(TRY_CAST(regexp_extract(raw_lines[1], '^@@ -(\\d+)(,(\\d+))? \\+(\\d+)(,(\\d+))? @@(.*)', 6) AS INTEGER), 1) AS head_count,
+    trim(regexp_extract(raw_lines[1], '^@@ -(\\d+)(,(\\d+))? \\+(\\d+)(,(\\d+))? @@(.*)', 7)) AS context_label
+  FROM (SELECT *, pos - 2 AS hunk_idx, string_split('@@ -' || piece, chr(10)) AS raw_lines FROM (
+    SELECT *, unnest(string_split(chunk, chr(10) || '@@ -')) AS piece,
+      generate_subscripts(string_split(chunk, chr(10) || '@@ -'), 1) AS pos FROM files WHERE NOT is_binary)
+    WHERE pos > 1)"""
+
+
+def shredded(body: str, **more: str) -> str:
+    ctes = {"diffs": DIFFS, "chunks": CHUNKS, "files": SHREDDED, "hunks": HUNKS, **more}
+    return "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in ctes.items()) + "\n" + body
+
+
+_RANGE = """CASE WHEN head_start > 0 THEN head_start END AS line_start,
+  CASE WHEN head_start > 0 THEN CASE WHEN head_count > 0 THEN head_start + head_count - 1 ELSE head_start END END AS line_end,
+  nullif(array_to_string((added || removed)[1:5], chr(10)), '') AS snippet"""
+EVIDENCE = f"""
+  SELECT diff_id, file_idx, branch_name, 'FILE_CHANGE' AS source, path AS file_path, hunk_idx AS evidence_idx, {_RANGE},
+    'additions=' || len(added) || '|changeKind=' || kind || CASE WHEN context_label <> '' THEN '|contextLabel=' || context_label ELSE '' END
+    || '|deletions=' || len(removed) || '|hunkIndex=' || hunk_idx
+    || CASE WHEN previous_path <> '' THEN '|previousPath=' || previous_path ELSE '' END AS metadata FROM hunks
+  UNION ALL
+  SELECT diff_id, file_idx, branch_name, 'FILE_CHANGE', path, 0, NULL, NULL, NULL,
+    CASE WHEN is_binary THEN 'changeKind=' || kind || '|isBinary=true'
+      ELSE 'changeKind=RENAMED|previousPath=' || coalesce(previous_path, '') END
+  FROM files WHERE is_binary OR (kind = 'RENAMED' AND NOT contains(chunk, chr(10) || '@@'))"""
+CHANGED_ROWS = f"""
+  SELECT l_suppkey AS session_id, l_orderkey, l_linenumber, l_partkey, {corpus.FILE_BRANCH} AS branch_name,
+    {corpus.FILE_PATH} AS path, {corpus.FILE_PATCH} AS patch FROM lineitem"""
+DEDUPED = f"""
+  SELECT session_id, branch_name, path, first_order, first_line, first_part, patch FROM (
+    SELECT *, row_number() OVER (w ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC) AS nth,
+      first_value(l_orderkey) OVER (w ORDER BY l_orderkey, l_linenumber, l_partkey) AS first_order,
+      first_value(l_linenumber) OVER (w ORDER BY l_orderkey, l_linenumber, l_partkey) AS first_line,
+      first_value(l_partkey) OVER (w ORDER BY l_orderkey, l_linenumber, l_partkey) AS first_part
+    FROM ({CHANGED_ROWS}) WINDOW w AS (PARTITION BY session_id, branch_name, path)) WHERE nth = 1"""
+RESPONSES = f"""
+  SELECT user_id AS session_id, event_id AS response_id, {corpus.AGENT} AS agent, {corpus.RESPONSE} AS raw_text FROM events"""
+PARSED = """
+  SELECT *, CASE WHEN NOT json_valid(body) THEN 'invalid JSON'
+      WHEN json_type(body) <> 'OBJECT' THEN 'response must be a JSON object with an "assumptions" array'
+      WHEN coalesce(json_type(body, '$.assumptions'), '') <> 'ARRAY' THEN 'response is missing the "assumptions" array' END AS refused
+  FROM (SELECT *, CASE WHEN starts_with(raw_text, '```') THEN trim(regexp_extract(raw_text, '(?s)^```(?:json)?\\s*(.*?)\\s*```$', 1), ' ' || chr(10))
+                  ELSE trim(raw_text) END AS body FROM responses)"""
+
+
+def _text_member(name: str) -> str:
+    return f"CASE WHEN json_type(item, '$.{name}') = 'VARCHAR' THEN nullif(trim(json_extract_string(item, '$.{name}')), '') END"
+
+
+ITEMS = f"""
+  SELECT *, CASE WHEN statement IS NULL THEN 'assumption #' || item_idx || ': "statement" must be a non-empty string'
+      WHEN value IS NULL THEN 'assumption #' || item_idx || ': "value" must be a non-empty string'
+      WHEN branch_name IS NULL OR branch_name NOT IN ('feature/a', 'feature/b')
+        THEN 'assumption #' || item_idx || ': "branch" must be exactly "feature/a" or "feature/b"' END AS error
+  FROM (SELECT session_id, response_id, agent, item_idx, item,
+      {_text_member('statement')} AS statement, {_text_member('value')} AS value, {_text_member('branch')} AS branch_name
+    FROM (SELECT *, unnest(CAST(json_extract(body, '$.assumptions') AS JSON[])) AS item,
+        generate_subscripts(CAST(json_extract(body, '$.assumptions') AS JSON[]), 1) - 1 AS item_idx
+      FROM parsed WHERE refused IS NULL) WHERE item_idx < 50)"""
+REASONS = """
+  SELECT p.session_id, p.response_id, p.agent, coalesce(refused, first_error) AS reason
+  FROM parsed p LEFT JOIN (SELECT response_id, arg_min(error, item_idx) AS first_error FROM items
+    WHERE error IS NOT NULL GROUP BY 1) e ON e.response_id = p.response_id"""
+JSON_CLAIMS = f"""
+  SELECT session_id, response_id, agent, item_idx,
+    coalesce({_text_member('id')}, 'claim-' || response_id || '-' || item_idx) AS id, statement, value, branch_name,
+    coalesce({_text_member('concept')}, substr(trim(regexp_replace(lower(statement), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60)) AS concept,
+    source_file, line, snippet, numeric_confidence,
+    CASE WHEN numeric_confidence >= 0.9 THEN 'HIGH' WHEN numeric_confidence >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+    CASE WHEN snippet IS NOT NULL AND source_file <> '—' THEN 'FILE_CHANGE' ELSE 'INFERRED' END AS evidence_source
+  FROM (SELECT i.*, coalesce({_text_member('file')}, '—') AS source_file,
+      CASE WHEN TRY_CAST(json_extract_string(item, '$.line') AS BIGINT) >= 1 THEN TRY_CAST(json_extract_string(item, '$.line') AS BIGINT) END AS line,
+      {_text_member('evidence')} AS snippet,
+      least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(TRY_CAST(json_extract_string(item, '$.confidence') AS DOUBLE), 0.6::DOUBLE))) AS numeric_confidence
+    FROM items i JOIN reasons r ON r.response_id = i.response_id AND r.reason IS NULL)"""
+
+
+def responded(body: str, **more: str) -> str:
+    ctes = {"responses": RESPONSES, "parsed": PARSED, "items": ITEMS, "reasons": REASONS, **more}
+    return "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in ctes.items()) + "\n" + body
+
+
+def unique_lines(source: str, order: list[str]) -> str:
+    """First place of each distinct non-blank line of ``source(session_id, ..., text)``."""
+    cols = ", ".join(order)
+    return f"""
+      SELECT session_id, {cols}, line_idx, line FROM (
+        SELECT *, row_number() OVER (PARTITION BY session_id, line ORDER BY {cols}, line_idx) AS nth FROM (
+          SELECT session_id, {cols}, line_idx, {btrim('piece')} AS line FROM (
+            SELECT session_id, {cols}, unnest(string_split(text, chr(10))) AS piece,
+              generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_idx FROM {source}))
+        WHERE line <> '') WHERE nth = 1"""
+
+
+CLAIM_TEXT = """
+  SELECT *, '[' || agent || '] ' || statement || ' — value: ' || value || ' @ ' || source_file || ' (' || branch_name || ')'
+    || CASE WHEN snippet IS NOT NULL THEN ' :: ' || snippet ELSE '' END AS text FROM json_claims"""
+STATUS_ROWS = f"""
+  SELECT user_id AS session_id, arg_max({corpus.STATUS}, (ts, event_id)) AS status, count(*) AS n_events
+  FROM events GROUP BY 1"""
+_ext = " ".join(
+    f"WHEN lower(split_part(path, '.', -1)) IN {words(exts)} THEN {q(name)}" for name, exts in fixed.LANGUAGES.items()
+)
+_u = "trim(u)"
+URLS = rf"""
+  SELECT *, CASE WHEN scheme <> 'https' THEN 'unsupported repository scheme "' || scheme || ':" — only https://github.com URLs are supported'
+      WHEN host <> 'github.com' THEN 'unsupported repository host "' || host || '" — only github.com is supported in this MVP'
+      WHEN contains(authority, '@') THEN 'repository URLs containing credentials are not allowed'
+      WHEN contains(authority, ':') THEN 'repository URLs containing a port are not allowed'
+      WHEN len(pieces) <> 2 THEN 'invalid GitHub repository path "' || path || '" — expected /<owner>/<repo>'
+      WHEN NOT regexp_full_match(pieces[1], '[A-Za-z0-9_.-]+') OR NOT regexp_full_match(repo_name, '[A-Za-z0-9_.-]+')
+        THEN 'invalid GitHub repository "' || pieces[1] || '/' || repo_name || '" — owner and repo may only contain letters, numbers, ''.'', ''_'' and ''-'''
+      END AS error
+  FROM (SELECT *, [x FOR x IN string_split(path, '/') IF x <> ''] AS pieces,
+      regexp_replace([x FOR x IN string_split(path, '/') IF x <> ''][2], '\.git$', '') AS repo_name
+    FROM (SELECT page_id, u AS url, lower(regexp_extract({_u}, '^(\w+)://', 1)) AS scheme,
+        regexp_extract({_u}, '^\w+://([^/?#]*)', 1) AS authority,
+        lower(regexp_replace(regexp_replace(regexp_extract({_u}, '^\w+://([^/?#]*)', 1), '^.*@', ''), ':\d+$', '')) AS host,
+        regexp_extract({_u}, '^\w+://[^/?#]*([^?#]*)', 1) AS path
+      FROM (SELECT page_id, {corpus.REPO_URL} AS u FROM pages)))"""
+
+ORACLES |= {
+    "diff_files": shredded(
+        """SELECT session_id, diff_id, branch_name, file_idx, path, previous_path, kind, is_binary,
+             coalesce(n_added, 0) AS additions, coalesce(n_removed, 0) AS deletions, patch, coalesce(n, 0) AS n_hunks
+           FROM files LEFT JOIN (SELECT diff_id, file_idx, count(*) AS n, sum(len(added)) AS n_added, sum(len(removed)) AS n_removed
+             FROM hunks GROUP BY ALL) USING (diff_id, file_idx)"""
+    ),
+    "diff_hunks": shredded(
+        """SELECT diff_id, file_idx, path, hunk_idx, base_start, base_count, head_start, head_count, context_label,
+             '@@ -' || piece AS raw_hunk FROM hunks"""
+    ),
+    "diff_lines": shredded(
+        """SELECT diff_id, file_idx, path, hunk_idx, 'added' AS change, unnest(added) AS line, generate_subscripts(added, 1) - 1 AS line_idx FROM hunks
+           UNION ALL SELECT diff_id, file_idx, path, hunk_idx, 'removed', unnest(removed), generate_subscripts(removed, 1) - 1 FROM hunks"""
+    ),
+    "languages": f"""SELECT language, count(*) AS n_files FROM (
+        SELECT CASE {_ext} END AS language FROM ({CHANGED_ROWS})) GROUP BY 1""",
+    "code_evidence": shredded(EVIDENCE),
+    "patch_evidence": shredded(
+        f"""SELECT diff_id, file_idx, file_path, evidence_idx, line_start, line_end, snippet,
+              CASE WHEN contains(metadata, 'isBinary') THEN 'changeKind=MODIFIED' ELSE metadata END AS metadata FROM ({EVIDENCE})"""
+    ),
+    "comparison_snippets": shredded(
+        f"SELECT diff_id, file_idx, path AS file_path, hunk_idx, {_RANGE}, 'GIT_DIFF' AS source FROM hunks"
+    ),
+    "files_deduped": f"SELECT session_id, branch_name, path, first_order, first_line, md5(patch) AS patch_md5 FROM ({DEDUPED})",
+    "files_forwarded": f"""
+      SELECT session_id, branch_name, path, nth, length(content) AS n_chars, md5(content) AS content_md5 FROM (
+        SELECT *, substr(patch, 1, 20000) AS content, row_number() OVER (PARTITION BY session_id, branch_name
+          ORDER BY first_order, first_line, first_part) AS nth FROM ({DEDUPED}) WHERE trim(patch) <> '') WHERE nth <= 50""",
+    "ingestion_warnings": f"""
+      SELECT session_id, 'BINARY_OR_EMPTY_PATCH' AS code, path || ' on ' || branch_name || ' has no textual patch — excluded from semantic input' AS message
+      FROM ({DEDUPED}) WHERE patch IS NULL
+      UNION ALL SELECT session_id, 'FILES_TRUNCATED', branch_name || ': forwarded 50 of ' || count(*) || ' files'
+      FROM ({DEDUPED}) WHERE trim(patch) <> '' GROUP BY session_id, branch_name HAVING count(*) > 50""",
+    "diff_limits": f"""
+      SELECT session_id, n_files, diff_bytes, CASE WHEN n_files > 200
+          THEN 'too many files changed (' || n_files || ' > 200) — narrow the compared refs'
+          WHEN diff_bytes > 1000000 THEN 'diff too large (>1000000 bytes) — narrow the compared refs' END AS error
+      FROM (SELECT session_id, count(*) AS n_files, sum(coalesce(strlen(patch), 0)) AS diff_bytes FROM ({CHANGED_ROWS}) GROUP BY 1)""",
+    "files_changed": f"SELECT session_id, count(DISTINCT path) AS files_changed FROM ({CHANGED_ROWS}) GROUP BY 1",
+    "branch_by_file": f"""SELECT session_id, path, branch_name FROM (SELECT *, row_number() OVER (
+        PARTITION BY session_id, path ORDER BY l_orderkey, l_linenumber, l_partkey) AS nth FROM ({CHANGED_ROWS})) WHERE nth = 1""",
+    "head_comparisons": f"""
+      SELECT s_suppkey AS session_id, h.branch_name, count(c.path) AS n_files, coalesce(sum(strlen(patch)), 0) AS patch_bytes
+      FROM supplier CROSS JOIN (VALUES ('feature/a'), ('feature/n'), ('feature/idle')) h(branch_name)
+      LEFT JOIN ({CHANGED_ROWS}) c ON c.session_id = s_suppkey AND c.branch_name = h.branch_name GROUP BY 1, 2""",
+    "ordered_branches": f"""
+      SELECT session_id, branch_name, CASE branch_name WHEN 'feature/r' THEN 0 WHEN 'feature/a' THEN 1 END AS declared_seq,
+        min(l_orderkey) AS first_order FROM ({CHANGED_ROWS}) GROUP BY session_id, branch_name""",
+    "json_claims": responded(JSON_CLAIMS),
+    "json_rejects": responded(
+        "SELECT session_id, response_id, agent, substr(agent || ': ' || reason, 1, 300) AS message FROM reasons WHERE reason IS NOT NULL"
+    ),
+    "agent_lines": responded(
+        unique_lines(f"({CLAIM_TEXT})", ["response_id", "item_idx"]), json_claims=JSON_CLAIMS
+    ),
+    "dedup_lines": unique_lines("(SELECT conv_id AS session_id, turn, text FROM conversations)", ["turn"]),
+    "document_lines": f"""SELECT session_id, count(*) AS n_lines, sum(length(line)) AS n_chars, max(line_idx) AS max_line_idx
+      FROM ({unique_lines("(SELECT source AS session_id, doc_id, text FROM documents)", ["doc_id"])}) GROUP BY 1""",
+    "capped_texts": """SELECT doc_id, length(capped) AS n_chars, md5(capped) AS capped_md5 FROM (
+        SELECT doc_id, CASE WHEN length(text) > 12000 THEN substr(text, 1, 12000) || chr(10) || '[truncated for analysis]' ELSE text END AS capped
+        FROM documents)""",
+    "repo_urls": f"""SELECT page_id, url, error, CASE WHEN error IS NULL THEN pieces[1] END AS owner,
+        CASE WHEN error IS NULL THEN repo_name END AS repo,
+        CASE WHEN error IS NULL THEN 'https://github.com/' || pieces[1] || '/' || repo_name END AS canonical_url,
+        CASE WHEN error IS NULL THEN pieces[1] || '/' || repo_name END AS name FROM ({URLS})""",
+    "ref_names": rf"""SELECT p_partkey, ref, CASE WHEN trim(ref) = '' THEN 'branch is required — provide a branch name or commit SHA'
+        WHEN regexp_matches(ref, '^[-/]') THEN 'branch "' || ref || '" must not start with ''-'' or ''/'''
+        WHEN contains(ref, '..') OR regexp_matches(trim(ref), '\s') THEN 'branch "' || trim(ref) || '" contains a forbidden sequence'
+        WHEN regexp_full_match(ref, '[0-9a-fA-F]+') THEN CASE WHEN length(ref) NOT BETWEEN 4 AND 64 THEN 'branch "' || ref || '" is not a valid commit SHA' END
+        WHEN NOT regexp_full_match(ref, '[A-Za-z0-9._/-]+') THEN 'branch "' || ref || '" contains invalid characters — use letters, numbers, ''.'', ''_'', ''/'' and ''-'' only'
+        END AS error, NOT (regexp_full_match(trim(ref), '[0-9a-fA-F]+') AND length(trim(ref)) BETWEEN 4 AND 64) AS is_branch
+      FROM (SELECT p_partkey, {corpus.REF_NAME} AS ref FROM part)""",
+    "branch_hash": """SELECT c_custkey, repeat(lpad(lower(to_hex(CAST(list_reduce(
+        [CAST(ord(x) AS BIGINT) FOR x IN string_split(c_name, '')], lambda a, b: (a * 31 + b) % 4294967296, CAST(0 AS BIGINT)) AS BIGINT))), 8, '0'), 5) AS sha
+      FROM customer""",
+    "session_status": STATUS_ROWS,
+    "session_stages": f"""
+      SELECT session_id, idx, stage, state, CASE WHEN state = 'RUNNING' THEN CASE status WHEN 'PENDING' THEN 'Session queued…'
+          WHEN 'INGESTING' THEN 'Fetching repository and extracting real diffs…' WHEN 'ANALYZING' THEN 'Extracting semantic assumptions…'
+          ELSE 'Working…' END WHEN state = 'COMPLETE' AND status <> 'COMPLETE' THEN 'Done' END AS finding
+      FROM (SELECT *, CASE WHEN status = 'COMPLETE' OR idx < at THEN 'COMPLETE' WHEN idx = at THEN 'RUNNING' ELSE 'PENDING' END AS state
+        FROM (SELECT *, CASE status WHEN 'INGESTING' THEN 1 WHEN 'ANALYZING' THEN 2 ELSE 0 END AS at FROM ({STATUS_ROWS}))
+        CROSS JOIN (VALUES (0, 'intent'), (1, 'contract'), (2, 'dependency'), (3, 'adversary'), (4, 'change')) s(idx, stage))""",
+    "merge_attestations": f"""
+      SELECT conv_id AS session_id, turn, CASE WHEN status IS NULL THEN 'Session not found'
+          WHEN status <> 'COMPLETE' THEN 'Only COMPLETE sessions can be marked as merged'
+          WHEN length(text) > 500 THEN 'note must be a string of at most 500 characters' END AS error,
+        md5(nullif({btrim('text')}, '')) AS note_md5
+      FROM conversations LEFT JOIN ({STATUS_ROWS}) ON session_id = conv_id""",
+}

@@ -29,7 +29,11 @@ def build_session(app: str = "claimgrid", master: str | None = None, **conf: str
 # Settings a job needs on whatever session it is given. Generated methods above
 # 8000 bytes are never compiled by the JVM, so such stages are better off as
 # separate, smaller projections.
-JOB_CONF = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+JOB_CONF = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Of equal keys in a JSON object the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
+}
 
 
 def prepare(spark: SparkSession) -> SparkSession:

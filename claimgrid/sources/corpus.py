@@ -149,3 +149,133 @@ def context_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("DOCUMENTATION").alias("source_type"),
         F.expr(CONTEXT_TEXT).alias("content"),
     )
+
+
+# --- diff texts: one raw diff per order ----------------------------------------
+
+
+def _head(p: str) -> str:
+    return f"'diff --git a/' || {p} || ' b/' || {p} || chr(10)"
+
+
+def _markers(p: str) -> str:
+    return f"'--- a/' || {p} || chr(10) || '+++ b/' || {p} || chr(10)"
+
+
+def _swap(header: str, old: str, new: str) -> str:
+    return f"{header} || chr(10) || '-' || {old} || chr(10) || '+' || {new} || chr(10)"
+
+
+# Columns: k a line number, p1/p2 paths, s1/s2 sentences.
+_AT = "'@@ -' || k || ',2 +' || k || ',2 @@'"
+RAW_DIFF = f"""CASE o_orderkey % 8
+  WHEN 0 THEN {_head('p1')} || 'index 1..2 100644' || chr(10) || {_markers('p1')} || {_swap(_AT + " || ' fn()' || chr(10) || ' ctx'", 's1', 's2')}
+  WHEN 1 THEN 'exported diff' || chr(10) || {_head('p1')} || {_markers('p1')} || {_swap(_AT, 's1', 's2')} || {_swap("'@@ -90 +91 @@ tail '", 's2', 's1')}
+    || {_head('p2')} || 'new file mode 100644' || chr(10) || '--- /dev/null' || chr(10) || '+++ b/' || p2 || chr(10) || '@@ -0,0 +1,2 @@' || chr(10) || '+' || s1 || chr(10) || '+' || s2 || chr(10)
+  WHEN 2 THEN {_head('p1')} || 'deleted file mode 100644' || chr(10) || '--- a/' || p1 || chr(10) || '+++ /dev/null' || chr(10) || '@@ -1 +0,0 @@' || chr(10) || '-' || s1
+  WHEN 3 THEN 'diff --git a/' || p1 || ' b/old/' || p1 || chr(10) || 'similarity index 100%' || chr(10) || 'rename from ' || p1 || chr(10) || 'rename to old/' || p1 || chr(10)
+  WHEN 4 THEN 'diff --git a/' || p2 || ' b/new/' || p2 || chr(10) || 'rename from ' || p2 || chr(10) || 'rename to new/' || p2 || chr(10) || {_swap(_AT, 's1', 's2')}
+  WHEN 5 THEN {_head("'img/' || o_orderkey || '.png'")} || 'Binary files a/img/1.png and b/img/1.png differ' || chr(10)
+  WHEN 6 THEN {_markers('p1')} || {_swap(_AT, 's1', 's2')} || '--- a/' || p2 || chr(10) || '+++ /dev/null' || chr(10) || '@@ -1,1 +0,0 @@' || chr(10) || '-' || s2 || chr(10)
+  ELSE 'No diff here: ' || s1 END"""
+DIFF_BRANCH = "'feature/' || (o_orderkey % 3)"
+DIFF_NUMBERS = {"n1": "o_orderkey * 7 + 3", "n2": "o_orderkey * 5 + 4"}
+
+
+def raw_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("session_id"),
+        F.col("o_orderkey").alias("diff_id"),
+        F.expr(DIFF_BRANCH).alias("branch_name"),
+        "o_orderkey",
+        F.expr("o_orderkey % 50 + 1").alias("k"),
+        F.expr(path("o_orderkey")).alias("p1"),
+        F.expr(path("o_orderkey + 3")).alias("p2"),
+        *(F.expr(n).alias(name) for name, n in DIFF_NUMBERS.items()),
+    )
+    roles = numbered.withColumns({"r1": F.expr(role("n1")), "r2": F.expr(role("n2"))})
+    texts = roles.withColumns(
+        {"s1": F.expr(sentence("n1", "r1")), "s2": F.expr(sentence("n2", "r2"))}
+    )
+    return texts.select("session_id", "diff_id", "branch_name", F.expr(RAW_DIFF).alias("raw"))
+
+
+# --- changed-file rows: one per line item ---------------------------------------
+
+FILE_PATH = "'src/p' || (l_partkey % 150) || CASE l_linenumber % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.PY' WHEN 2 THEN '.yaml' ELSE '/Dockerfile' END"
+FILE_BRANCH = "'feature/' || lower(l_returnflag)"
+FILE_PATCH = (
+    "CASE WHEN l_linenumber = 3 THEN NULL WHEN l_linenumber = 5 THEN '  ' "
+    "WHEN l_partkey % 100 = 0 THEN repeat('+é', CAST(l_quantity AS INT) * 250) "
+    "ELSE '@@ -1 +1 @@' || chr(10) || '-' || l_partkey || chr(10) || '+é' || l_suppkey END"
+)
+
+
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("session_id"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"),
+        F.expr(FILE_BRANCH).alias("branch_name"),
+        F.expr(FILE_PATH).alias("path"),
+        F.lit("MODIFIED").alias("kind"),
+        F.expr(FILE_PATCH).alias("patch"),
+    )
+
+
+# --- analyser responses and status events: one per event ------------------------
+
+AGENT = (
+    "CASE event_type WHEN 'view' THEN 'intent' WHEN 'click' THEN 'contract' "
+    "WHEN 'purchase' THEN 'dependency' WHEN 'signup' THEN 'adversary' ELSE 'change' END"
+)
+_ITEM = (
+    "'{\"statement\": \" Access by ' || event_type || ' \", \"value\": \"v' || user_id || '\", "
+    "\"branch\": \"feature/a\", \"confidence\": ' || (value / 10) || ', \"line\": ' || (event_id % 5) || ', "
+    "\"file\": \"src/' || event_type || '.ts\", \"evidence\": \"role = admin\"}'"
+)
+_SECOND = "'{\"statement\": \"Plain claim ' || user_id || '\", \"concept\": \"plain\", \"value\": \"x\", \"branch\": \"feature/b\"}'"
+RESPONSE = f"""CASE event_id % 9
+  WHEN 0 THEN 'Sorry, no JSON for ' || event_type
+  WHEN 1 THEN '[' || {_ITEM} || ']'
+  WHEN 2 THEN '{{\"claims\": [' || {_ITEM} || ']}}'
+  WHEN 3 THEN '```json' || chr(10) || '{{\"assumptions\": [' || {_ITEM} || ', ' || {_SECOND} || ']}}' || chr(10) || '```'
+  WHEN 4 THEN '{{\"assumptions\": [' || {_SECOND} || ', {{\"statement\": \"  \", \"value\": \"x\", \"branch\": \"feature/a\"}}]}}'
+  WHEN 5 THEN '{{\"assumptions\": [{{\"statement\": \"s\", \"value\": 5, \"branch\": \"feature/a\"}}]}}'
+  WHEN 6 THEN '{{\"assumptions\": [{{\"statement\": \"s\", \"value\": \"v\", \"branch\": \"main\"}}]}}'
+  ELSE '{{\"assumptions\": [' || {_ITEM} || ', ' || {_SECOND} || ']}}' END"""
+STATUS = (
+    "CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'view' THEN 'INGESTING' "
+    "WHEN 'click' THEN 'ANALYZING' WHEN 'purchase' THEN 'COMPLETE' ELSE 'ERROR' END"
+)
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("session_id"),
+        F.col("event_id").alias("response_id"),
+        F.expr(AGENT).alias("agent"),
+        F.lit("feature/a").alias("branch_a"),
+        F.lit("feature/b").alias("branch_b"),
+        F.expr(RESPONSE).alias("raw_text"),
+    )
+
+
+def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("session_id"), "event_id", "ts", F.expr(STATUS).alias("status")
+    )
+
+
+# --- repository addresses and refs ----------------------------------------------
+
+REPO_URL = """CASE page_id % 8 WHEN 0 THEN url
+  WHEN 1 THEN 'https://github.com/org' || page_id || '/repo.git'
+  WHEN 2 THEN ' https://GitHub.com/org/repo-' || page_id || '/ '
+  WHEN 3 THEN replace(url, 'http://', 'https://')
+  WHEN 4 THEN 'https://user:pw@github.com/org/' || page_id
+  WHEN 5 THEN 'https://github.com:8443/org/' || page_id
+  WHEN 6 THEN 'https://github.com/org/' || page_id || '/tree/main'
+  ELSE 'https://github.com/o+g/' || page_id END"""
+REF_NAME = """CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN 'feature/' || replace(p_name, ' ', '-')
+  WHEN 2 THEN '-' || p_name WHEN 3 THEN 'a..' || p_partkey WHEN 4 THEN 'abc' || p_partkey
+  WHEN 5 THEN 'ref~' || p_partkey ELSE '  ' END"""
