@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from claimgrid.functions import refs
 from claimgrid.operators import (
     agents,
+    checks,
     diffs,
     evidence,
     extract,
@@ -537,3 +538,54 @@ def merge_attestations(spark, sf):
     )
     judged = lifecycle.attest(notes, lifecycle.latest_status(corpus.status_events(spark, sf)))
     return judged.select("session_id", "turn", "error", F.md5("note").alias("note_md5"))
+
+
+# --- checks ----------------------------------------------------------------------
+
+
+@query
+def input_errors(spark, sf):
+    changes = corpus.table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("change_seq"),
+        F.expr(corpus.FLAWED_CHANGE_ID).alias("change_id"),
+        F.expr(corpus.FLAWED_LABEL).alias("label"), F.expr(corpus.FLAWED_CONTENT).alias("content"),
+    )
+    return checks.input_errors(corpus.sessions(spark, sf), changes)
+
+
+@query
+def claim_errors(spark, sf):
+    rows = corpus_claims(spark, sf).withColumns(
+        {
+            "confidence": F.when(F.col("rule_idx") == 3, "SURE").otherwise(F.col("confidence")),
+            "subject": F.when(F.col("rule_idx") == 9, " ").otherwise(F.col("subject")),
+        }
+    )
+    return checks.claim_errors(rows, ["session_id", "claim_id"])
+
+
+@query
+def evidence_errors(spark, sf):
+    rows = corpus.record(spark, sf, "lineitem", corpus.EVIDENCE_RECORD)
+    return checks.record_errors(rows, ["id"], checks.code_evidence_checks)
+
+
+@query
+def changed_file_errors(spark, sf):
+    rows = corpus.record(spark, sf, "lineitem", corpus.CHANGED_FILE_RECORD)
+    return checks.record_errors(rows, ["id"], checks.changed_file_checks)
+
+
+@query
+def finding_errors(spark, sf):
+    rows = corpus.record(spark, sf, "orders", corpus.FINDING_RECORD)
+    ids = F.array_repeat(F.col("id"), F.col("affected"))
+    return checks.record_errors(
+        rows.withColumn("affected_claim_ids", ids), ["id"], checks.finding_checks
+    )
+
+
+@query
+def result_errors(spark, sf):
+    rows = corpus.record(spark, sf, "orders", corpus.RESULT_RECORD)
+    return checks.record_errors(rows, ["id"], checks.result_checks)

@@ -832,8 +832,8 @@ ORACLES |= {
       SELECT session_id, idx, stage, state, CASE WHEN state = 'RUNNING' THEN CASE status WHEN 'PENDING' THEN 'Session queued…'
           WHEN 'INGESTING' THEN 'Fetching repository and extracting real diffs…' WHEN 'ANALYZING' THEN 'Extracting semantic assumptions…'
           ELSE 'Working…' END WHEN state = 'COMPLETE' AND status <> 'COMPLETE' THEN 'Done' END AS finding
-      FROM (SELECT *, CASE WHEN status = 'COMPLETE' OR idx < at THEN 'COMPLETE' WHEN idx = at THEN 'RUNNING' ELSE 'PENDING' END AS state
-        FROM (SELECT *, CASE status WHEN 'INGESTING' THEN 1 WHEN 'ANALYZING' THEN 2 ELSE 0 END AS at FROM ({STATUS_ROWS}))
+      FROM (SELECT *, CASE WHEN status = 'COMPLETE' OR idx < stage_at THEN 'COMPLETE' WHEN idx = stage_at THEN 'RUNNING' ELSE 'PENDING' END AS state
+        FROM (SELECT *, CASE status WHEN 'INGESTING' THEN 1 WHEN 'ANALYZING' THEN 2 ELSE 0 END AS stage_at FROM ({STATUS_ROWS}))
         CROSS JOIN (VALUES (0, 'intent'), (1, 'contract'), (2, 'dependency'), (3, 'adversary'), (4, 'change')) s(idx, stage))""",
     "merge_attestations": f"""
       SELECT conv_id AS session_id, turn, CASE WHEN status IS NULL THEN 'Session not found'
@@ -842,3 +842,97 @@ ORACLES |= {
         md5(nullif({btrim('text')}, '')) AS note_md5
       FROM conversations LEFT JOIN ({STATUS_ROWS}) ON session_id = conv_id""",
 }
+
+
+# --- checks ----------------------------------------------------------------------
+
+
+def flaws(source: str, key: str, tests: list[tuple[str, str, str]]) -> str:
+    """One SELECT per (field expression, condition, message expression)."""
+    return " UNION ALL ".join(
+        f"SELECT {key}, {field} AS field, {message} AS message FROM {source} WHERE {test}"
+        for field, test, message in tests
+    )
+
+
+def record_sql(name: str, columns: dict[str, str]) -> str:
+    return "(SELECT " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + f" FROM {name})"
+
+
+def not_in(field: str, column: str, allowed: list[str]) -> tuple[str, str, str]:
+    return q(field), f"coalesce({column}, '') NOT IN {words(allowed)}", q(f"{field} must be one of: {', '.join(allowed)}")
+
+
+def no_text(field: str, column: str) -> tuple[str, str, str]:
+    return q(field), f"coalesce({column}, '') = ''", q(f"{field} must not be empty")
+
+
+_UUID = "NOT regexp_full_match(id, '[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}')"
+_CHANGES = f"""(SELECT o_custkey AS session_id, o_orderkey AS change_seq, 'changes[' || o_orderkey || '].' AS place,
+  {corpus.FLAWED_CHANGE_ID} AS change_id, {corpus.FLAWED_LABEL} AS label, {corpus.FLAWED_CONTENT} AS content FROM orders)"""
+_REPEATED = f"""(SELECT *, row_number() OVER (PARTITION BY session_id, change_id ORDER BY change_seq) AS nth
+  FROM {_CHANGES} WHERE trim(change_id) <> '')"""
+_SESSIONS = f"(SELECT c_custkey AS session_id, {corpus.REQUIREMENT} AS requirement_text FROM customer)"
+
+
+def _empty(field: str, column: str, name: str) -> tuple[str, str, str]:
+    return f"place || '{field}'", f"coalesce(trim({column}), '') = ''", q(f"{name} must be a non-empty string")
+
+
+ORACLES |= {
+    "input_errors": " UNION ALL ".join(
+        [
+            flaws(_SESSIONS, "session_id", [
+                ("'requirementText'", f"{btrim('requirement_text')} = ''", "'requirementText must be a non-empty string'"),
+                ("'changes'", "session_id NOT IN (SELECT o_custkey FROM orders)", "'at least one change description is required'"),
+            ]),
+            flaws(_CHANGES, "session_id", [
+                _empty("id", "change_id", "change id"),
+                _empty("label", "label", "change label"),
+                _empty("content", "content", "change content"),
+            ]),
+            flaws(_REPEATED, "session_id", [("place || 'id'", "nth > 1", "'duplicate change id \"' || change_id || '\"'")]),
+        ]
+    ),
+    "claim_errors": upto(
+        "claims",
+        """SELECT session_id, claim_id, 'subject' AS field, 'subject must be a non-empty string' AS message FROM claims WHERE rule_idx = 9 OR subject = ''
+           UNION ALL SELECT session_id, claim_id, 'confidence', 'confidence must be one of: HIGH, MEDIUM, LOW' FROM claims WHERE rule_idx = 3""",
+    ),
+    "evidence_errors": flaws(record_sql("lineitem", corpus.EVIDENCE_RECORD), "id", [
+        not_in("source", "source", fixed.EVIDENCE_SOURCES),
+        no_text("filePath", "file_path"),
+        ("'lineStart'", "line_start < 1", "'lineStart must be positive'"),
+        ("'lineEnd'", "line_end < 1", "'lineEnd must be positive'"),
+        no_text("branchName", "branch_name"),
+        ("'line'", "line_end < line_start OR (line_start IS NULL AND line_end IS NOT NULL)",
+         "'lineEnd must be >= lineStart, and both must be null or both non-null'"),
+    ]),
+    "changed_file_errors": flaws(record_sql("lineitem", corpus.CHANGED_FILE_RECORD), "id", [
+        no_text("path", "path"),
+        not_in("kind", "kind", fixed.CHANGE_KINDS),
+        ("'previousPath'", "previous_path = ''", "'previousPath must not be empty'"),
+        ("'additions'", "additions < 0 OR additions IS NULL", "'additions must not be negative'"),
+        ("'deletions'", "deletions < 0 OR deletions IS NULL", "'deletions must not be negative'"),
+        no_text("branchName", "branch_name"),
+        ("'previousPath'", "kind = 'RENAMED' AND previous_path IS NULL", "'previousPath is required when kind is RENAMED'"),
+    ]),
+    "finding_errors": flaws(record_sql("orders", corpus.FINDING_RECORD), "id", [
+        ("'id'", _UUID, "'id must be a UUID v4 string'"),
+        no_text("title", "title"),
+        ("'title'", "length(title) > 160", "'title should be < 160 characters'"),
+        no_text("description", "description"),
+        not_in("severity", "severity", fixed.FINDING_SEVERITIES),
+        not_in("category", "category", fixed.FINDING_CATEGORIES),
+        ("'affectedAssumptionIds'", "affected = 0", "'at least one affected assumption is required'"),
+        ("'resolvedAt'", "proposed_resolution IS NULL AND resolved_at IS NOT NULL",
+         "'resolvedAt must be null when proposedResolution is null'"),
+    ]),
+    "result_errors": flaws(record_sql("orders", corpus.RESULT_RECORD), "id", [
+        ("'id'", _UUID, "'id must be a UUID v4 string'"),
+        ("'schemaVersion'", "NOT regexp_full_match(schema_version, '\\d+\\.\\d+\\.\\d+')", "'must be a valid SemVer string (e.g. \"1.0.0\")'"),
+        ("'startedAt'", "NOT contains(started_at, 'T')", "'must be an ISO-8601 UTC datetime string (e.g. 2024-08-01T12:00:00.000Z)'"),
+        ("'completedAt'", "status = 'IN_PROGRESS' AND completed_at IS NOT NULL", "'completedAt must be null when status is PENDING or IN_PROGRESS'"),
+        ("'errorMessage'", "status = 'ERROR' AND error_message IS NULL", "'errorMessage must be set when status is ERROR'"),
+    ]),
+}

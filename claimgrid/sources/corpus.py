@@ -279,3 +279,51 @@ REPO_URL = """CASE page_id % 8 WHEN 0 THEN url
 REF_NAME = """CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN 'feature/' || replace(p_name, ' ', '-')
   WHEN 2 THEN '-' || p_name WHEN 3 THEN 'a..' || p_partkey WHEN 4 THEN 'abc' || p_partkey
   WHEN 5 THEN 'ref~' || p_partkey ELSE '  ' END"""
+
+# --- records with injected flaws, for the checks --------------------------------
+
+FLAWED_CHANGE_ID = "CASE o_orderkey % 10 WHEN 1 THEN ' ' WHEN 2 THEN 'change-x' ELSE 'change-' || o_orderkey END"
+FLAWED_LABEL = "CASE o_orderkey % 12 WHEN 3 THEN '' ELSE 'feature' END"
+FLAWED_CONTENT = "CASE o_orderkey % 14 WHEN 5 THEN NULL ELSE 'text' END"
+_ID = "lpad(CAST({n} AS STRING), 8, '0') || '-0000-4000-8000-000000000000'"
+
+# Each record: source table, key column, and its columns by SQL expression.
+EVIDENCE_RECORD = {
+    "id": "l_orderkey * 10 + l_linenumber",
+    "source": "CASE l_linenumber WHEN 2 THEN 'GUESS' ELSE 'FILE_CHANGE' END",
+    "file_path": "CASE l_returnflag WHEN 'A' THEN '' ELSE 'src/a.ts' END",
+    "line_start": "CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE CAST(l_quantity AS INT) - 1 END",
+    "line_end": "CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE 25 END",
+    "branch_name": "l_linestatus",
+}
+CHANGED_FILE_RECORD = {
+    "id": "l_orderkey * 10 + l_linenumber",
+    "path": "CASE l_linenumber WHEN 1 THEN '' ELSE 'src/a.ts' END",
+    "kind": "CASE l_linenumber WHEN 2 THEN 'COPIED' WHEN 3 THEN 'RENAMED' ELSE 'MODIFIED' END",
+    "previous_path": "CASE l_returnflag WHEN 'A' THEN 'src/b.ts' WHEN 'N' THEN '' ELSE NULL END",
+    "additions": "CAST(l_quantity AS INT) - 3",
+    "deletions": "CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE 0 END",
+    "branch_name": "CASE l_linestatus WHEN 'O' THEN 'feature' ELSE '' END",
+}
+FINDING_RECORD = {
+    "id": f"CASE o_orderkey % 5 WHEN 0 THEN 'id-' || o_orderkey ELSE {_ID.format(n='o_orderkey')} END",
+    "title": "CASE o_orderkey % 7 WHEN 1 THEN '' WHEN 2 THEN repeat('t', 161) ELSE o_orderpriority END",
+    "description": "o_orderstatus",
+    "severity": "CASE o_orderstatus WHEN 'P' THEN 'INFO' ELSE 'HIGH' END",
+    "category": "CASE o_orderkey % 4 WHEN 0 THEN 'STYLE' ELSE 'LOGIC' END",
+    "affected": "CASE o_orderkey % 6 WHEN 0 THEN 0 ELSE 1 END",
+    "proposed_resolution": "CASE o_orderkey % 3 WHEN 0 THEN 'fix' ELSE NULL END",
+    "resolved_at": "CASE o_orderkey % 2 WHEN 0 THEN '2024-08-01T12:00:00.000Z' ELSE NULL END",
+}
+RESULT_RECORD = {
+    "id": _ID.format(n="o_orderkey"),
+    "schema_version": "CASE o_orderkey % 6 WHEN 0 THEN '1.0' ELSE '1.0.0' END",
+    "status": "CASE o_orderstatus WHEN 'F' THEN 'FAIL' WHEN 'O' THEN 'IN_PROGRESS' ELSE 'ERROR' END",
+    "started_at": "CASE o_orderkey % 8 WHEN 0 THEN '2024-08-01' ELSE '2024-08-01T12:00:00Z' END",
+    "completed_at": "CASE o_orderkey % 3 WHEN 0 THEN NULL ELSE '2024-08-01T12:30:00Z' END",
+    "error_message": "CASE o_orderkey % 5 WHEN 0 THEN 'boom' ELSE NULL END",
+}
+
+
+def record(spark: SparkSession, sf_dir: str, name: str, columns: dict[str, str]) -> DataFrame:
+    return table(spark, sf_dir, name).select(*(F.expr(e).alias(c) for c, e in columns.items()))
