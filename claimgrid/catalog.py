@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -23,8 +24,10 @@ from claimgrid.operators import (
     summary,
 )
 from claimgrid.operators import files as files_ops
-from claimgrid.session import prepare, stage
+from claimgrid.plans import verify
+from claimgrid.session import prepare, stage, stage_root
 from claimgrid.sources import corpus
+from claimgrid.streaming import feed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -589,3 +592,49 @@ def finding_errors(spark, sf):
 def result_errors(spark, sf):
     rows = corpus.record(spark, sf, "orders", corpus.RESULT_RECORD)
     return checks.record_errors(rows, ["id"], checks.result_checks)
+
+
+# --- whole flows -----------------------------------------------------------------
+
+
+def corpus_branches(spark: SparkSession, sf: str) -> DataFrame:
+    """Two declared branches per session; a third one only appears in the diffs."""
+    declared = F.array(F.lit("feature/1"), F.lit("feature/0"))
+    return corpus.sessions(spark, sf).select(
+        "session_id", F.posexplode(declared).alias("declared_seq", "branch_name")
+    )
+
+
+@query
+def repository_verdicts(spark, sf):
+    """Raw diffs to verdicts: shred, dedupe, cap, extract, pair and report."""
+    inputs = verify.from_diffs(
+        corpus.sessions(spark, sf), corpus_branches(spark, sf), corpus.raw_diffs(spark, sf)
+    )
+    return verify.verify(inputs).results
+
+
+@query
+def text_verdicts(spark, sf):
+    """Pasted texts to verdicts: every snippet of an order as its own change."""
+    rows = corpus.snippets(spark, sf)
+    texts = rows.select(
+        "session_id", (F.col("change_seq") * 2 + F.col("snippet_seq")).alias("change_seq"),
+        F.concat("change_id", F.lit("-"), "snippet_seq").alias("change_id"),
+        F.lit("text").alias("label"), "content",
+        F.when(F.col("snippet_seq") == 0, F.col("file_path")).alias("file_path"),
+    )
+    return verify.verify(verify.from_texts(corpus.sessions(spark, sf), texts)).results
+
+
+@query
+def stream_conflicts(spark, sf):
+    """The corpus as a stream of units, verified batch by batch."""
+    root = f"{stage_root(spark)}/feed-{uuid.uuid4().hex}"
+    units = corpus_units(spark, sf)
+    units.write.parquet(f"{root}/units")
+    stream = spark.readStream.schema(units.schema).parquet(f"{root}/units")
+    feed.verify_stream(stream, root, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return feed.current_conflicts(spark, root).select(
+        "session_id", "conflict_id", "conflict_type", "l_value", "r_value", "severity"
+    )

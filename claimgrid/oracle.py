@@ -936,3 +936,52 @@ ORACLES |= {
         ("'errorMessage'", "status = 'ERROR' AND error_message IS NULL", "'errorMessage must be set when status is ERROR'"),
     ]),
 }
+
+
+# --- whole flows -----------------------------------------------------------------
+
+_FILE_HINT = hint("file_path", fixed.CHANGE_HINTS, "NULL")
+_REQUIREMENT_UNITS = f"""SELECT c_custkey AS session_id, 0 AS part, 0 AS change_seq, 0 AS snippet_seq,
+  'requirement' AS unit_id, {corpus.REQUIREMENT} AS text, 'BUSINESS_RULE' AS category_hint, NULL::VARCHAR AS source_file FROM customer"""
+_LATEST = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, branch_name, path ORDER BY diff_id DESC, file_idx DESC) AS nth,
+    first_value(diff_id) OVER w AS first_diff, first_value(file_idx) OVER w AS first_file
+  FROM files WINDOW w AS (PARTITION BY session_id, branch_name, path ORDER BY diff_id, file_idx)) WHERE nth = 1"""
+_HEADS = """SELECT *, row_number() OVER (PARTITION BY session_id
+    ORDER BY CASE branch_name WHEN 'feature/1' THEN 0 WHEN 'feature/0' THEN 1 ELSE 2 END, first_diff, first_file) - 1 AS change_seq
+  FROM (SELECT DISTINCT ON (session_id, branch_name) session_id, branch_name, first_diff, first_file FROM latest
+    ORDER BY session_id, branch_name, first_diff, first_file)"""
+_FORWARDED = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, branch_name ORDER BY first_diff, first_file) AS file_nth
+  FROM latest WHERE trim(patch) <> '') WHERE file_nth <= 50"""
+_DIFF_UNITS = f"""{_REQUIREMENT_UNITS}
+  UNION ALL SELECT session_id, 1, change_seq, 0, 'change-' || change_seq || '-' || branch_name,
+    CASE WHEN EXISTS (SELECT 1 FROM forwarded f WHERE f.session_id = h.session_id AND f.branch_name = h.branch_name)
+      THEN '—' ELSE 'No textual differences on ' || branch_name || '.' END, NULL, NULL FROM heads h
+  UNION ALL SELECT session_id, 1, change_seq, file_nth, 'change-' || change_seq || '-' || branch_name || '__snippet_' || (file_nth - 1),
+    substr(patch, 1, 20000), {_FILE_HINT}, path FROM (
+      SELECT f.*, h.change_seq, f.path AS file_path FROM forwarded f JOIN heads h USING (session_id, branch_name))"""
+_TEXT_UNITS = f"""{_REQUIREMENT_UNITS} UNION ALL
+  SELECT session_id, 1, change_seq, 1, change_id || '__snippet_0', text, {_FILE_HINT}, file_path FROM (
+    SELECT session_id, change_seq * 2 + CAST(right(unit_id, 1) AS INTEGER) AS change_seq,
+      replace(unit_id, '__snippet_', '-') AS change_id, text,
+      CASE WHEN snippet_seq = 1 THEN source_file ELSE replace(unit_id, '__snippet_', '-') || '.diff' END AS file_path
+    FROM corpus_units WHERE snippet_seq > 0)"""
+
+
+def flow(units: str, body: str, **before: str) -> str:
+    """The pipeline over other units, which the CTEs in ``before`` prepare."""
+    ctes = {**before, **STAGES, "units": units}
+    order = [*before, *STAGES]
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({ctes[n]})" for n in order) + "\n" + body
+
+
+ORACLES |= {
+    "repository_verdicts": flow(
+        _DIFF_UNITS, RESULTS, diffs=DIFFS, chunks=CHUNKS, files=SHREDDED, latest=_LATEST, heads=_HEADS,
+        forwarded=_FORWARDED,
+    ),
+    "text_verdicts": flow(_TEXT_UNITS, RESULTS, corpus_units=_units()),
+    "stream_conflicts": upto(
+        "conflicts",
+        "SELECT session_id, conflict_id, conflict_type, l_value, r_value, severity FROM conflicts",
+    ),
+}
