@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,7 +51,7 @@ class Rule:
     regex: str
     n_groups: int
     confidence: str
-    triggers: Sequence[str]
+    triggers: tuple[str, ...]
     read: Callable[[Hit], Reading]
 
 
@@ -263,7 +263,7 @@ RULES: list[Rule] = [
         ),
         n_groups=re.compile(fixed.RULE_PATTERNS[rule_id]).groups,
         confidence=confidence,
-        triggers=triggers,
+        triggers=tuple(triggers),
         read=read,
     )
     for rule_id, (category, confidence, triggers, read) in _SPECS.items()
@@ -318,15 +318,18 @@ def _read(captured: Column, noun: Column, rules: Sequence[Rule]) -> Column:
     return chain
 
 
-def matches(
-    segment: Column, lowered: Column, hint: Column, noun: Column, rules: Sequence[Rule] = RULES
-) -> Column:
+@lru_cache(maxsize=8)
+def matches(rules: tuple[Rule, ...], application: str) -> Column:
     """Claims of one segment, in rule order: first match of each admitted rule.
 
+    Reads the columns ``segment``, ``lowered``, ``category_hint`` and ``noun``.
+    The expression is the same for every table, so an application builds it once.
+
     Patterns run first and capture their groups; what the groups mean is read
     only for the rules that matched. Both steps sit in array functions, which
     keeps them out of one oversized generated method the JVM would not compile.
     """
+    segment, lowered, hint, noun = map(F.col, ("segment", "lowered", "category_hint", "noun"))
     captured = F.array_compact(
         F.array(*(_capture(i, rule, segment, lowered, hint) for i, rule in enumerate(rules)))
     )

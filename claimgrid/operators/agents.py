@@ -64,13 +64,27 @@ def _number(item: Column, name: str) -> Column:
     return F.when(F.rlike(_kind(_member(item, name)), F.lit(NUMBER)) & finite, value)
 
 
+def _members(item: Column) -> Column:
+    """The members of an item, each read from the JSON value once."""
+    texts = ["id", "statement", "value", "branch", "concept", "file", "evidence"]
+    numbers = ["line", "confidence"]
+    return F.struct(
+        *(_string(item, name).alias(name) for name in texts),
+        *(_number(item, name).alias(name) for name in numbers),
+    )
+
+
+def _concept(item: Column) -> Column:
+    concept = F.coalesce(item["concept"], derive_concept(item["statement"]))
+    return item.withField("concept", concept)
+
+
 def _item(item: Column, index: Column) -> Column:
-    statement = _string(item, "statement")
-    value = _string(item, "value")
-    branch = _string(item, "branch")
-    concept = F.coalesce(_string(item, "concept"), derive_concept(statement))
-    line = _number(item, "line")
-    given = F.coalesce(_number(item, "confidence"), F.lit(fixed.DEFAULT_AGENT_CONFIDENCE))
+    statement, value, branch, concept = (
+        item[name] for name in ("statement", "value", "branch", "concept")
+    )
+    line = item["line"]
+    given = F.coalesce(item["confidence"], F.lit(fixed.DEFAULT_AGENT_CONFIDENCE))
     numeric = F.least(F.lit(1.0), F.greatest(F.lit(0.0), given))
 
     def say(text: Column | str) -> Column:
@@ -91,14 +105,14 @@ def _item(item: Column, index: Column) -> Column:
     )
     return F.struct(
         index.cast("int").alias("item_idx"),
-        F.coalesce(_string(item, "id"), F.lit("")).alias("id"),
+        F.coalesce(item["id"], F.lit("")).alias("id"),
         statement.alias("statement"),
         value.alias("value"),
         branch.alias("branch_name"),
         concept.alias("concept"),
-        F.coalesce(_string(item, "file"), F.lit(fixed.NOT_KNOWN)).alias("source_file"),
+        F.coalesce(item["file"], F.lit(fixed.NOT_KNOWN)).alias("source_file"),
         F.when((line >= 1) & (line == F.floor(line)), line.cast("long")).alias("line"),
-        first_lines(_string(item, "evidence"), fixed.MAX_SNIPPET_LINES).alias("snippet"),
+        first_lines(item["evidence"], fixed.MAX_SNIPPET_LINES).alias("snippet"),
         numeric.alias("numeric_confidence"),
         error.alias("error"),
     )
@@ -122,7 +136,12 @@ def read_responses(responses: DataFrame) -> DataFrame:
     )
     checked = listed.withColumn(
         "items",
-        F.transform(F.slice("list", 1, fixed.MAX_CLAIMS_PER_RESPONSE), _item),
+        F.transform(
+            F.transform(
+                F.transform(F.slice("list", 1, fixed.MAX_CLAIMS_PER_RESPONSE), _members), _concept
+            ),
+            _item,
+        ),
     )
     first_error = F.try_element_at(
         F.filter(F.transform("items", lambda i: i["error"]), lambda e: e.isNotNull()), F.lit(1)
@@ -143,9 +162,10 @@ def read_responses(responses: DataFrame) -> DataFrame:
 
 def claims(read: DataFrame) -> DataFrame:
     """Claims of the responses that passed."""
-    rows = read.filter(F.col("reason").isNull())
-    keep = [c for c in rows.columns if c not in ("items", "reason", "branch_a", "branch_b")]
-    items = rows.select(*keep, F.inline_outer("items")).filter(F.col("item_idx").isNotNull())
+    keep = [c for c in read.columns if c not in ("items", "reason", "branch_a", "branch_b")]
+    # A filter on the reason would be pushed below and check every item twice.
+    passed = F.when(F.col("reason").isNull(), F.col("items"))
+    items = read.select(*keep, F.inline_outer(passed)).filter(F.col("item_idx").isNotNull())
     located = F.col("snippet").isNotNull() & (F.col("source_file") != fixed.NOT_KNOWN)
     return items.drop("error").withColumns(
         {

@@ -70,14 +70,23 @@ def file_chunks(raw: Column) -> Column:
     return F.when(is_blank(raw), none).when(F.size(headed) > 0, headed).otherwise(marked)
 
 
+# Length of a slice that takes the rest of an array. Well below the integer limit,
+# because start and length are added.
+REST = 2**30
+
+
+def _lines_of(piece: Column) -> Column:
+    lines = F.split(piece, "\n")
+    return F.struct(piece.alias("raw"), lines[0].alias("header"), F.slice(lines, 2, REST).alias("body"))
+
+
 def _hunk(piece: Column, index: Column) -> Column:
-    header = _first_line(piece)
+    header, body = piece["header"], piece["body"]
 
     def number(group: int) -> Column:
         found = F.regexp_extract(header, HUNK_HEADER, group)
         return F.coalesce(F.nullif(found, F.lit("")), F.lit("1")).cast("int")
 
-    body = F.slice(F.split(piece, "\n"), F.lit(2), F.size(F.split(piece, "\n")))
     return F.struct(
         index.cast("int").alias("hunk_idx"),
         number(1).alias("base_start"),
@@ -85,7 +94,7 @@ def _hunk(piece: Column, index: Column) -> Column:
         number(3).alias("head_start"),
         number(4).alias("head_count"),
         trim(F.regexp_extract(header, HUNK_HEADER, 5)).alias("context_label"),
-        piece.alias("raw_hunk"),
+        piece["raw"].alias("raw_hunk"),
         F.filter(body, lambda line: F.startswith(line, F.lit("+"))).alias("added"),
         F.filter(body, lambda line: F.startswith(line, F.lit("-"))).alias("removed"),
     )
@@ -98,7 +107,8 @@ def _hunks(chunk: Column) -> Column:
         pieces,
         lambda p, i: F.when(i < F.size(pieces) - 1, F.regexp_replace(p, r"\n\z", "")).otherwise(p),
     )
-    return F.transform(F.filter(owned, lambda p: F.rlike(p, F.lit(HUNK_HEADER))), _hunk)
+    headed = F.filter(owned, lambda p: F.rlike(p, F.lit(HUNK_HEADER)))
+    return F.transform(F.transform(headed, _lines_of), _hunk)
 
 
 def parse_chunk(chunks: DataFrame, chunk: str = "chunk") -> DataFrame:
@@ -125,7 +135,7 @@ def parse_chunk(chunks: DataFrame, chunk: str = "chunk") -> DataFrame:
         .withColumn(
             "meta_lines",
             # Reading stops at the first binary line; line 0 is the header.
-            F.slice(F.split(F.regexp_replace(before_hunks, f"(?s){BINARY}.*", ""), "\n"), F.lit(2), F.lit(2**31 - 1)),
+            F.slice(F.split(F.regexp_replace(before_hunks, f"(?s){BINARY}.*", ""), "\n"), 2, REST),
         )
         .withColumns(
             {

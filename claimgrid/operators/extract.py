@@ -113,13 +113,10 @@ def rule_matches(units: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     keep = [*UNIT_KEY, "unit_id", "category_hint", "source_file", "noun"]
     rows = segments(units.withColumn("noun", noun), *keep)
     rows = rows.filter(F.rlike("segment", F.lit(trigger_regex(rules))))
+    application = units.sparkSession.sparkContext.applicationId
     found = rows.withColumn("lowered", F.lower("segment")).select(
         *UNIT_KEY, "unit_id", "source_file", "seg_idx",
-        F.inline_outer(
-            matches(
-                F.col("segment"), F.col("lowered"), F.col("category_hint"), F.col("noun"), rules
-            )
-        ),
+        F.inline_outer(matches(tuple(rules), application)),
     )
     return found.filter(F.col("rule_idx").isNotNull())
 

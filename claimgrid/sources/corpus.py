@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimgrid.session import spread
+
 ROLE = (
     "CASE CAST(floor(({n}) / 18) AS BIGINT) % 3 "
     "WHEN 0 THEN 'owner' WHEN 1 THEN 'admin' ELSE 'member' END"
@@ -106,6 +108,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def orders(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Orders cut to the columns a projection reads, spread over the cores."""
+    return spread(table(spark, sf_dir, "orders").select(*columns), "o_orderkey")
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("session_id"), F.expr(REQUIREMENT).alias("requirement_text")
@@ -113,8 +120,8 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").withColumn("r1", F.expr(role("o_orderkey")))
-    return orders.select(
+    rows = orders(spark, sf_dir, "o_orderkey", "o_custkey", "o_orderstatus")
+    return rows.withColumn("r1", F.expr(role("o_orderkey"))).select(
         F.col("o_custkey").alias("session_id"),
         F.col("o_orderkey").alias("change_seq"),
         F.expr(CHANGE_ID).alias("change_id"),
@@ -129,7 +136,7 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"'n2', {s['n2']}, 'm1', {s['m1']}, 'm2', {s['m2']})"
         for i, s in enumerate(SNIPPETS)
     )
-    picked = table(spark, sf_dir, "orders").select(
+    picked = orders(spark, sf_dir, "o_orderkey", "o_custkey").select(
         F.col("o_custkey").alias("session_id"),
         F.col("o_orderkey").alias("change_seq"),
         F.expr(CHANGE_ID).alias("change_id"),
@@ -183,7 +190,7 @@ DIFF_NUMBERS = {"n1": "o_orderkey * 7 + 3", "n2": "o_orderkey * 5 + 4"}
 
 
 def raw_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = table(spark, sf_dir, "orders").select(
+    numbered = orders(spark, sf_dir, "o_orderkey", "o_custkey").select(
         F.col("o_custkey").alias("session_id"),
         F.col("o_orderkey").alias("diff_id"),
         F.expr(DIFF_BRANCH).alias("branch_name"),
@@ -250,7 +257,7 @@ STATUS = (
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events"), "event_id").select(
         F.col("user_id").alias("session_id"),
         F.col("event_id").alias("response_id"),
         F.expr(AGENT).alias("agent"),

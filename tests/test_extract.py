@@ -129,7 +129,7 @@ def test_diagnostics_name_the_reason(spark):
 
 def test_rule_set_can_be_extended(spark):
     own = Rule(
-        "own:limit", "SCHEMA", r"limit\s+(\d+)", 1, "LOW", ["limit"],
+        "own:limit", "SCHEMA", r"limit\s+(\d+)", 1, "LOW", ("limit",),
         lambda hit: Reading(F.lit("limit"), F.concat(F.lit("limit = "), hit.group(1)), F.lit("limit"), F.lit(True)),
     )
     got = extract.claims(units(spark, "limit 20 applies"), rules=[*RULES, own])
