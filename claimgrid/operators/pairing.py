@@ -14,6 +14,7 @@ from claimgrid.functions.rulings import (
 )
 from claimgrid.functions.text import slug
 from claimgrid.operators.extract import CLAIM_ORDER
+from claimgrid.session import stage
 
 MERGE_KEY = ["session_id", "canonical_subject", "canonical_predicate"]
 GROUP_KEY = ["session_id", "canonical_subject", "canonical_key"]
@@ -106,7 +107,9 @@ def contradicting_pairs(merged: DataFrame, block: int = BLOCK) -> DataFrame:
     to each block, so every pair is formed exactly once and no task holds a
     whole hot group's pairs.
     """
-    claims = pairable(merged)
+    # Read three times below, so it is written once: without that each reader
+    # would extract the claims again with its own pruned columns.
+    claims = stage(pairable(merged), "pairable")
     sizes = (
         claims.groupBy(*GROUP_KEY)
         .agg(F.count("*").alias("group_size"))
