@@ -14,7 +14,6 @@ from claimgrid.functions.text import (
     pattern,
     snake,
     strip_edge,
-    strip_quotes,
     trim,
 )
 
@@ -88,12 +87,11 @@ def key_reason(plain: Column, canonical: Column) -> Column:
     return F.when(canonical != plain, F.try_element_at(_reasons(fixed.KEY_SYNONYMS), canonical))
 
 
-def canonical_value(raw: Column) -> Column:
-    bare = strip_quotes(trim(raw))
+def canonical_value(bare: Column) -> Column:
+    """Canonical form of a value already without its quotes."""
     lowered = F.lower(bare)
     return (
-        F.when(is_blank(raw), "")
-        .when(lowered.isin(fixed.TRUE_WORDS), "true")
+        F.when(lowered.isin(fixed.TRUE_WORDS), "true")
         .when(lowered.isin(fixed.FALSE_WORDS), "false")
         .when(F.rlike(bare, F.lit(pattern(fixed.HUMPED_IDENTIFIER))), snake(bare))
         .otherwise(lowered)

@@ -102,7 +102,8 @@ def input_errors(
             ]
         ),
     )
-    without = sessions.join(changes, "session_id", "left_anti").select(
+    changed = changes.select("session_id").distinct()
+    without = sessions.join(changed, "session_id", "left_anti").select(
         "session_id", F.lit("changes").alias("field"),
         F.lit("at least one change description is required").alias("message"),
     )

@@ -17,7 +17,7 @@ from claimgrid.functions.normal import (
     predicate_value,
     without_fillers,
 )
-from claimgrid.functions.text import trim
+from claimgrid.functions.text import strip_quotes, trim
 
 
 def _step(field: Column | str, raw: str, canonical: str, why: Column) -> Column:
@@ -44,11 +44,12 @@ def normalize(claims: DataFrame) -> DataFrame:
             "raw_value": predicate_value(F.col("predicate")),
         }
     )
-    looked_up = parsed.withColumns(
+    bare = parsed.withColumn("bare_value", strip_quotes(F.col("raw_value")))
+    looked_up = bare.withColumns(
         {
             "synonym": entity_synonym(F.col("working")),
             "canonical_key": canonical_key(F.col("plain_key")),
-            "value": canonical_value(F.col("raw_value")),
+            "value": canonical_value(F.col("bare_value")),
         }
     )
     named = looked_up.withColumn(

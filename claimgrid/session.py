@@ -45,11 +45,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a small table at least one partition per core before heavy row work.
 
-    A table of many files already has them and is left alone; only one that
-    arrives in fewer pieces than there are cores is dealt out by ``key``.
+    A table that scans in enough pieces is left alone; only one that arrives in
+    fewer pieces than there are cores is dealt out by ``key``.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 _LOCAL_STAGE: dict[str, str] = {}
