@@ -638,3 +638,98 @@ def stream_conflicts(spark, sf):
     return feed.current_conflicts(spark, root).select(
         "session_id", "conflict_id", "conflict_type", "l_value", "r_value", "severity"
     )
+
+
+# --- further operators -----------------------------------------------------------
+
+
+@query
+def norm_traces(spark, sf):
+    traced = normalize.with_trace(corpus_normalized(spark, sf))
+    return traced.select("session_id", "claim_id", F.posexplode("trace").alias("step", "t")).select(
+        "session_id", "claim_id", "step", "t.*"
+    )
+
+
+@query
+def change_contents(spark, sf):
+    inputs = verify.from_diffs(
+        corpus.sessions(spark, sf), corpus_branches(spark, sf), corpus.raw_diffs(spark, sf)
+    )
+    return inputs.changes
+
+
+@query
+def conflict_resolutions(spark, sf):
+    shown = reports.explain(corpus_conflicts(spark, sf))
+    proposed = F.when(F.col("severity") == "MEDIUM", F.concat(F.lit("Agree on "), "affected_entity"))
+    table = shown.withColumn("proposed_resolution", proposed)
+    return table.select("session_id", "conflict_id", reports.resolution().alias("resolution"))
+
+
+@query
+def candidate_stats(spark, sf):
+    candidates = corpus.table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("session_id"), F.expr(corpus.CANDIDATE_STATUS).alias("status")
+    )
+    return summary.candidate_stats(candidates)
+
+
+@query
+def dependency_errors(spark, sf):
+    rows = corpus.record(spark, sf, "lineitem", corpus.DEPENDENCY_RECORD)
+    return checks.record_errors(rows, ["line"], checks.dependency_checks)
+
+
+@query
+def summary_errors(spark, sf):
+    rows = corpus.record(spark, sf, "orders", corpus.SUMMARY_RECORD)
+    return checks.record_errors(rows, ["id"], checks.summary_checks)
+
+
+@query
+def conflict_errors(spark, sf):
+    """Conflict records with flawed columns: no entity, no evidence, unread time."""
+
+    def side(prefix: str):
+        return F.struct(
+            F.col(f"{prefix}_claim_id").alias("claim_id"), F.col(f"{prefix}_statement").alias("statement"),
+            F.col("canonical_subject").alias("subject"), F.col(f"{prefix}_predicate").alias("predicate"),
+            F.col(f"{prefix}_source_type").alias("source_type"),
+            F.col(f"{prefix}_evidence_text").alias("evidence_text"), F.lit("HIGH").alias("confidence"),
+        )
+
+    def reference(prefix: str):
+        return F.struct(
+            F.concat(f"{prefix}_claim_id", F.lit("__primary")).alias("ref_id"),
+            F.col(f"{prefix}_source_type").alias("source_type"),
+            F.lit(None).cast("struct<start:int,end:int>").alias("line_range"),
+            F.when(F.col("canonical_key") == "must_be", " ").otherwise(F.col(f"{prefix}_evidence_text")).alias("text"),
+        )
+
+    found = corpus_conflicts(spark, sf)
+    evidence_of = F.when(F.col("conflict_type") == "DEPENDENCY", F.array().cast(
+        "array<struct<ref_id:string,source_type:string,line_range:struct<start:int,end:int>,text:string>>"
+    )).otherwise(F.array(reference("l"), reference("r")))
+    table = found.select(
+        "session_id", "conflict_id", "conflict_type", "severity", "confidence",
+        F.lit("text").alias("explanation"),
+        F.when(F.col("severity") == "MEDIUM", "").otherwise(F.col("canonical_subject")).alias("affected_entity"),
+        evidence_of.alias("evidence"),
+        F.when(F.col("confidence") == "LOW", "yesterday").otherwise("2024-08-01T12:00:00Z").alias("confirmed_at"),
+        side("l").alias("left"), side("r").alias("right"),
+    )
+    return checks.conflict_errors(table, ["session_id", "conflict_id"])
+
+
+@query
+def unknown_claim_ids(spark, sf):
+    """Claim ids named by findings but not in a claim list that lost its rule-2 claims."""
+    rows = stage(corpus_claims(spark, sf), "claims")
+    found = pairing.detect_conflicts(normalize.normalize(rows))
+    table = reports.findings(reports.explain(found), reports.statement_ids(rows))
+    known = rows.filter("rule_idx <> 2").select(F.col("session_id").alias("result_id"), "claim_id")
+    missing = checks.unknown_claim_ids(
+        table.select(F.col("session_id").alias("result_id"), "affected_claim_ids"), known
+    )
+    return missing.distinct()

@@ -985,3 +985,93 @@ ORACLES |= {
         "SELECT session_id, conflict_id, conflict_type, l_value, r_value, severity FROM conflicts",
     ),
 }
+
+
+# --- further operators -----------------------------------------------------------
+
+_TRACE = """
+  SELECT session_id, claim_id, 0 AS kind, 'subject' AS field, subject AS raw_value, canonical_subject AS canonical_value, subject_why AS explanation
+  FROM norm WHERE subject_why IS NOT NULL
+  UNION ALL SELECT session_id, claim_id, 1, CASE WHEN contains(lower(key_why), 'value') THEN 'value' ELSE 'predicate' END,
+    predicate, canonical_predicate, key_why FROM norm WHERE key_why IS NOT NULL
+  UNION ALL SELECT session_id, claim_id, 2, 'value', predicate, canonical_predicate, value_why FROM norm WHERE value_why IS NOT NULL"""
+_CONFLICT_FLAWS = [
+    ("'affectedEntity'", "severity = 'MEDIUM'", "'affectedEntity must be a non-empty string'"),
+    ("'evidenceReferences'", "conflict_type = 'DEPENDENCY'", "'at least one evidence reference is required for a confirmed conflict'"),
+    ("'confirmedAt'", "confidence = 'LOW'", "'confirmedAt must be a valid ISO-8601 date string'"),
+    *(
+        (f"'evidenceReferences[{i}].text'", "canonical_key = 'must_be'", "'text must be a non-empty string'")
+        for i in (0, 1)
+    ),
+]
+
+ORACLES |= {
+    "norm_traces": upto(
+        "norm",
+        f"""SELECT session_id, claim_id, row_number() OVER (PARTITION BY session_id, claim_id ORDER BY kind) - 1 AS step,
+              field, raw_value, canonical_value, explanation FROM ({_TRACE})""",
+    ),
+    "change_contents": flow(
+        _DIFF_UNITS,
+        """SELECT session_id, change_seq, unit_id AS change_id, substr(unit_id, length('change-' || change_seq || '-') + 1) AS label,
+             text AS content FROM units WHERE part = 1 AND snippet_seq = 0
+           UNION ALL SELECT c_custkey, 0, 'change-empty', 'empty', 'No changes submitted for verification.' FROM customer
+           WHERE c_custkey NOT IN (SELECT session_id FROM heads)""",
+        diffs=DIFFS, chunks=CHUNKS, files=SHREDDED, latest=_LATEST, heads=_HEADS, forwarded=_FORWARDED,
+    ),
+    "conflict_resolutions": upto(
+        "conflicts",
+        f"""SELECT session_id, conflict_id, CASE WHEN severity = 'MEDIUM' THEN 'Agree on ' || canonical_subject
+              ELSE {by_type(fixed.HINTS)} END AS resolution FROM conflicts""",
+    ),
+    "candidate_stats": f"""SELECT o_custkey AS session_id, count(*) AS candidates, count(*) FILTER (status = 'CONFIRMED') AS confirmed,
+        count(*) FILTER (status = 'DISMISSED') AS dismissed
+      FROM (SELECT o_custkey, {corpus.CANDIDATE_STATUS} AS status FROM orders) GROUP BY 1""",
+    "dependency_errors": flaws(record_sql("lineitem", corpus.DEPENDENCY_RECORD), "line", [
+        ("'id'", "id = ''", "'id must be a UUID v4 string'"),
+        no_text("from.filePath", "from_file_path"),
+        no_text("to.branchName", "to_branch_name"),
+        not_in("kind", "kind", fixed.DEPENDENCY_KINDS),
+        ("'isCrossModule'", "is_cross_module IS NULL", "'isCrossModule is required'"),
+    ]),
+    "summary_errors": flaws(record_sql("orders", corpus.SUMMARY_RECORD), "id", [
+        ("'assumptionsFound'", "assumptions_found IS NULL", "'assumptionsFound must not be negative'"),
+        ("'conflictsResolved'", "conflicts_resolved < 0", "'conflictsResolved must not be negative'"),
+        ("'conflictsResolved'", "conflicts_resolved > conflicts_found", "'conflictsResolved cannot exceed conflictsFound'"),
+        ("'requirementCoverage'", "requirement_coverage > 100", "'requirementCoverage must be between 0 and 100'"),
+    ]),
+    "conflict_errors": upto("conflicts", flaws("conflicts", "session_id, conflict_id", _CONFLICT_FLAWS)),
+    "unknown_claim_ids": upto(
+        "conflicts",
+        """SELECT DISTINCT n.session_id AS result_id, n.claim_id FROM (
+             SELECT session_id, l_statement AS statement FROM conflicts UNION SELECT session_id, r_statement FROM conflicts) s
+           JOIN first_id n USING (session_id, statement) JOIN claims c ON c.session_id = n.session_id AND c.claim_id = n.claim_id
+           WHERE c.rule_idx = 2""",
+        first_id=FIRST_ID,
+    ),
+}
+
+# Column types of the Spark results where DuckDB would choose wider or narrower ones.
+_TYPES = {
+    "INTEGER": {
+        "segments": ["seg_idx"], "rule_matches": ["seg_idx"], "claims": ["seg_idx"],
+        "claim_ids": ["claim_idx"], "document_segments": ["max_seg_idx"], "top_conflicts": ["position"],
+        "diff_files": ["file_idx", "additions", "deletions", "n_hunks"],
+        "diff_hunks": ["file_idx", "hunk_idx"], "diff_lines": ["file_idx", "hunk_idx", "line_idx"],
+        "code_evidence": ["file_idx", "evidence_idx"], "patch_evidence": ["file_idx", "evidence_idx"],
+        "comparison_snippets": ["file_idx", "hunk_idx"], "files_forwarded": ["nth", "n_chars"],
+        "json_claims": ["item_idx"], "agent_lines": ["item_idx", "line_idx"], "dedup_lines": ["line_idx"],
+        "document_lines": ["max_line_idx"], "capped_texts": ["n_chars"], "norm_traces": ["step"],
+    },
+    "BIGINT": {
+        "document_segments": ["n_chars"], "finding_status": ["conflicts_resolved", "critical"],
+        "severity_counts": ["critical"], "diff_limits": ["diff_bytes"],
+        "head_comparisons": ["patch_bytes"], "document_lines": ["n_chars"],
+    },
+}
+for _name in ORACLES:
+    _casts = [
+        f"CAST({c} AS {kind}) AS {c}" for kind, columns in _TYPES.items() for c in columns.get(_name, [])
+    ]
+    if _casts:
+        ORACLES[_name] = f"SELECT * REPLACE ({', '.join(_casts)}) FROM ({ORACLES[_name]})"

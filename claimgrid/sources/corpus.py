@@ -334,3 +334,23 @@ RESULT_RECORD = {
 
 def record(spark: SparkSession, sf_dir: str, name: str, columns: dict[str, str]) -> DataFrame:
     return table(spark, sf_dir, name).select(*(F.expr(e).alias(c) for c, e in columns.items()))
+
+DEPENDENCY_RECORD = {
+    "id": f"CASE l_linenumber WHEN 1 THEN '' ELSE {_ID.format(n='l_orderkey')} END",
+    "line": "l_orderkey * 10 + l_linenumber",
+    "from_file_path": "CASE l_returnflag WHEN 'A' THEN '' ELSE 'src/a.ts' END",
+    "from_branch_name": "'main'",
+    "to_file_path": "'src/b.ts'",
+    "to_branch_name": "CASE l_linestatus WHEN 'O' THEN NULL ELSE 'feature' END",
+    "kind": "CASE l_linenumber WHEN 2 THEN 'GUESS' WHEN 3 THEN 'EVENT' ELSE 'IMPORT' END",
+    "is_cross_module": "CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_partkey % 2 = 0 END",
+}
+SUMMARY_RECORD = {
+    "id": "o_orderkey",
+    "assumptions_found": "CASE o_orderkey % 9 WHEN 0 THEN NULL ELSE 5 END",
+    "conflicts_found": "o_orderkey % 4",
+    "conflicts_resolved": "o_orderkey % 5 - 1",
+    "files_changed": "1",
+    "requirement_coverage": "CASE o_orderkey % 3 WHEN 0 THEN NULL ELSE o_orderkey % 130 END",
+}
+CANDIDATE_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'CONFIRMED' WHEN 'O' THEN 'DISMISSED' ELSE 'PENDING' END"
