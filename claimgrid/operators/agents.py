@@ -111,7 +111,7 @@ def _item(item: Column, index: Column) -> Column:
         branch.alias("branch_name"),
         concept.alias("concept"),
         F.coalesce(item["file"], F.lit(fixed.NOT_KNOWN)).alias("source_file"),
-        F.when((line >= 1) & (line == F.floor(line)), line.cast("long")).alias("line"),
+        F.when((line >= 1) & (line == F.floor(line)), line.try_cast("bigint")).alias("line"),
         first_lines(item["evidence"], fixed.MAX_SNIPPET_LINES).alias("snippet"),
         numeric.alias("numeric_confidence"),
         error.alias("error"),

@@ -19,7 +19,7 @@ HUNK_HEADER = pattern(fixed.HUNK_HEADER)
 BINARY = r"(?:\A|\n)" + pattern(fixed.BINARY_LINE)[1:-2] + r"(?=\n|\z)"
 
 HUNK_TYPE = (
-    "array<struct<hunk_idx:int,base_start:int,base_count:int,head_start:int,head_count:int,"
+    "array<struct<hunk_idx:int,base_start:bigint,base_count:bigint,head_start:bigint,head_count:bigint,"
     "context_label:string,raw_hunk:string,added:array<string>,removed:array<string>>>"
 )
 
@@ -85,7 +85,8 @@ def _hunk(piece: Column, index: Column) -> Column:
 
     def number(group: int) -> Column:
         found = F.regexp_extract(header, HUNK_HEADER, group)
-        return F.coalesce(F.nullif(found, F.lit("")), F.lit("1")).cast("int")
+        # A number too long to read becomes null rather than failing the job.
+        return F.when(found == "", F.lit(1).cast("bigint")).otherwise(found.try_cast("bigint"))
 
     return F.struct(
         index.cast("int").alias("hunk_idx"),

@@ -19,8 +19,8 @@ def _metadata(entries: dict[str, Column]) -> Column:
 
 def _evidence(start: Column, end: Column, snippet: Column, metadata: Column) -> Column:
     return F.struct(
-        start.cast("int").alias("line_start"),
-        end.cast("int").alias("line_end"),
+        start.cast("bigint").alias("line_start"),
+        end.cast("bigint").alias("line_end"),
         snippet.cast("string").alias("snippet"),
         metadata.alias("metadata"),
     )

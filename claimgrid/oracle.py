@@ -625,10 +625,10 @@ SHREDDED = """
 HUNKS = """
   SELECT *, raw_lines[1] AS header, [x FOR x IN raw_lines[2:] IF starts_with(x, '+')] AS added,
     [x FOR x IN raw_lines[2:] IF starts_with(x, '-')] AS removed,
-    CAST(regexp_extract(raw_lines[1], '^@@ -(\\d+)(,(\\d+))? \\+(\\d+)(,(\\d+))? @@(.*)', 1) AS INTEGER) AS base_start,
-    coalesce(TRY_CAST(regexp_extract(raw_lines[1], '^@@ -(\\d+)(,(\\d+))? \\+(\\d+)(,(\\d+))? @@(.*)', 3) AS INTEGER), 1) AS base_count,
-    CAST(regexp_extract(raw_lines[1], '^@@ -(\\d+)(,(\\d+))? \\+(\\d+)(,(\\d+))? @@(.*)', 4) AS INTEGER) AS head_start,
-    coalesce(TRY_CAST(regexp_extract(raw_lines[1], '^@@ -(\\d+)(,(\\d+))? \\+(\\d+)(,(\\d+))? @@(.*)', 6) AS INTEGER), 1) AS head_count,
+    CAST(regexp_extract(raw_lines[1], '^@@ -(\\d+)(,(\\d+))? \\+(\\d+)(,(\\d+))? @@(.*)', 1) AS BIGINT) AS base_start,
+    coalesce(TRY_CAST(regexp_extract(raw_lines[1], '^@@ -(\\d+)(,(\\d+))? \\+(\\d+)(,(\\d+))? @@(.*)', 3) AS BIGINT), 1) AS base_count,
+    CAST(regexp_extract(raw_lines[1], '^@@ -(\\d+)(,(\\d+))? \\+(\\d+)(,(\\d+))? @@(.*)', 4) AS BIGINT) AS head_start,
+    coalesce(TRY_CAST(regexp_extract(raw_lines[1], '^@@ -(\\d+)(,(\\d+))? \\+(\\d+)(,(\\d+))? @@(.*)', 6) AS BIGINT), 1) AS head_count,
     trim(regexp_extract(raw_lines[1], '^@@ -(\\d+)(,(\\d+))? \\+(\\d+)(,(\\d+))? @@(.*)', 7)) AS context_label
   FROM (SELECT *, pos - 2 AS hunk_idx, string_split('@@ -' || piece, chr(10)) AS raw_lines FROM (
     SELECT *, unnest(string_split(chunk, chr(10) || '@@ -')) AS piece,

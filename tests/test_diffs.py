@@ -71,6 +71,12 @@ def test_hunks(files):
     ]
 
 
+def test_unreadable_line_numbers_do_not_fail(spark):
+    raw = "diff --git a/x b/x\n@@ -1 +" + "9" * 30 + " @@\n+a\n"
+    files = diffs.diff_files(spark.createDataFrame([("d", raw)], "diff string, raw string"))
+    assert rows(evidence.from_diffs(files, "diff"), "line_start", "snippet") == [(None, "+a")]
+
+
 def test_lines(files):
     got = rows(diffs.diff_lines(files, "diff").filter("diff = 'two' and hunk_idx = 0 and path = 'src/x.ts'"), "change", "line_idx", "line")
     assert got == [("added", 0, "+new"), ("added", 1, "+more"), ("removed", 0, "-old")]
