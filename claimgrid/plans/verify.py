@@ -67,7 +67,9 @@ def from_changed_files(sessions: DataFrame, branches: DataFrame, changed: DataFr
     seq, branch_name, path, patch, ...)``. Branches with files become changes, in
     declared order and then by first file.
     """
-    kept = files.dedupe(changed)
+    # Branch order, contents and snippets all read these rows; written once, the
+    # diffs behind them are shredded once.
+    kept = stage(files.dedupe(changed), "changed")
     order = Window.partitionBy("session_id").orderBy(
         F.col("declared_seq").asc_nulls_last(), "first_seq"
     )
