@@ -36,6 +36,11 @@ JOB_CONF = {
 }
 
 
+def entry_tables(spark: SparkSession) -> str:
+    """Folder of the tables that the flagship query reads, a setting of the session."""
+    return spark.conf.get("claimgrid.entry.tables", "/root/testdata/sf0.001")
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     for key, value in JOB_CONF.items():
         spark.conf.set(key, value)
