@@ -295,5 +295,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
     """
     narrow = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), F.col(stratum).cast("string").alias("lang"))
     cutoffs = fit(with_measures(narrow).drop("text"), labels.select(F.col("doc_id"), F.col("quality")))
-    marked = judged(with_measures(docs, text, "_q_"), cutoffs, stratum, "_q_")
-    return marked.where("_q_kept").select(*docs.columns)
+    prefix = "_q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    marked = judged(with_measures(docs, text, prefix), cutoffs, stratum, prefix)
+    return marked.where(prefix + "kept").select(*docs.columns)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from claimgrid.session import stage
 
@@ -13,6 +12,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return stage(df, name)
 
 
-def narrowed(df: DataFrame, **columns: Column | str) -> DataFrame:
-    """Only the named columns; other columns of ``df`` can't clash with ours."""
-    return df.select(*(((F.col(c) if isinstance(c, str) else c).alias(name)) for name, c in columns.items()))
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
