@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, quality
+from . import decontam, neardup, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,10 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.report(table(spark, sf_dir, "documents"))
+    first = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    return found.select(*first, "n_owned", "n_live", "n_copied")
+
+
 def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept", "class_size")
 
 
+def op3_benchmark_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select(
@@ -29,7 +39,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secret_ownership": op1_secret_ownership,
     "op2_bag_minhash": op2_bag_minhash,
+    "op3_benchmark_simhash": op3_benchmark_simhash,
     "op4_quality_rules": op4_quality_rules,
 }
 ORACLES: dict[str, str] = {}

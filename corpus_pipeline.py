@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgrid.llm import quality
+from claimgrid.llm import decontam, neardup, quality, secrets
 from claimgrid.llm.shared import staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,8 +21,26 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, the one with the least id (operator 2)."""
+    return neardup.keep_one(docs)
+
+
+def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item (operator 3)."""
+    return decontam.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their live secrets masked and lengths brought up to date (operator 1)."""
+    return secrets.masked(docs, length="n_chars")
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", reject_poor),
+    ("near_duplicates", keep_one_copy),
+    ("benchmark_decontamination", drop_benchmarks),
+    ("secret_scan", mask_secrets),
 ]
 
 # The learnt cutoffs, the signatures and the merges can't be written in SQL.
