@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, quality, secrets
+from . import decontam, neardup, packed, quality, secrets, token_counts, transducer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,10 +38,25 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.packed(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"))
+
+
+def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_bag_minhash": op2_bag_minhash,
     "op3_benchmark_simhash": op3_benchmark_simhash,
     "op4_quality_rules": op4_quality_rules,
+    "op5_packed_ids": op5_packed_ids,
+    "op7_token_counts": op7_token_counts,
+    "op8_bpe_transducer": op8_bpe_transducer,
 }
 ORACLES: dict[str, str] = {}

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgrid.llm import decontam, neardup, quality, secrets
+from claimgrid.llm import decontam, neardup, quality, secrets, transducer
 from claimgrid.llm.shared import staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -36,11 +36,17 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secrets.masked(docs, length="n_chars")
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether decoding them gives its text back (operator 8)."""
+    return transducer.round_trip(docs, ids=True)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", reject_poor),
     ("near_duplicates", keep_one_copy),
     ("benchmark_decontamination", drop_benchmarks),
     ("secret_scan", mask_secrets),
+    ("bpe_encoding", encode),
 ]
 
 # The learnt cutoffs, the signatures and the merges can't be written in SQL.
