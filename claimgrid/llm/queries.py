@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, packed, quality, secrets, token_counts, transducer
+from . import decontam, neardup, packed, quality, secrets, token_counts, transducer, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,10 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_bag_minhash": op2_bag_minhash,
@@ -58,5 +62,6 @@ QUERIES: dict[str, Query] = {
     "op5_packed_ids": op5_packed_ids,
     "op7_token_counts": op7_token_counts,
     "op8_bpe_transducer": op8_bpe_transducer,
+    "op9_warc_zip": op9_warc_zip,
 }
 ORACLES: dict[str, str] = {}
