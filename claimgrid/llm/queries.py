@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, neardup, packed, quality, secrets, token_counts, transducer, warc
+from . import decontam, html_text, neardup, packed, quality, secrets, token_counts, transducer, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,10 @@ def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.packed(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op3_benchmark_simhash": op3_benchmark_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_packed_ids": op5_packed_ids,
+    "op6_html_extraction": op6_html_extraction,
     "op7_token_counts": op7_token_counts,
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_warc_zip": op9_warc_zip,
