@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, neardup, packed, quality, secrets, token_counts, transducer, warc
+from . import decontam, html_text, langid, neardup, packed, quality, secrets, token_counts, transducer, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,10 @@ def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_bag_minhash": op2_bag_minhash,
@@ -68,5 +72,6 @@ QUERIES: dict[str, Query] = {
     "op7_token_counts": op7_token_counts,
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_warc_zip": op9_warc_zip,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
