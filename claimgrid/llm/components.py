@@ -24,8 +24,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "links"
         .distinct(),
         name,
     )
-    before = None
-    while True:
+    while not _stars(edges):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")).withColumn("m", F.least("x", "m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -36,10 +35,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "links"
             .union(low.select("x", "m")).distinct()
         )
         edges = staged(small, f"{name}-small")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every upper node has one edge and no node is both an upper and a lower one."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("low")).union(
+        edges.select("v", F.lit(0), F.lit(1))
+    )
+    nodes = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("low").alias("low"))
+    return not nodes.where("up > 1 or (up > 0 and low > 0)").limit(1).count()

@@ -19,11 +19,12 @@ some band with probability 1 - 3e-6, and more alike pairs miss far less often.
 *Verification without all pairs.* Texts with equal multisets become one node.
 In every bucket all nodes are verified against its most central one (the one
 whose buckets are largest, which in a group of copies is close to the original).
-What is left to prove is that nodes of different components in one bucket are
-not linked. A node's shingles that no other open node has can't be shared, which
-bounds its similarity to anything; only pairs within that bound are verified, and
-they are few, since a far copy is full of shingles of its own. No pair above the
-threshold that meets in a bucket is left out.
+What is left to prove is that nodes of different components that meet in a bucket
+are not linked. These open nodes order their elements by rarity. If two of them
+reach the threshold, then the first element they share stands so early in both
+orders that enough can follow it (the prefix and positional filters of exact
+set joins). A far copy begins with elements of its own, so hardly a pair passes,
+and those that do are verified. No link among open nodes is left out.
 
 Null and word-free texts are copies only of rows with the same id. A text of one
 to four words is one shingle. Rows with equal id and text are copies. All ids may
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -216,29 +217,31 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold:
 
     placed = led.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = staged(placed.join(mixed, "key").select("key", "rep", "n", "root", "leader"), "neardup-open")
-    open_sets = sets.join(open_.select("rep").distinct(), "rep")
-    own = (
-        open_sets.select("rep", F.explode("elements").alias("element"))
-        .groupBy("element").agg(F.count(F.lit(1)).alias("owners"), F.min("rep").alias("rep"))
-        .where("owners = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    open_ = placed.join(mixed, "key").select("rep", "n", "root").distinct()
+    elements_of = staged(
+        sets.join(open_, "rep").select("rep", "n", "root", F.explode("elements").alias("element")), "neardup-open"
     )
-    bounded = staged(
-        open_.join(own, "rep", "left").withColumn("s", F.col("n") - F.coalesce("own", F.lit(0)))
-        .where(F.col("s") >= threshold * F.col("n")).drop("own"),
-        "neardup-bounded",
+    held = elements_of.groupBy("element").agg(
+        F.count(F.lit(1)).alias("holders"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    # A node's own elements in order of rarity; a window never holds more than one text.
+    rarest = Window.partitionBy("rep").orderBy("holders", "element")
+    prefix = staged(
+        elements_of.join(held, "element").withColumn("place", F.row_number().over(rarest))
+        .where((F.col("low") < F.col("high")) & (F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1))
+        .select("element", "rep", "n", "root", "place"),
+        "neardup-prefixes",
     )
     left, right = (
-        bounded.select(F.col("key").alias(f"key_{x}"), F.col("rep").alias(x), F.col("n").alias(f"n_{x}"),
-                       F.col("s").alias(f"s_{x}"), F.col("root").alias(f"root_{x}"), F.col("leader").alias(f"led_{x}"))
+        prefix.select(F.col("element").alias(f"element_{x}"), F.col("rep").alias(x), F.col("n").alias(f"n_{x}"),
+                      F.col("root").alias(f"root_{x}"), F.col("place").alias(f"place_{x}"))
         for x in ("a", "b")
     )
-    most = F.least("s_a", "s_b", "n_a", "n_b")
+    most = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     rest = (
         left.join(
             right,
-            (F.col("key_a") == F.col("key_b")) & (F.col("root_a") < F.col("root_b"))
-            & (F.col("a") != F.col("led_a")) & (F.col("b") != F.col("led_b"))
+            (F.col("element_a") == F.col("element_b")) & (F.col("root_a") < F.col("root_b"))
             & (most * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9),
         )
         .select("a", "b", "n_a", "n_b").distinct()
