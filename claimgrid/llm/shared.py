@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from claimgrid.session import stage
+from claimgrid.session import written
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Written once under the shared folder and read back; see ``claimgrid.session``."""
-    return stage(df, name)
+    return written(df, name)
 
 
 def fresh(df: DataFrame, name: str) -> str:
