@@ -62,8 +62,13 @@ def corpus_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.normalize(corpus_claims(spark, sf))
 
 
+def found_conflicts(normalized: DataFrame) -> DataFrame:
+    """Conflicts, from pairable claims staged once, as pairing reads them three times."""
+    return pairing.conflicts_from_pairable(stage(pairing.pairable(pairing.merge_claims(normalized)), "pairable"))
+
+
 def corpus_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    return pairing.detect_conflicts(corpus_normalized(spark, sf))
+    return found_conflicts(corpus_normalized(spark, sf))
 
 
 @query
@@ -148,7 +153,7 @@ def merged_evidence(spark, sf):
 @query
 def conflict_pairs(spark, sf):
     merged = pairing.merge_claims(corpus_normalized(spark, sf))
-    return pairing.contradicting_pairs(merged).select(
+    return pairing.contradicting_pairs(stage(pairing.pairable(merged), "pairable")).select(
         *pairing.GROUP_KEY, "conflict_type", "l_claim_id", "r_claim_id", "l_value", "r_value"
     )
 
@@ -170,14 +175,14 @@ def conflict_reports(spark, sf):
 @query
 def report_files(spark, sf):
     normalized = stage(corpus_normalized(spark, sf), "normalized")
-    found = pairing.detect_conflicts(normalized)
+    found = stage(found_conflicts(normalized), "found")
     return reports.report_files(found, pairing.evidence_files(normalized))
 
 
 @query
 def report_evidence(spark, sf):
     normalized = stage(corpus_normalized(spark, sf), "normalized")
-    found = pairing.detect_conflicts(normalized)
+    found = stage(found_conflicts(normalized), "found")
     rows = reports.report_evidence(found, pairing.merged_evidence(normalized))
     return rows.select("session_id", "conflict_id", "ref_id", "side", "file_path", "text")
 
@@ -199,7 +204,7 @@ def domain_claims(spark, sf):
 @query
 def findings(spark, sf):
     rows = stage(corpus_claims(spark, sf), "claims")
-    found = pairing.detect_conflicts(normalize.normalize(rows))
+    found = found_conflicts(normalize.normalize(rows))
     table = reports.findings(reports.explain(found), reports.statement_ids(rows))
     return table.select(
         "session_id", "conflict_id", "title", "description", "severity", "category",
@@ -210,7 +215,7 @@ def findings(spark, sf):
 @query
 def finding_status(spark, sf):
     rows = stage(corpus_claims(spark, sf), "claims")
-    found = pairing.detect_conflicts(normalize.normalize(rows))
+    found = found_conflicts(normalize.normalize(rows))
     table = reports.findings(reports.explain(found), reports.statement_ids(rows))
     return summary.finding_status(corpus.sessions(spark, sf), table)
 
@@ -230,8 +235,19 @@ def display_conflicts(spark, sf):
 
 @query
 def top_conflicts(spark, sf):
-    ranked = reports.top_conflicts(corpus_conflicts(spark, sf))
-    return ranked.select("session_id", "position", "conflict_id", "severity")
+    ordered = reports.with_order(corpus_conflicts(spark, sf))
+    return ordered.select("session_id", "severity_order", "id_order", "conflict_id", "severity")
+
+
+@query
+def conflict_groups(spark, sf):
+    return summary.conflict_groups(pairing.merge_claims(corpus_normalized(spark, sf)))
+
+
+@query
+def high_conflicts(spark, sf):
+    found = corpus_conflicts(spark, sf).filter("severity = 'HIGH'")
+    return found.select("session_id", "conflict_id", "conflict_type", "severity_rule")
 
 
 @query
@@ -279,8 +295,8 @@ def corpus_passports(spark: SparkSession, sf: str) -> DataFrame:
     rows = stage(corpus_claims(spark, sf), "claims")
     normalized = normalize.normalize(rows)
     merged = pairing.merge_claims(normalized)
-    shown = reports.top_conflicts(pairing.conflicts_from_merged(merged))
-    files = reports.report_files(shown, pairing.evidence_files(normalized))
+    found = stage(found_conflicts(normalized), "found")
+    files = reports.report_files(found, pairing.evidence_files(normalized))
     paths = corpus_paths(spark, sf)
     sessions = corpus.sessions(spark, sf)
     results = summary.session_results(
@@ -298,6 +314,27 @@ def passports(spark, sf):
     )
 
 
+@query
+def passport_components(spark, sf):
+    """Names of the components that each passport counts, one row each."""
+    normalized = stage(corpus_normalized(spark, sf), "normalized")
+    found = stage(found_conflicts(normalized), "found")
+    files = reports.report_files(found, pairing.evidence_files(normalized))
+    return summary.components(files, corpus_paths(spark, sf))
+
+
+@query
+def verification_summaries(spark, sf):
+    rows = stage(corpus_claims(spark, sf), "claims")
+    merged = pairing.merge_claims(normalize.normalize(rows))
+    sessions = corpus.sessions(spark, sf)
+    changed = corpus_paths(spark, sf).groupBy("session_id").agg(F.count("*").alias("files_changed"))
+    covered = summary.coverage(sessions, summary.covered_criteria(corpus_criteria(spark, sf), rows))
+    return summary.verification_summary(
+        sessions, summary.claim_counts(rows), summary.conflict_counts(merged), changed, covered
+    )
+
+
 @query
 def passport_texts(spark, sf):
     return summary.passport_text(corpus_passports(spark, sf))
@@ -305,8 +342,8 @@ def passport_texts(spark, sf):
 
 def _shown_with_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     normalized = stage(corpus_normalized(spark, sf), "normalized")
-    top = stage(reports.top_conflicts(pairing.detect_conflicts(normalized)), "shown")
-    return reports.explain(top), reports.report_files(top, pairing.evidence_files(normalized))
+    found = stage(found_conflicts(normalized), "found")
+    return reports.explain(found), reports.report_files(found, pairing.evidence_files(normalized))
 
 
 @query
@@ -408,7 +445,8 @@ def files_deduped(spark, sf):
 def files_forwarded(spark, sf):
     rows = files_ops.forwarded(files_ops.dedupe(corpus.changed_files(spark, sf)))
     return rows.select(
-        "session_id", "branch_name", "path", "nth",
+        "session_id", "branch_name", "path",
+        F.col("seq.l_orderkey").alias("first_order"), F.col("seq.l_linenumber").alias("first_line"),
         F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"),
     )
 
@@ -416,12 +454,12 @@ def files_forwarded(spark, sf):
 @query
 def ingestion_warnings(spark, sf):
     files = files_ops.dedupe(corpus.changed_files(spark, sf))
-    return files_ops.patch_warnings(files).unionByName(files_ops.truncation_warnings(files))
+    return files_ops.patch_warnings(files)
 
 
 @query
 def diff_limits(spark, sf):
-    return files_ops.limits(corpus.changed_files(spark, sf))
+    return files_ops.sizes(corpus.changed_files(spark, sf))
 
 
 @query
@@ -443,6 +481,16 @@ def head_comparisons(spark, sf):
     return files_ops.by_head(heads, corpus.changed_files(spark, sf))
 
 
+@query
+def head_files(spark, sf):
+    heads = corpus.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("session_id"),
+        F.explode(F.array(*map(F.lit, ["feature/a", "feature/n", "feature/r", "feature/idle"]))).alias("branch_name"),
+    )
+    files = files_ops.head_files(heads, files_ops.dedupe(corpus.changed_files(spark, sf)))
+    return files.select("session_id", "branch_name", "path", F.md5("patch").alias("patch_md5"))
+
+
 @query
 def ordered_branches(spark, sf):
     declared = corpus.table(spark, sf, "supplier").select(
@@ -495,8 +543,8 @@ def document_lines(spark, sf):
 @query
 def capped_texts(spark, sf):
     docs = corpus.table(spark, sf, "documents").select("doc_id", "text")
-    capped = docs.select("doc_id", agents.cap_text(F.col("text")).alias("capped"))
-    return capped.select("doc_id", F.length("capped").alias("n_chars"), F.md5("capped").alias("capped_md5"))
+    parts = agents.text_parts(docs, "doc_id")
+    return parts.select("doc_id", "part", F.length("content").alias("n_chars"), F.md5("content").alias("part_md5"))
 
 
 # --- references and lifecycle ----------------------------------------------------
@@ -607,7 +655,7 @@ def corpus_branches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def repository_verdicts(spark, sf):
-    """Raw diffs to verdicts: shred, dedupe, cap, extract, pair and report."""
+    """Raw diffs to verdicts: shred, dedupe, extract, group and report."""
     inputs = verify.from_diffs(
         corpus.sessions(spark, sf), corpus_branches(spark, sf), corpus.raw_diffs(spark, sf)
     )
@@ -675,6 +723,18 @@ def candidate_stats(spark, sf):
     return summary.candidate_stats(candidates)
 
 
+@query
+def result_stats(spark, sf):
+    candidates = corpus.table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("session_id"), F.expr(corpus.CANDIDATE_STATUS).alias("status")
+    )
+    rows = stage(corpus_claims(spark, sf), "claims")
+    counts = summary.conflict_counts(pairing.merge_claims(normalize.normalize(rows)))
+    return summary.result_stats(
+        corpus.sessions(spark, sf), summary.claim_counts(rows), summary.candidate_stats(candidates), counts
+    )
+
+
 @query
 def dependency_errors(spark, sf):
     rows = corpus.record(spark, sf, "lineitem", corpus.DEPENDENCY_RECORD)
@@ -726,7 +786,7 @@ def conflict_errors(spark, sf):
 def unknown_claim_ids(spark, sf):
     """Claim ids named by findings but not in a claim list that lost its rule-2 claims."""
     rows = stage(corpus_claims(spark, sf), "claims")
-    found = pairing.detect_conflicts(normalize.normalize(rows))
+    found = found_conflicts(normalize.normalize(rows))
     table = reports.findings(reports.explain(found), reports.statement_ids(rows))
     known = rows.filter("rule_idx <> 2").select(F.col("session_id").alias("result_id"), "claim_id")
     missing = checks.unknown_claim_ids(

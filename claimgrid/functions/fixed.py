@@ -32,21 +32,10 @@ DEPENDENCY_KINDS = [
     "DATA_REFERENCE", "OTHER",
 ]
 
-# --- limits ----------------------------------------------------------------
+# --- sizes ----------------------------------------------------------------
 
 MIN_SEGMENT_LENGTH = 5
-MAX_FILES_PER_CHANGE = 50
-MAX_FILE_CHARS = 20_000
-MAX_SNIPPET_LINES = 5
-MAX_SESSION_FILES = 200
-MAX_SESSION_BYTES = 1_000_000
-MAX_CLAIMS_PER_RESPONSE = 50
-MAX_AGENT_INPUT_CHARS = 12_000
-MAX_CONCEPT_CHARS = 60
-MAX_DISPLAYED_CONFLICTS = 100
-MAX_NOTE_CHARS = 500
-MAX_WARNING_CHARS = 300
-CRITERION_PREFIX = 20
+AGENT_PART_CHARS = 12_000
 
 # --- extraction ------------------------------------------------------------
 

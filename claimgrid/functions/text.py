@@ -85,21 +85,6 @@ def longer_than(text: Column, limit: int) -> Column:
     )
 
 
-def cut(text: Column, limit: int) -> Column:
-    """First ``limit`` UTF-16 units; a pair that straddles the end is left out."""
-    chars = F.substring(text, 1, limit)
-    astral = utf16_length(chars) != F.length(chars)
-    units = F.encode(chars, "UTF-16BE")
-    last_high = F.hex(F.substring(units, 2 * limit - 1, 1)).between("D8", "DB")
-    keep = F.when(last_high, F.lit(2 * limit - 2)).otherwise(F.lit(2 * limit))
-    exact = F.decode(F.substring(units, F.lit(1), keep), "UTF-16BE")
-    return (
-        F.when(F.length(text) * 2 <= limit, text)
-        .when(astral, exact)
-        .otherwise(chars)
-    )
-
-
 def squash(text: Column, keep: str, joiner: str) -> Column:
     """Replace each run of characters outside ``keep`` by ``joiner``."""
     return F.regexp_replace(text, f"[^{keep}]+", joiner)
@@ -125,6 +110,3 @@ def snake(text: Column) -> Column:
 def strip_quotes(text: Column) -> Column:
     return trim(F.regexp_replace(text, r"""^['"`]|['"`]\z""", ""))
 
-
-def first_lines(text: Column, n: int) -> Column:
-    return F.substring_index(text, "\n", n)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgrid.functions import fixed
-from claimgrid.functions.text import BLANK, cut, first_lines, longer_than, nonblank, trim
+from claimgrid.functions.text import BLANK, nonblank, trim
 
 FENCED = rf"(?s)^```(?:json)?{BLANK}*(.*?){BLANK}*```\z"
 NUMBER = "^(?:BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"
@@ -18,15 +18,16 @@ def strip_fences(text: Column) -> Column:
     return F.when(F.rlike(trimmed, F.lit(FENCED)), inner).otherwise(trimmed)
 
 
-def cap_text(text: Column, limit: int = fixed.MAX_AGENT_INPUT_CHARS) -> Column:
-    """Text given to an analyser, cut with a marker line when too long."""
-    marked = F.concat(cut(text, limit), F.lit("\n[truncated for analysis]"))
-    return F.when(longer_than(text, limit), marked).otherwise(text)
+def text_parts(texts: DataFrame, *keep: str, text: str = "text", size: int = fixed.AGENT_PART_CHARS) -> DataFrame:
+    """Texts for an analyser in parts of at most ``size`` characters; nothing is left out."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(size))
+    rows = texts.select(*keep, text, F.posexplode(starts).alias("part", "start"))
+    return rows.select(*keep, "part", F.substring(F.col(text), F.col("start"), F.lit(size)).alias("content"))
 
 
 def derive_concept(statement: Column) -> Column:
     dashed = F.btrim(F.regexp_replace(F.lower(statement), "[^a-z0-9]+", "-"), F.lit("-"))
-    return F.nullif(F.substring(dashed, 1, fixed.MAX_CONCEPT_CHARS), F.lit(""))
+    return F.nullif(dashed, F.lit(""))
 
 
 def confidence_label(numeric: Column) -> Column:
@@ -112,7 +113,7 @@ def _item(item: Column, index: Column) -> Column:
         concept.alias("concept"),
         F.coalesce(item["file"], F.lit(fixed.NOT_KNOWN)).alias("source_file"),
         F.when((line >= 1) & (line == F.floor(line)), line.try_cast("bigint")).alias("line"),
-        first_lines(item["evidence"], fixed.MAX_SNIPPET_LINES).alias("snippet"),
+        item["evidence"].alias("snippet"),
         numeric.alias("numeric_confidence"),
         error.alias("error"),
     )
@@ -122,8 +123,8 @@ def read_responses(responses: DataFrame) -> DataFrame:
     """Responses with their checked items, or the reason they are refused.
 
     ``responses(session_id, response_id, agent, branch_a, branch_b, raw_text)``.
-    One bad item refuses its whole response. A response has at most 50 items, so
-    they are checked inside its row and nothing is shuffled.
+    One bad item refuses its whole response. All items are checked inside the row
+    of their response, so nothing is shuffled.
     """
     keep = [c for c in responses.columns if c != "raw_text"]
     parsed = responses.select(*keep, parse_json(strip_fences(F.col("raw_text"))).alias("json"))
@@ -137,9 +138,7 @@ def read_responses(responses: DataFrame) -> DataFrame:
     checked = listed.withColumn(
         "items",
         F.transform(
-            F.transform(
-                F.transform(F.slice("list", 1, fixed.MAX_CLAIMS_PER_RESPONSE), _members), _concept
-            ),
+            F.transform(F.transform("list", _members), _concept),
             _item,
         ),
     )
@@ -184,21 +183,19 @@ def warnings(read: DataFrame) -> DataFrame:
     """One warning per refused response, which gives no claims at all."""
     return read.filter(F.col("reason").isNotNull()).select(
         "session_id", "response_id", "agent",
-        F.substring(
-            F.concat("agent", F.lit(": "), "reason"), 1, fixed.MAX_WARNING_CHARS
-        ).alias("message"),
+        F.concat("agent", F.lit(": "), "reason").alias("message"),
     )
 
 
 def claim_text(claims: DataFrame) -> DataFrame:
-    """Each claim as a line of analysis text, with two lines of its evidence."""
+    """Each claim as analysis text, with its evidence."""
     base = F.concat(
         F.lit("["), "agent", F.lit("] "), "statement", F.lit(" — value: "), "value",
         F.lit(" @ "), "source_file", F.lit(" ("), "branch_name", F.lit(")"),
     )
     snippet = nonblank(F.col("snippet"))
     text = F.when(
-        snippet.isNotNull(), F.concat(base, F.lit(" :: "), first_lines(snippet, 2))
+        snippet.isNotNull(), F.concat(base, F.lit(" :: "), snippet)
     ).otherwise(base)
     return claims.withColumn("text", text)
 
@@ -221,38 +218,22 @@ def unique_lines(texts: DataFrame, order: list[str], text: str = "text") -> Data
     return kept.select("session_id", "place.*", "line")
 
 
-MAX_ASSEMBLED_LINES = 5_000
+def as_change(lines: DataFrame, order: list[str], change_seq: int) -> tuple[DataFrame, DataFrame]:
+    """Change and snippet rows of a session's distinct lines, single-feed.
 
-
-def assemble(lines: DataFrame, order: list[str], limit: int = MAX_ASSEMBLED_LINES) -> DataFrame:
-    """The lines of a session as one snippet text.
-
-    Five roles with 50 claims each stay far below ``limit``. Sizes are counted
-    first, and a session above it fails the job instead of being gathered.
+    Every line is a snippet of its own and carries its place as order, so a
+    session's lines are never gathered into one text.
     """
-    sizes = lines.groupBy("session_id").agg(F.count("*").alias("n_lines"))
-    checked = lines.join(sizes, "session_id").filter(
-        F.when(
-            F.col("n_lines") > limit,
-            F.raise_error(F.lit("a session has more analyser lines than one text may hold")).cast("boolean"),
-        ).otherwise(True)
-    )
-    ordered = F.array_sort(F.collect_list(F.struct(*order, "line_idx", "line")))
-    joined = F.array_join(F.transform(ordered, lambda e: e["line"]), "\n")
-    return checked.groupBy("session_id").agg(joined.alias("content"))
-
-
-def as_change(assembled: DataFrame, change_seq: int) -> tuple[DataFrame, DataFrame]:
-    """Change and snippet rows that carry the assembled text, single-feed."""
-    change = assembled.select(
+    change = lines.select("session_id").distinct().select(
         "session_id", F.lit(change_seq).cast("long").alias("change_seq"),
         F.lit("change-agent-findings").alias("change_id"),
         F.lit("Agent findings").alias("label"), F.lit(fixed.NOT_KNOWN).alias("content"),
     )
-    snippet = assembled.select(
+    snippet = lines.select(
         "session_id", F.lit(change_seq).cast("long").alias("change_seq"),
-        F.lit("change-agent-findings").alias("change_id"), F.lit(0).alias("snippet_seq"),
+        F.lit("change-agent-findings").alias("change_id"),
+        F.struct(*(F.col(c).cast("long").alias(c) for c in (*order, "line_idx"))).alias("snippet_seq"),
         F.lit("agent-findings.txt").alias("file_path"), F.lit("CODE_DIFF").alias("source_type"),
-        "content",
+        F.col("line").alias("content"),
     )
     return change, snippet

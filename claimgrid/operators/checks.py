@@ -155,11 +155,10 @@ def input_errors(
 
 
 def assert_none(errors: DataFrame, subject: str) -> None:
-    """Fail with the number of errors and the first few of them."""
-    sample = errors.limit(5).collect()
-    if sample:
-        shown = "; ".join(f"{r['field']} — {r['message']}" for r in sample)
-        raise ValueError(f"Invalid {subject}: {shown}")
+    """Fail with the number of errors and the first of them in order of place and message."""
+    found = errors.agg(F.count(F.lit(1)).alias("n"), F.min(F.concat("field", F.lit(" — "), "message")).alias("first")).first()
+    if found["n"]:
+        raise ValueError(f"Invalid {subject}: {found['n']} errors, among them: {found['first']}")
 
 
 # --- engine records --------------------------------------------------------------

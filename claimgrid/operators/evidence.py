@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimgrid.functions import fixed
 from claimgrid.operators.diffs import file_chunks, parse_chunk
 
 
@@ -38,11 +37,9 @@ def hunk_range(hunk: Column) -> tuple[Column, Column]:
 
 
 def hunk_snippet(hunk: Column) -> Column:
-    """First changed lines, added before removed; null if there are none."""
+    """Changed lines, added before removed; null if there are none."""
     lines = F.concat(hunk["added"], hunk["removed"])
-    return F.when(
-        F.size(lines) > 0, F.array_join(F.slice(lines, 1, fixed.MAX_SNIPPET_LINES), "\n")
-    )
+    return F.when(F.size(lines) > 0, F.array_join(lines, "\n"))
 
 
 def _hunk_evidence(hunk: Column) -> Column:

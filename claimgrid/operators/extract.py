@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimgrid.functions import fixed
 from claimgrid.functions.rules import NOUN_REGEX, RULES, Rule, matches, trigger_regex
@@ -40,7 +41,7 @@ def _unit(df: DataFrame, part: int, seq: Column, snippet: Column, unit_id: Colum
         "session_id",
         F.lit(part).alias("part"),
         seq.cast("long").alias("change_seq"),
-        snippet.cast("int").alias("snippet_seq"),
+        snippet.alias("snippet_seq"),
         unit_id.alias("unit_id"),
         text.alias("text"),
         hint.alias("category_hint"),
@@ -59,16 +60,21 @@ def build_units(
     ``sessions(session_id, requirement_text)``,
     ``changes(session_id, change_seq, change_id, label, content)``,
     ``snippets(session_id, change_seq, change_id, snippet_seq, file_path, source_type, content)``
-    with ``snippet_seq`` from 0, ``context_docs(session_id, doc_seq, file_path, source_type, content)``.
+    ``context_docs(session_id, doc_seq, file_path, source_type, content)``.
+    ``snippet_seq`` counts from 0 within its change, or is a struct of the columns
+    that order the snippets of a change; then other units have none.
     """
     none = F.lit(None)
+    kind = snippets.schema["snippet_seq"].dataType if snippets is not None else T.IntegerType()
+    keyed = isinstance(kind, T.StructType)
+    zero = F.lit(None).cast(kind) if keyed else F.lit(0)
     units = [
         _unit(
-            sessions, 0, F.lit(0), F.lit(0), F.lit("requirement"), F.col("requirement_text"),
+            sessions, 0, F.lit(0), zero, F.lit("requirement"), F.col("requirement_text"),
             category_hint(F.lit("requirement"), F.lit("REQUIREMENT")), none,
         ),
         _unit(
-            changes, 1, F.col("change_seq"), F.lit(0), F.col("change_id"), F.col("content"),
+            changes, 1, F.col("change_seq"), zero, F.col("change_id"), F.col("content"),
             category_hint(F.col("label"), F.lit("CODE_DIFF")), none,
         ),
     ]
@@ -76,15 +82,20 @@ def build_units(
     if snippets is not None:
         units.append(
             _unit(
-                snippets, 1, F.col("change_seq"), F.col("snippet_seq") + 1,
-                F.concat("change_id", F.lit("__snippet_"), "snippet_seq"),
+                snippets, 1, F.col("change_seq"),
+                F.col("snippet_seq") if keyed else (F.col("snippet_seq") + 1).cast("int"),
+                F.concat(
+                    "change_id", F.lit("__snippet_"),
+                    F.concat_ws("_", *(F.col("snippet_seq")[f].cast("string") for f in kind.names)) if keyed
+                    else F.col("snippet_seq").cast("string"),
+                ),
                 F.col("content"), file_hint, F.col("file_path"),
             )
         )
     if context_docs is not None:
         units.append(
             _unit(
-                context_docs, 2, F.col("doc_seq"), F.lit(0),
+                context_docs, 2, F.col("doc_seq"), zero,
                 F.concat(F.lit("context_doc_"), "doc_seq"),
                 F.col("content"), file_hint, F.col("file_path"),
             )

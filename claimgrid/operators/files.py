@@ -1,12 +1,12 @@
-"""Changed-file tables: attribution, dedupe, caps, limits and warnings."""
+"""Changed-file tables: attribution, dedupe, sizes and warnings."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgrid.functions import fixed
-from claimgrid.functions.text import cut, is_blank
+from claimgrid.functions.text import is_blank
 
 
 def of_branch(files: DataFrame, branch: str | Column) -> DataFrame:
@@ -68,28 +68,9 @@ def with_text(files: DataFrame) -> DataFrame:
     return files.filter(~is_blank(F.col("patch")))
 
 
-def forwarded(files: DataFrame, limit: int = fixed.MAX_FILES_PER_CHANGE) -> DataFrame:
-    """First files of each change that have text, each cut to the character limit.
-
-    The rank filter is applied before the shuffle too, so a change of any size
-    sends at most ``limit`` rows per input partition.
-    """
-    order = Window.partitionBy("session_id", "branch_name").orderBy("seq")
-    ranked = with_text(files).withColumn("nth", F.row_number().over(order))
-    return ranked.filter(F.col("nth") <= limit).withColumn(
-        "content", cut(F.col("patch"), fixed.MAX_FILE_CHARS)
-    )
-
-
-def truncation_warnings(files: DataFrame, limit: int = fixed.MAX_FILES_PER_CHANGE) -> DataFrame:
-    sizes = with_text(files).groupBy("session_id", "branch_name").agg(F.count("*").alias("n"))
-    return sizes.filter(F.col("n") > limit).select(
-        "session_id",
-        F.lit("FILES_TRUNCATED").alias("code"),
-        F.concat(
-            "branch_name", F.lit(f": forwarded {limit} of "), F.col("n").cast("string"), F.lit(" files")
-        ).alias("message"),
-    )
+def forwarded(files: DataFrame) -> DataFrame:
+    """Files that have text, whole. Their ``seq`` is their order; nothing is ranked."""
+    return with_text(files).withColumn("content", F.col("patch"))
 
 
 def change_content(heads: DataFrame, forwarded: DataFrame, word: str = "for") -> DataFrame:
@@ -104,23 +85,17 @@ def change_content(heads: DataFrame, forwarded: DataFrame, word: str = "for") ->
     ).drop("fed")
 
 
-def limits(files: DataFrame) -> DataFrame:
-    """Per session: file count, patch bytes, and why it is rejected, if it is."""
-    sizes = files.groupBy("session_id").agg(
+def sizes(files: DataFrame) -> DataFrame:
+    """Per session: file count and patch bytes. No size is refused."""
+    return files.groupBy("session_id").agg(
         F.count("*").alias("n_files"),
         F.sum(F.octet_length(F.coalesce(F.col("patch"), F.lit("")))).alias("diff_bytes"),
     )
-    too_many = F.concat(
-        F.lit("too many files changed ("), F.col("n_files").cast("string"),
-        F.lit(f" > {fixed.MAX_SESSION_FILES}) — narrow the compared refs"),
-    )
-    too_large = f"diff too large (>{fixed.MAX_SESSION_BYTES} bytes) — narrow the compared refs"
-    return sizes.withColumn(
-        "error",
-        F.when(F.col("n_files") > fixed.MAX_SESSION_FILES, too_many).when(
-            F.col("diff_bytes") > fixed.MAX_SESSION_BYTES, too_large
-        ),
-    )
+
+
+def head_files(heads: DataFrame, files: DataFrame) -> DataFrame:
+    """The files of every compared head, one row each."""
+    return heads.select("session_id", "branch_name").join(files, ["session_id", "branch_name"])
 
 
 def changed_paths(files: DataFrame) -> DataFrame:

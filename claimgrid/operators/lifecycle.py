@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimgrid.functions import fixed
-from claimgrid.functions.text import longer_than, nonblank, trim
+from claimgrid.functions.text import nonblank, trim
 
 # What a running stage shows.
 STAGE_TEXTS = {
@@ -66,9 +66,5 @@ def attest(attestations: DataFrame, status: DataFrame) -> DataFrame:
     error = (
         F.when(F.col("status").isNull(), "Session not found")
         .when(F.col("status") != "COMPLETE", "Only COMPLETE sessions can be marked as merged")
-        .when(
-            longer_than(F.col("note"), fixed.MAX_NOTE_CHARS),
-            f"note must be a string of at most {fixed.MAX_NOTE_CHARS} characters",
-        )
     )
     return joined.withColumns({"error": error, "note": nonblank(trim(F.col("note")))}).drop("status")

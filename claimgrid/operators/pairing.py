@@ -14,7 +14,6 @@ from claimgrid.functions.rulings import (
 )
 from claimgrid.functions.text import slug
 from claimgrid.operators.extract import CLAIM_ORDER
-from claimgrid.session import stage
 
 MERGE_KEY = ["session_id", "canonical_subject", "canonical_predicate"]
 GROUP_KEY = ["session_id", "canonical_subject", "canonical_key"]
@@ -98,18 +97,16 @@ def _side(claims: DataFrame, prefix: str) -> DataFrame:
     )
 
 
-def contradicting_pairs(merged: DataFrame, block: int = BLOCK) -> DataFrame:
+def contradicting_pairs(claims: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs of one session, subject and key whose values differ, earlier claim left.
 
     After the merge a group holds one row per distinct value, and groups of one
     row are left out before the join. A group above ``block`` rows is spread:
     its left rows are dealt over blocks by hash and its right rows are copied
     to each block, so every pair is formed exactly once and no task holds a
-    whole hot group's pairs.
+    whole hot group's pairs. ``claims`` is pairable and read three times; a
+    caller whose claims are costly stages them.
     """
-    # Read three times below, so it is written once: without that each reader
-    # would extract the claims again with its own pruned columns.
-    claims = stage(pairable(merged), "pairable")
     sizes = (
         claims.groupBy(*GROUP_KEY)
         .agg(F.count("*").alias("group_size"))
@@ -168,5 +165,9 @@ def detect_conflicts(normalized: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def conflicts_from_merged(merged: DataFrame, block: int = BLOCK) -> DataFrame:
-    pairs = rule_on(contradicting_pairs(merged, block))
+    return conflicts_from_pairable(pairable(merged), block)
+
+
+def conflicts_from_pairable(claims: DataFrame, block: int = BLOCK) -> DataFrame:
+    pairs = rule_on(contradicting_pairs(claims, block))
     return first_per_id(pairs.withColumn("conflict_id", conflict_id()))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgrid.functions import fixed
 from claimgrid.functions.rulings import locale_key, pair_text, severity_rank, source_label
-from claimgrid.functions.text import first_lines
 from claimgrid.operators.pairing import MERGE_KEY
 
 
@@ -96,7 +95,7 @@ def domain_claims(
         "statement", F.col("subject").alias("concept"), F.col("predicate").alias("value"),
         F.lit("change").alias("source_agent"),
         F.when(has_file, "FILE_CHANGE").otherwise("INFERRED").alias("evidence_source"),
-        first_lines(F.col("evidence_text"), fixed.MAX_SNIPPET_LINES).alias("snippet"),
+        F.col("evidence_text").alias("snippet"),
         "confidence",
         _label_number("confidence", fixed.CLAIM_CONFIDENCE).cast("double").alias("numeric_confidence"),
         *[c for c in claims.columns if c in ("part", "change_seq", "snippet_seq", "seg_idx", "rule_idx")],
@@ -174,13 +173,9 @@ def resolution(proposal: str = "proposed_resolution", hint: str = "verification_
     return F.coalesce(F.col(proposal), F.col(hint))
 
 
-def top_conflicts(reports: DataFrame, limit: int = fixed.MAX_DISPLAYED_CONFLICTS) -> DataFrame:
-    """The first ``limit`` conflicts shown per session; counts are taken elsewhere.
+def with_order(reports: DataFrame) -> DataFrame:
+    """Every conflict with the key ``(severity_order, id_order)`` it is shown by.
 
-    The rank filter is applied inside each partition before the shuffle, so a
-    hot session brings at most ``limit`` rows per input partition.
+    The key stands in the row, so no session is ranked in one task.
     """
-    order = Window.partitionBy("session_id").orderBy(severity_rank(), locale_key())
-    return reports.withColumn("position", F.row_number().over(order)).filter(
-        F.col("position") <= limit
-    )
+    return reports.withColumns({"severity_order": severity_rank(), "id_order": locale_key()})

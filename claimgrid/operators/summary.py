@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from claimgrid.functions import fixed
 from claimgrid.functions.rulings import is_auth
-from claimgrid.operators.pairing import GROUP_KEY, pairable
+from claimgrid.operators.pairing import GROUP_KEY, conflicts_from_pairable, pairable
+
+
+# Characters of the keys through which criteria find statements.
+KEY_CHARS = 8
 
 
 def _pairs_of(n: Column) -> Column:
@@ -20,13 +24,38 @@ def conflict_counts(merged: DataFrame) -> DataFrame:
     In a group of n distinct values every two contradict, and a pair's severity
     depends on few facts about its sides: how many values are role words, are
     true or false, or have strong evidence. So counts per group are enough, and
-    a hot group costs one aggregate row instead of n squared pairs. Claim ids
-    must be unique within a session, which holds when unit ids differ in more
-    than punctuation; ``conflicts_from_merged`` handles ids that collide.
+    a hot group costs one aggregate row instead of n squared pairs.
+
+    Claims whose ids meet in a session (unit ids that differ in punctuation only)
+    give no conflict or share one. Only groups that hold such an id are paired,
+    by the same steps as ``conflicts_from_merged``, so both always agree.
     """
+    claims = pairable(merged)
+    ids = claims.groupBy("session_id", "claim_id").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = claims.join(ids, ["session_id", "claim_id"], "left_semi").select(*GROUP_KEY).distinct()
+    paired = conflicts_from_pairable(claims.join(met, GROUP_KEY, "left_semi"))
+    by_pair = paired.groupBy("session_id").agg(
+        F.count("*").alias("conflicts_found"),
+        *(F.count_if(F.col("severity") == s.upper()).alias(s) for s in ("high", "medium", "low")),
+    )
+    by_group = _group_counts(claims.join(met, GROUP_KEY, "left_anti"))
+    names = ("conflicts_found", "high", "medium", "low")
+    return by_group.unionByName(by_pair).groupBy("session_id").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def conflict_groups(merged: DataFrame) -> DataFrame:
+    """Groups of contradicting values, one row each: the conflicts without their pairs."""
+    return (
+        pairable(merged).groupBy(*GROUP_KEY, "conflict_type").agg(F.count("*").alias("n_values"))
+        .filter("n_values > 1").withColumn("n_pairs", _pairs_of(F.col("n_values")))
+    )
+
+
+def _group_counts(claims: DataFrame) -> DataFrame:
+    """Conflicts per session of groups whose claim ids are all different."""
     value = F.col("canonical_value")
     groups = (
-        pairable(merged)
+        claims
         .groupBy(*GROUP_KEY, "conflict_type")
         .agg(
             F.count("*").alias("n"),
@@ -124,6 +153,32 @@ def finding_status(sessions: DataFrame, findings: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(open_left, "FAIL").otherwise("PASS"))
 
 
+def verification_summary(
+    sessions: DataFrame, claim_counts: DataFrame, counts: DataFrame, files_changed: DataFrame, coverage: DataFrame
+) -> DataFrame:
+    """Everything a finished verification reports of a session, in one row."""
+    joined = severity_counts(sessions, counts)
+    for table in (claim_counts, files_changed):
+        joined = joined.join(table, "session_id", "left")
+    joined = joined.join(coverage.select("session_id", "requirement_coverage"), "session_id", "left")
+    zero = F.lit(0).cast("long")
+    return joined.select(
+        "session_id", F.coalesce("claims_found", zero).alias("claims_found"), "conflicts_found",
+        zero.alias("conflicts_resolved"), F.coalesce("files_changed", zero).alias("files_changed"), "requirement_coverage",
+        "critical", "high", "medium", "low",
+        F.when(F.col("conflicts_found") > 0, "FAIL").otherwise("PASS").alias("status"),
+    )
+
+
+def result_stats(sessions: DataFrame, claim_counts: DataFrame, candidates: DataFrame, counts: DataFrame) -> DataFrame:
+    """Claims, candidates, confirmed conflicts and dismissed candidates of every session."""
+    joined = sessions.select("session_id")
+    for table in (claim_counts, candidates, counts.select("session_id", "conflicts_found")):
+        joined = joined.join(table, "session_id", "left")
+    names = ("claims_found", "candidates", "conflicts_found", "dismissed")
+    return joined.select("session_id", *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in names))
+
+
 def candidate_stats(candidates: DataFrame) -> DataFrame:
     """Candidates per session and how many were dismissed or confirmed."""
     return candidates.groupBy("session_id").agg(
@@ -136,44 +191,33 @@ def candidate_stats(candidates: DataFrame) -> DataFrame:
 # --- requirement coverage ------------------------------------------------------
 
 
-def criterion_prefix(description: Column) -> Column:
-    return F.substring(F.lower(description), 1, fixed.CRITERION_PREFIX)
-
-
 def covered_criteria(criteria: DataFrame, statements: DataFrame) -> DataFrame:
     """Each criterion with ``covered``: does a statement of its session contain
-    the first 20 characters of its description, ignoring case?
+    its description, ignoring case?
 
     ``criteria(session_id, criterion_key, description)`` and
-    ``statements(session_id, statement)``. Containment is turned into equality:
-    a statement is cut into its windows of every prefix length its session asks
-    for (1 to 20, so at most 20 lengths), and windows meet prefixes in an equi
-    join. Statements, windows and prefixes are made distinct first, so repeats
-    of one text are joined once.
+    ``statements(session_id, statement)``. Criteria and statements are made
+    distinct first. Containment is found through keys of ``KEY_CHARS`` characters:
+    a criterion stands under its first key, a statement under each of its distinct
+    ones, and those that meet are compared whole. Criteria shorter than a key
+    stand under their own text, and their sessions' statements also under the
+    pieces of those lengths.
     """
-    asked = criteria.withColumn("prefix", criterion_prefix(F.col("description")))
-    prefixes = asked.select("session_id", "prefix").distinct()
-    lengths = prefixes.groupBy("session_id").agg(
-        F.collect_set(F.length("prefix")).alias("lengths")
-    )
+    asked = criteria.withColumn("wanted", F.lower("description"))
+    wanted = asked.select("session_id", "wanted").distinct().withColumn("key", F.substring("wanted", 1, KEY_CHARS))
+    lengths = wanted.groupBy("session_id").agg(F.collect_set(F.length("key")).alias("lengths"))
     texts = statements.select("session_id", F.lower("statement").alias("text")).distinct()
-    windows = texts.join(lengths, "session_id").select(
-        "session_id", "text", F.explode("lengths").alias("width")
-    )
+    widths = texts.join(lengths, "session_id").select("session_id", "text", F.explode("lengths").alias("width"))
     starts = F.sequence(F.lit(1), F.length("text") - F.col("width") + 1)
+    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.col("width"))))
+    keyed = widths.filter(F.length("text") >= F.col("width")).select("session_id", "text", F.explode(pieces).alias("key"))
     seen = (
-        windows.filter(F.length("text") >= F.col("width"))
-        .select(
-            "session_id",
-            F.explode(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.col("width")))).alias("prefix"),
-        )
-        .join(prefixes, ["session_id", "prefix"], "left_semi")
-        .distinct()
-        .withColumn("found", F.lit(True))
+        keyed.join(wanted, ["session_id", "key"])
+        .filter(F.contains("text", "wanted"))
+        .select("session_id", "wanted").distinct().withColumn("found", F.lit(True))
     )
-    return asked.join(seen, ["session_id", "prefix"], "left").select(
-        "session_id", "criterion_key", "description",
-        F.coalesce("found", F.lit(False)).alias("covered"),
+    return asked.join(seen, ["session_id", "wanted"], "left").select(
+        "session_id", "criterion_key", "description", F.coalesce("found", F.lit(False)).alias("covered")
     )
 
 
@@ -195,8 +239,8 @@ def coverage(sessions: DataFrame, covered: DataFrame) -> DataFrame:
 
 
 def components(conflict_files: DataFrame, changed_paths: DataFrame) -> DataFrame:
-    """Components a session touches, one row each: files of its displayed
-    conflicts and the top folders of its changed files."""
+    """Components a session touches, one row each: files of its conflicts and the
+    top folders of its changed files."""
     top = F.split("path", "/")[0]
     folders = changed_paths.select("session_id", top.alias("component")).filter("component <> ''")
     files = conflict_files.select("session_id", F.col("file_path").alias("component"))
@@ -211,15 +255,7 @@ def passports(
     ``sessions`` may carry ``repository``, ``branch_a``, ``branch_b`` and
     ``completed_at``; the component list itself stays in ``components``.
     """
-    shown = F.least(F.col("conflicts_found"), F.lit(fixed.MAX_DISPLAYED_CONFLICTS))
-    note = F.when(
-        F.col("conflicts_found") > shown,
-        F.concat(
-            F.lit("Showing the first "), shown.cast("string"), F.lit(" of "),
-            F.col("conflicts_found").cast("string"), F.lit(" conflicts (ordered by severity)."),
-        ),
-    )
-    risk = F.concat_ws(" ", F.when(F.col("conflicts_found") > 0, F.col("summary")), note)
+    risk = F.when(F.col("conflicts_found") > 0, F.col("summary")).otherwise("")
     n_components = components.groupBy("session_id").agg(F.count("*").alias("n_components"))
     extra = [c for c in ("repository", "branch_a", "branch_b", "completed_at") if c in sessions.columns]
     joined = (
@@ -230,7 +266,7 @@ def passports(
     )
     unmeasured = F.lit(None).cast("int")
     return joined.select(
-        F.concat(F.lit("live-"), F.substring(F.col("session_id").cast("string"), 1, 8)).alias("passport_id"),
+        F.concat(F.lit("live-"), F.col("session_id").cast("string")).alias("passport_id"),
         "session_id", F.col("requirement_text").alias("intent"), *extra,
         F.coalesce("files_changed", F.lit(0)).alias("files_changed"),
         F.coalesce("n_components", F.lit(0)).alias("n_components"),

@@ -425,12 +425,10 @@ FILES = """
     AND n.canonical_subject = c.canonical_subject
     AND n.canonical_predicate IN (c.l_predicate, c.r_predicate)
   WHERE n.source_file IS NOT NULL"""
-RANKED = """
-  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY
-      CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END,
-      replace(conflict_id, '_', ' ')) AS position
-  FROM conflicts"""
-SHOWN = f"SELECT * FROM ({RANKED}) WHERE position <= 100"
+ORDERED = """
+  SELECT *, CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END AS severity_order,
+      replace(conflict_id, '_', ' ') AS id_order FROM conflicts"""
+SHOWN = "SELECT * FROM conflicts"
 SHOWN_FILES = "SELECT f.* FROM files f SEMI JOIN shown s ON f.session_id = s.session_id AND f.conflict_id = s.conflict_id"
 RESULTS = """
   SELECT c_custkey AS session_id, coalesce(n_claims, 0) AS claims_found, coalesce(n_conflicts, 0) AS conflicts_found,
@@ -448,7 +446,7 @@ CHANGED = " UNION ".join(
 COVERED = f"""
   SELECT o_custkey AS session_id, o_orderkey AS criterion_key, description, EXISTS (
       SELECT 1 FROM claims c WHERE c.session_id = o_custkey
-        AND contains(lower(c.statement), substr(lower(description), 1, 20))) AS covered
+        AND contains(lower(c.statement), lower(description))) AS covered
   FROM (SELECT *, {corpus.CRITERION} AS description FROM orders)"""
 FIRST_ID = """
   SELECT session_id, statement, claim_id FROM (
@@ -461,11 +459,10 @@ SNIPPET_FILES = " UNION ALL ".join(
 )
 CHANGE_ROWS = f"SELECT o_custkey AS session_id, {corpus.CHANGE_ID} AS change_id, {corpus.LABEL} AS label FROM orders"
 PASSPORTS = """
-  SELECT 'live-' || substr(CAST(session_id AS VARCHAR), 1, 8) AS passport_id, r.session_id, intent,
+  SELECT 'live-' || CAST(session_id AS VARCHAR) AS passport_id, r.session_id, intent,
     coalesce(files_changed, 0) AS files_changed, coalesce(n_components, 0) AS n_components,
     claims_found, conflicts_found,
-    nullif(concat_ws(' ', CASE WHEN conflicts_found > 0 THEN summary END,
-      CASE WHEN conflicts_found > 100 THEN 'Showing the first 100 of ' || conflicts_found || ' conflicts (ordered by severity).' END), '') AS remaining_risk,
+    CASE WHEN conflicts_found > 0 THEN summary END AS remaining_risk,
     CASE WHEN conflicts_found > 0 THEN 'FAIL' ELSE 'PASS' END AS status
   FROM results r JOIN intents USING (session_id)
   LEFT JOIN (SELECT session_id, count(*) AS files_changed FROM changed GROUP BY 1) USING (session_id)
@@ -547,7 +544,9 @@ ORACLES |= {
               coalesce(r_file, replace(lower(r_source_type), '_', ' ')) AS produced_by_b, l_evidence_text AS snippet_a
             FROM conflicts JOIN customer ON c_custkey = session_id""",
     ),
-    "top_conflicts": upto("conflicts", f"SELECT session_id, position, conflict_id, severity FROM ({SHOWN})"),
+    "top_conflicts": upto(
+        "conflicts", f"SELECT session_id, severity_order, id_order, conflict_id, severity FROM ({ORDERED})"
+    ),
     "severity_counts": upto(
         "conflicts",
         """SELECT c_custkey AS session_id, 0 AS critical, count(*) FILTER (severity = 'HIGH') AS high,
@@ -556,6 +555,43 @@ ORACLES |= {
            FROM customer LEFT JOIN conflicts ON session_id = c_custkey GROUP BY c_custkey""",
     ),
     "session_results": upto("conflicts", RESULTS),
+    "conflict_groups": upto(
+        "conflicts",
+        """SELECT session_id, canonical_subject, canonical_key, conflict_type, count(*) AS n_values,
+             CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) AS n_pairs FROM (
+             SELECT DISTINCT session_id, canonical_subject, canonical_key, conflict_type, unnest([l_value, r_value]) AS value FROM conflicts)
+           GROUP BY ALL""",
+    ),
+    "high_conflicts": upto(
+        "conflicts",
+        "SELECT session_id, conflict_id, conflict_type, severity_rule FROM conflicts WHERE severity = 'HIGH'",
+    ),
+    "passport_components": upto(
+        "conflicts",
+        """SELECT session_id, file_path AS component FROM shown_files
+           UNION SELECT session_id, split_part(path, '/', 1) FROM changed WHERE split_part(path, '/', 1) <> ''""",
+        **PASSPORT_CTES,
+    ),
+    "verification_summaries": upto(
+        "conflicts",
+        """SELECT r.session_id, claims_found, r.conflicts_found, 0 AS conflicts_resolved, coalesce(files_changed, 0) AS files_changed,
+             requirement_coverage, 0 AS critical, high, medium, low, CASE WHEN r.conflicts_found > 0 THEN 'FAIL' ELSE 'PASS' END AS status
+           FROM results r
+           JOIN (SELECT c_custkey AS session_id, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium,
+                   count(*) FILTER (severity = 'LOW') AS low FROM customer LEFT JOIN conflicts ON session_id = c_custkey GROUP BY 1) USING (session_id)
+           LEFT JOIN (SELECT session_id, count(*) AS files_changed FROM changed GROUP BY 1) USING (session_id)
+           LEFT JOIN (SELECT session_id, CAST(floor(100.0 * count(*) FILTER (covered) / count(*) + 0.5) AS INTEGER) AS requirement_coverage
+                      FROM covered_rows GROUP BY 1) USING (session_id)""",
+        results=RESULTS, changed=CHANGED, covered_rows=COVERED,
+    ),
+    "result_stats": upto(
+        "conflicts",
+        f"""SELECT r.session_id, claims_found, coalesce(candidates, 0) AS candidates, conflicts_found, coalesce(dismissed, 0) AS dismissed
+            FROM results r LEFT JOIN (SELECT o_custkey AS session_id, count(*) AS candidates,
+              count(*) FILTER (status = 'DISMISSED') AS dismissed
+              FROM (SELECT o_custkey, {corpus.CANDIDATE_STATUS} AS status FROM orders) GROUP BY 1) USING (session_id)""",
+        results=RESULTS,
+    ),
     "covered_criteria": upto("claims", COVERED),
     "requirement_coverage": upto(
         "claims",
@@ -643,7 +679,7 @@ def shredded(body: str, **more: str) -> str:
 
 _RANGE = """CASE WHEN head_start > 0 THEN head_start END AS line_start,
   CASE WHEN head_start > 0 THEN CASE WHEN head_count > 0 THEN head_start + head_count - 1 ELSE head_start END END AS line_end,
-  nullif(array_to_string((added || removed)[1:5], chr(10)), '') AS snippet"""
+  nullif(array_to_string(added || removed, chr(10)), '') AS snippet"""
 EVIDENCE = f"""
   SELECT diff_id, file_idx, branch_name, 'FILE_CHANGE' AS source, path AS file_path, hunk_idx AS evidence_idx, {_RANGE},
     'additions=' || len(added) || '|changeKind=' || kind || CASE WHEN context_label <> '' THEN '|contextLabel=' || context_label ELSE '' END
@@ -687,7 +723,7 @@ ITEMS = f"""
       {_text_member('statement')} AS statement, {_text_member('value')} AS value, {_text_member('branch')} AS branch_name
     FROM (SELECT *, unnest(CAST(json_extract(body, '$.assumptions') AS JSON[])) AS item,
         generate_subscripts(CAST(json_extract(body, '$.assumptions') AS JSON[]), 1) - 1 AS item_idx
-      FROM parsed WHERE refused IS NULL) WHERE item_idx < 50)"""
+      FROM parsed WHERE refused IS NULL))"""
 REASONS = """
   SELECT p.session_id, p.response_id, p.agent, coalesce(refused, first_error) AS reason
   FROM parsed p LEFT JOIN (SELECT response_id, arg_min(error, item_idx) AS first_error FROM items
@@ -695,7 +731,7 @@ REASONS = """
 JSON_CLAIMS = f"""
   SELECT session_id, response_id, agent, item_idx,
     coalesce({_text_member('id')}, 'claim-' || response_id || '-' || item_idx) AS id, statement, value, branch_name,
-    coalesce({_text_member('concept')}, substr(trim(regexp_replace(lower(statement), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60)) AS concept,
+    coalesce({_text_member('concept')}, trim(regexp_replace(lower(statement), '[^a-z0-9]+', '-', 'g'), '-')) AS concept,
     source_file, line, snippet, numeric_confidence,
     CASE WHEN numeric_confidence >= 0.9 THEN 'HIGH' WHEN numeric_confidence >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
     CASE WHEN snippet IS NOT NULL AND source_file <> '—' THEN 'FILE_CHANGE' ELSE 'INFERRED' END AS evidence_source
@@ -777,19 +813,13 @@ ORACLES |= {
     ),
     "files_deduped": f"SELECT session_id, branch_name, path, first_order, first_line, md5(patch) AS patch_md5 FROM ({DEDUPED})",
     "files_forwarded": f"""
-      SELECT session_id, branch_name, path, nth, length(content) AS n_chars, md5(content) AS content_md5 FROM (
-        SELECT *, substr(patch, 1, 20000) AS content, row_number() OVER (PARTITION BY session_id, branch_name
-          ORDER BY first_order, first_line, first_part) AS nth FROM ({DEDUPED}) WHERE trim(patch) <> '') WHERE nth <= 50""",
+      SELECT session_id, branch_name, path, first_order, first_line, length(patch) AS n_chars, md5(patch) AS content_md5
+      FROM ({DEDUPED}) WHERE trim(patch) <> ''""",
     "ingestion_warnings": f"""
       SELECT session_id, 'BINARY_OR_EMPTY_PATCH' AS code, path || ' on ' || branch_name || ' has no textual patch — excluded from semantic input' AS message
-      FROM ({DEDUPED}) WHERE patch IS NULL
-      UNION ALL SELECT session_id, 'FILES_TRUNCATED', branch_name || ': forwarded 50 of ' || count(*) || ' files'
-      FROM ({DEDUPED}) WHERE trim(patch) <> '' GROUP BY session_id, branch_name HAVING count(*) > 50""",
+      FROM ({DEDUPED}) WHERE patch IS NULL""",
     "diff_limits": f"""
-      SELECT session_id, n_files, diff_bytes, CASE WHEN n_files > 200
-          THEN 'too many files changed (' || n_files || ' > 200) — narrow the compared refs'
-          WHEN diff_bytes > 1000000 THEN 'diff too large (>1000000 bytes) — narrow the compared refs' END AS error
-      FROM (SELECT session_id, count(*) AS n_files, sum(coalesce(strlen(patch), 0)) AS diff_bytes FROM ({CHANGED_ROWS}) GROUP BY 1)""",
+      SELECT session_id, count(*) AS n_files, sum(coalesce(strlen(patch), 0)) AS diff_bytes FROM ({CHANGED_ROWS}) GROUP BY 1""",
     "files_changed": f"SELECT session_id, count(DISTINCT path) AS files_changed FROM ({CHANGED_ROWS}) GROUP BY 1",
     "branch_by_file": f"""SELECT session_id, path, branch_name FROM (SELECT *, row_number() OVER (
         PARTITION BY session_id, path ORDER BY l_orderkey, l_linenumber, l_partkey) AS nth FROM ({CHANGED_ROWS})) WHERE nth = 1""",
@@ -797,12 +827,15 @@ ORACLES |= {
       SELECT s_suppkey AS session_id, h.branch_name, count(c.path) AS n_files, coalesce(sum(strlen(patch)), 0) AS patch_bytes
       FROM supplier CROSS JOIN (VALUES ('feature/a'), ('feature/n'), ('feature/idle')) h(branch_name)
       LEFT JOIN ({CHANGED_ROWS}) c ON c.session_id = s_suppkey AND c.branch_name = h.branch_name GROUP BY 1, 2""",
+    "head_files": f"""
+      SELECT session_id, branch_name, path, md5(patch) AS patch_md5 FROM ({DEDUPED})
+      WHERE branch_name IN ('feature/a', 'feature/n', 'feature/r', 'feature/idle') AND session_id IN (SELECT s_suppkey FROM supplier)""",
     "ordered_branches": f"""
       SELECT session_id, branch_name, CASE branch_name WHEN 'feature/r' THEN 0 WHEN 'feature/a' THEN 1 END AS declared_seq,
         min(l_orderkey) AS first_order FROM ({CHANGED_ROWS}) GROUP BY session_id, branch_name""",
     "json_claims": responded(JSON_CLAIMS),
     "json_rejects": responded(
-        "SELECT session_id, response_id, agent, substr(agent || ': ' || reason, 1, 300) AS message FROM reasons WHERE reason IS NOT NULL"
+        "SELECT session_id, response_id, agent, agent || ': ' || reason AS message FROM reasons WHERE reason IS NOT NULL"
     ),
     "agent_lines": responded(
         unique_lines(f"({CLAIM_TEXT})", ["response_id", "item_idx"]), json_claims=JSON_CLAIMS
@@ -810,9 +843,9 @@ ORACLES |= {
     "dedup_lines": unique_lines("(SELECT conv_id AS session_id, turn, text FROM conversations)", ["turn"]),
     "document_lines": f"""SELECT session_id, count(*) AS n_lines, sum(length(line)) AS n_chars, max(line_idx) AS max_line_idx
       FROM ({unique_lines("(SELECT source AS session_id, doc_id, text FROM documents)", ["doc_id"])}) GROUP BY 1""",
-    "capped_texts": """SELECT doc_id, length(capped) AS n_chars, md5(capped) AS capped_md5 FROM (
-        SELECT doc_id, CASE WHEN length(text) > 12000 THEN substr(text, 1, 12000) || chr(10) || '[truncated for analysis]' ELSE text END AS capped
-        FROM documents)""",
+    "capped_texts": """SELECT doc_id, part, length(content) AS n_chars, md5(content) AS part_md5 FROM (
+        SELECT doc_id, part, substr(text, part * 12000 + 1, 12000) AS content
+        FROM (SELECT *, unnest(range(0, greatest((length(text) - 1) // 12000 + 1, 1))) AS part FROM documents))""",
     "repo_urls": f"""SELECT page_id, url, error, CASE WHEN error IS NULL THEN pieces[1] END AS owner,
         CASE WHEN error IS NULL THEN repo_name END AS repo,
         CASE WHEN error IS NULL THEN 'https://github.com/' || pieces[1] || '/' || repo_name END AS canonical_url,
@@ -837,8 +870,7 @@ ORACLES |= {
         CROSS JOIN (VALUES (0, 'intent'), (1, 'contract'), (2, 'dependency'), (3, 'adversary'), (4, 'change')) s(idx, stage))""",
     "merge_attestations": f"""
       SELECT conv_id AS session_id, turn, CASE WHEN status IS NULL THEN 'Session not found'
-          WHEN status <> 'COMPLETE' THEN 'Only COMPLETE sessions can be marked as merged'
-          WHEN length(text) > 500 THEN 'note must be a string of at most 500 characters' END AS error,
+          WHEN status <> 'COMPLETE' THEN 'Only COMPLETE sessions can be marked as merged' END AS error,
         md5(nullif({btrim('text')}, '')) AS note_md5
       FROM conversations LEFT JOIN ({STATUS_ROWS}) ON session_id = conv_id""",
 }
@@ -951,13 +983,13 @@ _HEADS = """SELECT *, row_number() OVER (PARTITION BY session_id
   FROM (SELECT DISTINCT ON (session_id, branch_name) session_id, branch_name, first_diff, first_file FROM latest
     ORDER BY session_id, branch_name, first_diff, first_file)"""
 _FORWARDED = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, branch_name ORDER BY first_diff, first_file) AS file_nth
-  FROM latest WHERE trim(patch) <> '') WHERE file_nth <= 50"""
+  FROM latest WHERE trim(patch) <> '')"""
 _DIFF_UNITS = f"""{_REQUIREMENT_UNITS}
   UNION ALL SELECT session_id, 1, change_seq, 0, 'change-' || change_seq || '-' || branch_name,
     CASE WHEN EXISTS (SELECT 1 FROM forwarded f WHERE f.session_id = h.session_id AND f.branch_name = h.branch_name)
       THEN '—' ELSE 'No textual differences on ' || branch_name || '.' END, NULL, NULL FROM heads h
   UNION ALL SELECT session_id, 1, change_seq, file_nth, 'change-' || change_seq || '-' || branch_name || '__snippet_' || (file_nth - 1),
-    substr(patch, 1, 20000), {_FILE_HINT}, path FROM (
+    patch, {_FILE_HINT}, path FROM (
       SELECT f.*, h.change_seq, f.path AS file_path FROM forwarded f JOIN heads h USING (session_id, branch_name))"""
 _TEXT_UNITS = f"""{_REQUIREMENT_UNITS} UNION ALL
   SELECT session_id, 1, change_seq, 1, change_id || '__snippet_0', text, {_FILE_HINT}, file_path FROM (
@@ -1055,17 +1087,18 @@ ORACLES |= {
 _TYPES = {
     "INTEGER": {
         "segments": ["seg_idx"], "rule_matches": ["seg_idx"], "claims": ["seg_idx"],
-        "claim_ids": ["claim_idx"], "document_segments": ["max_seg_idx"], "top_conflicts": ["position"],
+        "claim_ids": ["claim_idx"], "document_segments": ["max_seg_idx"], "top_conflicts": ["severity_order"],
         "diff_files": ["file_idx", "additions", "deletions", "n_hunks"],
         "diff_hunks": ["file_idx", "hunk_idx"], "diff_lines": ["file_idx", "hunk_idx", "line_idx"],
         "code_evidence": ["file_idx", "evidence_idx"], "patch_evidence": ["file_idx", "evidence_idx"],
-        "comparison_snippets": ["file_idx", "hunk_idx"], "files_forwarded": ["nth", "n_chars"],
+        "comparison_snippets": ["file_idx", "hunk_idx"], "files_forwarded": ["n_chars"],
         "json_claims": ["item_idx"], "agent_lines": ["item_idx", "line_idx"], "dedup_lines": ["line_idx"],
-        "document_lines": ["max_line_idx"], "capped_texts": ["n_chars"], "norm_traces": ["step"],
+        "document_lines": ["max_line_idx"], "capped_texts": ["n_chars", "part"], "norm_traces": ["step"],
     },
     "BIGINT": {
         "document_segments": ["n_chars"], "finding_status": ["conflicts_resolved", "critical"],
         "severity_counts": ["critical"], "diff_limits": ["diff_bytes"],
+        "verification_summaries": ["critical", "conflicts_resolved"],
         "head_comparisons": ["patch_bytes"], "document_lines": ["n_chars"],
     },
 }

@@ -87,7 +87,7 @@ def from_changed_files(sessions: DataFrame, branches: DataFrame, changed: DataFr
         F.lit("No changes submitted for verification.").alias("content"),
     )
     snippets = fed.join(heads, ["session_id", "branch_name"]).select(
-        "session_id", "change_seq", "change_id", (F.col("nth") - 1).alias("snippet_seq"),
+        "session_id", "change_seq", "change_id", F.col("seq").alias("snippet_seq"),
         F.col("path").alias("file_path"), F.lit("CODE_DIFF").alias("source_type"), "content",
     )
     return Inputs(sessions, changes.unionByName(silent), snippets)
@@ -100,13 +100,6 @@ def from_diffs(sessions: DataFrame, branches: DataFrame, raw_diffs: DataFrame) -
     return from_changed_files(sessions, branches, changed)
 
 
-def within_limits(changed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Changed files of accepted sessions, and the sessions refused with a reason."""
-    sizes = files.limits(changed)
-    refused = sizes.filter(F.col("error").isNotNull())
-    return changed.join(refused.select("session_id"), "session_id", "left_anti"), refused
-
-
 def requirement_text(requests: DataFrame) -> DataFrame:
     """Requirement of a feature request: its description and then its rules."""
     lines = F.concat(F.array("description"), F.coalesce("rules", F.array().cast("array<string>")))
@@ -134,11 +127,15 @@ def verify(
     claims = stage(found, "claims")
     normalized = normalize.normalize(claims)
     detect = detector or pairing.detect_conflicts
-    conflicts = stage(detect(normalized), "conflicts")
-    counts = conflicts.groupBy("session_id").agg(
-        F.count("*").alias("conflicts_found"),
-        F.count_if(F.col("severity") == "HIGH").alias("high"),
-    )
+    conflicts = detect(normalized)
+    if detector:
+        counts = conflicts.groupBy("session_id").agg(
+            F.count("*").alias("conflicts_found"),
+            F.count_if(F.col("severity") == "HIGH").alias("high"),
+        )
+    else:
+        # The verdict needs counts only, and those need no pairs.
+        counts = summary.conflict_counts(pairing.merge_claims(normalized))
     return Outcome(
         claims=claims,
         normalized=normalized,

@@ -47,16 +47,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a small table at least one partition per core before heavy row work.
-
-    A table that scans in enough pieces is left alone; only one that arrives in
-    fewer pieces than there are cores is dealt out by ``key``.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 _LOCAL_STAGE: dict[str, str] = {}
 
 
@@ -78,11 +68,19 @@ def stage_root(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back.
+    """Write ``df`` once and read it back, if the session names a shared folder.
 
     Used where several consumers need one expensive result: the table survives
-    lost executors, and readers still prune its columns.
+    lost executors, and readers still prune its columns. Without
+    ``spark.checkpoint.dir`` nothing is written, and each consumer computes it.
     """
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return df
+    return written(df, name)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table under ``stage_root``, which an operator needs written in any case."""
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgrid.session import spread
 
 ROLE = (
     "CASE CAST(floor(({n}) / 18) AS BIGINT) % 3 "
@@ -110,7 +109,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def orders(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Orders cut to the columns a projection reads, spread over the cores."""
-    return spread(table(spark, sf_dir, "orders").select(*columns), "o_orderkey")
+    return table(spark, sf_dir, "orders").select(*columns)
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +256,7 @@ STATUS = (
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "events"), "event_id").select(
+    return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("session_id"),
         F.col("event_id").alias("response_id"),
         F.expr(AGENT).alias("agent"),

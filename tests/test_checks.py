@@ -104,7 +104,7 @@ def test_input_errors(spark):
         ],
         key=str,
     )
-    with pytest.raises(ValueError, match="Invalid AnalysisInput"):
+    with pytest.raises(ValueError, match="Invalid AnalysisInput: 8 errors"):
         checks.assert_none(errors, "AnalysisInput")
 
 

@@ -98,10 +98,10 @@ def test_evidence_rows(files):
     assert ("truncated", "tr.ts") not in per_file
 
 
-def test_snippet_has_at_most_five_lines(spark):
+def test_snippet_has_all_changed_lines(spark):
     raw = "diff --git a/x b/x\n@@ -1,9 +1,9 @@\n" + "".join(f"+a{i}\n" for i in range(4)) + "-r0\n-r1\n"
     files = diffs.diff_files(spark.createDataFrame([("d", raw)], "diff string, raw string"))
-    assert rows(evidence.from_diffs(files, "diff"), "snippet") == [("+a0\n+a1\n+a2\n+a3\n-r0",)]
+    assert rows(evidence.from_diffs(files, "diff"), "snippet") == [("+a0\n+a1\n+a2\n+a3\n-r0\n-r1",)]
 
 
 def test_evidence_of_changed_files(spark):

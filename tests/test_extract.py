@@ -70,15 +70,6 @@ def test_segment_length_counts_utf16_units(spark):
     assert rows(extract.segments(units(spark, rocket * 2, rocket * 3, "abcd"), "change_seq"), "change_seq") == [(1,)]
 
 
-def test_cut_counts_utf16_units(spark):
-    rocket = chr(0x1F680)
-    df = spark.createDataFrame([("ab" + rocket + "cd",), ("abcdef",), (rocket * 4,)], "t string")
-    got = [r[0] for r in df.select(text.cut(F.col("t"), 4)).collect()]
-    assert got == ["ab" + rocket, "abcd", rocket * 2]
-    straddled = df.select(text.cut(F.col("t"), 3)).collect()
-    assert [r[0] for r in straddled] == ["ab", "abc", rocket]
-
-
 def test_hint_limits_rules(spark):
     both = "Only owners can pay; email is required"
     authorization = extract.rule_matches(units(spark, both, hint="AUTHORIZATION"))

@@ -1,7 +1,6 @@
 import pytest
 
 from claimgrid.operators import files
-from claimgrid.plans import verify
 from tests.helpers import rows
 
 FILE = "session_id string, seq int, branch_name string, path string, kind string, patch string"
@@ -26,27 +25,26 @@ def test_dedupe_keeps_the_last_row_at_the_first_place(spark):
     ]
 
 
-def test_forwarding_caps_files_and_characters(spark):
+def test_all_files_are_forwarded_whole(spark):
     data = [("s", i, "b", f"p{i}", "ADDED", "x" * (20_005 if i == 3 else 5)) for i in range(60)]
     data += [("s", 100 + i, "b", f"blank{i}", "ADDED", p) for i, p in enumerate(["  ", None, ""])]
     df = table(spark, *data)
     fed = files.forwarded(df).collect()
-    assert len(fed) == 50 and max(r.nth for r in fed) == 50
-    assert {len(r.content) for r in fed} == {5, 20_000}
-    assert rows(files.truncation_warnings(df), "message") == [("b: forwarded 50 of 60 files",)]
+    assert sorted(r.seq for r in fed) == list(range(60))
+    assert {len(r.content) for r in fed} == {5, 20_005}
     assert files.patch_warnings(df).count() == 2
 
 
-def test_limits(spark):
+def test_sizes_refuse_nothing(spark):
     data = [("many", i, "b", f"p{i}", "ADDED", "x") for i in range(201)]
-    data += [("large", 0, "b", "p", "ADDED", "é" * 500_001), ("fine", 0, "b", "p", "ADDED", None)]
-    df = table(spark, *data)
-    got = {r.session_id: r for r in files.limits(df).collect()}
-    assert got["many"].error.startswith("too many files changed (201 > 200)")
-    assert got["large"].error.startswith("diff too large (>1000000 bytes)") and got["large"].diff_bytes == 1_000_002
-    assert got["fine"].error is None and got["fine"].diff_bytes == 0
-    kept, refused = verify.within_limits(df)
-    assert rows(kept, "session_id") == [("fine",)] and refused.count() == 2
+    data += [("large", 0, "b", "p", "ADDED", "é" * 500_001), ("none", 0, "b", "p", "ADDED", None)]
+    assert rows(files.sizes(table(spark, *data))) == [("large", 1, 1_000_002), ("many", 201, 201), ("none", 1, 0)]
+
+
+def test_files_of_a_head(spark):
+    heads = spark.createDataFrame([("s", "a"), ("s", "idle")], "session_id string, branch_name string")
+    df = table(spark, ("s", 0, "a", "p", "ADDED", "xy"), ("s", 1, "a", "q", "ADDED", "z"), ("s", 2, "b", "r", "ADDED", "z"))
+    assert rows(files.head_files(heads, df), "branch_name", "path") == [("a", "p"), ("a", "q")]
 
 
 def test_heads_without_files_stay(spark):

@@ -129,6 +129,18 @@ def test_three_flows_agree(spark):
     assert len(outcomes[0]) == 1
 
 
+def test_a_conflict_in_the_sixtieth_file_is_found(spark):
+    sessions = spark.createDataFrame([("s", REQUIREMENT)], SESSIONS)
+    branches = spark.createDataFrame([("s", OWNER[0], 0), ("s", ADMIN[0], 1)], "session_id string, branch_name string, declared_seq int")
+    quiet = [("s", i, OWNER[0], f"src/f{i}.ts", "MODIFIED", f"const n{i} = {i}") for i in range(59)]
+    loud = [("s", 59, *OWNER[:2], "MODIFIED", "\n" * 21_000 + OWNER[2]), ("s", 60, *ADMIN[:2], "MODIFIED", ADMIN[2])]
+    changed = spark.createDataFrame(
+        [*quiet, *loud], "session_id string, seq int, branch_name string, path string, kind string, patch string"
+    )
+    result = verify.verify(verify.from_changed_files(sessions, branches, changed)).results.first()
+    assert (result.conflicts_found, result.status) == (1, "CONFLICTS_FOUND")
+
+
 def test_session_without_files_gets_the_empty_change(spark):
     sessions = spark.createDataFrame([("s", REQUIREMENT)], SESSIONS)
     none = spark.createDataFrame([], "session_id string, seq int, branch_name string, path string, kind string, patch string")

@@ -95,15 +95,39 @@ def test_merged_evidence_keeps_every_source(claims):
     )
 
 
-def test_top_conflicts_rank_and_cap(claims, expected):
-    shown = reports.top_conflicts(pairing.detect_conflicts(claims), limit=10)
-    hot = [r for r in shown.filter("session_id = 'hot'").orderBy("position").collect()]
-    assert [r.position for r in hot] == list(range(1, 11))
+def test_every_conflict_carries_its_order(claims, expected):
+    found = pairing.detect_conflicts(claims)
+    shown = reports.with_order(found)
+    assert shown.count() == found.count()
+    hot = shown.filter("session_id = 'hot'").orderBy("severity_order", "id_order").collect()
     ranks = ["HIGH", "MEDIUM", "LOW"]
     keys = [(ranks.index(r.severity), r.conflict_id.replace("_", " ")) for r in hot]
     assert keys == sorted(keys)
 
 
+def test_counts_agree_with_the_conflicts_when_claim_ids_meet(spark):
+    data = [("s", i, "order", "must_be", v, "CODE_DIFF", None) for i, v in enumerate(["a", "b", "c", "d"])]
+    data += [("s", 10 + i, "user", "role", v, "CODE_DIFF", "x.ts") for i, v in enumerate(["owner", "admin", "guest"])]
+    data += [("t", i, "order", "must_be", v, "CODE_DIFF", None) for i, v in enumerate(["a", "b"])]
+    for met in ("change_seq < 2", "change_seq in (0, 1, 10)", "change_seq = 99", "change_seq in (0, 10) or change_seq in (1, 11)"):
+        table = claim_table(spark, data).withColumn("claim_id", F.when(F.expr(met), "assm_x").otherwise(F.col("claim_id")))
+        merged = pairing.merge_claims(table)
+        pairs = pairing.conflicts_from_merged(merged).groupBy("session_id").agg(
+            F.count("*").alias("conflicts_found"), F.count_if(F.col("severity") == "HIGH").alias("high"),
+            F.count_if(F.col("severity") == "MEDIUM").alias("medium"), F.count_if(F.col("severity") == "LOW").alias("low"),
+        )
+        names = ("session_id", "conflicts_found", "high", "medium", "low")
+        counts = summary.conflict_counts(merged).filter("conflicts_found > 0")
+        assert rows(counts, *names) == rows(pairs, *names), met
+
+
+def test_a_group_counts_its_pairs_without_forming_them(spark):
+    data = [("hot", i, "order", "must_be", f"v{i}", "CODE_DIFF", None) for i in range(5_000)]
+    merged = pairing.merge_claims(claim_table(spark, data))
+    assert rows(summary.conflict_groups(merged), "n_values", "n_pairs") == [(5_000, 12_497_500)]
+    assert rows(summary.conflict_counts(merged), "conflicts_found") == [(12_497_500,)]
+
+
 def test_equal_claim_ids_are_not_paired_and_equal_conflict_ids_count_once(spark):
     data = [("s", i, "order", "must_be", v, "CODE_DIFF", None) for i, v in enumerate(["a", "b", "c"])]
     same = claim_table(spark, data).withColumn(
@@ -113,6 +137,3 @@ def test_equal_claim_ids_are_not_paired_and_equal_conflict_ids_count_once(spark)
     assert rows(got, "l_value", "r_value") == [("a", "c")]
 
 
-def test_capped_ranking_is_limited_before_the_shuffle(claims):
-    plan = reports.top_conflicts(pairing.detect_conflicts(claims))._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan

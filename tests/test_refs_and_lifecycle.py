@@ -80,7 +80,6 @@ def test_status_fold_and_stages(spark):
     got = lifecycle.attest(notes, status).select("session_id", "error", "note").collect()
     errors = sorted(str(r.error) for r in got)
     assert errors == [
-        "None", "None", "Only COMPLETE sessions can be marked as merged", "Session not found",
-        "note must be a string of at most 500 characters",
+        "None", "None", "None", "Only COMPLETE sessions can be marked as merged", "Session not found",
     ]
     assert "ok" in {r.note for r in got}

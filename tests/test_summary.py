@@ -17,7 +17,7 @@ def test_coverage_matches_plain_containment(spark):
         spark.createDataFrame(statements, "session_id string, statement string"),
     )
     want = [
-        (s, k, any(t == s and d.lower()[:20] in text.lower() for t, text in statements)) for s, k, d in criteria
+        (s, k, any(t == s and d.lower() in text.lower() for t, text in statements)) for s, k, d in criteria
     ]
     assert rows(got, "session_id", "criterion_key", "covered") == sorted(want, key=str)
 
@@ -62,10 +62,8 @@ def test_passport_text_shows_a_dash_for_what_is_not_measured(spark):
     parts = spark.createDataFrame([("session-1", "src"), ("session-1", "src/a.ts")], "session_id string, component string")
     passport = summary.passports(sessions, results, files, parts)
     row = passport.first()
-    assert (row.passport_id, row.n_components, row.tests_total, row.status) == ("live-session-", 2, None, "FAIL")
-    assert row.remaining_risk == (
-        "130 semantic conflict(s) detected. Showing the first 100 of 130 conflicts (ordered by severity)."
-    )
+    assert (row.passport_id, row.n_components, row.tests_total, row.status) == ("live-session-1", 2, None, "FAIL")
+    assert row.remaining_risk == "130 semantic conflict(s) detected."
     lines = summary.passport_text(passport).first().text.split("\n")
     assert "Branches:             a, b" in lines
     assert "Tests:                — / —" in lines
