@@ -1,20 +1,20 @@
 """Benchmark decontamination by SimHash windows of item size.
 
-Benchmark items are a stated query set. An item of n words is fingerprinted by
-the windows of its length class: the class length is the largest of a geometric
-grid that n reaches, and each of the item's windows of that length gives one
-64-bit SimHash of its words (a word counts as often as it occurs). Every window of
-each class length of every document is fingerprinted in the same way, from sums
-that slide by a word. Four 16-bit blocks index the item fingerprints: two
-fingerprints at a Hamming distance of at most three agree in one block at least,
-so the index misses none within that radius. An exact passage has distance zero.
-
-A window within the radius is lined up with its item, and the exact weighted
-Jaccard similarity of their five-word shingle multisets must reach 0.8. One edited
-word changes five shingles, so this admits about one edit in fifty words; an edit
-in the middle moves a fingerprint by about four bits, so an item's several windows
-are what makes such copies found, most of the time. Exact passages of any length
-are always found.
+Benchmark items are a stated query set. The windows of an item follow its size:
+their length is the largest of a geometric grid not above half its words (eight at
+least, or all of a shorter item, and 36 at most), and each window of the item gives one 64-bit
+SimHash of its words (a word counts as often as it occurs). Every window of each of
+these lengths of every document is fingerprinted in the same way, from sums that
+slide by a word. Four 16-bit blocks index the item fingerprints: two fingerprints
+at a Hamming distance of at most three agree in one block at least, so the index
+misses none within that radius.
+
+A window within the radius is lined up with its item, and the document's
+item-sized window is compared with the item: the exact weighted Jaccard similarity
+of their five-word shingle multisets must reach 0.8. That leaves room for one edit
+in some forty words, so an unbroken run of half of a short item, or of about forty
+words of a long one, is left in any such copy. A window in that run has distance
+zero, so the copy is found.
 
 Items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text (a longer item
 is a block of its own), so what is broadcast does not grow with the benchmark;
@@ -45,6 +45,8 @@ RADIUS = 3
 BLOCKS = RADIUS + 1
 BLOCK_BITS = 64 // BLOCKS
 GRID = 1.2
+LEAST = 8
+MOST = 36
 BLOCK_BYTES = 4 << 20
 # Few enough words that the sums of a slice stay in a core's cache.
 WINDOW_SLICE = 1 << 17
@@ -98,7 +100,7 @@ class Index:
         found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for i, own in enumerate(self.words):
             if len(own):
-                length = class_length(len(own))
+                length = class_length(min(max(len(own) // 2, min(len(own), LEAST)), MOST))
                 prints = fingerprints(running(own), length)
                 found.setdefault(length, []).append((prints, np.full(len(prints), i), np.arange(len(prints))))
         self.classes = {}
