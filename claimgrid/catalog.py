@@ -675,6 +675,25 @@ def text_verdicts(spark, sf):
     return verify.verify(verify.from_texts(corpus.sessions(spark, sf), texts)).results
 
 
+@query
+def analyser_verdicts(spark, sf):
+    """Claims found by analysers to verdicts: lines of their findings are read again by the rules."""
+    inputs = verify.from_analysers(corpus.sessions(spark, sf), corpus.responses(spark, sf))
+    return verify.verify(inputs).results
+
+
+@query
+def changed_file_verdicts(spark, sf):
+    """Pre-parsed changed files to verdicts, one session per supplier."""
+    sessions = corpus.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("session_id"), F.lit("Only owners can refund orders.").alias("requirement_text")
+    )
+    declared = F.array(F.lit("feature/r"), F.lit("feature/a"))
+    branches = sessions.select("session_id", F.posexplode(declared).alias("declared_seq", "branch_name"))
+    files = corpus.changed_files(spark, sf).withColumn("patch", F.expr(corpus.SPOKEN_PATCH))
+    return verify.verify(verify.from_changed_files(sessions, branches, files)).results
+
+
 @query
 def stream_conflicts(spark, sf):
     """The corpus as a stream of units, verified batch by batch."""

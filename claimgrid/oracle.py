@@ -999,6 +999,25 @@ _TEXT_UNITS = f"""{_REQUIREMENT_UNITS} UNION ALL
     FROM corpus_units WHERE snippet_seq > 0)"""
 
 
+_AGENT_UNITS = f"""{_REQUIREMENT_UNITS}
+  UNION ALL SELECT DISTINCT session_id, 1, 0, 0, 'change-agent-findings', '—', {hint("'agent findings'", fixed.CHANGE_HINTS, "NULL")}, NULL FROM lines
+  UNION ALL SELECT session_id, 1, 0, row_number() OVER (PARTITION BY session_id ORDER BY response_id, item_idx, line_idx),
+    'change-agent-findings__snippet_' || response_id || '_' || item_idx || '_' || line_idx, line,
+    {hint("'agent-findings.txt'", fixed.CHANGE_HINTS, "NULL")}, 'agent-findings.txt' FROM lines"""
+_LATEST_FILES = f"""SELECT session_id, branch_name, path, first_order, first_line, first_part, {corpus.SPOKEN_PATCH} AS patch FROM ({DEDUPED})"""
+_FILE_HEADS = """SELECT *, row_number() OVER (PARTITION BY session_id
+    ORDER BY CASE branch_name WHEN 'feature/r' THEN 0 WHEN 'feature/a' THEN 1 ELSE 2 END, first_order, first_line, first_part) - 1 AS change_seq
+  FROM (SELECT DISTINCT ON (session_id, branch_name) session_id, branch_name, first_order, first_line, first_part FROM latest
+    ORDER BY session_id, branch_name, first_order, first_line, first_part)"""
+_FILE_UNITS = f"""SELECT s_suppkey AS session_id, 0 AS part, 0 AS change_seq, 0 AS snippet_seq, 'requirement' AS unit_id,
+    'Only owners can refund orders.' AS text, 'BUSINESS_RULE' AS category_hint, NULL::VARCHAR AS source_file FROM supplier
+  UNION ALL SELECT session_id, 1, change_seq, 0, 'change-' || change_seq || '-' || branch_name, '—', {hint("branch_name", fixed.CHANGE_HINTS, "NULL")}, NULL FROM heads
+  UNION ALL SELECT session_id, 1, change_seq, row_number() OVER (PARTITION BY session_id, branch_name ORDER BY f.first_order, f.first_line, f.first_part),
+    'change-' || change_seq || '-' || branch_name || '__snippet_' || f.first_order || '_' || f.first_line || '_' || f.first_part,
+    patch, {_FILE_HINT}, path FROM (SELECT *, path AS file_path FROM latest WHERE trim(patch) <> '') f
+    JOIN (SELECT session_id, branch_name, change_seq FROM heads) h USING (session_id, branch_name)"""
+
+
 def flow(units: str, body: str, **before: str) -> str:
     """The pipeline over other units, which the CTEs in ``before`` prepare."""
     ctes = {**before, **STAGES, "units": units}
@@ -1011,6 +1030,14 @@ ORACLES |= {
         _DIFF_UNITS, RESULTS, diffs=DIFFS, chunks=CHUNKS, files=SHREDDED, latest=_LATEST, heads=_HEADS,
         forwarded=_FORWARDED,
     ),
+    "analyser_verdicts": flow(
+        _AGENT_UNITS, RESULTS, responses=RESPONSES, parsed=PARSED, items=ITEMS, reasons=REASONS, json_claims=JSON_CLAIMS,
+        lines=unique_lines(f"({CLAIM_TEXT})", ["response_id", "item_idx"]),
+    ),
+    "changed_file_verdicts": flow(
+        _FILE_UNITS, RESULTS.replace("c_custkey", "s_suppkey").replace("FROM customer", "FROM supplier"), latest=_LATEST_FILES,
+        heads=_FILE_HEADS,
+    ),
     "text_verdicts": flow(_TEXT_UNITS, RESULTS, corpus_units=_units()),
     "stream_conflicts": upto(
         "conflicts",

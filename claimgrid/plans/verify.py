@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from claimgrid.functions import fixed
 from claimgrid.functions.refs import default_path
 from claimgrid.functions.rules import RULES, Rule
-from claimgrid.operators import diffs, extract, files, normalize, pairing, reports, summary
+from claimgrid.operators import agents, diffs, extract, files, normalize, pairing, reports, summary
 from claimgrid.session import prepare, stage
 
 Extractor = Callable[[DataFrame], DataFrame]
@@ -100,6 +100,19 @@ def from_diffs(sessions: DataFrame, branches: DataFrame, raw_diffs: DataFrame) -
     return from_changed_files(sessions, branches, changed)
 
 
+def from_analysers(sessions: DataFrame, responses: DataFrame) -> Inputs:
+    """Analyser responses: every distinct line of their claims is a snippet of its own.
+
+    ``responses`` as ``agents.read_responses`` takes them, with numeric ids. Lines
+    keep (response, item, line) as order, so a session is never gathered.
+    """
+    claims = agents.claims(agents.read_responses(responses))
+    order = ["response_id", "item_idx"]
+    lines = agents.unique_lines(agents.claim_text(claims), order)
+    changes, snippets = agents.as_change(lines, order, 0)
+    return Inputs(sessions, changes, snippets)
+
+
 def requirement_text(requests: DataFrame) -> DataFrame:
     """Requirement of a feature request: its description and then its rules."""
     lines = F.concat(F.array("description"), F.coalesce("rules", F.array().cast("array<string>")))

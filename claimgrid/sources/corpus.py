@@ -217,6 +217,14 @@ FILE_PATCH = (
 )
 
 
+# The same files with a text that some rules read.
+SPOKEN_PATCH = (
+    "CASE WHEN patch IS NULL OR trim(patch) = '' THEN patch "
+    "WHEN length(path) % 3 = 0 THEN patch || chr(10) || 'role = ' || chr(39) || 'admin' || chr(39) "
+    "WHEN length(path) % 3 = 1 THEN patch || chr(10) || 'role === ' || chr(39) || 'owner' || chr(39) ELSE patch END"
+)
+
+
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("session_id"),
