@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,39 +13,62 @@ from claimgrid.session import prepare
 BUCKETS = 64
 
 
-def _bucketed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int"))
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int"))
 
 
-def _write(rows: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
-    """Write a batch to its own folder, so a repeated batch replaces itself."""
-    rows.write.mode("overwrite").partitionBy(*partitions).parquet(f"{path}/batch_id={batch_id}")
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, None while nothing has been written there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
-def verify_batch(units: DataFrame, batch_id: int, root: str, source_type: str = "CODE_DIFF") -> None:
+def _replace(rows: DataFrame, path: str) -> None:
+    """Replace the buckets that ``rows`` has, one task a bucket, and leave all others."""
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def verify_batch(
+    units: DataFrame, batch_id: int, root: str, source_type: str = "CODE_DIFF", buckets: int = BUCKETS
+) -> None:
     """Add a batch of units to the claim table and pair the touched sessions again.
 
-    A unit is complete in its row, so its claims never change later and only they
-    are kept. A new claim can merge into an older one, so conflicts of a touched
-    session are formed anew from all its claims. Claims are stored by session
-    bucket, and the join on ``bucket`` lets the scan skip buckets without a
-    touched session.
+    Claims and current conflicts are one table each, stored by session bucket. A
+    batch reads and replaces the buckets of its sessions only, so what it lists
+    does not grow with the batches before it. Claims carry their batch, so a
+    repeated batch replaces itself. A unit is complete in its row and its claims
+    never change, but a new claim can merge into an older one, so the conflicts
+    of a touched session are formed anew from all its claims. ``buckets`` is
+    fixed for a feed; a bucket should fit one task.
     """
     spark = prepare(units.sparkSession)
-    claims = _bucketed(extract.claims(units, source_type))
-    _write(claims, f"{root}/claims", batch_id, "bucket")
-    touched = _bucketed(units.select("session_id").distinct())
-    _write(touched, f"{root}/touched", batch_id, "bucket")
-    touched = spark.read.parquet(f"{root}/touched/batch_id={batch_id}")
-    seen = (
-        spark.read.option("basePath", f"{root}/claims")
-        .parquet(f"{root}/claims")
-        .filter(F.col("batch_id") <= batch_id)
-        .join(touched, ["bucket", "session_id"], "left_semi")
-        .drop("bucket", "batch_id")
-    )
-    conflicts = _bucketed(pairing.detect_conflicts(normalize.normalize(seen)))
-    _write(conflicts, f"{root}/conflicts", batch_id, "bucket")
+    work = f"{root}/_work"
+    claims = _bucketed(extract.claims(units, source_type), buckets).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    claims.write.mode("overwrite").parquet(f"{work}/claims")
+    touched = _bucketed(units.select("session_id").distinct(), buckets)
+    touched.write.mode("overwrite").parquet(f"{work}/touched")
+    touched = spark.read.parquet(f"{work}/touched")
+    # At most ``buckets`` numbers.
+    numbers = [r[0] for r in touched.select("bucket").distinct().collect()]
+    kept = spark.read.schema(claims.schema).parquet(f"{work}/claims")
+    before = _table(spark, f"{root}/claims")
+    if before is not None:
+        kept = kept.unionByName(before.filter(F.col("bucket").isin(numbers) & (F.col("batch_id") != batch_id)).select(kept.columns))
+    kept.write.mode("overwrite").parquet(f"{work}/kept")
+    kept = spark.read.schema(claims.schema).parquet(f"{work}/kept")
+    _replace(kept, f"{root}/claims")
+    seen = kept.join(touched, ["bucket", "session_id"], "left_semi").drop("bucket", "batch_id")
+    found = _bucketed(pairing.detect_conflicts(normalize.normalize(seen)), buckets)
+    shown = _table(spark, f"{root}/conflicts")
+    if shown is not None:
+        untouched = shown.filter(F.col("bucket").isin(numbers)).join(touched, ["bucket", "session_id"], "left_anti")
+        found = found.unionByName(untouched.select(found.columns))
+    found.write.mode("overwrite").parquet(f"{work}/conflicts")
+    _replace(spark.read.schema(found.schema).parquet(f"{work}/conflicts"), f"{root}/conflicts")
 
 
 def verify_stream(
@@ -61,13 +85,7 @@ def verify_stream(
 
 def current_conflicts(spark: SparkSession, root: str) -> DataFrame:
     """Conflicts of each session as of the last batch that touched it."""
-    latest = (
-        spark.read.parquet(f"{root}/touched")
-        .groupBy("session_id")
-        .agg(F.max("batch_id").alias("batch_id"))
-    )
-    conflicts = spark.read.parquet(f"{root}/conflicts").drop("bucket")
-    return conflicts.join(latest, ["session_id", "batch_id"], "left_semi").drop("batch_id")
+    return spark.read.parquet(f"{root}/conflicts").drop("bucket")
 
 
 def status_stream(events: DataFrame, checkpoint: str, table: str) -> StreamingQuery:

@@ -34,6 +34,23 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     assert spark.read.parquet(f"{root}/claims").count() == 2
 
 
+def test_many_batches_do_not_make_more_folders(spark, tmp_path):
+    root = tmp_path / "root"
+    parts = [
+        units(spark, *(["-"] * i), f"role = '{'owner' if i % 2 else 'admin'}'", session=f"s{i % 3}").filter(f"change_seq = {i}")
+        for i in range(20)
+    ]
+    for i, part in enumerate(parts):
+        feed.verify_batch(part, i, str(root), buckets=4)
+        assert len(list((root / "claims").glob("bucket=*"))) <= 4
+        assert len(list((root / "claims").glob("bucket=*/*.parquet"))) <= 4
+    everything = parts[0]
+    for part in parts[1:]:
+        everything = everything.unionByName(part)
+    whole = pairing.detect_conflicts(normalize.normalize(claims(everything, "CODE_DIFF")))
+    assert rows(feed.current_conflicts(spark, str(root)), *SHOWN) == rows(whole, *SHOWN) and whole.count() == 3
+
+
 def test_status_stream_equals_the_batch_fold(spark, tmp_path):
     events = spark.createDataFrame(
         [("s", 1, 1, "PENDING"), ("s", 2, 3, "COMPLETE"), ("s", 3, 2, "INGESTING"), ("t", 4, 1, "PENDING")],
