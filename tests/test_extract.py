@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from claimgrid.functions import text
 from claimgrid.functions.rules import RULES, Reading, Rule
 from claimgrid.operators import extract
 from tests.helpers import rows, units

@@ -8,30 +8,13 @@ from pyspark.sql import functions as F
 from claimgrid.operators import extract, reports
 from claimgrid.plans import verify
 from claimgrid.sources import tables
+from tests.golden import SCENARIO_1
 from tests.helpers import SESSIONS, inputs, rows
 
 OWNER = ("auth-task", "auth/roles.ts", "export const TOP_ROLE = 'owner';")
 ADMIN = ("billing-task", "billing/permissions.ts", "if (user.role === 'admin') { pay(user); }")
 REQUIREMENT = "Add organization billing. Only organization owners can manage subscriptions."
 
-SCENARIOS = {
-    # Removed and added lines of one file disagree; the second branch agrees with the removed one.
-    "roles": {
-        "auth-roles": "--- a/src/auth/roles.ts\n+++ b/src/auth/roles.ts\n@@ -1,1 +1,1 @@\n-const TOP_ROLE: Role = 'admin';\n+const TOP_ROLE: Role = 'owner';\n",
-        "billing": "--- a/src/billing/permissions.ts\n+++ b/src/billing/permissions.ts\n@@ -1,1 +1,1 @@\n+return user.role === 'admin';\n",
-    },
-    # The renamed field normalises away; the changed signature does not.
-    "payload": {
-        "events": "--- a/src/events/payload.ts\n+++ b/src/events/payload.ts\n@@ -1,1 +1,1 @@\n-  returns \"user_id\"\n+  returns \"userId\"\n",
-        "feed": "--- a/src/feed/handler.ts\n+++ b/src/feed/handler.ts\n@@ -1,1 +1,1 @@\n-export function onEvent(_e: Payload): void {\n+export function onEvent(e: Payload): Row {\n",
-    },
-    # One branch makes a field optional, the other counts on it.
-    "email": {
-        "signup": "--- a/src/users/model.ts\n+++ b/src/users/model.ts\n@@ -1,1 +1,1 @@\n-  email: string;\n+  email?: string;\n--- a/src/users/register.ts\n+++ b/src/users/register.ts\n@@ -1 +1 @@\n+  email?: string;\n",
-        "welcome": "--- a/src/notifications/welcome.ts\n+++ b/src/notifications/welcome.ts\n@@ -1 +1 @@\n+// assumes user.email is always defined\n",
-    },
-}
-
 
 @pytest.fixture(scope="module")
 def pasted(spark):
@@ -78,35 +61,6 @@ def test_default_path_and_requirement_source(spark, pasted):
     assert rows(by_text.reports, "severity", "confidence") == [("HIGH", "MEDIUM")]
 
 
-def _scenario_outcome(spark):
-    sessions = spark.createDataFrame([(s, "Ship it.") for s in SCENARIOS], SESSIONS)
-    branches = [(s, b, i) for s, texts in SCENARIOS.items() for i, b in enumerate(texts)]
-    raw = [(s, i, b, t) for s, texts in SCENARIOS.items() for i, (b, t) in enumerate(texts.items())]
-    return verify.verify(
-        verify.from_diffs(
-            sessions,
-            spark.createDataFrame(branches, "session_id string, branch_name string, declared_seq int"),
-            spark.createDataFrame(raw, "session_id string, diff_id int, branch_name string, raw string"),
-        )
-    )
-
-
-def test_scenarios_from_raw_diffs(spark):
-    outcome = _scenario_outcome(spark)
-    got = rows(outcome.reports, "session_id", "conflict_type", "affected_entity", "l_predicate", "r_predicate", "severity")
-    assert got == [
-        ("email", "DEPENDENCY", "email", "is_required = false", "is_required = true", "HIGH"),
-        ("payload", "CONTRACT", "onevent", "signature = onevent(_e: payload)", "signature = onevent(e: payload)", "HIGH"),
-        ("roles", "BUSINESS_RULE", "user_role", "required_role = admin", "required_role = owner", "HIGH"),
-    ]
-    files = rows(outcome.report_files, "session_id", "file_path")
-    assert files == [
-        ("email", "src/notifications/welcome.ts"), ("email", "src/users/model.ts"), ("email", "src/users/register.ts"),
-        ("payload", "src/feed/handler.ts"),
-        ("roles", "src/auth/roles.ts"), ("roles", "src/billing/permissions.ts"),
-    ]
-
-
 def test_three_flows_agree(spark):
     sessions = spark.createDataFrame([("s", REQUIREMENT)], SESSIONS)
     branches = spark.createDataFrame([("s", OWNER[0], 0), ("s", ADMIN[0], 1)], "session_id string, branch_name string, declared_seq int")
@@ -175,19 +129,19 @@ def test_requirement_of_a_feature_request(spark):
 
 def test_sources_and_sinks(spark, tmp_path, pasted):
     (tmp_path / "diffs").mkdir()
-    for name, text in SCENARIOS["roles"].items():
+    for name, text in SCENARIO_1["patches"].items():
         (tmp_path / "diffs" / f"{name}.diff").write_text(text)
     read = tables.read_diff_texts(spark, str(tmp_path / "diffs"))
-    assert rows(read, "branch_name", "raw") == sorted(SCENARIOS["roles"].items())
+    assert rows(read, "branch_name", "raw") == sorted(SCENARIO_1["patches"].items())
     assert rows(tables.read_diff_texts(spark, str(tmp_path / "diffs"), "main"), "branch_name") == [("main",)] * 2
 
     scenario = {
         "id": "roles", "title": "t",
-        "branches": [{"name": b, "changed_files": [], "patch": p} for b, p in SCENARIOS["roles"].items()],
+        "branches": [{"name": b, "changed_files": [], "patch": p} for b, p in SCENARIO_1["patches"].items()],
     }
     (tmp_path / "scenario.json").write_text(json.dumps(scenario))
     diffs = tables.scenario_diffs(tables.read_scenarios(spark, str(tmp_path / "scenario.json")))
-    assert rows(diffs, "branch_name", "raw") == sorted(SCENARIOS["roles"].items())
+    assert rows(diffs, "branch_name", "raw") == sorted(SCENARIO_1["patches"].items())
 
     secret = pasted.results.withColumn("agent_key", F.lit("hidden"))
     texts = [json.loads(t) for (t,) in rows(tables.public_json(secret), "json")]
