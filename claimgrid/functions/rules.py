@@ -14,10 +14,6 @@ from claimgrid.functions import fixed
 from claimgrid.functions.text import longer_than, pattern, subject_key, trim
 
 
-# Most groups any pattern captures.
-MAX_GROUPS = 4
-
-
 @dataclass(frozen=True)
 class Hit:
     """Captured groups of one match, and the unit's field noun."""
@@ -286,9 +282,9 @@ def trigger_regex(rules: Sequence[Rule] = RULES) -> str:
     return "(?i)" + "|".join(words)
 
 
-def _capture(index: int, rule: Rule, segment: Column, lowered: Column, hint: Column) -> Column:
+def _capture(index: int, rule: Rule, most: int, segment: Column, lowered: Column, hint: Column) -> Column:
     groups = [F.regexp_extract(segment, rule.regex, n) for n in range(rule.n_groups + 1)]
-    groups += [F.lit("")] * (MAX_GROUPS - rule.n_groups)
+    groups += [F.lit("")] * (most - rule.n_groups)
     words = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(w)) for w in rule.triggers))
     found = F.struct(
         F.lit(index).alias("rule_idx"), *(g.alias(f"g{n}") for n, g in enumerate(groups))
@@ -330,7 +326,9 @@ def matches(rules: tuple[Rule, ...], application: str) -> Column:
     keeps them out of one oversized generated method the JVM would not compile.
     """
     segment, lowered, hint, noun = map(F.col, ("segment", "lowered", "category_hint", "noun"))
+    # All captures have the groups of the largest rule, so that they are of one type.
+    most = max((rule.n_groups for rule in rules), default=0)
     captured = F.array_compact(
-        F.array(*(_capture(i, rule, segment, lowered, hint) for i, rule in enumerate(rules)))
+        F.array(*(_capture(i, rule, most, segment, lowered, hint) for i, rule in enumerate(rules)))
     )
     return F.array_compact(F.transform(captured, lambda c: _read(c, noun, rules)))
