@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, html_text, langid, neardup, packed, quality, secrets, token_counts, transducer, warc
+from .oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,4 +75,3 @@ QUERIES: dict[str, Query] = {
     "op9_warc_zip": op9_warc_zip,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {}
