@@ -36,7 +36,7 @@ from claimgrid.session import stage_root
 
 from .files import opened, written
 from .texts import slices
-from .vocabulary import Coded, library, place, vocabulary
+from .vocabulary import LONG, Coded, library, place, plain_parts, vocabulary
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
@@ -149,23 +149,59 @@ class Reader:
         return self.read(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+_JOINED = 500
+
+
 class Encoder:
     """The library's encoding, asked once for each distinct chunk between ASCII white space.
 
     The file's pattern drops white space and no step of it looks across, so a
-    text's ids are those of its chunks, one after the other.
+    text's ids are those of its chunks, one after the other. Plain chunks are
+    their word and their punctuation, which many chunks share; the library gets
+    those joined by blanks, and the ids of each end with an end-of-word token.
     """
 
     def __init__(self, path: str):
-        tool = library(path)
-        tool.no_truncation()
-        tool.no_padding()
-
-        def solve(chunks: list[bytes]) -> list[list[int]]:
-            own = [c.decode("utf-8", "replace") for c in chunks]
-            return [e.ids for e in tool.encode_batch(own, add_special_tokens=False)]
-
-        self.chunks = Coded(solve)
+        self.tool = library(path)
+        self.tool.no_truncation()
+        self.tool.no_padding()
+        words = vocabulary(path)
+        self.ends = np.zeros(words.size, dtype=bool)
+        self.ends[[i for s, i in words.ids.items() if words.suffix and s.endswith(words.suffix)]] = True
+        self.pieces: dict[str, list[int]] = {"": []}
+        self.chunks = Coded(self._solve)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _solve(self, chunks: list[bytes]) -> list[list[int]]:
+        if len(self.pieces) > Coded.MOST:
+            self.pieces = {"": []}
+        pieces, parts, other, new = self.pieces, [], [], {}
+        for chunk in chunks:
+            text = chunk.decode("utf-8", "replace")
+            found = plain_parts(text) if len(text) <= LONG else None
+            if found:
+                word, tail = found[1].lower(), found[2]
+                parts.append((word, tail))
+                if word not in pieces:
+                    new[word] = None
+                if tail not in pieces:
+                    new[tail] = None
+            else:
+                parts.append(None)
+                other.append(text)
+        listed = list(new)
+        for at in range(0, len(listed), _JOINED):
+            some = listed[at : at + _JOINED]
+            flat = self._ids([" ".join(some)])[0]
+            cuts = (np.flatnonzero(self.ends[flat]) + 1).tolist()
+            if len(cuts) != len(some):
+                raise ValueError("a piece did not end with one end-of-word token")
+            for x, a, b in zip(some, [0, *cuts], cuts):
+                pieces[x] = flat[a:b]
+        rest = iter(self._ids(other))
+        return [(pieces[p[0]] + pieces[p[1]] if p[1] else pieces[p[0]]) if p else next(rest) for p in parts]
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of the texts, each closed by ``end``."""

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .texts import slices
-from .vocabulary import Coded, Vocabulary, byte_symbols, library, place, spaced_chunks, vocabulary
+from .vocabulary import LONG, Coded, Vocabulary, byte_symbols, library, place, spaced_chunks, vocabulary
 
 TOKENIZER = "byte_bpe_50k.json"
 PAIRS_KEPT = 1_000_000
@@ -132,7 +132,7 @@ class Encoder:
         known = self.pieces.get(piece)
         if known is None:
             known = tuple(self.transducer.stream(piece))
-            if len(piece) <= Coded.LONG:
+            if len(piece) <= LONG:
                 if len(self.pieces) >= PIECES_KEPT:
                     self.pieces.clear()
                 self.pieces[piece] = known

@@ -99,22 +99,34 @@ def spaced_chunks(text: str) -> list[str]:
     return [*([first] if first else []), *[" " + r for r in rest]]
 
 
+class _Codes(dict):
+    """Chunks to row numbers; an unknown chunk gets the next one and is noted."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, chunk) -> int:
+        self[chunk] = row = len(self)
+        self.new.append(chunk)
+        return row
+
+
 class Coded:
     """Results for chunks, kept up to a number of chunks; a result is a row of a ragged array.
 
     ``solve`` gets a list of new chunks and returns one sequence of ids for each.
-    Chunks above ``LONG`` characters are solved but not kept.
+    Once more than ``most`` chunks or sixteen times as many ids are kept, all are
+    forgotten before the next batch, so the store is bounded by that and a batch.
     """
 
     MOST = 400_000
-    LONG = 256
 
     def __init__(self, solve: Callable[[list], list], most: int = MOST):
         self.solve, self.most = solve, most
         self._clear()
 
     def _clear(self) -> None:
-        self.codes: dict = {}
+        self.codes = _Codes()
         self.starts = np.zeros(1 << 12, dtype=np.int64)
         self.sizes = np.zeros(1 << 12, dtype=np.int64)
         self.values = np.zeros(1 << 14, dtype=np.int64)
@@ -125,30 +137,23 @@ class Coded:
         return array if need <= len(array) else np.concatenate((array, np.zeros(max(need, 2 * len(array)) - len(array), dtype=array.dtype)))
 
     def look_up(self, chunks: list) -> np.ndarray:
-        """Row numbers of the chunks; valid until the next call that finds the store full."""
-        if self.rows > self.most:
+        """Row numbers of the chunks; valid until the next call."""
+        if self.rows > self.most or self.filled > 16 * self.most:
             self._clear()
         codes = self.codes
-        new = [c for c in dict.fromkeys(chunks) if c not in codes]
-        long = [c for c in new if len(c) > self.LONG]
+        out = np.fromiter(map(codes.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        new, codes.new = codes.new, []
         if new:
             results = self.solve(new)
             sizes = np.fromiter(map(len, results), dtype=np.int64, count=len(new))
-            total = int(sizes.sum())
-            self.starts, self.sizes = self._room(self.starts, self.rows + len(new)), self._room(self.sizes, self.rows + len(new))
+            total, rows = int(sizes.sum()), self.rows + len(new)
+            self.starts, self.sizes = self._room(self.starts, rows), self._room(self.sizes, rows)
             self.values = self._room(self.values, self.filled + total)
-            self.sizes[self.rows : self.rows + len(new)] = sizes
-            self.starts[self.rows : self.rows + len(new)] = self.filled + np.cumsum(sizes) - sizes
+            self.sizes[self.rows : rows] = sizes
+            self.starts[self.rows : rows] = self.filled + np.cumsum(sizes) - sizes
             self.values[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(results), dtype=np.int64, count=total)
-            codes.update(zip(new, range(self.rows, self.rows + len(new))))
-            self.rows += len(new)
+            self.rows = rows
             self.filled += total
-        out = np.fromiter(map(codes.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        if long:
-            for chunk in long:
-                del codes[chunk]
-            if self.filled > 16 * self.most:
-                self.rows = self.most + 1
         return out
 
     def gather(self, rows: np.ndarray) -> np.ndarray:
@@ -156,3 +161,11 @@ class Coded:
         sizes = self.sizes[rows]
         before = np.cumsum(sizes) - sizes
         return self.values[np.repeat(self.starts[rows] - before, sizes) + np.arange(sizes.sum())]
+
+
+# A chunk of letters, then ASCII punctuation without apostrophes: two stretches
+# that the files' patterns never cut or join, and that only lower case changes.
+_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+plain_parts = _PLAIN.fullmatch
+# Longer pre-tokens are worked on where they occur and not kept.
+LONG = 256
