@@ -26,7 +26,7 @@ from claimgrid.operators import (
 from claimgrid.operators import files as files_ops
 from claimgrid.plans import verify
 from claimgrid.session import prepare, stage, stage_root
-from claimgrid.sources import corpus
+from claimgrid.sources import corpus, tables
 from claimgrid.streaming import feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -812,3 +812,96 @@ def unknown_claim_ids(spark, sf):
         table.select(F.col("session_id").alias("result_id"), "affected_claim_ids"), known
     )
     return missing.distinct()
+
+
+# --- operators on their own ------------------------------------------------------
+
+
+@query
+def branch_files(spark, sf):
+    files = files_ops.of_branch(corpus.changed_files(spark, sf), "feature/r")
+    return files.select("session_id", F.col("seq.l_orderkey").alias("l_orderkey"), F.col("seq.l_linenumber").alias("l_linenumber"), "path")
+
+
+@query
+def dropped_subjects(spark, sf):
+    return normalize.dropped(corpus_normalized(spark, sf))
+
+
+@query
+def light_claims(spark, sf):
+    return normalize.tidy(corpus_claims(spark, sf)).select(
+        "session_id", "claim_id", "subject", "predicate", "statement", "evidence_text"
+    )
+
+
+@query
+def coverage_fractions(spark, sf):
+    covered = summary.covered_criteria(corpus_criteria(spark, sf), corpus_claims(spark, sf))
+    rows = summary.coverage(corpus.sessions(spark, sf), covered)
+    return rows.select(
+        "session_id", summary.fraction(F.col("covered"), F.nullif(F.col("criteria"), F.lit(0))).alias("fraction"),
+        summary.coverage_ok(F.col("requirement_coverage")).alias("enough"),
+    )
+
+
+@query
+def criterion_errors(spark, sf):
+    return checks.record_errors(corpus.record(spark, sf, "part", corpus.CRITERION_RECORD), ["id"], checks.criterion_checks)
+
+
+@query
+def branch_errors(spark, sf):
+    return checks.record_errors(corpus.record(spark, sf, "customer", corpus.BRANCH_RECORD), ["id"], checks.branch_checks)
+
+
+@query
+def domain_claim_errors(spark, sf):
+    rows = corpus.record(spark, sf, "orders", corpus.DOMAIN_CLAIM_RECORD)
+    return checks.record_errors(rows, ["id"], checks.domain_claim_checks)
+
+
+@query
+def passport_draft_errors(spark, sf):
+    return checks.record_errors(corpus.record(spark, sf, "orders", corpus.DRAFT_RECORD), ["id"], checks.passport_draft_checks)
+
+
+@query
+def candidate_errors(spark, sf):
+    """Candidates whose sides are sound claims with subjects that may differ."""
+
+    def side(subject: str):
+        return F.struct(
+            F.lit("c").alias("claim_id"), F.lit("s").alias("statement"), F.col(subject).alias("subject"), F.lit("p").alias("predicate"),
+            F.lit("CODE_DIFF").alias("source_type"), F.lit("e").alias("evidence_text"), F.lit("HIGH").alias("confidence"),
+        )
+
+    rows = corpus.record(spark, sf, "orders", corpus.CANDIDATE_RECORD)
+    return checks.candidate_errors(rows.withColumns({"left": side("left_subject"), "right": side("right_subject")}), ["id"])
+
+
+@query
+def miscounted_results(spark, sf):
+    summaries = corpus.record(spark, sf, "orders", corpus.COUNTED_RECORD)
+    lines = corpus.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("result_id"), "l_linenumber")
+    return checks.miscounted(summaries, lines, lines.filter("l_linenumber = 2")).select(
+        "result_id", "assumptions_found", "n_claims", "n_findings"
+    )
+
+
+@query
+def public_rows(spark, sf):
+    """Sessions written as JSON texts without secrets and read from them again."""
+    rows = corpus.sessions(spark, sf).withColumn("agent_key", F.lit("k"))
+    schema = "session_id bigint, requirement_text string, agent_key string"
+    read = tables.public_json(rows).select(F.from_json("json", schema).alias("r")).select("r.*")
+    return read.filter("agent_key is null").select("session_id", "requirement_text")
+
+
+@query
+def written_files(spark, sf):
+    """Changed files written as a table and read back for one branch."""
+    path = f"{stage_root(spark)}/changed-{uuid.uuid4().hex}"
+    tables.write_table(corpus.changed_files(spark, sf), path)
+    files = tables.read_changed_files(spark, path, "feature/a")
+    return files.select("session_id", F.col("seq.l_orderkey").alias("l_orderkey"), F.col("seq.l_linenumber").alias("l_linenumber"), F.md5("patch").alias("patch_md5"))

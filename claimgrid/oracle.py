@@ -1065,6 +1065,53 @@ _CONFLICT_FLAWS = [
 ]
 
 ORACLES |= {
+    "branch_files": f"SELECT session_id, l_orderkey, l_linenumber, path FROM ({CHANGED_ROWS}) WHERE branch_name = 'feature/r'",
+    "written_files": f"SELECT session_id, l_orderkey, l_linenumber, md5(patch) AS patch_md5 FROM ({CHANGED_ROWS}) WHERE branch_name = 'feature/a'",
+    "dropped_subjects": upto("norm", "SELECT session_id, claim_id, subject FROM norm WHERE canonical_subject = ''"),
+    "light_claims": upto(
+        "claims",
+        f"""SELECT session_id, claim_id, lower({btrim('subject')}) AS subject, {btrim('predicate')} AS predicate,
+              {btrim('statement')} AS statement, {btrim('evidence_text')} AS evidence_text FROM claims""",
+    ),
+    "coverage_fractions": upto(
+        "claims",
+        """SELECT c_custkey AS session_id, CASE WHEN count(criterion_key) > 0
+             THEN count(*) FILTER (covered) || '/' || count(criterion_key) END AS fraction,
+             CASE WHEN count(criterion_key) > 0 THEN floor(100.0 * count(*) FILTER (covered) / count(criterion_key) + 0.5) >= 90 END AS enough
+           FROM customer LEFT JOIN covered_rows ON session_id = c_custkey GROUP BY c_custkey""",
+        covered_rows=COVERED,
+    ),
+    "criterion_errors": flaws(record_sql("part", corpus.CRITERION_RECORD), "id", [no_text("key", "key"), no_text("description", "description")]),
+    "branch_errors": flaws(record_sql("customer", corpus.BRANCH_RECORD), "id", [
+        ("'name'", "name = ''", "'branch name must not be empty'"),
+        ("'sha'", "NOT regexp_full_match(coalesce(sha, ''), '[0-9a-f]{40}')", "'sha must be a 40-character lowercase hex string'"),
+    ]),
+    "domain_claim_errors": flaws(record_sql("orders", corpus.DOMAIN_CLAIM_RECORD), "id", [
+        ("'id'", _UUID, "'id must be a UUID v4 string'"),
+        no_text("branchName", "branch_name"), no_text("value", "value"),
+        ("'concept'", "NOT regexp_full_match(concept, '[a-z0-9-]+')", "'concept must be lowercase kebab-case'"),
+        not_in("sourceAgent", "source_agent", fixed.AGENT_TYPES), not_in("confidence", "confidence", fixed.CONFIDENCES),
+        ("'numericConfidence'", "numeric_confidence > 1", "'numericConfidence must be between 0 and 1'"),
+    ]),
+    "passport_draft_errors": flaws(record_sql("orders", corpus.DRAFT_RECORD), "id", [
+        no_text("title", "title"),
+        ("'approvedBy'", "(approved_by IS NULL) <> (approved_at IS NULL)", "'approvedBy and approvedAt must both be set or both be null'"),
+        ("'verificationResultId'", "verification_result_id <> embedded_result_id",
+         "'verificationResultId must match the embedded verificationResult.id'"),
+    ]),
+    "candidate_errors": flaws(record_sql("orders", corpus.CANDIDATE_RECORD), "id", [
+        ("'id'", "trim(candidate_id) = ''", "'id must be a non-empty string'"),
+        not_in("conflictType", "conflict_type", fixed.CONFLICT_TYPES), not_in("estimatedSeverity", "estimated_severity", fixed.SEVERITIES),
+        not_in("status", "status", fixed.CANDIDATE_STATUSES),
+        ("'pairingRationale'", "pairing_rationale = ''", "'pairingRationale must be a non-empty string'"),
+        ("'affectedEntity'", "lower(trim(left_subject)) <> lower(trim(right_subject))",
+         "'leftAssumption.subject and rightAssumption.subject must share the same normalized entity'"),
+    ]),
+    "miscounted_results": f"""SELECT result_id, assumptions_found, n_claims, n_findings FROM {record_sql("orders", corpus.COUNTED_RECORD)}
+      JOIN (SELECT o_orderkey AS result_id, count(l_orderkey) AS n_claims, count(*) FILTER (l_linenumber = 2) AS n_findings
+            FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) USING (result_id)
+      WHERE assumptions_found <> n_claims OR conflicts_found <> n_findings OR critical + high + medium + low <> conflicts_found""",
+    "public_rows": f"SELECT c_custkey AS session_id, {corpus.REQUIREMENT} AS requirement_text FROM customer",
     "norm_traces": upto(
         "norm",
         f"""SELECT session_id, claim_id, row_number() OVER (PARTITION BY session_id, claim_id ORDER BY kind) - 1 AS step,

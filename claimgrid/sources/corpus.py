@@ -361,3 +361,56 @@ SUMMARY_RECORD = {
     "requirement_coverage": "CASE o_orderkey % 3 WHEN 0 THEN NULL ELSE o_orderkey % 130 END",
 }
 CANDIDATE_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'CONFIRMED' WHEN 'O' THEN 'DISMISSED' ELSE 'PENDING' END"
+CRITERION_RECORD = {
+    "id": "p_partkey",
+    "key": "CASE p_partkey % 4 WHEN 0 THEN '' ELSE 'AC-' || p_partkey END",
+    "description": "CASE p_partkey % 7 WHEN 0 THEN NULL ELSE p_name END",
+}
+BRANCH_RECORD = {
+    "id": "c_custkey",
+    "name": "CASE c_custkey % 5 WHEN 0 THEN '' ELSE 'feature/' || c_custkey END",
+    "sha": "CASE c_custkey % 3 WHEN 0 THEN md5(c_name) || substr(md5(c_name), 1, 8) WHEN 1 THEN md5(c_name) ELSE NULL END",
+}
+DOMAIN_CLAIM_RECORD = {
+    "id": f"CASE o_orderkey % 5 WHEN 0 THEN 'id-' || o_orderkey ELSE {_ID.format(n='o_orderkey')} END",
+    "branch_name": "CASE o_orderstatus WHEN 'P' THEN '' ELSE 'main' END",
+    "source_file": "'src/a.ts'",
+    "statement": "o_orderpriority",
+    "concept": "CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority ELSE 'order-priority' END",
+    "value": "CASE o_orderkey % 11 WHEN 0 THEN NULL ELSE o_orderstatus END",
+    "source_agent": "CASE o_orderkey % 6 WHEN 0 THEN 'nobody' ELSE 'change' END",
+    "confidence": "CASE o_orderkey % 4 WHEN 0 THEN 'SURE' ELSE 'HIGH' END",
+    "numeric_confidence": "CAST((o_orderkey % 13) AS DOUBLE) / 10",
+    "extracted_at": "'2024-08-01T12:00:00.000Z'",
+}
+DRAFT_RECORD = {
+    "id": _ID.format(n="o_orderkey"),
+    "title": "CASE o_orderkey % 7 WHEN 1 THEN '' ELSE o_orderpriority END",
+    "intent_summary": "o_orderstatus",
+    "generated_at": "'2024-08-01T12:00:00.000Z'",
+    "approved_by": "CASE o_orderkey % 2 WHEN 0 THEN 'someone' ELSE NULL END",
+    "approved_at": "CASE o_orderkey % 3 WHEN 0 THEN '2024-08-01T12:00:00.000Z' ELSE NULL END",
+    "verification_result_id": "CAST(o_custkey AS VARCHAR(20))",
+    "embedded_result_id": "CASE o_orderkey % 4 WHEN 0 THEN 'other' ELSE CAST(o_custkey AS VARCHAR(20)) END",
+}
+CANDIDATE_RECORD = {
+    "id": "o_orderkey",
+    "candidate_id": "CASE o_orderkey % 6 WHEN 0 THEN ' ' ELSE 'c' || o_orderkey END",
+    "conflict_type": "CASE o_orderkey % 5 WHEN 0 THEN 'STYLE' ELSE 'CONTRACT' END",
+    "estimated_severity": "CASE o_orderstatus WHEN 'P' THEN 'DIRE' ELSE 'HIGH' END",
+    "confidence": "'LOW'",
+    "status": "CASE o_orderkey % 7 WHEN 0 THEN NULL ELSE 'PENDING' END",
+    "affected_entity": "o_orderpriority",
+    "pairing_rationale": "CASE o_orderkey % 8 WHEN 0 THEN '' ELSE 'same' END",
+    "left_subject": "' User '",
+    "right_subject": "CASE o_orderkey % 3 WHEN 0 THEN 'Order' ELSE 'uSER' END",
+}
+COUNTED_RECORD = {
+    "result_id": "o_orderkey",
+    "assumptions_found": "o_orderkey % 8",
+    "conflicts_found": "1",
+    "critical": "0",
+    "high": "o_orderkey % 2",
+    "medium": "CASE o_orderkey % 3 WHEN 0 THEN 1 ELSE 0 END",
+    "low": "0",
+}
