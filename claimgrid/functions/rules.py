@@ -14,6 +14,10 @@ from claimgrid.functions import fixed
 from claimgrid.functions.text import longer_than, pattern, subject_key, trim
 
 
+# Stands between the groups of a match; a noncharacter, which no text holds.
+GROUP_MARK = "\ufdd0"
+
+
 @dataclass(frozen=True)
 class Hit:
     """Captured groups of one match, and the unit's field noun."""
@@ -22,7 +26,7 @@ class Hit:
     noun: Column
 
     def group(self, n: int) -> Column:
-        return self.captured[f"g{n}"]
+        return self.captured["groups"][n]
 
     def first_of(self, *groups: int) -> Column:
         return F.coalesce(*(F.nullif(self.group(n), F.lit("")) for n in groups), F.lit(""))
@@ -40,7 +44,7 @@ class Reading:
 
 @dataclass(frozen=True)
 class Rule:
-    """``triggers`` are lower-case texts, one of which every match contains."""
+    """``triggers`` are lower-case texts, one of which every match contains. The regex has no look-around."""
 
     rule_id: str
     category: str
@@ -276,22 +280,25 @@ def admits(hint: Column, category: str) -> Column:
     return hint.isNull() | hint.isin(hints)
 
 
-def trigger_regex(rules: Sequence[Rule] = RULES) -> str:
-    """One pattern every matching segment contains: a cheap test ahead of the rules."""
-    words = sorted({re.escape(word) for rule in rules for word in rule.triggers})
-    return "(?i)" + "|".join(words)
+def _capture(index: int, rule: Rule, segment: Column, lowered: Column, hint: Column) -> Column:
+    """Rule and matched text, empty if the pattern finds nothing: one evaluation."""
+    words = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(w)) for w in rule.triggers))
+    found = F.struct(F.lit(index).alias("rule_idx"), F.regexp_extract(segment, rule.regex, 0).alias("whole"))
+    return F.when(admits(hint, rule.category) & words, found)
 
 
-def _capture(index: int, rule: Rule, most: int, segment: Column, lowered: Column, hint: Column) -> Column:
-    groups = [F.regexp_extract(segment, rule.regex, n) for n in range(rule.n_groups + 1)]
-    groups += [F.lit("")] * (most - rule.n_groups)
-    words = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(w)) for w in rule.triggers))
-    found = F.struct(
-        F.lit(index).alias("rule_idx"), *(g.alias(f"g{n}") for n, g in enumerate(groups))
-    )
-    return F.when(
-        admits(hint, rule.category) & words & F.rlike(segment, F.lit(rule.regex)), found
-    )
+def _groups(captured: Column, rules: Sequence[Rule]) -> Column:
+    """The matched text and its groups in order, from one pass over the matched text.
+
+    A pattern has no look-around, so it matches its own matched text as a whole.
+    """
+    chain = None
+    for index, rule in enumerate(rules):
+        listed = GROUP_MARK.join(f"${n}" for n in range(rule.n_groups + 1))
+        groups = F.split(F.regexp_replace(captured["whole"], F.lit(rule.regex), F.lit(listed)), GROUP_MARK, -1)
+        test = captured["rule_idx"] == index
+        chain = F.when(test, groups) if chain is None else chain.when(test, groups)
+    return F.struct(captured["rule_idx"].alias("rule_idx"), chain.alias("groups"))
 
 
 def _read(captured: Column, noun: Column, rules: Sequence[Rule]) -> Column:
@@ -306,7 +313,7 @@ def _read(captured: Column, noun: Column, rules: Sequence[Rule]) -> Column:
             reading.subject.alias("subject"),
             reading.predicate.alias("predicate"),
             reading.statement.alias("statement"),
-            trim(captured["g0"]).alias("evidence_text"),
+            trim(captured["groups"][0]).alias("evidence_text"),
             F.lit(rule.confidence).alias("confidence"),
         )
         test, value = captured["rule_idx"] == index, F.when(reading.valid, claim)
@@ -326,9 +333,6 @@ def matches(rules: tuple[Rule, ...], application: str) -> Column:
     keeps them out of one oversized generated method the JVM would not compile.
     """
     segment, lowered, hint, noun = map(F.col, ("segment", "lowered", "category_hint", "noun"))
-    # All captures have the groups of the largest rule, so that they are of one type.
-    most = max((rule.n_groups for rule in rules), default=0)
-    captured = F.array_compact(
-        F.array(*(_capture(i, rule, most, segment, lowered, hint) for i, rule in enumerate(rules)))
-    )
+    tried = F.array_compact(F.array(*(_capture(i, rule, segment, lowered, hint) for i, rule in enumerate(rules))))
+    captured = F.transform(F.filter(tried, lambda c: c["whole"] != ""), lambda c: _groups(c, rules))
     return F.array_compact(F.transform(captured, lambda c: _read(c, noun, rules)))

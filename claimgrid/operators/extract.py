@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimgrid.functions import fixed
-from claimgrid.functions.rules import NOUN_REGEX, RULES, Rule, matches, trigger_regex
+from claimgrid.functions.rules import NOUN_REGEX, RULES, Rule, matches
 from claimgrid.functions.text import is_blank, longer_than, slug, trim
 
 # A unit's place in its session; "first occurrence" everywhere follows this
@@ -123,7 +123,6 @@ def rule_matches(units: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     )
     keep = [*UNIT_KEY, "unit_id", "category_hint", "source_file", "noun"]
     rows = segments(units.withColumn("noun", noun), *keep)
-    rows = rows.filter(F.rlike("segment", F.lit(trigger_regex(rules))))
     application = units.sparkSession.sparkContext.applicationId
     found = rows.withColumn("lowered", F.lower("segment")).select(
         *UNIT_KEY, "unit_id", "source_file", "seg_idx",
