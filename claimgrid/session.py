@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -79,9 +80,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)
 
 
+# Staged folders with the JVM and the Hadoop settings they were written with.
+_WRITTEN: dict[str, tuple] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table under ``stage_root``, which an operator needs written in any case."""
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete all staged tables of this process, once their consumers have run.
+
+    Called by itself when the process ends; a long-lived service calls it after
+    each run.
+    """
+    for path in list(_WRITTEN):
+        jvm, conf = _WRITTEN.pop(path)
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+atexit.register(release)
