@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .texts import slices
-from .vocabulary import Coded, Vocabulary, byte_symbols, library, place, vocabulary
+from .vocabulary import LONG, Coded, Vocabulary, byte_symbols, library, place, plain_parts, vocabulary
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -98,7 +98,10 @@ class Counter:
         self.vocabulary, self.merges = words, Merges(words)
         self.normal = tool.normalizer.normalize_str if tool.normalizer else (lambda x: x)
         self.cut = tool.pre_tokenizer.pre_tokenize_str
-        symbols = byte_symbols()
+        self.pieces: dict[str, int] = {}
+        self.symbols = symbols = byte_symbols()
+        # Whether plain chunks may be cut here: this holds for files that lower case.
+        self.lower = bool(tool.normalizer) and words.suffix != ""
         self.inner = {s: words.ids[s] for s in symbols if s in words.ids}
         self.final = {s: words.ids[s + words.suffix] for s in symbols if s + words.suffix in words.ids}
         self.chunks = Coded(self._solve)
@@ -109,24 +112,42 @@ class Counter:
         used: list[int] = []
         owners: list[int] = []
         for i, chunk in enumerate(chunks):
-            for part, special in self.vocabulary.parts(chunk.decode("utf-8", "replace")):
+            text = chunk.decode("utf-8", "replace")
+            plain = self.lower and plain_parts(text)
+            if plain:
+                word, tail = plain[1].lower(), plain[2]
+                cut = [word if word.isascii() else "".join([self.symbols[b] for b in word.encode()])]
+                if tail:
+                    cut.append(tail)
+                for piece in cut:
+                    used.append(pieces.setdefault(piece, len(pieces)))
+                    owners.append(i)
+                continue
+            for part, special in self.vocabulary.parts(text):
                 if special is not None:
                     counts[i] += 1
                     continue
                 for piece, _ in self.cut(self.normal(part)):
                     used.append(pieces.setdefault(piece, len(pieces)))
                     owners.append(i)
+        # What earlier batches have merged is kept; the rest is merged at once.
+        new = [p for p in pieces if p not in self.pieces]
         symbols: list[int] = []
-        sizes = np.zeros(len(pieces), dtype=np.int64)
-        for k, piece in enumerate(pieces):
+        sizes = np.zeros(len(new), dtype=np.int64)
+        for k, piece in enumerate(new):
             row = [self.inner[s] for s in piece[:-1] if s in self.inner]
             if piece and piece[-1] in self.final:
                 row.append(self.final[piece[-1]])
             symbols.extend(row)
             sizes[k] = len(row)
-        _, left = self.merges.reduce(np.array(symbols, dtype=np.int64), sizes)
+        _, merged = self.merges.reduce(np.array(symbols, dtype=np.int64), sizes)
+        fresh = dict(zip(new, merged.tolist()))
         if used:
+            left = np.array([self.pieces.get(p) if p in self.pieces else fresh[p] for p in pieces], dtype=np.int64)
             counts += np.bincount(owners, weights=left[used], minlength=len(chunks)).astype(np.int64)
+        if len(self.pieces) > Coded.MOST:
+            self.pieces.clear()
+        self.pieces.update((p, n) for p, n in fresh.items() if len(p) <= LONG)
         return [(c,) for c in counts.tolist()]
 
     def count(self, texts: list[bytes]) -> np.ndarray:
