@@ -2,8 +2,9 @@
 
 *Lines.* Markup is stripped in one pass. Every block-level tag ends a line, so a
 line is the text of one block: references decoded, white space turned into one
-space, trimmed. Scripts, styles and other raw elements have no lines. A line is
-furniture if it stands in a menu, page header, footer, sidebar, notice, advert,
+space, trimmed. Scripts, styles and other raw elements have no lines, nor have drawings,
+formulas, objects, selections and templates from their start tag to its end tag; one
+of these that closes itself or has no end tag is empty. A line is furniture if it stands in a menu, page header, footer, sidebar, notice, advert,
 form, comment section or hidden element, told by tag, role, or class and id words.
 
 *Distribution.* A line weighs its number of characters; furniture weighs nothing,
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +38,18 @@ from .texts import slices
 WINDOW = 3
 SURGE = 120
 
-_RAW = "script|style|title|textarea|noscript|template|iframe|svg|math|object|select|xmp|noembed|noframes"
+_RAW = "script|style|title|textarea|iframe|xmp|noembed|noframes"
+# A raw element that closes itself is empty; one without an end tag runs to the end, as in a browser.
 _MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>{_RAW})\b[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    rf"|<(?P<raw>{_RAW})(?=[\s/>])(?!/>)(?>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)(?<![\s\"']/)>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z)"
     r"|<(?P<close>/?+)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
+# Elements without lines that hold markup, left out from their start tag to its end tag.
+EMBEDDED = frozenset("svg math object select noscript template".split())
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section summary table "
@@ -84,6 +91,30 @@ def is_furniture(name: str, rest: str, framed: bool) -> bool:
     return False
 
 
+def embedded(tags: list[re.Match]) -> dict[int, int]:
+    """Place of the end tag of each embedded element that has one, by the place of its start tag."""
+    ends: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []
+    amount = Counter()
+    for k, tag in enumerate(tags):
+        name = (tag["name"] or "").lower()
+        if name not in EMBEDDED and name not in FRAMES:
+            continue
+        if not tag["close"]:
+            if name in FRAMES or not _CLOSED.search(tag["rest"]):
+                opened.append((name, k))
+                amount[name] += 1
+        elif amount[name]:
+            while True:
+                last, start = opened.pop()
+                amount[last] -= 1
+                if last == name:
+                    break
+            if name in EMBEDDED:
+                ends[start] = k
+    return ends
+
+
 def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Lines of a page, and for each: furniture, inside a frame, characters of links."""
     texts: list[str] = []
@@ -115,7 +146,13 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
             skipping = 0
 
     at = 0
-    for tag in _MARKUP.finditer(page):
+    tags = list(_MARKUP.finditer(page))
+    ends = embedded(tags)
+    past = -1  # place of the end tag of the embedded element being left out
+    for k, tag in enumerate(tags):
+        if k <= past:
+            at = tag.end()
+            continue
         if tag.start() > at:
             piece = page[at : tag.start()]
             own.append(piece)
@@ -126,6 +163,9 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         if name is None:
             continue
         name = name.lower()
+        if name in EMBEDDED:
+            past = ends.get(k, -1)
+            continue
         if name in SPACED:
             own.append(" ")
         if name == "a":

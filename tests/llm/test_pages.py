@@ -47,6 +47,23 @@ def test_broken_and_small_pages():
     assert len(html_text.main_text("<article>" + "<p>word word</p>" * 20_000 + "</article>")) == 20_000
 
 
+def test_elements_without_an_end_tag_take_nothing_with_them():
+    def article(inner):
+        return html_text.main_text(f"<article>{inner}</article><p>outside</p>")
+
+    rest = "<p>Two.</p>"
+    for icon in ('<svg class="i"/>', "<math/>", "<svg />", "<object data=x>", "<select name=a>", "<iframe src='x'/>", "<svg><title/></svg>",
+                 "<svg><svg><text>a</text></svg>b</svg>", "<svg><title>t</title><text>a</text></svg>", "<object><p>a</p><p>b</p></object>",
+                 "<select><option>a<option>b</select>", "<script src=/x/>var t;</script>", "<style>p</style >", "<script>x</script\n>"):
+        assert article(f"<p>Icon {icon} and the rest.</p>{rest}") == ["Icon and the rest.", "Two."], icon
+    for name in ("select-box", "title-bar", "svg-icon", "object-view", "script-note"):
+        assert article(f"<p>A <{name}>x</{name}> b.</p>{rest}") == ["A x b.", "Two."], name
+    assert article(f"<svg><path d='1'/><p>One.</p>{rest}<svg><text>a</text></svg><p>Three.</p>") == ["One.", "Two.", "Three."]
+    assert html_text.main_text("<article><object><p>One.</p></article><p>x</p></object>") == ["One."]
+    assert len(article("<p>word <object> <select></p>" * 20_000)) == 20_000
+    assert article(f"<p>One.</p>{rest}<script>never closed <p>code</p>") == ["One.", "Two."]
+
+
 def test_stretches():
     w = np.array([0, 0, 5, 0, 0, 7, 0, 0, 0, 9, 1])
     assert html_text.stretches(w, 3) == [(2, 6, 7), (9, 11, 10)]
