@@ -7,14 +7,16 @@ formulas, objects, selections and templates from their start tag to its end tag;
 of these that closes itself or has no end tag is empty. A line is furniture if it stands in a menu, page header, footer, sidebar, notice, advert,
 form, comment section or hidden element, told by tag, role, or class and id words.
 
-*Distribution.* A line weighs its number of characters; furniture weighs nothing,
-and neither does what stands outside ``<article>`` or ``<main>`` on a page that
-has one. Without such a frame, the characters of links don't count either. A
+*Distribution.* On a page with ``<article>`` or ``<main>``, all their lines but
+furniture are kept. On a page without such a frame furniture is taken out first,
+so it breaks no text, and a line weighs its number of characters outside links; a
+line with links and no letter outside of them is a link line and weighs nothing. A
 line block is the sum of ``WINDOW`` neighbouring lines. Text surges where blocks
-rise from zero, and dives where they are zero again; what lies between is kept,
-short lines included, and its furniture left out. On a page without a frame only
-those stretches are kept whose largest block reaches ``SURGE`` characters, or the
-largest of all if none does.
+rise from zero, and dives where they are zero again. Every stretch from the first
+whose largest block reaches ``SURGE`` characters to the last such is kept whole,
+however sparse; if none reaches it, the largest is kept. A stretch after the last
+dive, behind ``WINDOW`` link lines, can't be told from the end of the page and is
+left out, as is one before the first surge.
 
 Unclosed and crossed tags are taken as they come. A null or empty page has the
 empty text. Nothing is cut off at any length.
@@ -116,27 +118,28 @@ def embedded(tags: list[re.Match]) -> dict[int, int]:
 
 
 def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Lines of a page, and for each: furniture, inside a frame, characters of links."""
+    """Lines of a page, and for each: furniture, inside a frame, characters of links (all of them in a link line)."""
     texts: list[str] = []
     furniture: list[bool] = []
     framed: list[bool] = []
     linked: list[int] = []
     own: list[str] = []
     link_text = 0
+    spoken = False  # the line has a letter outside links
     stack: list[str] = []  # open elements that matter: furniture, frames and what nests in furniture
     skipping = 0  # depth in the stack of the outermost furniture, 0 for none
     frames = links = 0
 
     def end_line() -> None:
-        nonlocal own, link_text
+        nonlocal own, link_text, spoken
         if own:
             text = " ".join(html.unescape("".join(own)).split())
             if text:
                 texts.append(text)
                 furniture.append(skipping > 0)
                 framed.append(frames > 0)
-                linked.append(min(link_text, len(text)))
-        own, link_text = [], 0
+                linked.append(min(link_text, len(text) - 1) if spoken or not link_text else len(text))
+        own, link_text, spoken = [], 0, False
 
     def pop_to(depth: int) -> None:
         nonlocal skipping, frames
@@ -158,6 +161,8 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
             own.append(piece)
             if links:
                 link_text += len(piece)
+            elif not spoken:
+                spoken = any(map(str.isalpha, html.unescape(piece)))
         at = tag.end()
         name = tag["name"]
         if name is None:
@@ -193,6 +198,7 @@ def lines(page: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
                 skipping = len(stack)
     if at < len(page):
         own.append(page[at:])
+        spoken = spoken or not links
     end_line()
     return texts, np.array(furniture, dtype=bool), np.array(framed, dtype=bool), np.array(linked, dtype=np.int64)
 
@@ -212,18 +218,16 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> list[str]:
     texts, furniture, framed, linked = lines(page)
     if not texts:
         return []
-    weights = np.array([len(t) for t in texts], dtype=np.int64)
-    weights[furniture] = 0
-    if (framed & ~furniture).any():
-        weights[~framed] = 0
-        kept = stretches(weights, window)
-    else:
-        weights = np.where(linked * 2 > weights, 0, weights - linked)
-        kept = stretches(weights, window)
-        most = max((b for *_, b in kept), default=0)
-        kept = [x for x in kept if x[2] >= min(surge, most)]
-    inside = framed if framed.any() else np.ones(len(texts), dtype=bool)
-    return [texts[i] for a, b, _ in kept for i in range(a, b) if not furniture[i] and inside[i]]
+    own = ~furniture
+    if framed.any():
+        return [texts[i] for i in np.flatnonzero(own & framed)]
+    body = np.flatnonzero(own)
+    weights = np.array([len(texts[i]) for i in body], dtype=np.int64) - linked[body]
+    found = stretches(weights, window)
+    most = max((b for *_, b in found), default=0)
+    dense = [k for k, (*_, b) in enumerate(found) if b >= min(surge, most)]
+    kept = found[dense[0] : dense[-1] + 1] if dense else []
+    return [texts[body[k]] for a, b, _ in kept for k in range(a, b)]
 
 
 def extracted(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

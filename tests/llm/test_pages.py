@@ -36,6 +36,17 @@ def test_page_without_a_frame_keeps_the_dense_stretch():
     assert html_text.main_text(page) == [long.strip(), "short.", long.strip()]
 
 
+def test_page_without_a_frame_keeps_what_furniture_and_links_split():
+    long = "A sentence of some length stands here. " * 6
+    links, advert = "<div><a href=1>x</a> | <a href=2>y</a></div>" * 3, "<div class=ad><p>Buy</p><p>this</p><p>now</p></div>"
+    page = f"{links}<p>{long}</p>{advert}<p>caption</p>{links}<h2>Short section</h2>{links}<p>{long}</p>{advert}<p>Close.</p>{links}<p>tail</p>"
+    assert html_text.main_text(page) == [long.strip(), "caption", "Short section", long.strip(), "Close."]
+    linked = "<p>See <a href=1>a rather long title of some page</a> and <a href=2>one more of them</a></p>"
+    got = html_text.main_text(f"{links}{linked}<p>{long}</p><p><a href=3>inside</a></p><p>{long}</p>{linked}{links}")
+    see = "See a rather long title of some page and one more of them"
+    assert got == [see, long.strip(), "inside", long.strip(), see]
+
+
 def test_broken_and_small_pages():
     assert html_text.main_text("") == [] and html_text.main_text("   ") == []
     assert html_text.main_text("<p>x") == ["x"] and html_text.main_text("a < b &amp c") == ["a < b & c"]
