@@ -2,19 +2,24 @@
 
 Benchmark items are a stated query set. The windows of an item follow its size:
 their length is the largest of a geometric grid not above half its words (eight at
-least, or all of a shorter item, and 36 at most), and each window of the item gives one 64-bit
+least, or all of a shorter item, and 36 at most) nor above ``unbroken``, and each window of the item gives one 64-bit
 SimHash of its words (a word counts as often as it occurs). Every window of each of
 these lengths of every document is fingerprinted in the same way, from sums that
 slide by a word. Four 16-bit blocks index the item fingerprints: two fingerprints
 at a Hamming distance of at most three agree in one block at least, so the index
 misses none within that radius.
 
-A window within the radius is lined up with its item, and the document's
-item-sized window is compared with the item: the exact weighted Jaccard similarity
-of their five-word shingle multisets must reach 0.8. That leaves room for one edit
-in some forty words, so an unbroken run of half of a short item, or of about forty
-words of a long one, is left in any such copy. A window in that run has distance
-zero, so the copy is found.
+A window within the radius is a seed. Every item-sized window of the document that
+holds the seed is compared with the item, wherever the seed stands in the item: the
+exact weighted Jaccard similarity of their five-word shingle multisets must reach
+0.8. At a text's edges a window is as long as the text allows.
+
+So many shared shingles leave the item's words in few parts: a place where words are
+put in, left out or change their order costs four of its shingles, an altered word
+five. ``unbroken`` is the least length of the longest part; a window in it has
+distance zero, so the copy is found, also with its parts in another order. This
+counts four-word runs as distinct; passages that repeat such runs could leave
+shorter parts.
 
 Items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text (a longer item
 is a block of its own), so what is broadcast does not grow with the benchmark;
@@ -28,6 +33,7 @@ a document and is left out of the list of ids.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -61,6 +67,14 @@ def class_length(words: int) -> int:
     return length
 
 
+def unbroken(words: int, threshold: float) -> int:
+    """Least length of the longest part that an item of ``words`` words keeps in a copy that reaches ``threshold``."""
+    shingles = max(1, words - SHINGLE_WORDS + 1)
+    lost = shingles - math.ceil(shingles * 2 * threshold / (1 + threshold) - 1e-9)
+    breaks, trimmed = divmod(lost, SHINGLE_WORDS - 1)
+    return max(1, -(-(words - trimmed) // (breaks + 1)))
+
+
 def running(hashes: np.ndarray) -> np.ndarray:
     """Running sums over the words of the +1/-1 vectors that their hash bits give."""
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
@@ -86,10 +100,47 @@ def similarity(a: Counter, b: Counter) -> float:
     return shared / max(1, a.total() + b.total() - shared)
 
 
+def holds(hashes: np.ndarray, low: int, high: int, first: int, last: int, words: int, item: Counter, threshold: float) -> bool:
+    """Whether a window of ``words`` words that starts from ``first`` to ``last``, cut to [low, high), reaches ``threshold``."""
+    least, most = max(first, low), min(last + words, high)
+    if words < SHINGLE_WORDS:
+        return any(similarity(multiset(hashes[max(k, low) : min(k + words, high)]), item) >= threshold for k in range(first, last + 1))
+    region = hashes[least:most].tolist()
+    grams = [tuple(region[k : k + SHINGLE_WORDS]) for k in range(len(region) - SHINGLE_WORDS + 1)]
+    total, shared, seen = item.total(), 0, Counter()
+    left = right = 0
+    for start in range(first, last + 1):
+        begin, end = max(start, low) - least, min(start + words, high) - least - SHINGLE_WORDS + 1
+        if end <= begin:
+            continue
+        for gram in grams[right:end]:
+            shared += seen[gram] < item[gram]
+            seen[gram] += 1
+        right = end
+        for gram in grams[left:begin]:
+            seen[gram] -= 1
+            shared -= seen[gram] < item[gram]
+        left = begin
+        if shared / max(1, total + right - left - shared) >= threshold:
+            return True
+    return False
+
+
+def _runs(places: list[int], back: int) -> Iterator[tuple[int, int]]:
+    """Runs of starts that lie at most ``back`` before one of the ascending places."""
+    first, last = places[0] - back, places[0]
+    for place in places[1:]:
+        if place - back > last + 1:
+            yield first, last
+            first = place - back
+        last = place
+    yield first, last
+
+
 class Index:
     """Item fingerprints of one block of items, by class length."""
 
-    def __init__(self, items: list[tuple[int | None, bytes]]):
+    def __init__(self, items: list[tuple[int | None, bytes]], threshold: float = THRESHOLD):
         self.ids = [i for i, _ in items]
         texts = Texts(
             np.frombuffer(b"".join(t for _, t in items), dtype=np.uint8), np.cumsum([0, *(len(t) for _, t in items)])
@@ -100,7 +151,7 @@ class Index:
         found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for i, own in enumerate(self.words):
             if len(own):
-                length = class_length(min(max(len(own) // 2, min(len(own), LEAST)), MOST))
+                length = class_length(min(max(len(own) // 2, min(len(own), LEAST)), MOST, unbroken(len(own), threshold)))
                 prints = fingerprints(running(own), length)
                 found.setdefault(length, []).append((prints, np.full(len(prints), i), np.arange(len(prints))))
         self.classes = {}
@@ -148,16 +199,29 @@ class Index:
                 continue
             window, entry = self.near(fingerprints(sums, length), length)
             inside = owner[window] == owner[window + length - 1]
+            seeds: dict[tuple[int, int], list[int]] = {}
             tried = set()
             for w, e in zip(window[inside].tolist(), entry[inside].tolist(), strict=True):
                 doc, i = int(owner[w]), int(item[e])
                 start = w - int(offset[e])
-                if i in out[doc] or (i, start) in tried:
+                if i in out[doc]:
+                    continue
+                seeds.setdefault((doc, i), []).append(w)
+                if (i, start) in tried:
                     continue
                 tried.add((i, start))
+                # Most copies are in order: the window that lines up with the item comes first.
                 lo, hi = max(start, int(at[doc])), min(start + len(self.words[i]), int(at[doc + 1]))
                 if similarity(multiset(hashes[lo:hi]), self.shingles[i]) >= threshold:
                     out[doc].add(i)
+            for (doc, i), places in seeds.items():
+                if i in out[doc]:
+                    continue
+                words = len(self.words[i])
+                for first, last in _runs(sorted(set(places)), words - length):
+                    if holds(hashes, int(at[doc]), int(at[doc + 1]), first, last, words, self.shingles[i], threshold):
+                        out[doc].add(i)
+                        break
         return out
 
 
@@ -203,7 +267,7 @@ def _marked(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_tex
     rows = rows.to(T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields]))
     context = docs.sparkSession.sparkContext
     for number, block in enumerate(item_blocks(items, item_id, item_text), 1):
-        rows = _search(rows, context.broadcast(Index(block)), text, listed, marked, threshold)
+        rows = _search(rows, context.broadcast(Index(block, threshold)), text, listed, marked, threshold)
         if drop:
             rows = rows.where(~F.col(marked))
         if number % PASSES_PER_STAGE == 0:

@@ -77,3 +77,34 @@ def test_index_finds_everything_within_the_radius():
     window, entry = index.near(np.array(flips, dtype="<u8"), length)
     assert {int(w) for w, e in zip(window, entry) if e == 0} == set(range(800))
     assert length <= 40 and decontam.class_length(5) == 5 and length <= 20 and decontam.class_length(1) == 1
+
+
+def test_passages_in_another_order_equal_brute_force(spark):
+    rng = random.Random(4)
+    items = [(k, " ".join(words(300 + k, n, 10**6))) for k, n in enumerate((40, 48, 60, 62, 78, 78, 80, 112, 120, 150))]
+    texts = []
+    for d in range(120):
+        own = items[d % len(items)][1].split()
+        parts = 1 + rng.randrange(1, 5)
+        cuts = [len(own) * k // parts for k in range(parts + 1)]
+        moved = [own[a:b] for a, b in zip(cuts, cuts[1:])]
+        rng.shuffle(moved)
+        if d < 2 * len(items):  # halves swapped
+            moved = [own[len(own) // 2 :], own[: len(own) // 2]]
+        w = words(1000 + d, rng.randrange(0, 150), 10**6)
+        at = rng.randrange(len(w) + 1)
+        w[at:at] = [x for part in moved for x in part]
+        texts.append((d, " ".join(w)))
+    want = brute(texts, items)
+    got = decontam.contamination(table(spark, texts), spark.createDataFrame(items, ITEMS)).collect()
+    assert {r.doc_id: r.item_ids for r in got} == want
+    assert all(want[d] for d in range(2 * len(items)) if len(items[d % len(items)][1].split()) >= 48)
+
+
+def test_longest_part_of_a_copy():
+    assert decontam.unbroken(48, 0.8) == 24 and decontam.unbroken(78, 0.8) == 26 and decontam.unbroken(3, 0.8) == 3
+    item = words(5, 78, 10**6)
+    swapped = item[52:] + item[26:52] + item[:26]
+    index = decontam.Index([(0, " ".join(item).encode())])
+    raw = " ".join(words(6, 30) + swapped + words(7, 30)).encode()
+    assert index.search(decontam.Texts(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)])), 0.8) == [{0}]
