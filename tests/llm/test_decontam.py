@@ -108,3 +108,22 @@ def test_longest_part_of_a_copy():
     index = decontam.Index([(0, " ".join(item).encode())])
     raw = " ".join(words(6, 30) + swapped + words(7, 30)).encode()
     assert index.search(decontam.Texts(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)])), 0.8) == [{0}]
+
+
+def test_case_and_edge_punctuation_do_not_matter(spark):
+    plain = "die straße führt über den fluß und don't stop at the 3.5 km sign — it's near здесь же"
+    items = spark.createDataFrame([(1, plain), (2, "... — !")], ITEMS)
+    marked = " ".join(f"“({w})”," if w != "—" else w for w in plain.split())
+    texts = [(1, plain), (2, plain.upper()), (3, f"x {plain.title().replace(chr(39) + 'T', chr(39) + 't')} y"), (4, marked), (5, f"¿{plain}?"),
+             (6, plain.replace("3.5", "35").replace("don't", "dont").replace("fluß", "see")), (7, "— ... !"), (8, "... — !"), (9, "")]
+    got = decontam.contamination(table(spark, texts), items).collect()
+    assert {r.doc_id: r.item_ids for r in got} == {1: [1], 2: [1], 3: [1], 4: [1], 5: [1], 6: [], 7: [], 8: [2], 9: []}
+
+
+def test_folded_words():
+    raw = ["«Ab», c-d ...", "!", "", "x", "…Straße… Ω。"]
+    data = [t.encode() for t in raw]
+    texts = decontam.folded(decontam.Texts(np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum([0, *map(len, data)])))
+    starts, ends, at = texts.words()
+    found = [texts.data[a:b].tobytes().decode() for a, b in zip(starts, ends)]
+    assert found == ["ab", "c-d", "...", "!", "x", "strasse", "ω"] and at.tolist() == [0, 3, 4, 4, 5, 7]
