@@ -5,8 +5,10 @@ characters, lower-cased, letters and single blanks only, each hashed to one of
 ``BINS`` bins. The kernel of two texts is the number of bins they share over the
 geometric mean of their numbers of bins, blended over the lengths.
 
-*Model.* At most ``SAMPLE`` labelled texts, the ones with the least hashes of id
-and text, train the model; the bound is a parameter. Tasks turn the whole texts of
+*Model.* ``SAMPLE`` labelled texts, the ones with the least hashes of id and text,
+train the model, and with them the ``PER_LANGUAGE`` least of every language that has
+fewer in that sample, so a language is learnt however rare it is. Both bounds are
+parameters; texts without a letter don't count. Tasks turn the whole texts of
 the sample into presence bits, which is all that reaches the driver. ``LANDMARKS``
 of them, taken class by class, span the Nyström space: with C the kernel of the landmarks, a text
 is C^(-1/2) k(text, landmarks). One-versus-rest kernel ridge regression on
@@ -26,12 +28,13 @@ everything is ``und``.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +43,7 @@ from .texts import mix, slices
 LONGEST = 4
 BINS = 1 << 14
 SAMPLE = 3000
+PER_LANGUAGE = 100
 LANDMARKS = 300
 RIDGE = 1e-3
 SHARPNESS = 6.0
@@ -171,13 +175,18 @@ def train(bits: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ri
     return Model(names, (marks.T.astype(np.float64) @ root @ solved[:-1]).astype(np.float32), solved[-1], longest)
 
 
-def fit(labelled: DataFrame, id: str, text: str, lang: str, sample: int = SAMPLE) -> Model:
+def fit(labelled: DataFrame, id: str, text: str, lang: str, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> Model:
     """A model from a bounded sample of labelled rows with a text and a language."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.xxhash64(F.col(id).cast("string"), text).alias("place"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
-    )
+    ).where(F.col("text").rlike(r"\p{L}"))
     # The place of the last row of the sample; only numbers are sorted.
     last = rows.select("place").orderBy("place").limit(sample).agg(F.max("place")).first()[0]
+    # The same in each language. Tasks keep their own least rows before they shuffle.
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    first = rows.select("lang", "place").withColumn("nth", nth).where(F.col("nth") <= per_language)
+    lasts = {r[0]: r[1] for r in first.groupBy("lang").agg(F.max("place").alias("last")).where(F.col("last") > F.lit(last)).collect()}
+    rare = F.create_map(*[F.lit(x) for pair in lasts.items() for x in pair])[F.col("lang")] if lasts else F.lit(None).cast("long")
     schema = "place long, lang string, bits binary"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +200,14 @@ def fit(labelled: DataFrame, id: str, text: str, lang: str, sample: int = SAMPLE
                     [kept.column(0), kept.column(1), pa.array([bits[k].tobytes() for k in use], pa.binary())], names=["place", "lang", "bits"]
                 )
 
-    found = [] if last is None else rows.where(F.col("place") <= last).mapInArrow(apply, schema).orderBy("place", "lang").limit(sample).collect()
+    found = []
+    if last is not None:
+        found += rows.where(F.col("place") <= last).mapInArrow(apply, schema).orderBy("place", "lang").limit(sample).collect()
+    if lasts:
+        more = rows.where((F.col("place") > last) & (F.col("place") <= rare)).mapInArrow(apply, schema)
+        have = Counter(r["lang"] for r in found)
+        more = more.withColumn("nth", nth).where(F.col("nth") <= per_language).orderBy("place", "lang").collect()
+        found += [r for r in more if have[r["lang"]] + r["nth"] <= per_language]
     bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in found), dtype=np.uint8).reshape(-1, BINS // 8)
     return train(bits, [r["lang"] for r in found])
 

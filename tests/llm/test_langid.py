@@ -27,6 +27,16 @@ def test_held_out_languages_are_learnt(spark):
         assert got[i].lang_pred == lang and 0 <= got[i].score <= 1
 
 
+def test_rare_languages_keep_training_rows(spark):
+    rng = random.Random(3)
+    langs = ["xx"] * 300 + ["yy"] * 300 + ["zz"] * 6
+    docs = spark.createDataFrame([(i, text(lang, rng), lang, "s", 0) for i, lang in enumerate(langs)], DOCS)
+    model = langid.fit(docs, "doc_id", "text", "lang", sample=20, per_language=8)
+    assert model.languages == ["xx", "yy", "zz"]
+    got = langid.predicted(docs, model).where("doc_id >= 600").collect()
+    assert [r.lang_pred for r in got] == ["zz"] * 6
+
+
 def test_only_texts_and_labels_outside_the_holdout_matter(spark):
     from pyspark.sql import functions as F
 
