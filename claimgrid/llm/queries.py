@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, langid, neardup, packed, quality, secrets, token_counts, transducer, warc
+from . import (
+    ball_codes, decontam, html_text, langid, licenses, neardup, packed, quality, ranking, secrets, token_counts, transducer, warc,
+)
 from .oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +65,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
+def op11_mask_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.coded(table(spark, sf_dir, "embeddings"))
+
+
+def op13_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_bag_minhash": op2_bag_minhash,
@@ -74,4 +88,7 @@ QUERIES: dict[str, Query] = {
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_warc_zip": op9_warc_zip,
     "op10_language_id": op10_language_id,
+    "op11_mask_ranking": op11_mask_ranking,
+    "op12_ball_codes": op12_ball_codes,
+    "op13_license_diagonals": op13_license_diagonals,
 }
