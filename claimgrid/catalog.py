@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -13,6 +12,7 @@ from claimgrid.functions import refs
 from claimgrid.operators import (
     agents,
     checks,
+    context,
     diffs,
     evidence,
     extract,
@@ -25,7 +25,7 @@ from claimgrid.operators import (
 )
 from claimgrid.operators import files as files_ops
 from claimgrid.plans import verify
-from claimgrid.session import prepare, stage, stage_root
+from claimgrid.session import prepare, scratch, stage
 from claimgrid.sources import corpus, tables
 from claimgrid.streaming import feed
 
@@ -62,9 +62,13 @@ def corpus_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.normalize(corpus_claims(spark, sf))
 
 
+def found_pairable(normalized: DataFrame) -> DataFrame:
+    """Pairable claims, staged once: pairing reads them three times, and counting six."""
+    return stage(pairing.pairable(pairing.merge_claims(normalized)), "pairable")
+
+
 def found_conflicts(normalized: DataFrame) -> DataFrame:
-    """Conflicts, from pairable claims staged once, as pairing reads them three times."""
-    return pairing.conflicts_from_pairable(stage(pairing.pairable(pairing.merge_claims(normalized)), "pairable"))
+    return pairing.conflicts_from_pairable(found_pairable(normalized))
 
 
 def corpus_conflicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,8 +156,7 @@ def merged_evidence(spark, sf):
 
 @query
 def conflict_pairs(spark, sf):
-    merged = pairing.merge_claims(corpus_normalized(spark, sf))
-    return pairing.contradicting_pairs(stage(pairing.pairable(merged), "pairable")).select(
+    return pairing.contradicting_pairs(found_pairable(corpus_normalized(spark, sf))).select(
         *pairing.GROUP_KEY, "conflict_type", "l_claim_id", "r_claim_id", "l_value", "r_value"
     )
 
@@ -294,13 +297,13 @@ def corpus_paths(spark: SparkSession, sf: str) -> DataFrame:
 def corpus_passports(spark: SparkSession, sf: str) -> DataFrame:
     rows = stage(corpus_claims(spark, sf), "claims")
     normalized = normalize.normalize(rows)
-    merged = pairing.merge_claims(normalized)
-    found = stage(found_conflicts(normalized), "found")
+    pairable = found_pairable(normalized)
+    found = pairing.conflicts_from_pairable(pairable)
     files = reports.report_files(found, pairing.evidence_files(normalized))
     paths = corpus_paths(spark, sf)
     sessions = corpus.sessions(spark, sf)
     results = summary.session_results(
-        sessions, summary.claim_counts(rows), summary.conflict_counts(merged)
+        sessions, summary.claim_counts(rows), summary.counts_of_pairable(pairable)
     )
     changed = paths.groupBy("session_id").agg(F.count("*").alias("files_changed"))
     return summary.passports(sessions, results, changed, summary.components(files, paths))
@@ -381,6 +384,41 @@ def diff_lines(spark, sf):
     return diffs.diff_lines(diffs.diff_files(corpus.raw_diffs(spark, sf)), "diff_id", "file_idx")
 
 
+def exported_diffs(spark: SparkSession, sf: str) -> str:
+    """A folder of exported diff files; each raw diff in them begins with a header of its own."""
+    path = scratch(spark, "exports")
+    raws = corpus.raw_diffs(spark, sf).select(F.concat(F.expr(corpus.EXPORT_HEADER), "raw").alias("text"))
+    tables.write_texts(raws, path)
+    return path
+
+
+@query
+def split_diff_files(spark, sf):
+    """Exported diff files, read by splits: files of all diffs, whichever file they stand in."""
+    files = diffs.parse_chunk(tables.read_split_diffs(spark, exported_diffs(spark, sf)))
+    # The writer ends the last line of a file, which the last diff may have ended itself.
+    return files.select(
+        "path", "previous_path", "kind", "is_binary", "additions", "deletions", F.size("hunks").alias("n_hunks"),
+        F.md5(F.rtrim("patch", F.lit("\n"))).alias("patch_md5"),
+    )
+
+
+@query
+def repository_contexts(spark, sf):
+    """Suppliers as sessions on shared repositories, orders as their ref log, line items as changed files."""
+    changed = corpus.changed_files(spark, sf).withColumn("previous_path", F.lit(None).cast("string"))
+    found = context.repository_context(corpus.repository_sessions(spark, sf), corpus.ref_log(spark, sf), changed)
+    n_files = found.changed_files.groupBy("session_id").agg(F.count("*").alias("n_files"))
+    n_evidence = found.evidence.groupBy("session_id").agg(F.count("*").alias("n_evidence"))
+    shown = F.transform("feature_branches", lambda b: F.concat(b["name"], F.lit("@"), b["sha"]))
+    rows = found.source.join(n_files, "session_id", "left").join(n_evidence, "session_id", "left")
+    return rows.select(
+        "session_id", "name", "clone_url", "provider", F.col("base_branch.sha").alias("base_sha"),
+        F.array_join(shown, "|").alias("features"), F.date_format("resolved_at", "yyyy-MM-dd").alias("resolved_on"),
+        F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"),
+    )
+
+
 @query
 def languages(spark, sf):
     files = corpus.changed_files(spark, sf)
@@ -476,7 +514,7 @@ def branch_by_file(spark, sf):
 def head_comparisons(spark, sf):
     heads = corpus.table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("session_id"),
-        F.explode(F.array(*map(F.lit, ["feature/a", "feature/n", "feature/idle"]))).alias("branch_name"),
+        F.explode(F.array(*map(F.lit, ["feature/a", "feature/n", "feature/r", "feature/idle"]))).alias("branch_name"),
     )
     return files_ops.by_head(heads, corpus.changed_files(spark, sf))
 
@@ -697,7 +735,7 @@ def changed_file_verdicts(spark, sf):
 @query
 def stream_conflicts(spark, sf):
     """The corpus as a stream of units, verified batch by batch."""
-    root = f"{stage_root(spark)}/feed-{uuid.uuid4().hex}"
+    root = scratch(spark, "feed")
     units = corpus_units(spark, sf)
     units.write.parquet(f"{root}/units")
     stream = spark.readStream.schema(units.schema).parquet(f"{root}/units")
@@ -901,7 +939,7 @@ def public_rows(spark, sf):
 @query
 def written_files(spark, sf):
     """Changed files written as a table and read back for one branch."""
-    path = f"{stage_root(spark)}/changed-{uuid.uuid4().hex}"
+    path = scratch(spark, "changed")
     tables.write_table(corpus.changed_files(spark, sf), path)
     files = tables.read_changed_files(spark, path, "feature/a")
     return files.select("session_id", F.col("seq.l_orderkey").alias("l_orderkey"), F.col("seq.l_linenumber").alias("l_linenumber"), F.md5("patch").alias("patch_md5"))

@@ -18,6 +18,9 @@ FILE_HEADER = pattern(fixed.FILE_HEADER)
 HUNK_HEADER = pattern(fixed.HUNK_HEADER)
 BINARY = r"(?:\A|\n)" + pattern(fixed.BINARY_LINE)[1:-2] + r"(?=\n|\z)"
 
+# What begins a file of a diff.
+DIFF_MARK = "diff --git "
+
 HUNK_TYPE = (
     "array<struct<hunk_idx:int,base_start:bigint,base_count:bigint,head_start:bigint,head_count:bigint,"
     "context_label:string,raw_hunk:string,added:array<string>,removed:array<string>>>"
@@ -57,17 +60,58 @@ def _with_header(chunk: Column) -> Column:
 
 def file_chunks(raw: Column) -> Column:
     """Chunks with a readable header; the marker fallback applies if there is none."""
+    headed, marked = _headed(raw), _marked(raw)
+    none = F.array().cast("array<string>")
+    return F.when(is_blank(raw), none).when(F.size(headed) > 0, headed).otherwise(marked)
+
 
-    def readable(chunk: Column) -> Column:
-        return F.rlike(_first_line(chunk), F.lit(FILE_HEADER))
+def _readable(chunk: Column) -> Column:
+    return F.rlike(_first_line(chunk), F.lit(FILE_HEADER))
 
-    headed = F.filter(F.split(raw, LINE_START + "(?=diff --git )"), readable)
-    marked = F.filter(
+
+def _headed(raw: Column) -> Column:
+    return F.filter(F.split(raw, LINE_START + f"(?={DIFF_MARK})"), _readable)
+
+
+def _marked(raw: Column) -> Column:
+    return F.filter(
         F.transform(F.split(raw, LINE_START + "(?=--- [^ ])"), _with_header),
-        lambda c: c.isNotNull() & readable(c),
+        lambda c: c.isNotNull() & _readable(c),
     )
-    none = F.array().cast("array<string>")
-    return F.when(is_blank(raw), none).when(F.size(headed) > 0, headed).otherwise(marked)
+
+
+def file_pieces(records: DataFrame) -> DataFrame:
+    """File chunks of diffs that a scan has cut before each ``diff --git`` line.
+
+    ``records(diff_id, block, at, value, ...)``: ``(block, at)`` orders the records of a
+    diff, and the scan has taken away the line break and the mark that it cut at. They
+    are put back by knowing a diff's first and last record, which are looked up by
+    their place, so the records of one diff stay spread. Line starts that the scan
+    doesn't know are cut inside the record. Chunks without a header, found by their
+    markers, only count in a diff that has no header at all; this is decided on the
+    few such chunks.
+    """
+    ends = records.groupBy("diff_id", "block").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    edges = ends.groupBy("diff_id").agg(
+        F.min("block").alias("low"), F.min_by("first", "block").alias("first"),
+        F.max("block").alias("high"), F.max_by("last", "block").alias("last"),
+    )
+    marks = edges.select("diff_id", F.inline(F.expr(
+        "array(named_struct('block', low, 'at', first, 'is_first', true, 'is_last', false), "
+        "named_struct('block', high, 'at', last, 'is_first', false, 'is_last', true))"
+    ))).groupBy("diff_id", "block", "at").agg(F.max("is_first").alias("is_first"), F.max("is_last").alias("is_last"))
+    whole = F.concat(
+        F.when(F.col("is_first"), "").otherwise(DIFF_MARK), "value", F.when(F.col("is_last"), "").otherwise("\n")
+    )
+    keep = [c for c in records.columns if c not in ("block", "at", "value")]
+    texts = records.join(marks, ["diff_id", "block", "at"], "left").select(*keep, "block", "at", whole.alias("text"))
+    found = texts.withColumn("headed", _headed(F.col("text")))
+    with_header = F.size("headed") > 0
+    pieces = F.when(with_header, F.col("headed")).otherwise(_marked(F.col("text")))
+    cut = found.select(*keep, "block", "at", with_header.alias("with_header"), F.posexplode(pieces).alias("piece", "chunk"))
+    cut = cut.select(*keep, F.struct("block", "at", "piece").alias("place"), "with_header", "chunk")
+    plain = cut.filter(~F.col("with_header")).join(cut.filter("with_header").select("diff_id").distinct(), "diff_id", "left_anti")
+    return cut.filter("with_header").unionByName(plain).drop("with_header")
 
 
 # Length of a slice that takes the rest of an array. Well below the integer limit,
@@ -181,6 +225,14 @@ def diff_files(diffs: DataFrame, raw: str = "raw") -> DataFrame:
     return parse_chunk(chunks).drop("chunk")
 
 
+def changed_of_pieces(pieces: DataFrame) -> DataFrame:
+    """Changed-file rows of chunks read by ``tables.read_split_diffs``, in the order of ``place``."""
+    keep = [c for c in pieces.columns if c != "chunk"]
+    return parse_chunk(pieces).select(
+        *keep, "path", "previous_path", "kind", "patch", "additions", "deletions", language(F.col("path")).alias("language")
+    )
+
+
 def diff_hunks(files: DataFrame, *keep: str) -> DataFrame:
     return files.select(*keep, "path", F.inline("hunks"))
 

@@ -18,9 +18,10 @@ from claimgrid.operators.extract import CLAIM_ORDER
 MERGE_KEY = ["session_id", "canonical_subject", "canonical_predicate"]
 GROUP_KEY = ["session_id", "canonical_subject", "canonical_key"]
 
-# Claims of one group a pairing task takes on its left side. A larger group is
-# cut into that many blocks, each paired with the whole group.
+# A group of more claims than this is paired by several tasks, one for so many.
 BLOCK = 512
+# Tasks over which the claims of a large group are dealt while its size is looked up.
+SALTS = 64
 
 
 def claim_order() -> Column:
@@ -84,43 +85,67 @@ def pairable(merged: DataFrame) -> DataFrame:
     )
 
 
-def _side(claims: DataFrame, prefix: str) -> DataFrame:
-    names = {
-        "ord": "ord", "claim_id": "claim_id", "statement": "statement",
-        "canonical_predicate": "predicate", "canonical_value": "value",
-        "source_type": "source_type", "source_file": "file",
-        "evidence_text": "evidence_text", "quality": "quality", "n_claims": "n_claims",
-    }
-    return claims.select(
-        *GROUP_KEY, "block", *(F.col(a).alias(f"{prefix}_{b}") for a, b in names.items()),
-        *(["conflict_type"] if prefix == "l" else []),
+SIDE = {
+    "ord": "ord", "claim_id": "claim_id", "statement": "statement",
+    "canonical_predicate": "predicate", "canonical_value": "value",
+    "source_type": "source_type", "source_file": "file",
+    "evidence_text": "evidence_text", "quality": "quality", "n_claims": "n_claims",
+}
+
+
+def in_blocks(claims: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``claims`` with the number of blocks of their group and their own block.
+
+    Group sizes are combined counts; only groups above ``block`` matter, and those
+    are looked up under ``SALTS`` keys each, so the claims of a hot group meet their
+    size in many tasks. A group for t tasks has the least number of blocks that
+    form t pairs of blocks.
+    """
+    tasks = F.ceil(F.col("group_size") / block)
+    large = (
+        claims.groupBy(*GROUP_KEY).agg(F.count("*").alias("group_size")).filter(F.col("group_size") > block)
+        .select(
+            *GROUP_KEY, F.ceil((F.sqrt(8 * tasks + 1) - 1) / 2).cast("int").alias("blocks"),
+            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
+        )
     )
+    value = F.xxhash64("canonical_value")
+    salted = claims.withColumn("salt", F.pmod(value, F.lit(SALTS)).cast("int"))
+    sized = salted.join(large, [*GROUP_KEY, "salt"], "left").drop("salt").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    # Bits beside those of the salt, or blocks would repeat its pattern.
+    return sized.withColumn("block", F.pmod(F.shiftrightunsigned(value, 20), "blocks").cast("int"))
 
 
 def contradicting_pairs(claims: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs of one session, subject and key whose values differ, earlier claim left.
 
-    After the merge a group holds one row per distinct value, and groups of one
-    row are left out before the join. A group above ``block`` rows is spread:
-    its left rows are dealt over blocks by hash and its right rows are copied
-    to each block, so every pair is formed exactly once and no task holds a
-    whole hot group's pairs. ``claims`` is pairable and read three times; a
-    caller whose claims are costly stages them.
+    After the merge a group holds one row per distinct value. Its rows are dealt to
+    blocks, and blocks i <= j are joined: a row of block b stands on one side for
+    every j from b on and on the other for every i up to b, so it is copied once
+    more than there are blocks, every two rows meet exactly once, and a task gets
+    two blocks of a group. The pair is then put in order. ``claims`` is pairable and
+    read three times; a caller whose claims are costly stages them.
     """
-    sizes = (
-        claims.groupBy(*GROUP_KEY)
-        .agg(F.count("*").alias("group_size"))
-        .filter("group_size > 1")
-        .withColumn("blocks", F.ceil(F.col("group_size") / block).cast("int"))
-        .drop("group_size")
+    dealt = in_blocks(claims, block).select(
+        *GROUP_KEY, "conflict_type", "block", "blocks",
+        F.struct(*(F.col(a).alias(b) for a, b in SIDE.items())).alias("side"),
+    )
+    upper = dealt.select(
+        *GROUP_KEY, "conflict_type", F.col("block").alias("i"),
+        F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.col("side").alias("x"),
+    )
+    lower = dealt.select(
+        *GROUP_KEY, F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("side").alias("y"),
+    )
+    pairs = upper.join(lower, [*GROUP_KEY, "i", "j"]).filter(
+        "(i < j or x.ord < y.ord) and x.claim_id <> y.claim_id and x.value <> y.value"
+    )
+    first = F.col("x.ord") < F.col("y.ord")
+    sides = {"l": F.when(first, F.col("x")).otherwise(F.col("y")), "r": F.when(first, F.col("y")).otherwise(F.col("x"))}
+    ordered = pairs.select(*GROUP_KEY, "conflict_type", *(side.alias(name) for name, side in sides.items()))
+    return ordered.select(
+        *GROUP_KEY, "conflict_type", *(F.col(f"{p}.{name}").alias(f"{p}_{name}") for p in sides for name in SIDE.values())
     )
-    sized = claims.join(sizes, GROUP_KEY)
-    left = sized.withColumn("block", F.pmod(F.xxhash64("canonical_value"), "blocks").cast("int"))
-    right = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = _side(left, "l").join(_side(right, "r"), [*GROUP_KEY, "block"])
-    return pairs.filter(
-        "l_ord < r_ord and l_claim_id <> r_claim_id and l_value <> r_value"
-    ).drop("block")
 
 
 def rule_on(pairs: DataFrame) -> DataFrame:

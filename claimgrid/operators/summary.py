@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from claimgrid.functions import fixed
 from claimgrid.functions.rulings import is_auth
 from claimgrid.operators.pairing import GROUP_KEY, conflicts_from_pairable, pairable
+from claimgrid.session import stage
 
 
 # Characters of the keys through which criteria find statements.
 KEY_CHARS = 8
+# Distinct keys (8 bytes each) that are broadcast at most.
+BROADCAST_KEYS = 500_000
 
 
 def _pairs_of(n: Column) -> Column:
@@ -28,9 +31,14 @@ def conflict_counts(merged: DataFrame) -> DataFrame:
 
     Claims whose ids meet in a session (unit ids that differ in punctuation only)
     give no conflict or share one. Only groups that hold such an id are paired,
-    by the same steps as ``conflicts_from_merged``, so both always agree.
+    by the same steps as ``conflicts_from_merged``, so both always agree. The
+    pairable claims feed all these steps and are staged once.
     """
-    claims = pairable(merged)
+    return counts_of_pairable(stage(pairable(merged), "countable"))
+
+
+def counts_of_pairable(claims: DataFrame) -> DataFrame:
+    """``conflict_counts`` of pairable claims that the caller has staged."""
     ids = claims.groupBy("session_id", "claim_id").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     met = claims.join(ids, ["session_id", "claim_id"], "left_semi").select(*GROUP_KEY).distinct()
     paired = conflicts_from_pairable(claims.join(met, GROUP_KEY, "left_semi"))
@@ -191,28 +199,62 @@ def candidate_stats(candidates: DataFrame) -> DataFrame:
 # --- requirement coverage ------------------------------------------------------
 
 
+def _key_hashes(text: Column, width: Column) -> Column:
+    """Hashes of the distinct pieces of ``width`` characters; a width of 0 gives the empty piece."""
+    starts = F.sequence(F.lit(1), F.length(text) - width + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(text, i, width))))
+
+
+def _semi(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` whose key is wanted; the wanted keys are broadcast up to a counted number of them."""
+    few = wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(wanted) if few else wanted, key, "left_semi")
+
+
 def covered_criteria(criteria: DataFrame, statements: DataFrame) -> DataFrame:
     """Each criterion with ``covered``: does a statement of its session contain
     its description, ignoring case?
 
     ``criteria(session_id, criterion_key, description)`` and
-    ``statements(session_id, statement)``. Criteria and statements are made
-    distinct first. Containment is found through keys of ``KEY_CHARS`` characters:
-    a criterion stands under its first key, a statement under each of its distinct
-    ones, and those that meet are compared whole. Criteria shorter than a key
-    stand under their own text, and their sessions' statements also under the
-    pieces of those lengths.
+    ``statements(session_id, statement)``. Containment goes through an inverted
+    index of keys, pieces of ``KEY_CHARS`` characters (shorter criteria are a key
+    themselves). The index holds hashes only: keys of statements that some criterion
+    of the session has. Counting them tells each criterion's rarest key; a criterion
+    with a key that no statement has is not covered. The rarest keys are joined to
+    the index, and only for what meets there the texts are fetched and compared.
     """
     asked = criteria.withColumn("wanted", F.lower("description"))
-    wanted = asked.select("session_id", "wanted").distinct().withColumn("key", F.substring("wanted", 1, KEY_CHARS))
-    lengths = wanted.groupBy("session_id").agg(F.collect_set(F.length("key")).alias("lengths"))
-    texts = statements.select("session_id", F.lower("statement").alias("text")).distinct()
-    widths = texts.join(lengths, "session_id").select("session_id", "text", F.explode("lengths").alias("width"))
-    starts = F.sequence(F.lit(1), F.length("text") - F.col("width") + 1)
-    pieces = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.col("width"))))
-    keyed = widths.filter(F.length("text") >= F.col("width")).select("session_id", "text", F.explode(pieces).alias("key"))
+    wanted = (
+        asked.select("session_id", "wanted").distinct().filter("wanted is not null")
+        .withColumns({"wanted_id": F.xxhash64("wanted"), "width": F.least(F.length("wanted"), F.lit(KEY_CHARS))})
+    )
+    keys = stage(
+        wanted.select("session_id", "wanted_id", "width", F.explode(_key_hashes(F.col("wanted"), F.col("width"))).alias("key")),
+        "criterion-keys",
+    )
+    widths = keys.groupBy("session_id").agg(F.collect_set("width").alias("widths"))
+    texts = (
+        statements.select("session_id", F.lower("statement").alias("text")).distinct().filter("text is not null")
+        .withColumn("text_id", F.xxhash64("text"))
+    )
+    texts = stage(texts, "statements")
+    pieces = (
+        texts.join(widths, "session_id").select("session_id", "text_id", "text", F.explode("widths").alias("width"))
+        .filter(F.length("text") >= F.col("width"))
+        .select("session_id", "text_id", F.explode(_key_hashes(F.col("text"), F.col("width"))).alias("key"))
+    )
+    index = _semi(pieces, keys.select("key").distinct(), ["key"])
+    index = stage(index.join(keys.select("session_id", "key").distinct(), ["session_id", "key"], "left_semi"), "statement-keys")
+    counted = index.groupBy("session_id", "key").agg(F.count("*").alias("n"))
+    rarest = (
+        keys.join(counted, ["session_id", "key"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        .groupBy("session_id", "wanted_id").agg(F.min_by("key", "n").alias("key"), F.min("n").alias("n"))
+        .filter("n > 0").drop("n")
+    )
+    met = rarest.join(index, ["session_id", "key"]).select("session_id", "wanted_id", "text_id").distinct()
     seen = (
-        keyed.join(wanted, ["session_id", "key"])
+        met.join(wanted.select("session_id", "wanted_id", "wanted"), ["session_id", "wanted_id"])
+        .join(texts, ["session_id", "text_id"])
         .filter(F.contains("text", "wanted"))
         .select("session_id", "wanted").distinct().withColumn("found", F.lit(True))
     )

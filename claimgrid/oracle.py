@@ -801,6 +801,32 @@ ORACLES |= {
         """SELECT diff_id, file_idx, path, hunk_idx, 'added' AS change, unnest(added) AS line, generate_subscripts(added, 1) - 1 AS line_idx FROM hunks
            UNION ALL SELECT diff_id, file_idx, path, hunk_idx, 'removed', unnest(removed), generate_subscripts(removed, 1) - 1 FROM hunks"""
     ),
+    "split_diff_files": shredded(
+        """SELECT path, previous_path, kind, is_binary, coalesce(n_added, 0) AS additions, coalesce(n_removed, 0) AS deletions,
+             coalesce(n, 0) AS n_hunks, md5(rtrim(patch, chr(10))) AS patch_md5
+           FROM files LEFT JOIN (SELECT diff_id, file_idx, count(*) AS n, sum(len(added)) AS n_added, sum(len(removed)) AS n_removed
+             FROM hunks GROUP BY ALL) USING (diff_id, file_idx)""",
+        diffs=f"SELECT session_id, diff_id, branch_name, {corpus.EXPORT_HEADER} || raw AS raw FROM ({DIFFS})",
+    ),
+    "repository_contexts": f"""
+      WITH sessions AS (
+        SELECT s_suppkey AS session_id, {corpus.REPOSITORY.format(n='s_suppkey')} AS repository, {corpus.CLONE_URL} AS clone_url,
+          coalesce({corpus.PROVIDER}, 'local') AS provider, timestamp '1996-01-01 12:00:00' + to_days(CAST(s_suppkey % 1500 AS INT)) AS at_time,
+          CASE s_suppkey % 2 {' '.join(f"WHEN {k} THEN [{', '.join(map(q, names))}]" for k, names in corpus.FEATURES.items())} END AS features
+        FROM supplier),
+      log AS (SELECT {corpus.REPOSITORY.format(n='o_custkey')} AS repository, {corpus.PUSHED_BRANCH} AS branch_name, o_orderdate AS ts,
+          o_orderkey AS event_id, {corpus.PUSHED_SHA} AS sha FROM orders),
+      wanted AS (SELECT session_id, repository, at_time, unnest(list_prepend('main', features)) AS branch_name,
+          generate_subscripts(list_prepend('main', features), 1) AS place FROM sessions),
+      resolved AS (SELECT session_id, place, w.branch_name, arg_max(sha, (ts, event_id)) AS sha
+          FROM wanted w JOIN log l ON l.repository = w.repository AND l.branch_name = w.branch_name AND ts <= at_time GROUP BY ALL),
+      listed AS (SELECT session_id, max(sha) FILTER (place = 1) AS base_sha,
+          string_agg(branch_name || '@' || sha, '|' ORDER BY place) FILTER (place > 1) AS features FROM resolved GROUP BY 1),
+      counted AS (SELECT session_id, count(*) AS n FROM ({DEDUPED}) JOIN (SELECT DISTINCT session_id, branch_name FROM wanted WHERE place > 1)
+          USING (session_id, branch_name) GROUP BY 1)
+      SELECT session_id, repository AS name, clone_url, provider, base_sha, listed.features, strftime(at_time, '%Y-%m-%d') AS resolved_on,
+        coalesce(n, 0) AS n_files, coalesce(n, 0) AS n_evidence
+      FROM sessions JOIN listed USING (session_id) LEFT JOIN counted USING (session_id)""",
     "languages": f"""SELECT language, count(*) AS n_files FROM (
         SELECT CASE {_ext} END AS language FROM ({CHANGED_ROWS})) GROUP BY 1""",
     "code_evidence": shredded(EVIDENCE),
@@ -825,7 +851,7 @@ ORACLES |= {
         PARTITION BY session_id, path ORDER BY l_orderkey, l_linenumber, l_partkey) AS nth FROM ({CHANGED_ROWS})) WHERE nth = 1""",
     "head_comparisons": f"""
       SELECT s_suppkey AS session_id, h.branch_name, count(c.path) AS n_files, coalesce(sum(strlen(patch)), 0) AS patch_bytes
-      FROM supplier CROSS JOIN (VALUES ('feature/a'), ('feature/n'), ('feature/idle')) h(branch_name)
+      FROM supplier CROSS JOIN (VALUES ('feature/a'), ('feature/n'), ('feature/r'), ('feature/idle')) h(branch_name)
       LEFT JOIN ({CHANGED_ROWS}) c ON c.session_id = s_suppkey AND c.branch_name = h.branch_name GROUP BY 1, 2""",
     "head_files": f"""
       SELECT session_id, branch_name, path, md5(patch) AS patch_md5 FROM ({DEDUPED})

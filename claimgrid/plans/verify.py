@@ -100,6 +100,13 @@ def from_diffs(sessions: DataFrame, branches: DataFrame, raw_diffs: DataFrame) -
     return from_changed_files(sessions, branches, changed)
 
 
+def from_split_diffs(sessions: DataFrame, branches: DataFrame, pieces: DataFrame) -> Inputs:
+    """Chunks of ``tables.read_split_diffs`` with their session, parsed and taken as changed files."""
+    parsed = diffs.changed_of_pieces(pieces)
+    changed = parsed.withColumn("seq", F.struct("diff_id", "place.block", "place.at", "place.piece")).drop("diff_id", "place")
+    return from_changed_files(sessions, branches, changed)
+
+
 def from_analysers(sessions: DataFrame, responses: DataFrame) -> Inputs:
     """Analyser responses: every distinct line of their claims is a snippet of its own.
 
@@ -139,16 +146,17 @@ def verify(
     found = extractor(units) if extractor else extract.claims(units, source_type, rules)
     claims = stage(found, "claims")
     normalized = normalize.normalize(claims)
-    detect = detector or pairing.detect_conflicts
-    conflicts = detect(normalized)
     if detector:
+        conflicts = detector(normalized)
         counts = conflicts.groupBy("session_id").agg(
             F.count("*").alias("conflicts_found"),
             F.count_if(F.col("severity") == "HIGH").alias("high"),
         )
     else:
         # The verdict needs counts only, and those need no pairs.
-        counts = summary.conflict_counts(pairing.merge_claims(normalized))
+        pairable = stage(pairing.pairable(pairing.merge_claims(normalized)), "pairable")
+        conflicts = pairing.conflicts_from_pairable(pairable)
+        counts = summary.counts_of_pairable(pairable)
     return Outcome(
         claims=claims,
         normalized=normalized,

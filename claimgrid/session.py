@@ -87,14 +87,20 @@ _WRITTEN: dict[str, tuple] = {}
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table under ``stage_root``, which an operator needs written in any case."""
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN[path] = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name under ``stage_root``; ``release`` deletes what is written there."""
+    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    return path
+
+
 def release() -> None:
-    """Delete all staged tables of this process, once their consumers have run.
+    """Delete all staged tables and scratch folders of this process, once their consumers have run.
 
     Called by itself when the process ends; a long-lived service calls it after
     each run.

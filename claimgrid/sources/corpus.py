@@ -3,8 +3,9 @@
 No rule matches the supplied prose, so change texts are templated from order
 and customer rows. A customer is a session, its orders are the changes. The
 expressions are plain SQL that Spark and DuckDB both run, and each output row
-depends on one input row, so the corpus grows with the tables and never needs a
-shuffle.
+depends on one input row. Rows are dealt out by key before their texts are made:
+only the few key columns are shuffled, and tables that arrive as one row group
+still give every core its share of the texts.
 """
 
 from __future__ import annotations
@@ -107,13 +108,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *key: str, tasks: int | None = None) -> DataFrame:
+    """Narrow rows, dealt by the hash of ``key`` over ``tasks`` partitions.
+
+    The default is ``spark.sql.shuffle.partitions``. The number is fixed on purpose:
+    adaptive execution would join these few bytes into one task again, and that task
+    would then make and read all the texts.
+    """
+    number = tasks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(number, *key)
+
+
 def orders(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Orders cut to the columns a projection reads, spread over the cores."""
-    return table(spark, sf_dir, "orders").select(*columns)
+    """Orders cut to the columns a projection reads, dealt out."""
+    return dealt(table(spark, sf_dir, "orders").select(*columns), "o_orderkey")
+
+
+def customers(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return dealt(table(spark, sf_dir, "customer").select(*columns), "c_custkey")
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(
+    return customers(spark, sf_dir, "c_custkey", "c_mktsegment").select(
         F.col("c_custkey").alias("session_id"), F.expr(REQUIREMENT).alias("requirement_text")
     )
 
@@ -147,7 +163,7 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = table(spark, sf_dir, "customer").withColumn("n1", F.expr(CONTEXT_NUMBER))
+    numbered = customers(spark, sf_dir, "c_custkey").withColumn("n1", F.expr(CONTEXT_NUMBER))
     return numbered.withColumn("r1", F.expr(role("n1"))).select(
         F.col("c_custkey").alias("session_id"),
         F.lit(0).alias("doc_seq"),
@@ -206,6 +222,38 @@ def raw_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("session_id", "diff_id", "branch_name", F.expr(RAW_DIFF).alias("raw"))
 
 
+# The header under which a raw diff stands in an exported file.
+EXPORT_HEADER = "'diff --git a/exports/' || diff_id || ' b/exports/' || diff_id || chr(10)"
+
+# --- repositories: suppliers share four of them, orders are pushes to their branches ---
+
+REPOSITORY = "'repo-' || ({n} % 4)"
+PUSHED_BRANCH = "CASE o_orderkey % 5 WHEN 0 THEN 'main' WHEN 1 THEN 'feature/a' WHEN 2 THEN 'feature/n' WHEN 3 THEN 'feature/r' ELSE 'feature/x' END"
+PUSHED_SHA = "md5('push-' || o_orderkey) || substr(md5(CAST(o_orderkey AS STRING)), 1, 8)"
+PROVIDER = "CASE s_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'github' ELSE 'local' END"
+CLONE_URL = "'https://github.com/org/repo-' || (s_suppkey % 4)"
+# Branches of a session, in declared order.
+FEATURES = {0: ["feature/n", "feature/a"], 1: ["feature/r"]}
+
+
+def repository_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = {k: "array(" + ", ".join(f"'{b}'" for b in names) + ")" for k, names in FEATURES.items()}
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("session_id"), F.expr(REPOSITORY.format(n="s_suppkey")).alias("repository"),
+        F.expr(CLONE_URL).alias("clone_url"), F.expr(PROVIDER).alias("provider"), F.lit("main").alias("base_branch"),
+        F.expr(f"CASE s_suppkey % 2 WHEN 0 THEN {both[0]} ELSE {both[1]} END").alias("feature_branches"),
+        F.expr("timestamp '1996-01-01 12:00:00' + make_interval(0, 0, 0, CAST(s_suppkey % 1500 AS INT))").alias("at"),
+    )
+
+
+def ref_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = orders(spark, sf_dir, "o_orderkey", "o_custkey", "o_orderdate")
+    return rows.select(
+        F.expr(REPOSITORY.format(n="o_custkey")).alias("repository"), F.expr(PUSHED_BRANCH).alias("branch_name"),
+        F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderkey").alias("event_id"), F.expr(PUSHED_SHA).alias("sha"),
+    )
+
+
 # --- changed-file rows: one per line item ---------------------------------------
 
 FILE_PATH = "'src/p' || (l_partkey % 150) || CASE l_linenumber % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.PY' WHEN 2 THEN '.yaml' ELSE '/Dockerfile' END"
@@ -226,7 +274,8 @@ SPOKEN_PATCH = (
 
 
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity"]
+    return dealt(table(spark, sf_dir, "lineitem").select(*columns), *columns[:3]).select(
         F.col("l_suppkey").alias("session_id"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"),
         F.expr(FILE_BRANCH).alias("branch_name"),
@@ -264,7 +313,7 @@ STATUS = (
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return dealt(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), "event_id").select(
         F.col("user_id").alias("session_id"),
         F.col("event_id").alias("response_id"),
         F.expr(AGENT).alias("agent"),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimgrid.operators.diffs import DIFF_MARK, file_pieces
 from claimgrid.operators.files import of_branch
+from claimgrid.session import stage
 
 FILES = "array<struct<path:string,content:string>>"
 SCENARIO = (
@@ -18,18 +20,34 @@ SCENARIO = (
 
 
 def read_diff_texts(spark: SparkSession, path: str, branch: str | None = None) -> DataFrame:
-    """Exported diff texts, one file per row.
+    """Exported diff texts, one file per row, for files that are small.
 
-    The branch is the given one, or the file name without its extension. A file
-    is read whole, since a diff only has meaning as a whole.
+    The branch is the given one, or the file name without its extension.
     """
     texts = spark.read.text(path, wholetext=True)
+    return texts.select(*_file_columns(branch), F.col("value").alias("raw"))
+
+
+def _file_columns(branch: str | None) -> list[Column]:
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    return texts.select(
-        F.col("_metadata.file_path").alias("diff_id"),
-        (F.lit(branch) if branch else name).alias("branch_name"),
-        F.col("value").alias("raw"),
+    return [F.col("_metadata.file_path").alias("diff_id"), (F.lit(branch) if branch else name).alias("branch_name")]
+
+
+def read_split_diffs(spark: SparkSession, path: str, branch: str | None = None) -> DataFrame:
+    """The file chunks of exported diff texts, read by as many tasks as the files have splits.
+
+    The scan ends a record before each line that begins a file of the diff, and any
+    task can find such a line from the middle of a diff, so a large file is one scan
+    split after the other instead of one row. ``place`` orders the chunks of a diff:
+    start of the split, record in the split, piece of the record. Chunks are those of
+    ``read_diff_texts`` with ``diffs.diff_files``. (diff_id, branch_name, place, chunk)
+    """
+    texts = spark.read.option("lineSep", f"\n{DIFF_MARK}").text(path)
+    records = texts.select(
+        *_file_columns(branch), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value",
     )
+    return file_pieces(stage(records, "diff-records"))
 
 
 def read_changed_files(spark: SparkSession, path: str, branch: str | None = None) -> DataFrame:

@@ -137,3 +137,14 @@ def test_equal_claim_ids_are_not_paired_and_equal_conflict_ids_count_once(spark)
     assert rows(got, "l_value", "r_value") == [("a", "c")]
 
 
+
+
+def test_a_large_group_is_dealt_to_blocks_and_paired_once(spark):
+    data = [("hot", i, "order", "must_be", f"v{i}", "CODE_DIFF", None) for i in range(5_000)]
+    data += [(f"s{i % 50}", i, "order", "must_be", f"v{i}", "CODE_DIFF", None) for i in range(500)]
+    claims = pairing.pairable(pairing.merge_claims(claim_table(spark, data)))
+    blocks = pairing.in_blocks(claims).groupBy("session_id", "blocks", "block").count().collect()
+    assert {r.blocks for r in blocks if r.session_id == "hot"} == {4} and {r.blocks for r in blocks if r.session_id != "hot"} == {1}
+    assert max(r["count"] for r in blocks) < 1_500
+    counts = pairing.contradicting_pairs(claims).groupBy(F.col("session_id") == "hot").count().collect()
+    assert {r[0]: r[1] for r in counts} == {True: 5_000 * 4_999 // 2, False: 50 * 45}
