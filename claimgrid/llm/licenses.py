@@ -20,8 +20,10 @@ stand there word by word; a notice's score is the share of its words in runs of
 Scale: hashes of one text leave Python as one array, are exploded inside a stage and
 meet the templates in a broadcast join, whose size is known (``BROADCAST_GRAMS`` at
 most; more templates are joined by shuffle). What is shuffled is votes, and each
-belongs to one text. The scores go to texts by id and text hash, so copies and repeated
-ids don't share a key unless they are equal in both, and then results are equal too.
+belongs to one text. Votes are written once. So are word counts and, of texts that have
+a gram of some template, the texts: only these few move to their candidates. They meet
+by id and text hash, so copies and repeated ids don't share a key unless they are equal
+in both, and then results are equal too.
 
 A null text is empty: no words, no labels, score 0. Texts of any length are read
 whole. Repeated rows each get their row. Null ids are ids like others. An empty table gives
@@ -91,18 +93,24 @@ def _folded(texts: Texts) -> Texts:
     return Texts(FOLD[texts.data], texts.offsets)
 
 
-def template_grams(spark: SparkSession, known: list[Template]) -> DataFrame:
-    """Positions of all templates: hash, template, t, with the broadcast hint if their number allows."""
-    rows = []
+def template_places(known: list[Template]) -> list[tuple[int, int, int]]:
+    """Hash, template and position of every gram of the templates."""
+    places = []
     for k, (_, wording, phrase) in enumerate(known):
         raw = wording.encode()
         texts = _folded(Texts(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)])))
         size = PAIR if phrase else GRAM
         if len(terms(raw)) < size:
             raise ValueError(f"a template needs {size} words: {wording!r}")
-        rows += [(h, k, t) for t, h in enumerate(texts.shingles(size)[0].view(np.int64).tolist())]
-    frame = spark.createDataFrame(rows, "hash long, template int, t int")
-    return F.broadcast(frame) if len(rows) <= BROADCAST_GRAMS else frame
+        places += [(h, k, t) for t, h in enumerate(texts.shingles(size)[0].view(np.int64).tolist())]
+    return places
+
+
+def template_grams(spark: SparkSession, known: list[Template]) -> DataFrame:
+    """Those places as a table, with the broadcast hint if their number allows."""
+    places = template_places(known)
+    frame = spark.createDataFrame(places, "hash long, template int, t int")
+    return F.broadcast(frame) if len(places) <= BROADCAST_GRAMS else frame
 
 
 def rolling(docs: DataFrame) -> DataFrame:
@@ -139,6 +147,7 @@ def candidates(docs: DataFrame, known: list[Template]) -> DataFrame:
     )
     # Equal rows of a table vote for the same places; a place counts once.
     per_diagonal = voted.groupBy("doc_id", "h", "template", "diagonal").agg(F.size(F.collect_set("t")).alias("votes"))
+    per_diagonal = staged(per_diagonal, "license-votes")
     facts = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(n).alias("words")) for (_, _, p), n in zip(known, words, strict=True)])
     fact = F.element_at(facts, F.col("template") + 1)
     phrases = per_diagonal.where(fact["phrase"] & (F.col("votes") == fact["words"] - PAIR + 1)).select(
@@ -155,6 +164,33 @@ def candidates(docs: DataFrame, known: list[Template]) -> DataFrame:
     return phrases.union(notices)
 
 
+def counted(docs: DataFrame, known: list[Template]) -> DataFrame:
+    """Per text: doc_id, h, n_words, and the text itself if it has a gram of some template."""
+    schema = T.StructType([
+        docs.schema["doc_id"], docs.schema["h"], T.StructField("n_words", T.LongType()), T.StructField("text", T.StringType()),
+    ])
+    wanted = np.unique(np.array([h for h, _, _ in template_places(known)], dtype=np.int64).view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = shared.value
+        for batch in batches:
+            for part, texts in slices(batch, "text"):
+                folded = _folded(texts)
+                has = np.zeros(texts.count, dtype=bool)
+                for size in (PAIR, GRAM):
+                    hashes, at = folded.shingles(size)
+                    place = np.minimum(np.searchsorted(grams, hashes), max(0, len(grams) - 1))
+                    hits = np.concatenate(([0], np.cumsum(grams[place] == hashes))) if len(grams) else np.zeros(len(hashes) + 1)
+                    has |= hits[at[1:]] > hits[at[:-1]]
+                kept = part.column(2).take(pa.array(np.arange(texts.count), mask=~has))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(np.diff(folded.words()[2]), pa.int64()), kept], names=schema.names
+                )
+
+    return staged(docs.mapInArrow(apply, schema), "license-texts")
+
+
 class Checker:
     """Compares candidates with the words of their text."""
 
@@ -212,14 +248,19 @@ def scanned(docs: DataFrame, id: str = "doc_id", text: str = "text", known: list
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     known = templates() if known is None else known
     narrow = docs.select(F.col(id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    found = staged(candidates(narrow, known), "license-candidates")
+    found = candidates(narrow, known)
     per_text = found.groupBy("doc_id", "h").agg(F.collect_list(F.struct("template", "low", "high")).alias("spans"))
     per_text = per_text.withColumnsRenamed({"doc_id": "_of", "h": "_of_h"})
-    both = narrow.join(per_text, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("h") == F.col("_of_h")), "left").select("doc_id", "text", "spans")
+    every = counted(narrow, known)
     schema = T.StructType([
-        both.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("n_words", "n_base", "first_word", "last_word")],
+        every.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("n_words", "n_base", "first_word", "last_word")],
         T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType()),
     ])
+    none = [F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(schema.fields[2:], (0, None, None, "", "", 0.0), strict=True)]
+    without = every.where("text is null").select("doc_id", "n_words", *none)
+    both = every.where("text is not null").join(
+        per_text, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("h") == F.col("_of_h")), "left"
+    ).select("doc_id", "text", "spans")
     fixed = tuple(known)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,4 +272,4 @@ def scanned(docs: DataFrame, id: str = "doc_id", text: str = "text", known: list
                 columns = [pa.array(c, kind) for c, kind in zip(zip(*results, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
 
-    return both.mapInArrow(apply, schema)
+    return without.union(both.mapInArrow(apply, schema))

@@ -88,3 +88,9 @@ def test_repeats_and_drift(spark):
 def test_templates_beyond_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr(licenses, "BROADCAST_GRAMS", 1)
     check(spark, [(1, "Released under the MIT License."), (2, "apache license"), (3, None)])
+
+
+def test_many_rows_in_slices(spark):
+    rows = [(d, " ".join(words(d, 150, 500)) + (" MIT license" if d % 40 == 0 else "")) for d in range(3_000)]
+    got = licenses.scanned(table(spark, rows).coalesce(1)).where("n_base > 0").collect()
+    assert sorted(r.doc_id for r in got) == list(range(0, 3_000, 40)) and all(r.n_words == 152 and r.first_word == 150 for r in got)
