@@ -4,7 +4,9 @@
 the symbols so far. It is the one token that ends there, encodes to itself, and
 follows the last token before it in the way the merges leave both alone; checking
 neighbouring pairs is enough, because a token sequence is an encoding exactly if
-each of its adjacent pairs is one. A later token starts at most as many symbols
+each of its adjacent pairs is one. An automaton over all tokens names those that end
+at each symbol; a pair is checked by undoing the merges along its border, from the
+last made to the first. A later token starts at most as many symbols
 back as the longest token of the merge list has: that length is the sufficient
 lookahead. So whatever follows, the encoding continues from one of that many
 states, and the tokens on which all of their backward chains agree are stable and
@@ -23,9 +25,13 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import json
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +45,8 @@ TOKENIZER = "byte_bpe_50k.json"
 PAIRS_KEPT = 1_000_000
 PIECES_KEPT = 400_000
 STRIDE = 256
+# The usual pattern of byte-level files for ASCII text.
+ASCII_PIECES = re.compile("'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
 
 
 class Transducer:
@@ -51,20 +59,41 @@ class Transducer:
         self.symbol = {s: words.ids[s] for s in byte_symbols() if s in words.ids}
         self.text = {i: s for s, i in words.ids.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
-        # Tokens that the merges really produce; others never leave an encoder.
-        made = {*self.symbol.values(), *(c for _, _, c in words.merges)}
-        self.tokens = {s: i for s, i in words.ids.items() if i in made and self._reduce(s) == [i]}
-
-    def _reduce(self, symbols: str) -> list[int]:
-        """The merges in order of rank over a few symbols."""
-        out = [self.symbol[s] for s in symbols]
-        while len(out) > 1:
-            best = min(((self.rank[p][0], k) for k, p in enumerate(zip(out, out[1:])) if p in self.rank), default=None)
-            if best is None:
-                break
-            k = best[1]
-            out[k : k + 2] = [self.rank[(out[k], out[k + 1])][1]]
-        return out
+        # How the merges make each token that they make from its own text: the rank of
+        # its last merge and that merge's sides; a symbol has rank -1.
+        self.made: dict[int, tuple[int, int, int]] = {i: (-1, i, i) for i in self.symbol.values()}
+        early = []
+        for r, (a, b, c) in enumerate(words.merges):
+            if a not in self.made or b not in self.made:
+                early.append((a, b))
+            elif c not in self.made and self._apart(a, b, r):
+                self.made[c] = (r, a, b)
+        if any(a in self.made and b in self.made for a, b in early):
+            raise ValueError("a merge stands before those that make its sides")
+        self.search = ahocorasick.Automaton()
+        for token in self.made:
+            self.search.add_word(self.text[token], (len(self.text[token]), token))
+        self.search.make_automaton()
+
+    def _apart(self, a: int, b: int, limit: float) -> bool:
+        """Whether no merge of a rank below ``limit`` joins ``a`` and ``b`` while they are made side by side.
+
+        Merges are undone from the last to the first. What then meets at the border
+        must not have a merge that would have come before the one just undone; of
+        equal ranks the left place comes first.
+        """
+        rank, made = self.rank, self.made
+        while True:
+            joined = rank.get((a, b))
+            if joined is not None and joined[0] < limit:
+                return False
+            (left_rank, _, inner), (right_rank, outer, _) = made[a], made[b]
+            if left_rank > right_rank:
+                limit, a = left_rank, inner
+            elif right_rank >= 0:
+                limit, b = right_rank + 1, outer
+            else:
+                return True
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the merges leave ``a`` and ``b`` alone when they meet."""
@@ -73,25 +102,47 @@ class Transducer:
         if known is None:
             if len(self.pairs) >= PAIRS_KEPT:
                 self.pairs.clear()
-            known = self.pairs[key] = self._reduce(self.text[a] + self.text[b]) == [a, b]
+            known = self.pairs[key] = self._apart(a, b, float("inf"))
         return known
 
+    def _extend(self, found: Iterable[tuple[int, tuple[int, int]]], last: list[int], back: list[int], shift: int) -> None:
+        """Go on with the tokens that end at further symbols, in order of ends; one of them is the last token there."""
+        pairs, follows, held = self.pairs.get, self.follows, len(last)
+        for at, (size, token) in found:
+            if at + shift != held:
+                continue
+            start = held - size
+            if start < 0:
+                continue
+            before = last[start]
+            if before < 0 or (known := pairs((before, token))) or (known is None and follows(before, token)):
+                last.append(token)
+                back.append(start)
+                held += 1
+
+    def whole(self, symbols: str) -> list[int]:
+        """Tokens of a short text that is there as a whole: one block of the stream."""
+        last, back = [-1], [0]
+        self._extend(self.search.iter(symbols), last, back, 1)
+        if len(last) <= len(symbols):
+            raise ValueError(f"symbols outside the vocabulary: {symbols!r}")
+        return self._chain(last, back, len(symbols))
+
     def stream(self, symbols: Iterable[str]) -> Iterator[int]:
         """Tokens of the symbols, each as soon as it is stable."""
-        tokens, longest, follows = self.tokens, self.lookahead, self.follows
-        held, last, back = "", [-1], [0]  # after k held symbols: the last token, and where it starts
-        for symbol in symbols:
-            held += symbol
-            end = len(held)
-            for start in range(max(0, end - longest), end):
-                token = tokens.get(held[start:end])
-                if token is not None and last[start] is not None and (last[start] < 0 or follows(last[start], token)):
-                    last.append(token)
-                    back.append(start)
-                    break
-            else:
-                raise ValueError(f"symbol outside the vocabulary: {symbol!r}")
-            if end % STRIDE == 0 and end > longest:
+        last, back = [-1], [0]  # after k held symbols: the last token, and where it starts
+        taken = gone = 0  # symbols that have come, and those whose tokens have left
+        found = self.search.iter("")
+        symbols = iter(symbols)
+        longest = self.lookahead
+        while block := "".join(islice(symbols, STRIDE)):
+            found.set(block, False)
+            self._extend(found, last, back, 1 - gone)
+            taken += len(block)
+            end = len(last) - 1
+            if end != taken - gone:
+                raise ValueError(f"symbols outside the vocabulary: {block!r}")
+            if len(block) == STRIDE and end > longest:
                 common = end
                 for state in range(end - 1, end - longest, -1):
                     while common != state:
@@ -104,9 +155,10 @@ class Transducer:
                 if common:
                     yield from self._chain(last, back, common)
                     # The token before the cut stays known: what follows must follow it.
-                    held, last = held[common:], [last[common], *last[common + 1 :]]
+                    last = last[common:]
                     back = [0, *(max(0, b - common) for b in back[common + 1 :])]
-        yield from self._chain(last, back, len(held))
+                    gone += common
+        yield from self._chain(last, back, len(last) - 1)
 
     @staticmethod
     def _chain(last: list[int], back: list[int], end: int) -> list[int]:
@@ -124,14 +176,19 @@ class Encoder:
         self.vocabulary = vocabulary(path)
         self.split = library(path).pre_tokenizer.pre_tokenize_str
         self.transducer = Transducer(self.vocabulary)
-        self.space = byte_symbols()[ord(" ")]
+        # Whether the pattern is the usual one for bytes, so ASCII text may be cut here.
+        usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        kind = json.loads(library(path).to_str())["pre_tokenizer"] or {}
+        self.plain = usual.items() <= kind.items() and library(path).normalizer is None
+        self.symbols = dict(enumerate(byte_symbols()[:128]))
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.chunks = Coded(lambda chunks: [self._chunk(c) for c in chunks])
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         known = self.pieces.get(piece)
         if known is None:
-            known = tuple(self.transducer.stream(piece))
+            short = len(piece) <= STRIDE
+            known = tuple(self.transducer.whole(piece) if short else self.transducer.stream(piece))
             if len(piece) <= LONG:
                 if len(self.pieces) >= PIECES_KEPT:
                     self.pieces.clear()
@@ -139,11 +196,15 @@ class Encoder:
         return known
 
     def _chunk(self, chunk: str) -> list[int] | tuple[int, ...]:
-        word = chunk.removeprefix(" ")
-        if word.isascii() and word.isalpha():  # one piece in the file's pattern
-            return self._piece(self.space + word if len(word) < len(chunk) else word)
+        if self.plain and chunk.isascii():
+            cut = ASCII_PIECES(chunk)
+            if len(cut) == 1:
+                return self._piece(chunk.translate(self.symbols))
+            pieces = [p.translate(self.symbols) for p in cut]
+        else:
+            pieces = [p for p, _ in self.split(chunk)]
         out: list[int] = []
-        for piece, _ in self.split(chunk):
+        for piece in pieces:
             out.extend(self._piece(piece))
         return out
 
