@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgrid.functions import refs
+from claimgrid.functions import refs, rulebook
 from claimgrid.operators import (
     agents,
     checks,
@@ -190,6 +190,13 @@ def report_evidence(spark, sf):
     return rows.select("session_id", "conflict_id", "ref_id", "side", "file_path", "text")
 
 
+@query
+def evidence_counts(spark, sf):
+    """References and files behind each side of a conflict, from factors that are not expanded."""
+    normalized = stage(corpus_normalized(spark, sf), "normalized")
+    return reports.evidence_of(found_conflicts(normalized), normalized).counts()
+
+
 @query
 def domain_claims(spark, sf):
     rows = stage(corpus_claims(spark, sf), "claims")
@@ -615,6 +622,30 @@ def session_status(spark, sf):
     return status.select("session_id", "status", "n_events")
 
 
+@query
+def status_log(spark, sf):
+    """Status events as a stream of files, folded into a log, compacted and read."""
+    root = scratch(spark, "status")
+    events = corpus.status_events(spark, sf)
+    events.write.parquet(f"{root}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
+    feed.status_stream(stream, f"{root}/checkpoint", f"{root}/status", compact_every=2).awaitTermination()
+    return feed.current_status(spark, f"{root}/status").select("session_id", "status", "event_id", "n_events")
+
+
+@query
+def checked_files(spark, sf):
+    """Changed files written under checks that run in the writing job, and read back."""
+    path = scratch(spark, "checked")
+    rows = corpus.changed_files(spark, sf).withColumns(
+        {"previous_path": F.lit(None).cast("string"), "additions": F.lit(1), "deletions": F.lit(0)}
+    )
+    checks.write_checked(rows, checks.changed_file_checks, path, "ChangedFile")
+    return tables.read_changed_files(spark, path).groupBy("session_id", "branch_name").agg(
+        F.count("*").alias("n_files"), F.count_distinct("path").alias("n_paths")
+    )
+
+
 @query
 def session_stages(spark, sf):
     return lifecycle.stage_rows(lifecycle.latest_status(corpus.status_events(spark, sf)))
@@ -893,6 +924,56 @@ def branch_errors(spark, sf):
     return checks.record_errors(corpus.record(spark, sf, "customer", corpus.BRANCH_RECORD), ["id"], checks.branch_checks)
 
 
+@query
+def feature_request_errors(spark, sf):
+    rows = corpus.record(spark, sf, "orders", {"key": "o_orderkey", **corpus.FEATURE_REQUEST_RECORD})
+    return checks.record_errors(rows, ["key"], checks.feature_request_checks)
+
+
+@query
+def repository_errors(spark, sf):
+    return checks.record_errors(corpus.record(spark, sf, "customer", corpus.REPOSITORY_RECORD), ["key"], checks.repository_checks)
+
+
+def corpus_rule_sets(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
+    """Which of two rule sets each session wants, and the sets compiled from their table."""
+    chosen = corpus.customers(spark, sf, "c_custkey").select(F.col("c_custkey").alias("session_id"), F.expr(corpus.RULE_SET).alias("rule_set"))
+    return chosen, rulebook.rule_sets(spark.createDataFrame(corpus.RULE_ROWS, rulebook.SCHEMA))
+
+
+@query
+def rule_set_matches(spark, sf):
+    """Two rule sets from a table, each read on the sessions that chose it."""
+    found = extract.rule_set_matches(corpus_units(spark, sf), *corpus_rule_sets(spark, sf))
+    return found.select("rule_set", *extract.UNIT_KEY, "seg_idx", "rule_id", "category", "subject", "predicate", "statement", "confidence")
+
+
+@query
+def direct_verdicts(spark, sf):
+    """Verdicts of a detector chosen by name: only values that exclude each other directly count."""
+    inputs = verify.Inputs(corpus.sessions(spark, sf), corpus.changes(spark, sf), corpus.snippets(spark, sf), corpus.context_docs(spark, sf))
+    return verify.verify(inputs, detector="direct").results.select("session_id", "claims_found", "conflicts_found", "status")
+
+
+@query
+def committed_results(spark, sf):
+    """Nested results written as lines, read against a schema, committed twice under one id, and read again."""
+    lines = corpus.orders(spark, sf, "o_orderkey", "o_custkey", "o_orderstatus").select(F.expr(corpus.RESULT_JSON).alias("text"))
+    path, root = scratch(spark, "result-lines"), scratch(spark, "results")
+    tables.write_texts(lines, path)
+    good, corrupt = tables.read_records(spark, path, corpus.RESULT_SCHEMA)
+    for _ in range(2):
+        tables.commit_records(good, root, "results-1")
+    read, unread = tables.read_records(spark, tables.committed(spark, root), corpus.RESULT_SCHEMA)
+    rows = read.select(
+        F.lit("good").alias("kind"), "id", "status", F.col("source.name").alias("name"),
+        F.array_join("source.branches.name", "|").alias("branches"), F.col("counts")["high"].alias("high"),
+        F.array_join(F.flatten("findings.claims"), "|").alias("claims"), F.md5(F.lit("")).alias("text_md5"),
+    )
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[1:-1]]
+    return rows.unionByName(corrupt.union(unread).select(F.lit("corrupt").alias("kind"), *none, F.md5("value").alias("text_md5")))
+
+
 @query
 def domain_claim_errors(spark, sf):
     rows = corpus.record(spark, sf, "orders", corpus.DOMAIN_CLAIM_RECORD)

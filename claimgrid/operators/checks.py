@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from claimgrid.functions import fixed
@@ -154,6 +155,49 @@ def input_errors(
     return found
 
 
+class InvalidRows(ValueError):
+    """Rows that were not written: how many errors they have, and the first of them."""
+
+    def __init__(self, subject: str, errors: int, first: str | None):
+        super().__init__(f"Invalid {subject}: {errors} errors, among them: {first}")
+        self.errors, self.first = errors, first
+
+
+def write_checked(rows: DataFrame, checks: Callable[[Get], list[Check]], path: str, subject: str) -> int:
+    """Write ``rows`` if all of them pass, counting errors in the writing job itself.
+
+    Every row's failed checks are found on its way to the writer and observed: number
+    of errors, and the least (field, message). No row is read twice and no action
+    runs beside the write. The files appear under a name that readers skip and get
+    ``path`` only when no error was seen, so a bad row leaves nothing behind. Returns
+    the number of rows.
+    """
+    spark = rows.sparkSession
+    found = issue_array(checks(F.col))
+    listed = F.transform(found, lambda e: F.concat(e["field"], F.lit(" — "), e["message"]))
+    name = "_issues"
+    while name in rows.columns:
+        name = "_" + name
+    seen = Observation("checks")
+    observed = rows.withColumn(name, listed).observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.sum(F.size(name)).alias("errors"), F.min(F.array_min(name)).alias("first")
+    )
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if system.exists(place):
+        raise FileExistsError(path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f"_draft-{uuid4().hex}")
+    try:
+        observed.drop(name).write.parquet(draft.toString())
+        if seen.get["errors"]:
+            raise InvalidRows(subject, seen.get["errors"], seen.get["first"])
+        if not system.rename(draft, place):
+            raise FileExistsError(path)
+    finally:
+        system.delete(draft, True)
+    return seen.get["rows"]
+
+
 def assert_none(errors: DataFrame, subject: str) -> None:
     """Fail with the number of errors and the first of them in order of place and message."""
     found = errors.agg(F.count(F.lit(1)).alias("n"), F.min(F.concat("field", F.lit(" — "), "message")).alias("first")).first()

@@ -156,6 +156,25 @@ def claims(
     return kept.withColumns({"claim_id": claim_id, "source_type": F.lit(source_type)})
 
 
+def _of_sets(units: DataFrame, chosen: DataFrame, sets: dict[str, Sequence[Rule]], read) -> DataFrame:
+    """Units of each session read by the rule set that ``chosen(session_id, rule_set)`` names for it."""
+    missing = F.concat(F.lit("unknown rule set: "), "rule_set")
+    name = F.when(F.col("rule_set").isin(*sets), F.col("rule_set")).otherwise(F.raise_error(missing).cast("string"))
+    marked = units.join(chosen.select("session_id", name.alias("rule_set")), "session_id")
+    parts = [read(marked.filter(F.col("rule_set") == key).drop("rule_set"), rules).withColumn("rule_set", F.lit(key)) for key, rules in sets.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def rule_set_matches(units: DataFrame, chosen: DataFrame, sets: dict[str, Sequence[Rule]]) -> DataFrame:
+    """``rule_matches`` with a rule set for each session; a set that isn't there fails the job."""
+    return _of_sets(units, chosen, sets, rule_matches)
+
+
+def rule_set_claims(units: DataFrame, chosen: DataFrame, sets: dict[str, Sequence[Rule]], source_type: str = "REQUIREMENT") -> DataFrame:
+    """``claims`` with a rule set for each session."""
+    return _of_sets(units, chosen, sets, lambda rows, rules: claims(rows, source_type, rules))
+
+
 def diagnostics(units: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Units that gave no claim, with the reason.
 

@@ -126,10 +126,7 @@ def contradicting_pairs(claims: DataFrame, block: int = BLOCK) -> DataFrame:
     two blocks of a group. The pair is then put in order. ``claims`` is pairable and
     read three times; a caller whose claims are costly stages them.
     """
-    dealt = in_blocks(claims, block).select(
-        *GROUP_KEY, "conflict_type", "block", "blocks",
-        F.struct(*(F.col(a).alias(b) for a, b in SIDE.items())).alias("side"),
-    )
+    dealt = _sides(in_blocks(claims, block))
     upper = dealt.select(
         *GROUP_KEY, "conflict_type", F.col("block").alias("i"),
         F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.col("side").alias("x"),
@@ -137,9 +134,31 @@ def contradicting_pairs(claims: DataFrame, block: int = BLOCK) -> DataFrame:
     lower = dealt.select(
         *GROUP_KEY, F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("side").alias("y"),
     )
-    pairs = upper.join(lower, [*GROUP_KEY, "i", "j"]).filter(
-        "(i < j or x.ord < y.ord) and x.claim_id <> y.claim_id and x.value <> y.value"
+    return _in_order(upper.join(lower, [*GROUP_KEY, "i", "j"]).filter("i < j or x.ord < y.ord"))
+
+
+def changed_pairs(claims: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The pairs of ``contradicting_pairs`` with a side that is ``changed``, without forming others.
+
+    ``claims`` is pairable and holds whole groups, with the flag ``changed``. Changed
+    claims are copied to the blocks of their group and meet the group's claims there.
+    """
+    dealt = _sides(in_blocks(claims, block), "changed")
+    left = dealt.filter("changed").select(
+        *GROUP_KEY, "conflict_type", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("side").alias("x"),
     )
+    right = dealt.select(*GROUP_KEY, "block", "changed", F.col("side").alias("y"))
+    return _in_order(left.join(right, [*GROUP_KEY, "block"]).filter("not changed or x.ord < y.ord"))
+
+
+def _sides(dealt: DataFrame, *keep: str) -> DataFrame:
+    side = F.struct(*(F.col(a).alias(b) for a, b in SIDE.items())).alias("side")
+    return dealt.select(*GROUP_KEY, "conflict_type", "block", "blocks", *keep, side)
+
+
+def _in_order(met: DataFrame) -> DataFrame:
+    """Contradicting pairs among ``x`` and ``y`` that met, the earlier claim left."""
+    pairs = met.filter("x.claim_id <> y.claim_id and x.value <> y.value")
     first = F.col("x.ord") < F.col("y.ord")
     sides = {"l": F.when(first, F.col("x")).otherwise(F.col("y")), "r": F.when(first, F.col("y")).otherwise(F.col("x"))}
     ordered = pairs.select(*GROUP_KEY, "conflict_type", *(side.alias(name) for name, side in sides.items()))
@@ -193,6 +212,9 @@ def conflicts_from_merged(merged: DataFrame, block: int = BLOCK) -> DataFrame:
     return conflicts_from_pairable(pairable(merged), block)
 
 
+def ruled(pairs: DataFrame) -> DataFrame:
+    return rule_on(pairs).withColumn("conflict_id", conflict_id())
+
+
 def conflicts_from_pairable(claims: DataFrame, block: int = BLOCK) -> DataFrame:
-    pairs = rule_on(contradicting_pairs(claims, block))
-    return first_per_id(pairs.withColumn("conflict_id", conflict_id()))
+    return first_per_id(ruled(contradicting_pairs(claims, block)))

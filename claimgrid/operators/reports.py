@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgrid.functions import fixed
 from claimgrid.functions.rulings import locale_key, pair_text, severity_rank, source_label
-from claimgrid.operators.pairing import MERGE_KEY
+from claimgrid.operators.pairing import MERGE_KEY, evidence_files, merged_evidence
 
 
 def explain(conflicts: DataFrame) -> DataFrame:
@@ -53,7 +55,10 @@ def report_files(conflicts: DataFrame, evidence_files: DataFrame) -> DataFrame:
 
 def report_evidence(conflicts: DataFrame, merged_evidence: DataFrame) -> DataFrame:
     """Evidence of both sides, left before right, first reference per id."""
-    rows = _side_keys(conflicts).join(merged_evidence, MERGE_KEY)
+    return _first_references(_side_keys(conflicts).join(merged_evidence, MERGE_KEY))
+
+
+def _first_references(rows: DataFrame) -> DataFrame:
     fields = ["source_type", "file_path", "line_range", "text", "label"]
     kept = rows.groupBy("session_id", "conflict_id", "ref_id").agg(
         F.min(F.struct("side", "ord", "ref_seq", *fields)).alias("ref")
@@ -61,6 +66,43 @@ def report_evidence(conflicts: DataFrame, merged_evidence: DataFrame) -> DataFra
     return kept.select("session_id", "conflict_id", "ref_id", "ref.*")
 
 
+@dataclass(frozen=True)
+class Evidence:
+    """The evidence of conflicts in factors: which claims a conflict has, and what each claim has.
+
+    A claim that stands in many conflicts holds its references and files once, so the
+    tables grow with claims plus conflicts. ``expand_references`` and ``expand_files``
+    give the rows of ``report_evidence`` and ``report_files``, for all conflicts or for
+    the (session_id, conflict_id) asked for.
+    """
+
+    sides: DataFrame
+    references: DataFrame
+    files: DataFrame
+
+    def counts(self) -> DataFrame:
+        """References and files behind each side of a conflict, counted per claim and never expanded."""
+        n_refs = self.references.groupBy(*MERGE_KEY).agg(F.count("*").alias("n_refs"))
+        n_files = self.files.groupBy(*MERGE_KEY).agg(F.count("*").alias("n_files"))
+        joined = self.sides.join(n_refs.join(n_files, MERGE_KEY, "full"), MERGE_KEY, "left")
+        return joined.select("session_id", "conflict_id", "side", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("n_refs", "n_files")))
+
+    def _wanted(self, wanted: DataFrame | None) -> DataFrame:
+        return self.sides if wanted is None else self.sides.join(wanted, ["session_id", "conflict_id"], "left_semi")
+
+    def expand_references(self, wanted: DataFrame | None = None) -> DataFrame:
+        return _first_references(self._wanted(wanted).join(self.references, MERGE_KEY))
+
+    def expand_files(self, wanted: DataFrame | None = None) -> DataFrame:
+        rows = self._wanted(wanted).join(self.files, MERGE_KEY)
+        return rows.select("session_id", "conflict_id", "file_path").distinct()
+
+
+def evidence_of(conflicts: DataFrame, normalized: DataFrame) -> Evidence:
+    """``conflicts`` and the normalised claims they were found in; both are read more than once."""
+    return Evidence(_side_keys(conflicts), merged_evidence(normalized), evidence_files(normalized))
+
+
 def _label_number(column: str, numbers: dict[str, float]) -> Column:
     chain = F.lit(None)
     for label, number in numbers.items():

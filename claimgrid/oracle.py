@@ -1208,3 +1208,74 @@ for _name in ORACLES:
     ]
     if _casts:
         ORACLES[_name] = f"SELECT * REPLACE ({', '.join(_casts)}) FROM ({ORACLES[_name]})"
+
+_U = "NOT regexp_full_match(coalesce({c}, ''), '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}')"
+
+
+def _own_rule(rule: tuple) -> str:
+    """Matches of a rule of the table: the first of a segment whose subject and predicate slots are filled."""
+    rule_set, _, rule_id, category, confidence, pattern, ignore_case, _, *templates = rule
+    flags = "(?i)" if ignore_case else ""
+
+    def filled(template: str) -> str:
+        forms = {"": "trim(g{n})", "lower": "lower(trim(g{n}))", "key": subject_key("g{n}")}
+        parts = re.split(r"\{(\d)(?:\|(lower|key))?\}", template)
+        out = [q(parts[0])]
+        for n, form, text in zip(parts[1::3], parts[2::3], parts[3::3]):
+            out += [forms[form or ""].replace("{n}", n), q(text)]
+        return " || ".join(out)
+
+    groups = ", ".join(f"regexp_extract(segment, {q(flags + pattern)}, {n}) AS g{n}" for n in (1, 2) if n <= re.compile(pattern).groups)
+    subject, predicate, statement = map(filled, templates)
+    return f"""SELECT rule_set, session_id, part, change_seq, snippet_seq, seg_idx, {q(rule_id)} AS rule_id, {q(category)} AS category,
+        {subject} AS subject, {predicate} AS predicate, {statement} AS statement, {q(confidence)} AS confidence
+      FROM (SELECT *, {groups} FROM segs JOIN chosen USING (session_id) WHERE rule_set = {q(rule_set)}
+        AND (category_hint IS NULL OR category_hint = {q(category)} OR (category_hint = 'BUSINESS_RULE' AND {q(category)} = 'AUTHORIZATION')))
+      WHERE g1 <> ''"""
+
+
+_OWN_CTES = {
+    "units": _units(), "segs": SEGS, "chosen": f"SELECT c_custkey AS session_id, {corpus.RULE_SET} AS rule_set FROM customer",
+    "own": " UNION ALL ".join(_own_rule(r) for r in corpus.RULE_ROWS),
+}
+_OWN = "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in _OWN_CTES.items())
+_CORRUPT = "o_orderkey % 13 IN (5, 6, 7)"
+ORACLES |= {
+    "evidence_counts": upto(
+        "conflicts",
+        """SELECT c.session_id, c.conflict_id, side, count(DISTINCT n.claim_id) AS n_refs, count(DISTINCT n.source_file) AS n_files
+           FROM (SELECT session_id, conflict_id, canonical_subject, unnest([l_predicate, r_predicate]) AS side_predicate, unnest([0, 1]) AS side FROM conflicts) c
+           JOIN norm n ON n.session_id = c.session_id AND n.canonical_subject = c.canonical_subject AND n.canonical_predicate = side_predicate
+           GROUP BY ALL""",
+    ),
+    "status_log": f"""SELECT user_id AS session_id, arg_max({corpus.STATUS}, (ts, event_id)) AS status,
+        arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n_events FROM events GROUP BY 1""",
+    "checked_files": f"SELECT session_id, branch_name, count(*) AS n_files, count(DISTINCT path) AS n_paths FROM ({CHANGED_ROWS}) GROUP BY ALL",
+    "feature_request_errors": flaws(record_sql("orders", {"key": "o_orderkey", **corpus.FEATURE_REQUEST_RECORD}), "key", [
+        ("'id'", _U.format(c="id"), "'id must be a UUID v4 string'"),
+        no_text("title", "title"), no_text("description", "description"), no_text("submittedBy", "submitted_by"),
+        ("'createdAt'", "NOT ends_with(created_at, 'Z')", "'must be an ISO-8601 UTC datetime string (e.g. 2024-08-01T12:00:00.000Z)'"),
+    ]),
+    "repository_errors": flaws(record_sql("customer", corpus.REPOSITORY_RECORD), "key", [
+        ("'id'", _U.format(c="id"), "'id must be a UUID v4 string'"),
+        no_text("name", "name"), no_text("cloneUrl", "clone_url"), no_text("provider", "provider"),
+        ("'featureBranches'", "feature_branches IS NULL", "'at least one feature branch is required'"),
+        ("'resolvedAt'", "NOT ends_with(resolved_at, 'Z')", "'must be an ISO-8601 UTC datetime string (e.g. 2024-08-01T12:00:00.000Z)'"),
+    ]),
+    "direct_verdicts": upto(
+        "conflicts",
+        """SELECT c_custkey AS session_id, coalesce(n_claims, 0) AS claims_found, coalesce(n, 0) AS conflicts_found,
+             CASE WHEN n > 0 THEN 'CONFLICTS_FOUND' ELSE 'PASS' END AS status FROM customer
+           LEFT JOIN (SELECT session_id, count(*) AS n_claims FROM claims GROUP BY 1) a ON a.session_id = c_custkey
+           LEFT JOIN (SELECT session_id, count(*) AS n FROM conflicts WHERE direct GROUP BY 1) b ON b.session_id = c_custkey""",
+    ),
+    "rule_set_matches": _OWN + " SELECT * FROM own",
+    "committed_results": f"""
+      WITH lines AS (SELECT *, {corpus.RESULT_JSON} AS text FROM orders)
+      SELECT 'good' AS kind, o_orderkey AS id, CASE WHEN o_orderkey % 13 <> 8 THEN o_orderstatus END AS status,
+        CASE WHEN o_orderkey % 13 <> 8 THEN 'r\u00e9po' END AS name,
+        CASE WHEN o_orderkey % 13 <> 8 THEN 'feature/' || (o_orderkey % 3) || '|main' END AS branches,
+        CASE WHEN o_orderkey % 13 <> 8 THEN o_orderkey % 4 END AS high,
+        CASE WHEN o_orderkey % 13 <> 8 THEN 'a|b' || o_custkey ELSE '' END AS claims, md5('') AS text_md5 FROM lines WHERE NOT {_CORRUPT}
+      UNION ALL SELECT 'corrupt', NULL, NULL, NULL, NULL, NULL, NULL, md5(text) FROM lines WHERE {_CORRUPT}""",
+}

@@ -18,6 +18,15 @@ Extractor = Callable[[DataFrame], DataFrame]
 Detector = Callable[[DataFrame], DataFrame]
 
 
+def direct_conflicts(normalized: DataFrame) -> DataFrame:
+    """Only conflicts whose values exclude each other directly."""
+    return pairing.detect_conflicts(normalized).filter("direct")
+
+
+# Detectors by the name a caller chooses.
+DETECTORS: dict[str, Detector] = {"contradictions": pairing.detect_conflicts, "direct": direct_conflicts}
+
+
 @dataclass(frozen=True)
 class Inputs:
     """Engine tables: sessions, changes and snippets, optionally context docs."""
@@ -131,14 +140,18 @@ def verify(
     source_type: str = "CODE_DIFF",
     rules: Sequence[Rule] = RULES,
     extractor: Extractor | None = None,
-    detector: Detector | None = None,
+    detector: Detector | str | None = None,
 ) -> Outcome:
     """Extract, normalise, pair, rule and report every session of ``inputs``.
 
     Claims are the one expensive intermediate and feed all results, so they are
     written once. ``extractor`` (units to claims) and ``detector`` (normalised
-    claims to conflicts) replace the built-in ones.
+    claims to conflicts, or a name in ``DETECTORS``) replace the built-in ones.
     """
+    if isinstance(detector, str):
+        if detector not in DETECTORS:
+            raise ValueError(f"unknown detector: {detector}")
+        detector = DETECTORS[detector]
     prepare(inputs.sessions.sparkSession)
     units = extract.build_units(
         inputs.sessions, inputs.changes, inputs.snippets, inputs.context_docs

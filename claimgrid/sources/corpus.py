@@ -463,3 +463,49 @@ COUNTED_RECORD = {
     "medium": "CASE o_orderkey % 3 WHEN 0 THEN 1 ELSE 0 END",
     "low": "0",
 }
+FEATURE_REQUEST_RECORD = {
+    "id": f"CASE o_orderkey % 9 WHEN 0 THEN 'request-' || o_orderkey ELSE {_ID.format(n='o_orderkey')} END",
+    "title": "CASE o_orderkey % 7 WHEN 1 THEN '' ELSE o_orderpriority END",
+    "description": "CASE o_orderkey % 11 WHEN 4 THEN NULL ELSE 'text' END",
+    "created_at": "CASE o_orderkey % 5 WHEN 0 THEN '2024-08-01 12:00' ELSE '2024-08-01T12:00:00Z' END",
+    "submitted_by": "CASE o_orderstatus WHEN 'P' THEN '' ELSE 'someone' END",
+}
+REPOSITORY_RECORD = {
+    "key": "c_custkey",
+    "id": f"CASE c_custkey % 9 WHEN 0 THEN 'repository-' || c_custkey ELSE {_ID.format(n='c_custkey')} END",
+    "name": "CASE c_custkey % 4 WHEN 0 THEN '' ELSE c_name END",
+    "clone_url": "CASE c_custkey % 6 WHEN 0 THEN NULL ELSE 'https://github.com/org/repo' END",
+    "provider": "CASE c_custkey % 5 WHEN 0 THEN '' ELSE 'github' END",
+    "feature_branches": "CASE c_custkey % 3 WHEN 0 THEN NULL ELSE split('feature/a,feature/b', ',') END",
+    "resolved_at": "CASE c_custkey % 8 WHEN 0 THEN 'yesterday' ELSE '2024-08-01T12:00:00Z' END",
+}
+
+# --- rule sets as data: (rule_set, place, rule_id, category, confidence, pattern, ignore_case, triggers, templates) ---
+
+RULE_SET = "CASE c_custkey % 2 WHEN 0 THEN 'roles' ELSE 'fields' END"
+RULE_ROWS = [
+    ("roles", 0, "own:role", "AUTHORIZATION", "HIGH", r"role\s*={1,3}\s*[\"'](\w+)[\"']", False, ["role"],
+     "user_role", "allowed_role = {1|lower}", "Role is {1}"),
+    ("roles", 1, "own:only", "AUTHORIZATION", "LOW", r"only (\w+) users? (?:are|is) allowed to (\w+)", True, ["only"],
+     "{2|key}", "allowed_actor = {1|lower}", "{1} may {2}"),
+    ("fields", 0, "own:required", "SCHEMA", "MEDIUM", r"(\w+) is required", True, ["required"],
+     "{1|key}", "is_required = true", "{1} must be given"),
+    ("fields", 1, "own:depends", "DEPENDENCY", "LOW", r"(\w+) depends on the (\w+) service", True, ["depends"],
+     "{1|key}", "needs = {2}", "{1} needs {2}"),
+]
+
+# --- nested records as JSON lines, some of them broken ---
+
+RESULT_SCHEMA = (
+    "id bigint, status string, source struct<name:string,branches:array<struct<name:string,sha:string>>>, "
+    "counts map<string,bigint>, findings array<struct<id:string,severity:string,claims:array<string>>>"
+)
+_SEVERITY = "CASE o_orderstatus WHEN 'F' THEN 'HIGH' ELSE 'LOW' END"
+RESULT_JSON = f"""CASE o_orderkey % 13
+  WHEN 5 THEN '{{"id": ' || o_orderkey || ', "status": "cut'
+  WHEN 6 THEN '{{"id": "' || o_orderkey || 'x", "status": "PASS"}}'
+  WHEN 7 THEN '{{"id": ' || o_orderkey || ', "findings": [{{"id": "f", "claims": "none"}}]}}'
+  WHEN 8 THEN '{{"id": ' || o_orderkey || ', "more": 1, "source": null, "findings": []}}'
+  ELSE '{{"id": ' || o_orderkey || ', "status": "' || o_orderstatus || '", "source": {{"name": "r\u00e9po", "branches": [{{"name": "feature/' ||
+    (o_orderkey % 3) || '", "sha": null}}, {{"name": "main"}}]}}, "counts": {{"high": ' || (o_orderkey % 4) || '}}, "findings": [{{"id": "f-' ||
+    o_custkey || '", "severity": "' || {_SEVERITY} || '", "claims": ["a", "b' || o_custkey || '"]}}]}}' END"""

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimgrid.operators.diffs import DIFF_MARK, file_pieces
 from claimgrid.operators.files import of_branch
@@ -100,3 +104,66 @@ def write_table(rows: DataFrame, path: str, fmt: str = "parquet", mode: str = "e
 
 def write_texts(texts: DataFrame, path: str, column: str = "text", mode: str = "errorifexists") -> None:
     texts.select(column).write.mode(mode).text(path)
+
+
+CORRUPT = "_corrupt_record"
+
+
+def read_records(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Nested JSON records of one text line each, checked against ``schema``: the good ones, and the corrupt texts.
+
+    A line that is no JSON or that has a value of another type anywhere is corrupt; it
+    is reported whole with its file and never read in part. Unknown members are ignored
+    and missing ones are null.
+    """
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.trim("value") != "")
+    typed = T.StructType([*kind.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = lines.withColumn("r", F.from_json("value", typed, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    bad = F.col("r").isNull() | F.col(f"r.{CORRUPT}").isNotNull()
+    return parsed.filter(~bad).select("r.*").drop(CORRUPT), parsed.filter(bad).select("file", "value")
+
+
+def commit_records(rows: DataFrame, root: str, commit_id: str) -> bool:
+    """Write ``rows`` as JSON records under ``root`` as one commit; False if that commit is there already.
+
+    Files go to a folder of this attempt, and the manifest entry that names the folder
+    is created last and never replaced. So readers see all of a commit or nothing, a
+    repeated commit changes nothing, and an attempt that was lost leaves a folder that
+    no manifest names.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", commit_id):
+        raise ValueError(f"not a commit id: {commit_id!r}")
+    spark = rows.sparkSession
+    entry = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_manifest/{commit_id}")
+    system = entry.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if system.exists(entry):
+        return False
+    folder = f"part-{uuid.uuid4().hex}"
+    shown = [c for c in rows.columns if c not in SECRET_COLUMNS]
+    rows.select(*shown).write.option("ignoreNullFields", "false").json(f"{root}/{folder}")
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_manifest/_{folder}")
+    out = system.create(draft, True)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    # Local and HDFS renames don't replace a file; who comes second keeps nothing.
+    done = not system.exists(entry) and system.rename(draft, entry)
+    if not done:
+        system.delete(draft, True)
+        system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}"), True)
+    return done
+
+
+def committed(spark: SparkSession, root: str) -> list[str]:
+    """Folders of all commits under ``root``, by the manifest."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_manifest")
+    system = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not system.exists(place):
+        return []
+    entries = [e.getPath() for e in system.listStatus(place) if not e.getPath().getName().startswith(("_", "."))]
+    folders = []
+    for entry in sorted(entries, key=lambda e: e.getName()):
+        stream = system.open(entry)
+        folders.append(f"{root}/{bytes(stream.readAllBytes()).decode()}")
+        stream.close()
+    return folders

@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from claimgrid.operators import extract, lifecycle, normalize, pairing
+from claimgrid.operators import extract, normalize, pairing
 from claimgrid.session import prepare
 
 BUCKETS = 64
+# Rows of a bucket that one task writes.
+ROWS_PER_FILE = 1_000_000
 
 
 def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
@@ -27,48 +29,77 @@ def _table(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def _replace(rows: DataFrame, path: str) -> None:
-    """Replace the buckets that ``rows`` has, one task a bucket, and leave all others."""
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def _replace(rows: DataFrame, path: str, numbers: list[int], per_file: int = ROWS_PER_FILE) -> None:
+    """Replace the buckets ``numbers`` by those of ``rows`` and leave all others.
+
+    A bucket is written by as many tasks as its counted rows need, so a hot session is
+    not one task. A bucket without rows loses its folder, because the dynamic
+    overwrite only touches folders that it writes to.
+    """
+    spark = rows.sparkSession
+    # At most one row a bucket.
+    sizes = {r["bucket"]: -(-r["count"] // per_file) for r in rows.groupBy("bucket").count().collect()}
+    if sizes:
+        files = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("bucket"))
+        dealt = rows.withColumn("_file", F.pmod(F.xxhash64(*rows.columns), files).cast("int"))
+        (
+            dealt.repartition(sum(sizes.values()), "bucket", "_file").drop("_file")
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        )
+    for number in set(numbers) - set(sizes):
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={number}")
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def verify_batch(
     units: DataFrame, batch_id: int, root: str, source_type: str = "CODE_DIFF", buckets: int = BUCKETS
 ) -> None:
-    """Add a batch of units to the claim table and pair the touched sessions again.
-
-    Claims and current conflicts are one table each, stored by session bucket. A
-    batch reads and replaces the buckets of its sessions only, so what it lists
-    does not grow with the batches before it. Claims carry their batch, so a
-    repeated batch replaces itself. A unit is complete in its row and its claims
-    never change, but a new claim can merge into an older one, so the conflicts
-    of a touched session are formed anew from all its claims. ``buckets`` is
-    fixed for a feed; a bucket should fit one task.
+    """Add a batch of units to the claim table and bring the conflicts up to date.
+
+    Claims and pairs are one table each, stored by session bucket; a batch reads and
+    replaces the buckets of its sessions only. Claims carry their batch, so a repeated
+    batch replaces itself. A new claim opens a value of its group or joins one, whose
+    first claim and number of claims may change with it. So the values that the batch
+    names are the changed ones: their old pairs are taken back, and they are paired
+    anew with each other and with the other values of their groups. Pairs of all
+    other values stay as they are, and what is formed grows with the batch.
+    ``buckets`` is fixed for a feed.
     """
     spark = prepare(units.sparkSession)
     work = f"{root}/_work"
-    claims = _bucketed(extract.claims(units, source_type), buckets).withColumn("batch_id", F.lit(batch_id).cast("long"))
-    claims.write.mode("overwrite").parquet(f"{work}/claims")
-    touched = _bucketed(units.select("session_id").distinct(), buckets)
-    touched.write.mode("overwrite").parquet(f"{work}/touched")
-    touched = spark.read.parquet(f"{work}/touched")
+    found = normalize.normalize(extract.claims(units, source_type))
+    new = _written(_bucketed(found, buckets).withColumn("batch_id", F.lit(batch_id).cast("long")), f"{work}/claims")
     # At most ``buckets`` numbers.
-    numbers = [r[0] for r in touched.select("bucket").distinct().collect()]
-    kept = spark.read.schema(claims.schema).parquet(f"{work}/claims")
+    numbers = [r[0] for r in _bucketed(units.select("session_id").distinct(), buckets).select("bucket").distinct().collect()]
     before = _table(spark, f"{root}/claims")
+    kept, renewed = new, new
     if before is not None:
-        kept = kept.unionByName(before.filter(F.col("bucket").isin(numbers) & (F.col("batch_id") != batch_id)).select(kept.columns))
-    kept.write.mode("overwrite").parquet(f"{work}/kept")
-    kept = spark.read.schema(claims.schema).parquet(f"{work}/kept")
-    _replace(kept, f"{root}/claims")
-    seen = kept.join(touched, ["bucket", "session_id"], "left_semi").drop("bucket", "batch_id")
-    found = _bucketed(pairing.detect_conflicts(normalize.normalize(seen)), buckets)
-    shown = _table(spark, f"{root}/conflicts")
+        old = before.filter(F.col("bucket").isin(numbers)).select(new.columns)
+        kept = kept.unionByName(old.filter(F.col("batch_id") != batch_id))
+        renewed = renewed.unionByName(old.filter(F.col("batch_id") == batch_id))
+    changed = _written(renewed.select(*pairing.MERGE_KEY).distinct(), f"{work}/changed")
+    groups = renewed.select(*pairing.GROUP_KEY).distinct()
+    kept = _written(kept, f"{work}/kept")
+    merged = pairing.pairable(pairing.merge_claims(kept.join(groups, pairing.GROUP_KEY, "left_semi")))
+    mark = changed.withColumn("changed", F.lit(True))
+    marked = merged.join(mark, pairing.MERGE_KEY, "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
+    pairs = pairing.ruled(pairing.changed_pairs(_written(marked, f"{work}/marked")))
+    pairs = _bucketed(pairs, buckets)
+    shown = _table(spark, f"{root}/pairs")
     if shown is not None:
-        untouched = shown.filter(F.col("bucket").isin(numbers)).join(touched, ["bucket", "session_id"], "left_anti")
-        found = found.unionByName(untouched.select(found.columns))
-    found.write.mode("overwrite").parquet(f"{work}/conflicts")
-    _replace(spark.read.schema(found.schema).parquet(f"{work}/conflicts"), f"{root}/conflicts")
+        stays = shown.filter(F.col("bucket").isin(numbers)).select(pairs.columns)
+        for side in ("l", "r"):
+            gone = changed.withColumnRenamed("canonical_predicate", f"{side}_predicate")
+            stays = stays.join(gone, ["session_id", "canonical_subject", f"{side}_predicate"], "left_anti")
+        pairs = pairs.unionByName(stays.select(pairs.columns))
+    pairs = _written(pairs, f"{work}/pairs")
+    _replace(kept, f"{root}/claims", numbers)
+    _replace(pairs, f"{root}/pairs", numbers)
 
 
 def verify_stream(
@@ -85,16 +116,85 @@ def verify_stream(
 
 def current_conflicts(spark: SparkSession, root: str) -> DataFrame:
     """Conflicts of each session as of the last batch that touched it."""
-    return spark.read.parquet(f"{root}/conflicts").drop("bucket")
+    pairs = _table(spark, f"{root}/pairs")
+    if pairs is None:  # no bucket has a pair; the last batch's empty table has the columns
+        pairs = spark.read.parquet(f"{root}/_work/pairs").limit(0)
+    return pairing.first_per_id(pairs.drop("bucket"))
 
 
-def status_stream(events: DataFrame, checkpoint: str, table: str) -> StreamingQuery:
-    """Latest status per session, in update mode: state is one row per session."""
-    return (
-        lifecycle.latest_status(events)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda df, batch_id: df.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}"))
-        .trigger(availableNow=True)
-        .start()
-    )
+def _folded(rows: DataFrame) -> DataFrame:
+    """One row a session from partial folds: the status with the last (time, event id), and all events."""
+    place = F.struct("updated_at", "event_id")
+    return rows.groupBy("session_id").agg(
+        F.max_by("status", place).alias("status"), F.max(place).alias("place"), F.sum("n_events").alias("n_events")
+    ).select("session_id", "status", "place.*", "n_events")
+
+
+def fold_status(events: DataFrame, batch_id: int, table: str) -> None:
+    """Add a batch of ``events(session_id, event_id, ts, status)`` to the status log, folded to one row a session.
+
+    A batch replaces its own part when it is repeated. Parts say which time and event
+    id their status has, so batches may come in any order and late events never win.
+    """
+    part = events.select("session_id", "status", F.col("ts").alias("updated_at"), "event_id", F.lit(1).cast("long").alias("n_events"))
+    _folded(part).write.mode("overwrite").parquet(f"{table}/log/batch_id={batch_id}")
+
+
+def _log_parts(spark: SparkSession, table: str) -> tuple[list[int], list[int]]:
+    """Batches up to which compacted tables reach, and the batches in the log."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+
+    def numbers(folder: str, mark: str) -> list[int]:
+        place = jvm.org.apache.hadoop.fs.Path(folder)
+        system = place.getFileSystem(conf)
+        if not system.exists(place):
+            return []
+        done = [s.getPath() for s in system.listStatus(place) if s.getPath().getName().startswith(mark)]
+        # A part counts once its job has committed.
+        return sorted(int(p.getName().removeprefix(mark)) for p in done if system.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    return numbers(f"{table}/compact", "upto="), numbers(f"{table}/log", "batch_id=")
+
+
+def current_status(spark: SparkSession, table: str) -> DataFrame:
+    """One row a session: the last compacted table, and the log parts after it."""
+    compacted, log = _log_parts(spark, table)
+    upto = compacted[-1] if compacted else -1
+    paths = [*([f"{table}/compact/upto={upto}"] if compacted else []), *(f"{table}/log/batch_id={b}" for b in log if b > upto)]
+    if not paths:
+        raise FileNotFoundError(f"no status has been written to {table}")
+    return _folded(spark.read.parquet(*paths))
+
+
+def compact_status(spark: SparkSession, table: str) -> None:
+    """Fold the log into one table and delete what it covers.
+
+    The new table is committed before anything is deleted, and readers take the last
+    committed one with the parts after it, so a lost compaction loses and repeats nothing.
+    Parts of a batch are complete when the next batch begins, as a stream's are.
+    """
+    compacted, log = _log_parts(spark, table)
+    upto = compacted[-1] if compacted else -1
+    if not log or log[-1] <= upto:
+        return
+    current_status(spark, table).write.mode("overwrite").parquet(f"{table}/compact/upto={log[-1]}")
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for path in [*(f"{table}/log/batch_id={b}" for b in log), *(f"{table}/compact/upto={c}" for c in compacted)]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+def status_stream(events: DataFrame, checkpoint: str, table: str, compact_every: int = 16) -> StreamingQuery:
+    """The status log of a stream of events; every ``compact_every`` batches the log is folded.
+
+    The stream keeps no state of its own: a batch costs its own events, and sessions
+    live in the table that ``current_status`` reads.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        fold_status(batch, batch_id, table)
+        if (batch_id + 1) % compact_every == 0:
+            compact_status(batch.sparkSession, table)
+
+    writer = events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()

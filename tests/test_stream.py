@@ -1,7 +1,9 @@
+from pyspark.sql import functions as F
+
 from claimgrid.operators import lifecycle, normalize, pairing
 from claimgrid.operators.extract import claims
 from claimgrid.streaming import feed
-from tests.helpers import rows, units
+from tests.helpers import claim_table, rows, units
 
 SHOWN = ("session_id", "conflict_id", "l_value", "r_value", "severity")
 
@@ -51,13 +53,73 @@ def test_many_batches_do_not_make_more_folders(spark, tmp_path):
     assert rows(feed.current_conflicts(spark, str(root)), *SHOWN) == rows(whole, *SHOWN) and whole.count() == 3
 
 
-def test_status_stream_equals_the_batch_fold(spark, tmp_path):
+def test_a_bucket_whose_conflicts_vanish_is_emptied(spark, tmp_path):
+    root = str(tmp_path / "root")
+
+    def batch(change, text, unit="u"):
+        return units(spark, text, session="a").selectExpr(
+            "session_id", "part", f"cast({change} as bigint) as change_seq", "snippet_seq", f"'{unit}' as unit_id", "text", "category_hint", "source_file"
+        )
+
+    # Later claims of two units conflict; then an earlier unit takes over one side with an id that both sides share.
+    late, early = batch(5, "role = 'owner'", "u").unionByName(batch(6, "role = 'admin'", "v")), batch(1, "role = 'owner'", "v")
+    feed.verify_batch(late, 0, root, buckets=4)
+    assert feed.current_conflicts(spark, root).count() == 1
+    renamed = late.unionByName(early)
+    feed.verify_batch(early, 1, root, buckets=4)
+    whole = pairing.detect_conflicts(normalize.normalize(claims(renamed, "CODE_DIFF")))
+    assert rows(feed.current_conflicts(spark, root), *SHOWN) == rows(whole, *SHOWN)
+    # A repeat of the first batch without its units takes its conflicts back, and the folder goes.
+    feed.verify_batch(late.filter("change_seq = 5"), 0, root, buckets=4)
+    left = list((tmp_path / "root" / "pairs").glob("bucket=*"))
+    assert not left and feed.current_conflicts(spark, root).count() == 0
+
+
+def test_a_hot_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    table = spark.range(1_000).selectExpr("id", "if(id < 900, 1, 2) as bucket")
+    feed._replace(table, str(tmp_path / "t"), [1, 2, 3], per_file=100)
+    assert len(list((tmp_path / "t" / "bucket=1").glob("*.parquet"))) > 4
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1_000
+
+
+def test_a_batch_forms_the_pairs_of_its_own_claims(spark):
+    data = [("s", i, "order", "must_be", f"v{i}", "CODE_DIFF", None) for i in range(1_500)]
+    table = pairing.pairable(pairing.merge_claims(claim_table(spark, data)))
+    marked = table.withColumn("changed", F.col("canonical_value").isin("v3", "v900"))
+    pairs = pairing.changed_pairs(marked, block=100)
+    assert pairs.count() == 1_499 + 1_498
+    everything = pairing.contradicting_pairs(table).filter("l_value in ('v3', 'v900') or r_value in ('v3', 'v900')")
+    assert rows(pairs, "l_value", "r_value") == rows(everything, "l_value", "r_value")
+
+
+EVENTS = "session_id string, event_id int, ts int, status string"
+
+
+def test_status_log_equals_the_batch_fold_in_any_order(spark, tmp_path):
+    events = [(f"s{k % 7}", k, (k * 37) % 50, ["PENDING", "COMPLETE", "ERROR"][k % 3]) for k in range(120)]
+    whole = rows(lifecycle.latest_status(spark.createDataFrame(events, EVENTS)), "session_id", "status", "n_events")
+    order = [3, 0, 4, 1, 2]
+    for every in (None, 2):
+        table = str(tmp_path / f"t{every}")
+        for n, k in enumerate(order):
+            part = spark.createDataFrame(events[k * 24 : k * 24 + 24], EVENTS)
+            feed.fold_status(part, n, table)
+            if k == 1:
+                feed.fold_status(part, n, table)  # a repeated batch
+            if every and n % every == 0:
+                feed.compact_status(spark, table)
+        assert rows(feed.current_status(spark, table), "session_id", "status", "n_events") == whole
+
+
+def test_status_stream_folds_and_compacts(spark, tmp_path):
     events = spark.createDataFrame(
-        [("s", 1, 1, "PENDING"), ("s", 2, 3, "COMPLETE"), ("s", 3, 2, "INGESTING"), ("t", 4, 1, "PENDING")],
-        "session_id string, event_id int, ts int, status string",
+        [("s", 1, 1, "PENDING"), ("s", 2, 3, "COMPLETE"), ("s", 3, 2, "INGESTING"), ("t", 4, 1, "PENDING")], EVENTS
     )
-    events.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    feed.status_stream(stream, str(tmp_path / "ck"), str(tmp_path / "out")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert rows(got, "session_id", "status") == rows(lifecycle.latest_status(events), "session_id", "status")
+    table = str(tmp_path / "out")
+    for k in range(3):
+        events.filter(f"event_id % 3 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+        feed.status_stream(stream, str(tmp_path / "ck"), table, compact_every=2).awaitTermination()
+    got = feed.current_status(spark, table)
+    assert rows(got, "session_id", "status", "n_events") == rows(lifecycle.latest_status(events), "session_id", "status", "n_events")
+    assert len(list((tmp_path / "out" / "compact").glob("upto=*"))) == 1
