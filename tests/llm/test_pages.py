@@ -1,10 +1,13 @@
 import base64
 import hashlib
 import io
+import os
+import re
 import struct
 import zipfile
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from claimgrid.llm import html_text, warc
@@ -47,6 +50,59 @@ def test_page_without_a_frame_keeps_what_furniture_and_links_split():
     assert got == [see, long.strip(), "inside", long.strip(), see]
 
 
+def test_wrappers_are_no_furniture_whatever_their_name():
+    body = "<p>One paragraph of the article.</p><p>Another one.</p>"
+    want = ["One paragraph of the article.", "Another one."]
+    for page in (
+        f'<div class="layout with-sidebar"><article>{body}</article></div>',
+        f'<div class="page has-sidebar"><div class="content">{body}</div></div>',
+        f'<article class="post has-comments">{body}</article>',
+        f'<div class="widget"><main>{body}</main></div><div class="sidebar"><article class="teaser"><p>Teaser</p></article></div>',
+        f'<form id="aspnet"><div>{body}</div><nav>x</nav></form>',
+        f'<article>{body}<div id="comments"><article class="comment-body"><p>{"so true " * 90}</p></article></div></article>',
+    ):
+        assert html_text.main_text(page) == want, page
+    inside = "".join(f'<section id="{i}"><p>{i}</p></section>' for i in ("social-history", "share-price", "related-work", "ad-hoc", "no-comment"))
+    assert html_text.main_text(f"<article>{inside}</article>") == ["social-history", "share-price", "related-work", "ad-hoc", "no-comment"]
+    for name in ("comments-list", "sidebar", "ad-box", "l-sidebar", "widget__title", "cookie-notice", "related-posts", "newsletter-signup-form"):
+        assert html_text.main_text(f'<article>{body}<div class="x {name}"><p>furniture</p></div></article>') == want, name
+    assert html_text.main_text(f'<article>{body}<div hidden><p>{"x " * 500}</p></div></article>') == want
+
+
+def test_stretches_equal_a_plain_version():
+    def plain(weights, window):
+        out, start = [], None
+        blocks = [sum(weights[max(0, k - window + 1) : k + 1]) for k in range(len(weights) + window - 1)]
+        for k, b in enumerate([*blocks, 0]):
+            if b and start is None:
+                start = k
+            if not b and start is not None:
+                out.append((start, k - window + 1, max(blocks[start:k])))
+                start = None
+        return out
+
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        weights = rng.integers(0, 50, size=rng.integers(1, 30)) * (rng.random(1) < rng.random(1))
+        weights = weights * (rng.random(len(weights)) < 0.4)
+        for window in (1, 2, 3, 5):
+            assert html_text.stretches(weights, window) == plain(weights.tolist(), window)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_frames_and_plain_wrappers_give_the_same_text():
+    for page in pq.read_table("/root/testdata/sf0.001/pages.parquet", columns=["html"]).column(0).to_pylist():
+        renamed = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", page or "")
+        assert html_text.main_text(renamed) == html_text.main_text(page or "") != []
+
+
+def test_very_long_pages_and_clashing_names(spark):
+    long = "<article>" + "<p>word word</p>" * 60_000 + "<nav>x</nav></article>"
+    got = {r.page_id: r for r in html_text.extracted(pages(spark, [(1, "u", long), (2, None, None), (3, "u", "")])).collect()}
+    assert got[1].n_chars == 60_000 * 9 + 59_999 * 2 and got[2].text == got[3].text == "" and got[2].url is None
+    assert html_text.extracted(pages(spark, [])).count() == 0
+
+
 def test_broken_and_small_pages():
     assert html_text.main_text("") == [] and html_text.main_text("   ") == []
     assert html_text.main_text("<p>x") == ["x"] and html_text.main_text("a < b &amp c") == ["a < b & c"]
