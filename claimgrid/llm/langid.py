@@ -7,8 +7,10 @@ geometric mean of their numbers of bins, blended over the lengths.
 
 *Model.* ``SAMPLE`` labelled texts, the ones with the least hashes of id and text,
 train the model, and with them the ``PER_LANGUAGE`` least of every language that has
-fewer in that sample, so a language is learnt however rare it is. Both bounds are
-parameters; texts without a letter don't count. Tasks turn the whole texts of
+fewer in that sample, so a language is learnt however rare it is. At most the
+``LANGUAGES`` values with the most labelled rows are learnt (equal numbers by name), so a
+dirty label column can't make the sample grow; texts with other labels are predicted
+like all others. The bounds are parameters; texts without a letter don't count. Tasks turn the whole texts of
 the sample into presence bits, which is all that reaches the driver. ``LANDMARKS``
 of them, taken class by class, span the Nyström space: with C the kernel of the landmarks, a text
 is C^(-1/2) k(text, landmarks). One-versus-rest kernel ridge regression on
@@ -20,9 +22,12 @@ linear in presence vectors, both matrices are multiplied once beforehand, so a
 batch needs one product. Whole texts are scored. The score is the softmax of the
 class outputs for the winner.
 
-The language, source and id of a document are not part of what is scored. Null
-texts and texts without a letter are ``und`` with score 0. Without labelled rows
-everything is ``und``.
+Letters are lower-cased one by one by the same rule in texts of any length; marks stay
+with their letters. The language, source and id of a document are not part of what is
+scored. Null texts and texts without a letter (marks, digits and signs are none) are
+``und`` with score 0. Without labelled rows everything is ``und``; an empty table gives
+no rows. Repeated rows get equal results. Ties go to the language that sorts first.
+Other columns aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +50,7 @@ LONGEST = 4
 BINS = 1 << 14
 SAMPLE = 3000
 PER_LANGUAGE = 100
+LANGUAGES = 200
 LANDMARKS = 300
 RIDGE = 1e-3
 SHARPNESS = 6.0
@@ -51,39 +58,40 @@ BATCH = 64
 UNKNOWN = "und"
 
 
-def _letters() -> np.ndarray:
-    """For each code point below 0x3000 its lower-case form if it is a letter, else a blank; others stay."""
-    table = np.arange(0x3000, dtype=np.uint32)
-    for code in range(len(table)):
-        char = chr(code)
-        low = char.lower()
-        mark = unicodedata.category(char)[0]
-        table[code] = ord(low) if mark == "L" and len(low) == 1 else (code if mark in "LM" else 32)
-    return table
+def _form(code: int) -> int:
+    """A letter in lower case, a mark as it is, a blank for everything else."""
+    char = chr(code)
+    kind = unicodedata.category(char)[0]
+    low = char.lower()
+    return ord(low) if kind == "L" and len(low) == 1 else code if kind in "LM" else 32
 
 
-_TABLE = _letters()
+# The forms of all code points below this one are a table; those of others are found once each.
+NEAR = 0x3000
+_TABLE = np.array([_form(code) for code in range(NEAR)], dtype=np.uint32)
+_LETTER = np.array([unicodedata.category(chr(code))[0] == "L" for code in range(NEAR)], dtype=bool)
+_far_form = lru_cache(maxsize=1 << 17)(_form)
 
 
 def characters(text: str) -> np.ndarray:
     """Code points with everything but letters and marks as single blanks, a blank on either side."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
-    low = codes < len(_TABLE)
-    out = np.where(low, _TABLE[np.where(low, codes, 32)], codes).astype(np.uint64)
-    far = np.flatnonzero(~low)
-    for k in far.tolist() if len(far) < 64 else []:
-        if not chr(int(codes[k])).isalpha():
-            out[k] = 32
-    if len(far) >= 64:
-        kinds = {c: ord(chr(c).lower()[0]) if chr(c).isalpha() else 32 for c in np.unique(codes[far]).tolist()}
-        out[far] = [kinds[c] for c in codes[far].tolist()]
+    near = codes < NEAR
+    out = _TABLE[np.where(near, codes, 32)].astype(np.uint64)
+    if not near.all():
+        kinds, at = np.unique(codes[~near], return_inverse=True)
+        out[~near] = np.array([_far_form(c) for c in kinds.tolist()], dtype=np.uint64)[at]
     out = np.concatenate(([np.uint64(32)], out, [np.uint64(32)]))
     blank = out == 32
     return out[~(blank & np.append(False, blank[:-1]))]
 
 
 def has_letter(chars: np.ndarray) -> bool:
-    return bool((chars != 32).any())
+    """Whether a letter is among ``characters``; marks alone are none."""
+    near = chars < NEAR
+    if _LETTER[chars[near].astype(np.int64)].any():
+        return True
+    return any(unicodedata.category(chr(c))[0] == "L" for c in np.unique(chars[~near]).tolist())
 
 
 def bins(chars: np.ndarray, longest: int = LONGEST, size: int = BINS) -> np.ndarray:
@@ -175,9 +183,13 @@ def train(bits: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ri
     return Model(names, (marks.T.astype(np.float64) @ root @ solved[:-1]).astype(np.float32), solved[-1], longest)
 
 
-def fit(labelled: DataFrame, id: str, text: str, lang: str, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> Model:
+def fit(labelled: DataFrame, id: str, text: str, lang: str, sample: int = SAMPLE, per_language: int = PER_LANGUAGE,
+        most_languages: int = LANGUAGES) -> Model:
     """A model from a bounded sample of labelled rows with a text and a language."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
+    counted = labelled.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("lang")).count()
+    names = [r["lang"] for r in counted.orderBy(F.desc("count"), "lang").limit(most_languages + 1).collect()]
+    learnt = F.lit(True) if len(names) <= most_languages else F.col(lang).cast("string").isin(names[:most_languages])
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & learnt).select(
         F.xxhash64(F.col(id).cast("string"), text).alias("place"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
     ).where(F.col("text").rlike(r"\p{L}"))
     # The place of the last row of the sample; only numbers are sorted.
