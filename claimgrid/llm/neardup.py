@@ -165,10 +165,28 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+# Rows of one key from which they are dealt over salts, and the number of these.
+HOT, SALTS = 256, 64
+
+
 def _identity(id: str, text: str) -> list[Column]:
     return [F.col(id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h")]
 
 
+def _met(rows: DataFrame, facts: DataFrame, key: list[str], count: str) -> DataFrame:
+    """``rows`` joined to the one row of ``facts`` with their key; ``count`` is how many rows a key has.
+
+    Keys of more than ``HOT`` rows are repeated under ``SALTS`` salts, and their rows are
+    dealt over these by place, so no task gets a whole hot key; all other rows meet
+    their facts as usual.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    hot = facts.where(F.col(count) > HOT).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    many = dealt.join(hot, [*key, "_salt"]).drop("_salt")
+    few = dealt.join(hot.select(*key, "_salt"), [*key, "_salt"], "left_anti").drop("_salt")
+    return many.unionByName(few.join(facts.where(F.col(count) <= HOT), key))
+
+
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, h (hash of the text), class_id, kept, class_size.
 
@@ -180,12 +198,12 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold:
     fields = [T.StructField("n", long), T.StructField("hi", long), T.StructField("lo", long), T.StructField("bands", bands)]
     rows = staged(
         _map(source, "text", fields, sketch)
-        .withColumn("alone", F.when(F.col("n") == 0, F.coalesce("doc_id", F.lit(-1))))
+        .withColumn("alone", F.when(F.col("n") == 0, F.coalesce("doc_id", F.lit(-1))).otherwise(0))
         .withColumn("row", F.monotonically_increasing_id()),
         "neardup-sketches",
     )
     same = ["hi", "lo", "n", "alone"]
-    reps = staged(rows.groupBy(*same).agg(F.min("row").alias("rep")), "neardup-reps")
+    reps = staged(rows.groupBy(*same).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")), "neardup-reps")
     nodes = rows.join(reps.select(F.col("rep").alias("row")), "row").where("n > 0")
     entries = nodes.select(F.col("row").alias("rep"), "n", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -250,17 +268,13 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold:
     links = staged(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(second), "neardup-all")
     found = components(links, name="neardup-classes")
 
-    keyed = staged(
-        rows.select("row", "doc_id", "h", *same)
-        .join(reps.select(*[F.col(c).alias(f"_{c}") for c in same], "rep"),
-              (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")) & (F.col("n") == F.col("_n"))
-              & F.col("alone").eqNullSafe(F.col("_alone")))
-        .join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("row", "doc_id", "h", F.coalesce("root", "rep").alias("root")),
-        "neardup-keyed",
-    )
+    # Copies meet their representative, and rows their class, in many tasks where these are many.
+    held_by = _met(rows.select("row", "doc_id", "h", *same), reps, same, "copies")
+    rooted = reps.select("rep", "copies").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    classed = _met(held_by.drop("copies"), rooted, ["rep"], "copies")
+    keyed = staged(classed.select("row", "doc_id", "h", F.coalesce("root", "rep").alias("root")), "neardup-keyed")
     summary = keyed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    named = keyed.join(summary, "root")
+    named = _met(keyed, staged(summary, "neardup-sizes"), ["root"], "class_size")
     first_row = named.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min("row").alias("row"))
     return named.join(first_row.select("row", F.lit(True).alias("kept")), "row", "left").select(
         "doc_id", "h", "class_id", F.coalesce("kept", F.lit(False)).alias("kept"), "class_size"
