@@ -11,9 +11,9 @@ from claimgrid.sources import tables
 from tests.golden import SCENARIO_1
 from tests.helpers import SESSIONS, inputs, rows
 
-OWNER = ("auth-task", "auth/roles.ts", "export const TOP_ROLE = 'owner';")
-ADMIN = ("billing-task", "billing/permissions.ts", "if (user.role === 'admin') { pay(user); }")
-REQUIREMENT = "Add organization billing. Only organization owners can manage subscriptions."
+OWNER = ("vault", "vault/keys.py", "keeper.role = 'owner'  # holds the spare keys")
+ADMIN = ("audit", "audit/rounds.py", "assert visitor.role == 'admin', visitor")
+REQUIREMENT = "Lock the vault at night. Only keeper users are allowed to open boxes."
 
 
 @pytest.fixture(scope="module")
@@ -49,9 +49,9 @@ def test_the_owner_admin_report(pasted):
     assert (report.l_predicate, report.r_predicate) == ("required_role = owner", "required_role = admin")
     assert report.severity_rule == "BUSINESS_RULE:auth_contradiction"
     assert report.title == "Authorization contradiction on 'user_role'"
-    assert report.why_incompatible.startswith("'auth/roles.ts' assumes that the privileged value for 'user_role' is 'owner'")
+    assert report.why_incompatible.startswith("'vault/keys.py' assumes that the privileged value for 'user_role' is 'owner'")
     files = rows(pasted.report_files.filter("session_id = 'conflict'"), "file_path")
-    assert files == [("auth/roles.ts",), ("billing/permissions.ts",)]
+    assert files == [("audit/rounds.py",), ("vault/keys.py",)]
 
 
 def test_default_path_and_requirement_source(spark, pasted):
