@@ -24,18 +24,20 @@ def _matches(kind: str) -> str:
 OP1 = f"""
   WITH texts AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
   found AS ({' UNION ALL '.join(_matches(k) for k in secrets.ORDER)}),
-  owned AS (SELECT value, count(DISTINCT owner) <= {secrets.MAX_OWNERS} AS live FROM found GROUP BY value),
+  owned AS (SELECT *, owners <= {secrets.MAX_OWNERS} AND repositories <= {secrets.MAX_REPOSITORIES} AS live FROM (
+    SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, doc_id)) AS repositories FROM found GROUP BY value)),
   spans AS (
-    SELECT f.*, live FROM found f JOIN owned USING (value)
+    SELECT f.*, live, owners, repositories FROM found f JOIN owned USING (value)
     WHERE kind <> 'owned' OR (live AND NOT EXISTS (SELECT 1 FROM found b
       WHERE b.doc_id = f.doc_id AND b.kind <> 'owned' AND b.start < f.stop AND b.stop > f.start))),
   per_doc AS (
     SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.ORDER)},
       count(*) FILTER (kind <> 'owned' AND live) AS n_live, count(*) FILTER (kind <> 'owned' AND NOT live) AS n_copied,
+      max(owners) FILTER (kind <> 'owned') AS most_owners, max(repositories) FILTER (kind <> 'owned') AS most_repositories,
       string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) FILTER (kind <> 'owned') AS base,
       string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) AS spans
     FROM spans GROUP BY doc_id)
-  SELECT doc_id, {', '.join(f"coalesce({n}, 0) AS {n}" for n in (*(f"n_{k}" for k in secrets.ORDER), "n_live", "n_copied"))},
+  SELECT doc_id, {', '.join(f"coalesce({n}, 0) AS {n}" for n in (*(f"n_{k}" for k in secrets.ORDER), "n_live", "n_copied", "most_owners", "most_repositories"))},
     sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
   FROM texts LEFT JOIN per_doc USING (doc_id)"""
 

@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.report(table(spark, sf_dir, "documents"))
     first = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-    return found.select(*first, "n_owned", "n_live", "n_copied")
+    return found.select(*first, "n_owned", "n_live", "n_copied", "most_owners", "most_repositories")
 
 
 def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Every text is searched for three kinds of base candidates and for *runs*, long
 tokens that could be credentials although nothing near them says so. A
 candidate's value is hashed at once; values never leave the scan. The hashes are
 counted over the corpus by distinct repositories and owners. A value that more
-than ``MAX_OWNERS`` owners hold is a widely copied example; every other one is
+than ``MAX_OWNERS`` owners or more than ``MAX_REPOSITORIES`` repositories hold is a
+widely copied example, also if one owner copies it; every other one is
 owner-specific. A run becomes a span of kind ``owned`` if it looks live (lower and
 upper case letters, digits, ten distinct characters) is owner-specific and
 touches no base span. Base spans are never taken away; the frequency says for
@@ -17,7 +18,9 @@ execution splits the rows of a hot hash.
 
 A null text is empty and has no spans. A null owner or repository counts as one
 value of its own. Rows are told apart by their place in the written scan, so
-repeated rows and ids each get their own result.
+repeated rows and ids each get their own result. Texts of any length are read whole. An
+empty table gives no rows. Other columns aren't read; ``masked`` keeps them, and its
+own columns take other names where they would clash.
 """
 
 from __future__ import annotations
@@ -40,6 +43,7 @@ MIN_LENGTH = {"assign": 6, "access": 20, "hex": 24, "owned": 20}
 ORDER = {kind: n for n, kind in enumerate((*KINDS, "owned"))}
 
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 100
 MIN_DISTINCT = 10
 MASK = "<secret>"
 
@@ -109,9 +113,10 @@ def ownership(found: DataFrame) -> DataFrame:
     )
 
 
-def spans(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
+def spans(found: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """Base spans and owned spans, with owners, repositories and ``live``."""
-    counted = found.join(ownership(found), "hash").withColumn("live", F.col("owners") <= max_owners)
+    few = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    counted = found.join(ownership(found), "hash").withColumn("live", few)
     base = F.col("kind") != "owned"
     before = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(0, Window.unboundedFollowing)
@@ -126,12 +131,13 @@ def _order() -> Column:
 
 
 def report(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None,
-           max_owners: int = MAX_OWNERS) -> DataFrame:
-    """One row per row of ``docs``: counts of each kind, the base digest, all spans, and live and copied counts."""
+           max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """One row per row of ``docs``: counts of each kind, the base digest, all spans, live and copied counts, and the
+    owners and repositories of its most widely held base values."""
     scanned = scan(docs, id, text, owner, repository)
     found = staged(candidates(scanned), "secrets-candidates")
-    listed = spans(found, max_owners).select(
-        "row", "kind", "live",
+    listed = spans(found, max_owners, max_repositories).select(
+        "row", "kind", "live", "owners", "repositories",
         F.struct(F.col("start"), _order().alias("o"), F.concat_ws(":", "kind", "start", "end").alias("text")).alias("span"),
     )
     texts = lambda c: F.array_join(F.transform(F.array_sort(c), lambda s: s["text"]), ",")
@@ -140,10 +146,11 @@ def report(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str =
         *[F.count(F.when(F.col("kind") == k, True)).alias(f"n_{k}") for k in ORDER],
         F.count(F.when(base & F.col("live"), True)).alias("n_live"),
         F.count(F.when(base & ~F.col("live"), True)).alias("n_copied"),
+        F.max(F.when(base, F.col("owners"))).alias("most_owners"), F.max(F.when(base, F.col("repositories"))).alias("most_repositories"),
         texts(F.collect_list(F.when(base, F.col("span")))).alias("base"),
         texts(F.collect_list("span")).alias("spans"),
     )
-    counts = [*(f"n_{k}" for k in ORDER), "n_live", "n_copied"]
+    counts = [*(f"n_{k}" for k in ORDER), "n_live", "n_copied", "most_owners", "most_repositories"]
     joined = scanned.select("row", "doc_id").join(per_row, "row", "left")
     return joined.select(
         "doc_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts],
@@ -152,14 +159,14 @@ def report(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str =
 
 
 def masked(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None,
-           max_owners: int = MAX_OWNERS, length: str | None = None) -> DataFrame:
+           max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, length: str | None = None) -> DataFrame:
     """``docs`` with every live span replaced by ``MASK``; copied examples stay as they are.
 
     Spans that touch are masked as one. ``length`` names a column of text lengths
     to bring up to date. All rows and columns stay.
     """
     found = staged(candidates(scan(docs, id, text, owner, repository)), "secrets-candidates")
-    live = spans(found, max_owners).where("live")
+    live = spans(found, max_owners, max_repositories).where("live")
     before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     opens = F.coalesce(F.max("end").over(before) < F.col("start"), F.lit(True))
     so_far = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)

@@ -47,6 +47,18 @@ def test_ownership_parts_examples_from_live_secrets(spark):
     assert masked[1] == ("key <secret> here", 17) and masked[2][0] == f"see {copied}" and masked[5][0] == "bare <secret> run"
 
 
+def test_a_key_in_many_repositories_of_one_owner_is_an_example(spark):
+    key, rare = "AKIA" + "Q1W2E3R4T5Y6U7I8", "AKIA" + "A1S2D3F4G5H6J7K8"
+    rows = [(i, f"see {key}", "en", "one", 1) for i in range(3_000)] + [(5_000 + i, f"own {rare}", "en", "one", 1) for i in range(100)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = secrets.report(docs).groupBy("n_live", "n_copied", "most_owners", "most_repositories").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 3_000, 3_000), (1, 0, 1, 100, 100)]
+    assert secrets.masked(docs).where("text like '%<secret>%'").count() == 100
+    # Rows of one repository count once.
+    one = secrets.report(docs, repository="source").select("n_live", "most_repositories").distinct().collect()
+    assert [tuple(r) for r in one] == [(1, 1)]
+
+
 def test_awkward_rows(spark):
     long = "token = abcdef123456 " * 4000 + "é" * 10
     rows = [(1, None, None), (None, "token=abcdef", None), (2, "", "s"), (3, long, "s"), (4, "token=abcdef", "s"), (4, "token=abcdef", "s")]
