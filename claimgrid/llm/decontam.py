@@ -33,7 +33,9 @@ never shuffled or joined, so a passage that a third of them holds is no hot key.
 
 Null and word-free documents and items match nothing. An item of one to four
 words has one shingle. Equal items are all reported; an item without an id marks
-a document and is left out of the list of ids.
+a document and is left out of the list of ids. Repeated documents each get their
+result, texts of any length are read whole, and an empty table of items matches
+nothing. Columns added to the caller's take other names where they would clash.
 """
 
 from __future__ import annotations

@@ -27,7 +27,8 @@ dive, behind ``WINDOW`` link lines, can't be told from the end of the page and i
 left out, as is one before the first surge.
 
 Unclosed and crossed tags are taken as they come. A null or empty page has the
-empty text. Nothing is cut off at any length.
+empty text. Nothing is cut off at any length. Repeated pages each get their row. Other
+columns aren't read, so their names can't clash, and an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ is the ids of earlier files plus its place in its own. Equal ids spread over fil
 by their texts. Files appear whole or not at all; a repeated task writes the same
 file again.
 
-A null text is an empty one and has the end id alone.
+A null text is an empty one and has the end id alone. Texts of any length are whole.
+Repeated rows each have their place. Other columns aren't read, so their names can't
+clash, and an empty table gives no rows.
 """
 
 from __future__ import annotations

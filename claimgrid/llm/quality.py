@@ -15,7 +15,10 @@ which no step can be certified rejects nothing beyond the base rules.
 
 Null or word-free texts fail the base rules (fewer than ten words). A null
 language is a stratum of its own. A document labelled more than once takes its
-lowest label; null labels and null ids are left out of the fit.
+lowest label; null labels and null ids are left out of the fit. The guarantee is about
+the learnt cutoffs; what the base rules reject comes beside it. Repeated rows each get
+their verdict, texts of any length are read whole, without labels only the base rules
+reject, and an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ Counts are kept per chunk between ASCII white space, which the file's pattern
 drops and never joins across, so a frequent word is merged once per worker.
 Normalising and cutting into pre-tokens are the library's own. Special strings
 count as one token each, as the library takes them by default. A null text has no
-bytes and no tokens.
+bytes and no tokens. Texts of any length are counted whole, and repeated rows each get
+their row. Other columns aren't read, so their names can't clash, and an empty table
+gives no rows.
 """
 
 from __future__ import annotations

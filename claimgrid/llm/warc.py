@@ -17,7 +17,9 @@ fields. It skips each stored member's local header to find where the data begin,
 reads the index, and then ranges of records, neighbouring ones in one request.
 
 A null html has an empty payload, a null url an empty target. Rows without an id
-are revisits if another row with their payload has one, else responses.
+are revisits if another row with their payload has one, else responses. Payloads of any
+length are whole. Other columns aren't read, so their names can't clash, and an empty
+table gives no rows.
 """
 
 from __future__ import annotations
