@@ -18,7 +18,9 @@ character that several tokens share comes out when it is complete; bytes that
 can't continue become the replacement character.
 
 Special strings in a text are single tokens, as the library takes them by default.
-A null text is empty: no tokens, and the empty text again.
+A null text is empty: no tokens, and the empty text again. Texts of any length are
+encoded whole, and repeated rows each get their row. Other columns aren't read, so their
+names can't clash, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,8 +44,9 @@ from .texts import slices
 from .vocabulary import LONG, Coded, Vocabulary, byte_symbols, library, place, spaced_chunks, vocabulary
 
 TOKENIZER = "byte_bpe_50k.json"
-PAIRS_KEPT = 1_000_000
-PIECES_KEPT = 400_000
+PAIRS_KEPT = 500_000
+PIECES_KEPT = 200_000
+CHUNKS_KEPT = 300_000
 STRIDE = 256
 # The usual pattern of byte-level files for ASCII text.
 ASCII_PIECES = re.compile("'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
@@ -182,7 +185,7 @@ class Encoder:
         self.plain = usual.items() <= kind.items() and library(path).normalizer is None
         self.symbols = dict(enumerate(byte_symbols()[:128]))
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chunks = Coded(lambda chunks: [self._chunk(c) for c in chunks])
+        self.chunks = Coded(lambda chunks: [self._chunk(c) for c in chunks], CHUNKS_KEPT)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         known = self.pieces.get(piece)
