@@ -45,8 +45,8 @@ from .vocabulary import LONG, Coded, Vocabulary, byte_symbols, library, place, s
 
 TOKENIZER = "byte_bpe_50k.json"
 PAIRS_KEPT = 500_000
-PIECES_KEPT = 200_000
-CHUNKS_KEPT = 300_000
+PIECES_KEPT = 100_000
+CHUNKS_KEPT = 100_000
 STRIDE = 256
 # The usual pattern of byte-level files for ASCII text.
 ASCII_PIECES = re.compile("'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
