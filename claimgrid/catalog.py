@@ -781,10 +781,7 @@ def stream_conflicts(spark, sf):
 
 @query
 def norm_traces(spark, sf):
-    traced = normalize.with_trace(corpus_normalized(spark, sf))
-    return traced.select("session_id", "claim_id", F.posexplode("trace").alias("step", "t")).select(
-        "session_id", "claim_id", "step", "t.*"
-    )
+    return normalize.trace_rows(corpus_normalized(spark, sf))
 
 
 @query

@@ -96,6 +96,14 @@ def with_trace(normalized: DataFrame) -> DataFrame:
     return normalized.withColumn("trace", F.concat(subject, predicate))
 
 
+def trace_rows(normalized: DataFrame) -> DataFrame:
+    """The normalisation steps of every claim, one row each."""
+    traced = with_trace(normalized)
+    # Outer, because the inner generator makes Catalyst infer a filter that normalises every claim again.
+    steps = traced.select("session_id", "claim_id", F.posexplode_outer("trace").alias("step", "t"))
+    return steps.filter("step is not null").select("session_id", "claim_id", "step", "t.*")
+
+
 def primary_reference() -> Column:
     """A claim's own evidence reference."""
     return F.struct(
