@@ -41,28 +41,34 @@ def _first_line(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)
 
 
-def _marker_path(line: Column, marker: str) -> Column:
-    """Path behind a ``---`` or ``+++`` marker; null if absent or /dev/null."""
-    path = trim(F.regexp_extract(line, pattern(marker), 1))
-    return F.when((path != "") & (path != "/dev/null"), path)
+def _marker_paths(chunk: Column) -> Column:
+    """A chunk with the texts behind its ``---`` and ``+++`` markers."""
+    to_line = F.regexp_extract(chunk, r"(?:\A|\n)(\+\+\+ [^\n]*)", 1)
+    return F.struct(
+        chunk.alias("chunk"),
+        trim(F.regexp_extract(_first_line(chunk), pattern(r"^--- (?:a/)?(.+)$"), 1)).alias("old"),
+        trim(F.regexp_extract(to_line, pattern(r"^\+\+\+ (?:b/)?(.+)$"), 1)).alias("new"),
+    )
 
 
-def _with_header(chunk: Column) -> Column:
+def _with_header(marked: Column) -> Column:
     """A header-less chunk with the header its markers imply, null without paths."""
-    to_line = F.regexp_extract(chunk, r"(?:\A|\n)(\+\+\+ [^\n]*)", 1)
-    old = _marker_path(_first_line(chunk), r"^--- (?:a/)?(.+)$")
-    new = _marker_path(to_line, r"^\+\+\+ (?:b/)?(.+)$")
+    old, new = (F.when((marked[p] != "") & (marked[p] != "/dev/null"), marked[p]) for p in ("old", "new"))
     return F.concat(
         F.lit("diff --git a/"), F.coalesce(old, new), F.lit(" b/"), F.coalesce(new, old),
-        F.lit("\n"), chunk,
+        F.lit("\n"), marked["chunk"],
     )
 
 
 def file_chunks(raw: Column) -> Column:
-    """Chunks with a readable header; the marker fallback applies if there is none."""
-    headed, marked = _headed(raw), _marked(raw)
+    """Chunks with a readable header; the marker fallback applies if there is none.
+
+    Array functions with lambdas are interpreted and share no common parts, here and
+    below: what is used twice is made in a step of its own and named by the next one.
+    """
     none = F.array().cast("array<string>")
-    return F.when(is_blank(raw), none).when(F.size(headed) > 0, headed).otherwise(marked)
+    chosen = F.transform(F.array(_headed(raw)), lambda headed: F.when(F.size(headed) > 0, headed).otherwise(_marked(raw)))
+    return F.when(is_blank(raw), none).otherwise(chosen[0])
 
 
 def _readable(chunk: Column) -> Column:
@@ -75,7 +81,7 @@ def _headed(raw: Column) -> Column:
 
 def _marked(raw: Column) -> Column:
     return F.filter(
-        F.transform(F.split(raw, LINE_START + "(?=--- [^ ])"), _with_header),
+        F.transform(F.transform(F.split(raw, LINE_START + "(?=--- [^ ])"), _marker_paths), _with_header),
         lambda c: c.isNotNull() & _readable(c),
     )
 
@@ -119,16 +125,27 @@ def file_pieces(records: DataFrame) -> DataFrame:
 REST = 2**30
 
 
+# Stands between the groups of a hunk header; a noncharacter, which no text holds.
+GROUP_MARK = "\ufdd0"
+
+
 def _lines_of(piece: Column) -> Column:
-    lines = F.split(piece, "\n")
-    return F.struct(piece.alias("raw"), lines[0].alias("header"), F.slice(lines, 2, REST).alias("body"))
+    return F.struct(piece.alias("raw"), F.split(piece, "\n").alias("lines"))
+
+
+def _headers_of(piece: Column) -> Column:
+    """The lines of a hunk and the groups of its header, read in one pass over the matched text."""
+    whole = F.regexp_extract(piece["lines"][0], HUNK_HEADER, 0)
+    listed = GROUP_MARK.join(f"${n}" for n in range(1, 6))
+    groups = F.split(F.regexp_replace(whole, F.lit(HUNK_HEADER), F.lit(listed)), GROUP_MARK, -1)
+    return F.struct(piece["raw"].alias("raw"), F.slice(piece["lines"], 2, REST).alias("body"), groups.alias("groups"))
 
 
 def _hunk(piece: Column, index: Column) -> Column:
-    header, body = piece["header"], piece["body"]
+    body = piece["body"]
 
     def number(group: int) -> Column:
-        found = F.regexp_extract(header, HUNK_HEADER, group)
+        found = piece["groups"][group - 1]
         # A number too long to read becomes null rather than failing the job.
         return F.when(found == "", F.lit(1).cast("bigint")).otherwise(found.try_cast("bigint"))
 
@@ -138,22 +155,22 @@ def _hunk(piece: Column, index: Column) -> Column:
         number(2).alias("base_count"),
         number(3).alias("head_start"),
         number(4).alias("head_count"),
-        trim(F.regexp_extract(header, HUNK_HEADER, 5)).alias("context_label"),
+        trim(piece["groups"][4]).alias("context_label"),
         piece["raw"].alias("raw_hunk"),
         F.filter(body, lambda line: F.startswith(line, F.lit("+"))).alias("added"),
         F.filter(body, lambda line: F.startswith(line, F.lit("-"))).alias("removed"),
     )
 
 
-def _hunks(chunk: Column) -> Column:
-    pieces = F.split(chunk, r"(?<=\n)(?=@@)")
+def _hunks(pieces: Column) -> Column:
+    """Hunks among the pieces of a chunk, a column that is made before."""
     # A hunk that another one follows does not own the line break between them.
     owned = F.transform(
         pieces,
         lambda p, i: F.when(i < F.size(pieces) - 1, F.regexp_replace(p, r"\n\z", "")).otherwise(p),
     )
     headed = F.filter(owned, lambda p: F.rlike(p, F.lit(HUNK_HEADER)))
-    return F.transform(F.transform(headed, _lines_of), _hunk)
+    return F.transform(F.transform(F.transform(headed, _lines_of), _headers_of), _hunk)
 
 
 def parse_chunk(chunks: DataFrame, chunk: str = "chunk") -> DataFrame:
@@ -182,12 +199,13 @@ def parse_chunk(chunks: DataFrame, chunk: str = "chunk") -> DataFrame:
             # Reading stops at the first binary line; line 0 is the header.
             F.slice(F.split(F.regexp_replace(before_hunks, f"(?s){BINARY}.*", ""), "\n"), 2, REST),
         )
+        .withColumn("hunk_pieces", F.split(text, r"(?<=\n)(?=@@)"))
         .withColumns(
             {
                 "kind_line": last(*kinds),
                 "path_line": last("deleted file mode", "rename to "),
                 "from_line": last("rename from "),
-                "hunks": F.when(F.col("is_binary"), F.array().cast(HUNK_TYPE)).otherwise(_hunks(text)),
+                "hunks": F.when(F.col("is_binary"), F.array().cast(HUNK_TYPE)).otherwise(_hunks(F.col("hunk_pieces"))),
             }
         )
     )
@@ -213,7 +231,7 @@ def parse_chunk(chunks: DataFrame, chunk: str = "chunk") -> DataFrame:
             "additions": total("added"),
             "deletions": total("removed"),
         }
-    ).drop("meta_lines", "kind_line", "path_line", "from_line")
+    ).drop("meta_lines", "kind_line", "path_line", "from_line", "hunk_pieces")
 
 
 def diff_files(diffs: DataFrame, raw: str = "raw") -> DataFrame:

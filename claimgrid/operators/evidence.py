@@ -97,8 +97,10 @@ def _first_chunk(files: DataFrame) -> DataFrame:
         F.col("previous_path").alias("file_previous"),
         F.nullif(F.col("patch"), F.lit("")).alias("file_patch"),
     )
-    chunk = F.try_element_at(file_chunks(F.col("file_patch")), F.lit(1))
-    return parse_chunk(renamed.withColumn("chunk", chunk))
+    # An outer generator keeps filters on the chunk from being pushed into its making, where
+    # Catalyst would write out, and evaluate, the whole reading several times a file.
+    first = F.slice(file_chunks(F.col("file_patch")), 1, 1)
+    return parse_chunk(renamed.select("*", F.explode_outer(first).alias("chunk")))
 
 
 def from_changed_files(files: DataFrame) -> DataFrame:
@@ -128,7 +130,9 @@ def comparison_snippets(files: DataFrame, origin: str = "GIT_DIFF") -> DataFrame
     rows = _first_chunk(files).filter(F.col("chunk").isNotNull())
     hunk = F.col("hunk")
     start, end = hunk_range(hunk)
-    return rows.select("session_id", "seq", "branch_name", "path", F.explode("hunks").alias("hunk")).select(
+    # Outer, because the inner generator makes Catalyst infer a filter that reads all hunks again.
+    hunks = rows.select("session_id", "seq", "branch_name", "path", F.explode_outer("hunks").alias("hunk"))
+    return hunks.filter(hunk.isNotNull()).select(
         "session_id", "seq", "branch_name", F.col("path").alias("file_path"),
         hunk["hunk_idx"].alias("hunk_idx"),
         start.alias("line_start"), end.alias("line_end"), hunk_snippet(hunk).alias("snippet"),

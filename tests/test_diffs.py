@@ -124,6 +124,23 @@ def test_evidence_of_changed_files(spark):
     assert evidence.comparison_snippets(table).count() == 2
 
 
+def test_comparison_snippets_read_each_hunk_header_once(spark):
+    raws = spark.range(2).selectExpr("id AS session_id", "id AS diff_id", "'b' AS branch_name", "concat('@@', id) AS raw")
+    files = diffs.changed_files(raws).withColumn("seq", F.struct("diff_id", "file_idx"))
+    plan = evidence.comparison_snippets(files)._jdf.queryExecution().optimizedPlan().toString()
+    # Kept pieces, matched text and its groups: no filter spells the reading out again.
+    assert plan.count(diffs.HUNK_HEADER) == 3
+
+
+def test_hunk_headers_keep_their_numbers_and_labels(spark):
+    head = "diff --git a/z b/z\n"
+    hunks = ["@@ -1 +2 @@", "@@ -3,4 +5,6 @@ fn() @@ more", f"@@ -{'9' * 30},0 +0,0 @@\r tail"]
+    raw = head + "".join(h + "\n+x\n" for h in hunks)
+    read = diffs.diff_files(spark.createDataFrame([(1, raw)], "diff_id int, raw string")).first().hunks
+    shown = [(h.base_start, h.base_count, h.head_start, h.head_count, h.context_label) for h in read]
+    assert shown == [(1, 1, 2, 1, ""), (3, 4, 5, 6, "fn() @@ more"), (None, 0, 0, 0, "")]
+
+
 @pytest.mark.parametrize(
     "path,language",
     [
