@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from claimgrid.functions import fixed
 from claimgrid.functions.normal import word_map
 from claimgrid.functions.text import is_blank, pattern, trim
+from claimgrid.session import stage
 
 LINE_START = r"(?:\A|(?<=[\n\r\x{2028}\x{2029}]))"
 FILE_HEADER = pattern(fixed.FILE_HEADER)
@@ -115,7 +116,8 @@ def file_pieces(records: DataFrame) -> DataFrame:
     with_header = F.size("headed") > 0
     pieces = F.when(with_header, F.col("headed")).otherwise(_marked(F.col("text")))
     cut = found.select(*keep, "block", "at", with_header.alias("with_header"), F.posexplode(pieces).alias("piece", "chunk"))
-    cut = cut.select(*keep, F.struct("block", "at", "piece").alias("place"), "with_header", "chunk")
+    # Read three times, so the records are joined and cut once.
+    cut = stage(cut.select(*keep, F.struct("block", "at", "piece").alias("place"), "with_header", "chunk"), "diff-pieces")
     plain = cut.filter(~F.col("with_header")).join(cut.filter("with_header").select("diff_id").distinct(), "diff_id", "left_anti")
     return cut.filter("with_header").unionByName(plain).drop("with_header")
 

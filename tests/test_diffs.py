@@ -141,6 +141,18 @@ def test_hunk_headers_keep_their_numbers_and_labels(spark):
     assert shown == [(1, 1, 2, 1, ""), (3, 4, 5, 6, "fn() @@ more"), (None, 0, 0, 0, "")]
 
 
+def test_pieces_of_split_diffs_are_cut_once(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(diffs, "stage", lambda df, name: staged.append(name) or df)
+    records = spark.createDataFrame(
+        [("d", "b", 0, 0, "junk"), ("d", "b", 0, 1, "a/x b/x\n+x")],
+        "diff_id string, branch_name string, block bigint, at bigint, value string",
+    )
+    pieces = diffs.file_pieces(records)
+    assert staged == ["diff-pieces"]
+    assert [r.chunk for r in pieces.collect()] == ["diff --git a/x b/x\n+x"]
+
+
 @pytest.mark.parametrize(
     "path,language",
     [
