@@ -321,18 +321,27 @@ def _read(captured: Column, noun: Column, rules: Sequence[Rule]) -> Column:
     return chain
 
 
+@lru_cache(maxsize=8)
+def tried(rules: tuple[Rule, ...], application: str) -> Column:
+    """First match of each rule in one segment, null for rules that aren't tried.
+
+    Reads the columns ``segment``, ``lowered`` and ``category_hint``. The expression
+    is the same for every table, so an application builds it once. It stands in a
+    projection of its own: triggers and patterns run on every segment, and what
+    feeds an array function directly is interpreted together with it.
+    """
+    segment, lowered, hint = map(F.col, ("segment", "lowered", "category_hint"))
+    return F.array(*(_capture(i, rule, segment, lowered, hint) for i, rule in enumerate(rules)))
+
+
 @lru_cache(maxsize=8)
 def matches(rules: tuple[Rule, ...], application: str) -> Column:
     """Claims of one segment, in rule order: first match of each admitted rule.
 
-    Reads the columns ``segment``, ``lowered``, ``category_hint`` and ``noun``.
-    The expression is the same for every table, so an application builds it once.
-
-    Patterns run first and capture their groups; what the groups mean is read
-    only for the rules that matched. Both steps sit in array functions, which
-    keeps them out of one oversized generated method the JVM would not compile.
+    Reads the columns ``tried`` and ``noun``. What the groups of a match mean is read
+    only for the rules that matched, in array functions, which keeps that out of one
+    oversized generated method the JVM would not compile.
     """
-    segment, lowered, hint, noun = map(F.col, ("segment", "lowered", "category_hint", "noun"))
-    tried = F.array_compact(F.array(*(_capture(i, rule, segment, lowered, hint) for i, rule in enumerate(rules))))
-    captured = F.transform(F.filter(tried, lambda c: c["whole"] != ""), lambda c: _groups(c, rules))
-    return F.array_compact(F.transform(captured, lambda c: _read(c, noun, rules)))
+    found = F.filter("tried", lambda c: c.isNotNull() & (c["whole"] != ""))
+    captured = F.transform(found, lambda c: _groups(c, rules))
+    return F.array_compact(F.transform(captured, lambda c: _read(c, F.col("noun"), rules)))

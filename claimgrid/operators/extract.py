@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimgrid.functions import fixed
-from claimgrid.functions.rules import NOUN_REGEX, RULES, Rule, matches
+from claimgrid.functions.rules import NOUN_REGEX, RULES, Rule, matches, tried
 from claimgrid.functions.text import is_blank, longer_than, slug, trim
 
 # A unit's place in its session; "first occurrence" everywhere follows this
@@ -124,7 +124,8 @@ def rule_matches(units: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     keep = [*UNIT_KEY, "unit_id", "category_hint", "source_file", "noun"]
     rows = segments(units.withColumn("noun", noun), *keep)
     application = units.sparkSession.sparkContext.applicationId
-    found = rows.withColumn("lowered", F.lower("segment")).select(
+    lowered = rows.withColumn("lowered", F.lower("segment"))
+    found = lowered.withColumn("tried", tried(tuple(rules), application)).select(
         *UNIT_KEY, "unit_id", "source_file", "seg_idx",
         F.inline_outer(matches(tuple(rules), application)),
     )
@@ -139,7 +140,14 @@ def claims(
     One shuffle, by unit, serves both rankings. A unit is one text row, so no
     key here can grow beyond that row.
     """
-    found = rule_matches(units, rules).repartition(*UNIT_KEY)
+    found = rule_matches(units, rules)
+    # What a rule fixes is looked up again by its place, so it isn't shuffled.
+    fixed_by = {
+        name: F.element_at(F.array(*(F.lit(getattr(rule, name)) for rule in rules)), F.col("rule_idx") + 1)
+        for name in ("rule_id", "category", "confidence")
+    }
+    columns = found.columns
+    found = found.drop(*fixed_by).repartition(*UNIT_KEY)
     place = ["seg_idx", "rule_idx"]
     again = Window.partitionBy(*UNIT_KEY, "subject", "predicate").orderBy(*place)
     running = Window.partitionBy(*UNIT_KEY).orderBy(*place)
@@ -153,7 +161,8 @@ def claims(
         F.lit("assm_"),
         slug(F.col("unit_id"), F.col("subject"), F.col("predicate"), F.col("claim_idx").cast("string")),
     )
-    return kept.withColumns({"claim_id": claim_id, "source_type": F.lit(source_type)})
+    named = kept.withColumns({"claim_id": claim_id, **fixed_by}).select(*columns, "claim_idx", "claim_id")
+    return named.withColumn("source_type", F.lit(source_type))
 
 
 def _of_sets(units: DataFrame, chosen: DataFrame, sets: dict[str, Sequence[Rule]], read) -> DataFrame:

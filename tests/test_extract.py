@@ -1,7 +1,11 @@
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from claimgrid.functions.rules import RULES, Reading, Rule
+from claimgrid.functions.text import slug, subject_key
 from claimgrid.operators import extract
 from tests.helpers import rows, units
 
@@ -124,3 +128,18 @@ def test_rule_set_can_be_extended(spark):
     )
     got = extract.claims(units(spark, "limit 20 applies"), rules=[*RULES, own])
     assert rows(got, "rule_id", "predicate") == [("own:limit", "limit = 20")]
+
+
+def test_slug_keeps_its_form_and_takes_no_longer_than_other_patterns(spark):
+    texts = ["a b", "Ä-ö", "x__y", "A.B/c", "", "\U0001f600!z", "0_9"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(slug(F.col("t"), F.lit("Z"))).collect()]
+    assert got == [re.sub("[^A-Za-z0-9_]+", "_", f"{t}__Z").lower() for t in texts]
+    ids = spark.range(0, 60_000, 1, 1).select(F.concat(F.lit("assm_change_"), F.col("id"), F.lit("__snippet_0__user_role__allowed_role = owner" * 3)).alias("s"))
+
+    def seconds(column):
+        start = time.perf_counter()
+        ids.select(F.sum(F.length(column))).collect()
+        return time.perf_counter() - start
+
+    seconds(slug(F.col("s")))
+    assert seconds(slug(F.col("s"))) < 3 * seconds(subject_key(F.col("s"))) + 0.3
