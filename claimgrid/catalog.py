@@ -62,17 +62,18 @@ def corpus_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return normalize.normalize(corpus_claims(spark, sf))
 
 
-def found_pairable(normalized: DataFrame) -> DataFrame:
+def found_pairable(normalized: DataFrame, texts: bool = False) -> DataFrame:
     """Pairable claims, staged once: pairing reads them three times, and counting six."""
-    return stage(pairing.pairable(pairing.merge_claims(normalized)), "pairable")
+    return stage(pairing.pairable(pairing.merge_claims(normalized, texts)), "pairable")
 
 
-def found_conflicts(normalized: DataFrame) -> DataFrame:
-    return pairing.conflicts_from_pairable(found_pairable(normalized))
+def found_conflicts(normalized: DataFrame, texts: bool = False) -> DataFrame:
+    """Conflicts, with the statements and excerpts of their claims if ``texts``."""
+    return pairing.conflicts_from_pairable(found_pairable(normalized, texts))
 
 
-def corpus_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    return found_conflicts(corpus_normalized(spark, sf))
+def corpus_conflicts(spark: SparkSession, sf: str, texts: bool = False) -> DataFrame:
+    return found_conflicts(corpus_normalized(spark, sf), texts)
 
 
 @query
@@ -172,7 +173,7 @@ def conflicts(spark, sf):
 
 @query
 def conflict_reports(spark, sf):
-    return reports.explain(corpus_conflicts(spark, sf)).drop("l_claim_id", "r_claim_id")
+    return reports.explain(corpus_conflicts(spark, sf, texts=True)).drop("l_claim_id", "r_claim_id")
 
 
 @query
@@ -214,7 +215,7 @@ def domain_claims(spark, sf):
 @query
 def findings(spark, sf):
     rows = stage(corpus_claims(spark, sf), "claims")
-    found = found_conflicts(normalize.normalize(rows))
+    found = found_conflicts(normalize.normalize(rows), texts=True)
     table = reports.findings(reports.explain(found), reports.statement_ids(rows))
     return table.select(
         "session_id", "conflict_id", "title", "description", "severity", "category",
@@ -225,7 +226,7 @@ def findings(spark, sf):
 @query
 def finding_status(spark, sf):
     rows = stage(corpus_claims(spark, sf), "claims")
-    found = found_conflicts(normalize.normalize(rows))
+    found = found_conflicts(normalize.normalize(rows), texts=True)
     table = reports.findings(reports.explain(found), reports.statement_ids(rows))
     return summary.finding_status(corpus.sessions(spark, sf), table)
 
@@ -233,7 +234,7 @@ def finding_status(spark, sf):
 @query
 def display_conflicts(spark, sf):
     shown = reports.display_rows(
-        reports.explain(corpus_conflicts(spark, sf)), corpus.sessions(spark, sf)
+        reports.explain(corpus_conflicts(spark, sf, texts=True)), corpus.sessions(spark, sf)
     )
     return shown.select(
         "session_id", "conflict_id", "kind", "severity", "confidence", "requirement_text",
@@ -251,7 +252,7 @@ def top_conflicts(spark, sf):
 
 @query
 def conflict_groups(spark, sf):
-    return summary.conflict_groups(pairing.merge_claims(corpus_normalized(spark, sf)))
+    return summary.conflict_groups(pairing.merge_claims(corpus_normalized(spark, sf), texts=False))
 
 
 @query
@@ -262,7 +263,7 @@ def high_conflicts(spark, sf):
 
 @query
 def severity_counts(spark, sf):
-    merged = pairing.merge_claims(corpus_normalized(spark, sf))
+    merged = pairing.merge_claims(corpus_normalized(spark, sf), texts=False)
     return summary.severity_counts(
         corpus.sessions(spark, sf), summary.conflict_counts(merged)
     )
@@ -271,7 +272,7 @@ def severity_counts(spark, sf):
 @query
 def session_results(spark, sf):
     rows = stage(corpus_claims(spark, sf), "claims")
-    merged = pairing.merge_claims(normalize.normalize(rows))
+    merged = pairing.merge_claims(normalize.normalize(rows), texts=False)
     return summary.session_results(
         corpus.sessions(spark, sf), summary.claim_counts(rows), summary.conflict_counts(merged)
     )
@@ -336,7 +337,7 @@ def passport_components(spark, sf):
 @query
 def verification_summaries(spark, sf):
     rows = stage(corpus_claims(spark, sf), "claims")
-    merged = pairing.merge_claims(normalize.normalize(rows))
+    merged = pairing.merge_claims(normalize.normalize(rows), texts=False)
     sessions = corpus.sessions(spark, sf)
     changed = corpus_paths(spark, sf).groupBy("session_id").agg(F.count("*").alias("files_changed"))
     covered = summary.coverage(sessions, summary.covered_criteria(corpus_criteria(spark, sf), rows))
@@ -352,7 +353,7 @@ def passport_texts(spark, sf):
 
 def _shown_with_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     normalized = stage(corpus_normalized(spark, sf), "normalized")
-    found = stage(found_conflicts(normalized), "found")
+    found = stage(found_conflicts(normalized, texts=True), "found")
     return reports.explain(found), reports.report_files(found, pairing.evidence_files(normalized))
 
 
@@ -794,7 +795,7 @@ def change_contents(spark, sf):
 
 @query
 def conflict_resolutions(spark, sf):
-    shown = reports.explain(corpus_conflicts(spark, sf))
+    shown = reports.explain(corpus_conflicts(spark, sf, texts=True))
     proposed = F.when(F.col("severity") == "MEDIUM", F.concat(F.lit("Agree on "), "affected_entity"))
     table = shown.withColumn("proposed_resolution", proposed)
     return table.select("session_id", "conflict_id", reports.resolution().alias("resolution"))
@@ -814,7 +815,7 @@ def result_stats(spark, sf):
         F.col("o_custkey").alias("session_id"), F.expr(corpus.CANDIDATE_STATUS).alias("status")
     )
     rows = stage(corpus_claims(spark, sf), "claims")
-    counts = summary.conflict_counts(pairing.merge_claims(normalize.normalize(rows)))
+    counts = summary.conflict_counts(pairing.merge_claims(normalize.normalize(rows), texts=False))
     return summary.result_stats(
         corpus.sessions(spark, sf), summary.claim_counts(rows), summary.candidate_stats(candidates), counts
     )
@@ -852,7 +853,7 @@ def conflict_errors(spark, sf):
             F.when(F.col("canonical_key") == "must_be", " ").otherwise(F.col(f"{prefix}_evidence_text")).alias("text"),
         )
 
-    found = corpus_conflicts(spark, sf)
+    found = corpus_conflicts(spark, sf, texts=True)
     evidence_of = F.when(F.col("conflict_type") == "DEPENDENCY", F.array().cast(
         "array<struct<ref_id:string,source_type:string,line_range:struct<start:int,end:int>,text:string>>"
     )).otherwise(F.array(reference("l"), reference("r")))
@@ -871,7 +872,7 @@ def conflict_errors(spark, sf):
 def unknown_claim_ids(spark, sf):
     """Claim ids named by findings but not in a claim list that lost its rule-2 claims."""
     rows = stage(corpus_claims(spark, sf), "claims")
-    found = found_conflicts(normalize.normalize(rows))
+    found = found_conflicts(normalize.normalize(rows), texts=True)
     table = reports.findings(reports.explain(found), reports.statement_ids(rows))
     known = rows.filter("rule_idx <> 2").select(F.col("session_id").alias("result_id"), "claim_id")
     missing = checks.unknown_claim_ids(

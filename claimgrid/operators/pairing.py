@@ -28,18 +28,25 @@ def claim_order() -> Column:
     return F.struct(*CLAIM_ORDER)
 
 
-def merge_claims(normalized: DataFrame) -> DataFrame:
+# What only the texts of a report need of a merged claim.
+TEXTS = ["statement", "predicate", "evidence_text", "confidence"]
+
+
+def merge_claims(normalized: DataFrame, texts: bool = True) -> DataFrame:
     """One row per (session, subject, predicate): the first claim and how many agree.
 
     The merged evidence stays in rows (``merged_evidence``): a hot claim can
     have any number of sources, so they are never gathered into one value.
     The minimum is combined before the shuffle, so a hot claim costs one row
-    per input partition.
+    per input partition. It is one value to Spark, which can't drop parts of it that
+    nobody reads, so without ``texts`` it is made without ``TEXTS``.
     """
     carried = [
         "claim_id", "statement", "predicate", "canonical_key", "canonical_value",
         "source_type", "source_file", "evidence_text", "confidence",
     ]
+    if not texts:
+        carried = [c for c in carried if c not in TEXTS]
     first = F.min(F.struct(claim_order().alias("ord"), *carried))
     merged = normalized.groupBy(*MERGE_KEY).agg(
         first.alias("first"), F.count("*").alias("n_claims")
@@ -120,21 +127,24 @@ def contradicting_pairs(claims: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs of one session, subject and key whose values differ, earlier claim left.
 
     After the merge a group holds one row per distinct value. Its rows are dealt to
-    blocks, and blocks i <= j are joined: a row of block b stands on one side for
-    every j from b on and on the other for every i up to b, so it is copied once
-    more than there are blocks, every two rows meet exactly once, and a task gets
-    two blocks of a group. The pair is then put in order. ``claims`` is pairable and
-    read three times; a caller whose claims are costly stages them.
+    blocks, and blocks i <= j meet in a cell: a row of block b goes to the cells of b
+    and each other block, so it is copied as often as there are blocks, every two rows
+    meet exactly once, and a task gets two blocks of a group. The pair is then put in
+    order. Both sides of the join are the same rows in the same columns, so they are
+    shuffled once and read twice; the rows of block i are taken for the left and those
+    of block j for the right by one comparison of both, because a filter of one side
+    would make two different shuffles. ``claims`` is pairable and read three times; a
+    caller whose claims are costly stages them.
     """
-    dealt = _sides(in_blocks(claims, block))
-    upper = dealt.select(
-        *GROUP_KEY, "conflict_type", F.col("block").alias("i"),
-        F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.col("side").alias("x"),
-    )
-    lower = dealt.select(
-        *GROUP_KEY, F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("side").alias("y"),
+    met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = _sides(in_blocks(claims, block)).select(*GROUP_KEY, "conflict_type", "block", "side", met.alias("other")).select(
+        *GROUP_KEY, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        F.struct("conflict_type", "block", "side.*").alias("row"),
     )
-    return _in_order(upper.join(lower, [*GROUP_KEY, "i", "j"]).filter("i < j or x.ord < y.ord"))
+    keys = [*GROUP_KEY, "i", "j"]
+    joined = cells.withColumnRenamed("row", "x").join(cells.withColumnRenamed("row", "y"), keys)
+    taken = F.struct(F.col("x.block"), F.col("y.block")) == F.struct(F.col("i").alias("block"), F.col("j").alias("block"))
+    return _in_order(joined.filter(taken & F.expr("i < j or x.ord < y.ord")).withColumn("conflict_type", F.col("x.conflict_type")))
 
 
 def changed_pairs(claims: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -152,7 +162,7 @@ def changed_pairs(claims: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _sides(dealt: DataFrame, *keep: str) -> DataFrame:
-    side = F.struct(*(F.col(a).alias(b) for a, b in SIDE.items())).alias("side")
+    side = F.struct(*(F.col(a).alias(b) for a, b in SIDE.items() if a in dealt.columns)).alias("side")
     return dealt.select(*GROUP_KEY, "conflict_type", "block", "blocks", *keep, side)
 
 
@@ -162,8 +172,9 @@ def _in_order(met: DataFrame) -> DataFrame:
     first = F.col("x.ord") < F.col("y.ord")
     sides = {"l": F.when(first, F.col("x")).otherwise(F.col("y")), "r": F.when(first, F.col("y")).otherwise(F.col("x"))}
     ordered = pairs.select(*GROUP_KEY, "conflict_type", *(side.alias(name) for name, side in sides.items()))
+    names = [name for name in SIDE.values() if name in ordered.schema["l"].dataType.names]
     return ordered.select(
-        *GROUP_KEY, "conflict_type", *(F.col(f"{p}.{name}").alias(f"{p}_{name}") for p in sides for name in SIDE.values())
+        *GROUP_KEY, "conflict_type", *(F.col(f"{p}.{name}").alias(f"{p}_{name}") for p in sides for name in names)
     )
 
 
@@ -193,7 +204,8 @@ def conflict_id() -> Column:
 def first_per_id(pairs: DataFrame) -> DataFrame:
     """Drop later conflicts of the same id within a session."""
     ranked = Window.partitionBy("session_id", "conflict_id").orderBy("l_ord", "r_ord")
-    return pairs.withColumn("nth", F.row_number().over(ranked)).filter("nth = 1").drop("nth")
+    # Few ids come twice, so a limit a group before the shuffle would sort all rows for nothing.
+    return pairs.withColumn("later", F.lag(F.lit(True)).over(ranked)).filter("later is null").drop("later")
 
 
 def conflict_files() -> Column:

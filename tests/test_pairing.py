@@ -148,3 +148,30 @@ def test_a_large_group_is_dealt_to_blocks_and_paired_once(spark):
     assert max(r["count"] for r in blocks) < 1_500
     counts = pairing.contradicting_pairs(claims).groupBy(F.col("session_id") == "hot").count().collect()
     assert {r[0]: r[1] for r in counts} == {True: 5_000 * 4_999 // 2, False: 50 * 45}
+
+
+def test_rows_of_a_group_are_shuffled_once_for_both_sides(spark):
+    data = [("s", i, "user_role", "required_role", f"v{i}", "CODE_DIFF", f"f{i}.ts") for i in range(40)]
+    claims = pairing.pairable(pairing.merge_claims(claim_table(spark, data)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = pairing.contradicting_pairs(claims, block=8)
+        pairs.collect()
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert pairs.count() == 40 * 39 // 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ReusedExchange" in plan.split("== Initial Plan ==")[0]
+    assert sum("Exchange hashpartitioning" in line and " i#" in line for line in plan.split("== Initial Plan ==")[0].splitlines()) <= 2
+
+
+def test_merged_claims_without_texts_give_the_same_conflicts(spark):
+    data = [("s", i, "user_role", "required_role", f"v{i % 7}", "CODE_DIFF", f"f{i}.ts") for i in range(30)]
+    table = claim_table(spark, data)
+    lean = pairing.merge_claims(table, texts=False)
+    assert not set(pairing.TEXTS) & set(lean.columns)
+    found = pairing.conflicts_from_merged(lean)
+    whole = pairing.conflicts_from_merged(pairing.merge_claims(table)).select(found.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+    assert found.count() == 21
