@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -152,6 +152,9 @@ class Reader:
 
 
 _JOINED = 500
+# Chunks and pieces that a worker keeps. Two workers share an executor with its JVM.
+CHUNKS_KEPT = 600_000
+PIECES_KEPT = 500_000
 
 
 class Encoder:
@@ -170,16 +173,19 @@ class Encoder:
         words = vocabulary(path)
         self.ends = np.zeros(words.size, dtype=bool)
         self.ends[[i for s, i in words.ids.items() if words.suffix and s.endswith(words.suffix)]] = True
-        self.pieces: dict[str, list[int]] = {"": []}
-        self.chunks = Coded(self._solve)
+        # One object per id, which all pieces share; the library makes new ones each time.
+        self.numbers = list(range(words.size))
+        self.pieces: dict[str, tuple[int, ...]] = {"": ()}
+        self.chunks = Coded(self._solve, CHUNKS_KEPT)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _solve(self, chunks: list[bytes]) -> list[list[int]]:
-        if len(self.pieces) > Coded.MOST:
-            self.pieces = {"": []}
+    def _solve(self, chunks: list[bytes]) -> list[Sequence[int]]:
+        if len(self.pieces) > PIECES_KEPT:
+            self.pieces = {"": ()}
         pieces, parts, other, new = self.pieces, [], [], {}
+        number = self.numbers.__getitem__
         for chunk in chunks:
             text = chunk.decode("utf-8", "replace")
             found = plain_parts(text) if len(text) <= LONG else None
@@ -201,7 +207,7 @@ class Encoder:
             if len(cuts) != len(some):
                 raise ValueError("a piece did not end with one end-of-word token")
             for x, a, b in zip(some, [0, *cuts], cuts):
-                pieces[x] = flat[a:b]
+                pieces[x] = tuple(map(number, flat[a:b]))
         rest = iter(self._ids(other))
         return [(pieces[p[0]] + pieces[p[1]] if p[1] else pieces[p[0]]) if p else next(rest) for p in parts]
 

@@ -128,8 +128,8 @@ class Coded:
     def _clear(self) -> None:
         self.codes = _Codes()
         self.starts = np.zeros(1 << 12, dtype=np.int64)
-        self.sizes = np.zeros(1 << 12, dtype=np.int64)
-        self.values = np.zeros(1 << 14, dtype=np.int64)
+        self.sizes = np.zeros(1 << 12, dtype=np.int32)
+        self.values = np.zeros(1 << 14, dtype=np.int32)
         self.rows = self.filled = 0
 
     @staticmethod
@@ -151,14 +151,14 @@ class Coded:
             self.values = self._room(self.values, self.filled + total)
             self.sizes[self.rows : rows] = sizes
             self.starts[self.rows : rows] = self.filled + np.cumsum(sizes) - sizes
-            self.values[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(results), dtype=np.int64, count=total)
+            self.values[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(results), dtype=np.int32, count=total)
             self.rows = rows
             self.filled += total
         return out
 
     def gather(self, rows: np.ndarray) -> np.ndarray:
         """Values of the rows, one after the other."""
-        sizes = self.sizes[rows]
+        sizes = self.sizes[rows].astype(np.int64)
         before = np.cumsum(sizes) - sizes
         return self.values[np.repeat(self.starts[rows] - before, sizes) + np.arange(sizes.sum())]
 

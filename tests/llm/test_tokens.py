@@ -139,3 +139,17 @@ def test_null_texts(spark):
     got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256 == empty) for r in transducer.round_trip(docs).collect())
     assert got == [("1", 0, True), ("3", 1, False), ("3", 1, False), ("None", 0, True)]
     assert token_counts.counts(docs.limit(0)).count() == 0 and transducer.round_trip(docs.limit(0)).count() == 0
+
+
+def test_pieces_share_the_objects_of_their_ids_and_the_store_is_bounded(monkeypatch):
+    encoder = packed.Encoder(place(packed.TOKENIZER))
+    monkeypatch.setattr(packed, "PIECES_KEPT", 50)
+    encoder.chunks.most = 60
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}," for i in range(400)]
+    texts = [" ".join(words[i : i + 20]).encode() for i in range(0, 400, 20)]
+    sizes, ids = encoder.encode(texts, packed.END)
+    again = [encoder.encode([t], packed.END) for t in texts]
+    assert sizes.tolist() == [int(s[0]) for s, _ in again]
+    assert ids.tolist() == [int(i) for _, v in again for i in v]
+    assert len(encoder.pieces) <= 50 + 21 and len(encoder.chunks.codes) <= 60 + 20
+    assert all(number is encoder.numbers[number] for piece in encoder.pieces.values() for number in piece)
