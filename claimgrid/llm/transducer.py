@@ -46,7 +46,7 @@ from .vocabulary import LONG, Coded, Vocabulary, byte_symbols, library, place, s
 TOKENIZER = "byte_bpe_50k.json"
 PAIRS_KEPT = 500_000
 PIECES_KEPT = 100_000
-CHUNKS_KEPT = 100_000
+CHUNKS_KEPT = 250_000
 STRIDE = 256
 # The usual pattern of byte-level files for ASCII text.
 ASCII_PIECES = re.compile("'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
@@ -61,7 +61,7 @@ class Transducer:
         self.rank = {(a, b): (r, c) for r, (a, b, c) in reversed(list(enumerate(words.merges)))}
         self.symbol = {s: words.ids[s] for s in byte_symbols() if s in words.ids}
         self.text = {i: s for s, i in words.ids.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by both tokens in one number, which takes less room than a tuple
         # How the merges make each token that they make from its own text: the rank of
         # its last merge and that merge's sides; a symbol has rank -1.
         self.made: dict[int, tuple[int, int, int]] = {i: (-1, i, i) for i in self.symbol.values()}
@@ -100,7 +100,7 @@ class Transducer:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the merges leave ``a`` and ``b`` alone when they meet."""
-        key = (a, b)
+        key = a << 32 | b
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= PAIRS_KEPT:
@@ -118,7 +118,7 @@ class Transducer:
             if start < 0:
                 continue
             before = last[start]
-            if before < 0 or (known := pairs((before, token))) or (known is None and follows(before, token)):
+            if before < 0 or (known := pairs(before << 32 | token)) or (known is None and follows(before, token)):
                 last.append(token)
                 back.append(start)
                 held += 1
@@ -187,12 +187,12 @@ class Encoder:
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.chunks = Coded(lambda chunks: [self._chunk(c) for c in chunks], CHUNKS_KEPT)
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str, keep: bool = True) -> tuple[int, ...]:
         known = self.pieces.get(piece)
         if known is None:
             short = len(piece) <= STRIDE
             known = tuple(self.transducer.whole(piece) if short else self.transducer.stream(piece))
-            if len(piece) <= LONG:
+            if keep and len(piece) <= LONG:
                 if len(self.pieces) >= PIECES_KEPT:
                     self.pieces.clear()
                 self.pieces[piece] = known
@@ -202,7 +202,8 @@ class Encoder:
         if self.plain and chunk.isascii():
             cut = ASCII_PIECES(chunk)
             if len(cut) == 1:
-                return self._piece(chunk.translate(self.symbols))
+                # The chunk itself is kept, so its only piece need not be kept again.
+                return self._piece(chunk.translate(self.symbols), False)
             pieces = [p.translate(self.symbols) for p in cut]
         else:
             pieces = [p for p, _ in self.split(chunk)]

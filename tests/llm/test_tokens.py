@@ -153,3 +153,11 @@ def test_pieces_share_the_objects_of_their_ids_and_the_store_is_bounded(monkeypa
     assert ids.tolist() == [int(i) for _, v in again for i in v]
     assert len(encoder.pieces) <= 50 + 21 and len(encoder.chunks.codes) <= 60 + 20
     assert all(number is encoder.numbers[number] for piece in encoder.pieces.values() for number in piece)
+
+
+def test_only_pieces_of_mixed_chunks_are_kept_beside_chunks():
+    encoder = transducer.Encoder(place(transducer.TOKENIZER))
+    text = "alone again, naturally"
+    (ids,) = encoder.encode([text])
+    assert ids.tolist() == ids_of(transducer.TOKENIZER, text)
+    assert "alone" not in encoder.pieces and "\u0120again" in encoder.pieces and "," in encoder.pieces
