@@ -77,18 +77,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None):
         return df
-    return written(df, name)
+    return written(df, name, "zstd")
 
 
 # Staged folders with the JVM and the Hadoop settings they were written with.
 _WRITTEN: dict[str, tuple] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` as a table under ``stage_root``, which an operator needs written in any case."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -44,7 +44,7 @@ def _replace(rows: DataFrame, path: str, numbers: list[int], per_file: int = ROW
         dealt = rows.withColumn("_file", F.pmod(F.xxhash64(*rows.columns), files).cast("int"))
         (
             dealt.repartition(sum(sizes.values()), "bucket", "_file").drop("_file")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket").parquet(path)
         )
     for number in set(numbers) - set(sizes):
         place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={number}")
@@ -52,7 +52,7 @@ def _replace(rows: DataFrame, path: str, numbers: list[int], per_file: int = ROW
 
 
 def _written(rows: DataFrame, path: str) -> DataFrame:
-    rows.write.mode("overwrite").parquet(path)
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

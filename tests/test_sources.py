@@ -5,6 +5,7 @@ import random
 import pytest
 
 from claimgrid.operators import context, diffs
+from claimgrid.session import stage
 from claimgrid.sources import tables
 from tests.helpers import rows
 from tests.test_diffs import DIFFS
@@ -100,3 +101,9 @@ def test_a_context_has_record_files_and_evidence(spark):
 def test_empty_and_unknown_branches_fail(spark, features, log, message):
     with pytest.raises(Exception, match=message):
         made(spark, features, log).source.collect()
+
+
+def test_staged_tables_are_written_small_and_read_back(spark):
+    kept = stage(spark.range(5), "small")
+    assert sorted(r.id for r in kept.collect()) == list(range(5))
+    assert all(name.endswith(".zstd.parquet") for name in kept.inputFiles())
