@@ -11,7 +11,8 @@ back as the longest token of the merge list has: that length is the sufficient
 lookahead. So whatever follows, the encoding continues from one of that many
 states, and the tokens on which all of their backward chains agree are stable and
 leave the transducer. What it holds is the lookahead and the symbols since the
-chains parted, however long the stream is.
+chains parted, however long the stream is. Short pieces are streams that end within
+one block; many of them go through the transducer side by side, a symbol of each at a time.
 
 *Decoding.* Token bytes pass through an incremental UTF-8 state machine, so a
 character that several tokens share comes out when it is complete; bytes that
@@ -45,11 +46,56 @@ from .vocabulary import LONG, Coded, Vocabulary, byte_symbols, library, place, s
 
 TOKENIZER = "byte_bpe_50k.json"
 PAIRS_KEPT = 500_000
+PAIR_SLOTS = 18  # as a power of two
 PIECES_KEPT = 100_000
 CHUNKS_KEPT = 250_000
 STRIDE = 256
-# The usual pattern of byte-level files for ASCII text.
-ASCII_PIECES = re.compile("'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
+# Pieces of at most so many symbols go side by side, at most so many at once.
+SHORT = 64
+ABREAST = 1 << 15
+# The usual pattern of byte-level files, for text of ASCII and of these Latin letters.
+_LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+LATIN_PIECES = re.compile(
+    f"'(?:[sdmt]|ll|ve|re)| ?[{_LATIN}]+| ?[0-9]+| ?[^\t-\r {_LATIN}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+).findall
+latin = re.compile(f"[\0-\x7f{_LATIN}]*").fullmatch
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.view(np.uint64) * _SPREAD >> np.uint64(64 - bits)).view(np.int64)
+
+
+class Numbers:
+    """A number for each of some distinct keys from 0 on, looked up for many keys at once; -1 for others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (3 * len(keys)).bit_length())
+        self.last = (1 << self.bits) - 1
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.values = np.full(1 << self.bits, -1, dtype=np.int32)
+        at = _slots(keys, self.bits)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            own = self.keys[at] == keys
+            self.values[at[own]] = values[own]
+            keys, values, at = keys[~own], values[~own], at[~own] + 1 & self.last
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = _slots(keys, self.bits)
+        there = self.keys[at]
+        out = self.values[at]
+        off = np.flatnonzero(there != keys)
+        out[off] = -1
+        off = off[there[off] >= 0]
+        while len(off):
+            at[off] = at[off] + 1 & self.last
+            there = self.keys[at[off]]
+            own = there == keys[off]
+            out[off[own]] = self.values[at[off[own]]]
+            off = off[~own & (there >= 0)]
+        return out
 
 
 class Transducer:
@@ -77,6 +123,96 @@ class Transducer:
         for token in self.made:
             self.search.add_word(self.text[token], (len(self.text[token]), token))
         self.search.make_automaton()
+        self._tabulate()
+
+    def _tabulate(self) -> None:
+        """The same in arrays: the merges, the automaton, and what is known of pairs."""
+        size = self.vocabulary.size
+        pairs = np.array([(a, b, r) for (a, b), (r, _) in self.rank.items()], dtype=np.int64).reshape(-1, 3)
+        self.merged = Numbers(pairs[:, 0] << 32 | pairs[:, 1], pairs[:, 2])
+        self.sides = np.full((3, size), -1, dtype=np.int64)
+        tokens = np.fromiter(self.made, dtype=np.int64, count=len(self.made))
+        self.sides[:, tokens] = np.array(list(self.made.values()), dtype=np.int64).reshape(-1, 3).T
+        self.pair_keys = np.full(1 << PAIR_SLOTS, -1, dtype=np.int64)
+        self.pair_values = np.zeros(1 << PAIR_SLOTS, dtype=bool)
+
+        self.bytes = np.full(1 << 16, -1, dtype=np.int16)
+        self.bytes[[ord(s) for s in self.symbol]] = np.arange(len(self.symbol))
+        names = [self.text[t] for t in tokens.tolist()]
+        self.sizes = np.zeros(size, dtype=np.int64)
+        self.sizes[tokens] = sizes = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
+        symbols = self._bytes(names).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        # States are numbered by depth; an edge's place among all edges gives the state it leads to.
+        state = np.zeros(len(names), dtype=np.int64)
+        levels, states = [], 1
+        for depth in range(int(sizes.max(initial=0))):
+            going = np.flatnonzero(sizes > depth)
+            edges, into = np.unique(state[going] << 8 | symbols[starts[going] + depth], return_inverse=True)
+            state[going] = states + into
+            levels.append((states, edges))
+            states += len(edges)
+        every = np.concatenate([np.zeros(0, dtype=np.int64), *(e for _, e in levels)])
+        self.edges = Numbers(every, np.arange(1, states))
+        self.fall = np.full(states, -1, dtype=np.int64)  # the state of the longest proper end, -1 after none
+        self.ending = np.full(states, -1, dtype=np.int64)  # the longest token that ends there
+        self.ending[state] = tokens
+        self.shorter = np.full(size, -1, dtype=np.int64)  # the next longest token that ends where a token does
+        for first, edges in levels:
+            here = np.arange(first, first + len(edges))
+            self.fall[here] = fall = self._step(self.fall[edges >> 8], edges & 255)
+            own = self.ending[here]
+            self.shorter[own[own >= 0]] = self.ending[fall[own >= 0]]
+            self.ending[here] = np.where(own < 0, self.ending[fall], own)
+
+    def _bytes(self, texts: list[str]) -> np.ndarray:
+        """The symbols of all texts, as numbers below 256."""
+        return self.bytes[np.frombuffer("".join(texts).encode("utf-16-le", "surrogatepass"), dtype="<u2")]
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states of the automaton after a further symbol each; from -1 it goes to the first state."""
+        out = np.zeros(len(state), dtype=np.int64)
+        at = np.flatnonzero(state >= 0)
+        state = state[at]
+        while len(at):
+            out[at] = found = self.edges(state << 8 | symbol[at])
+            missed = np.flatnonzero(found < 0)
+            at, state = at[missed], self.fall[state[missed]]
+            out[at] = 0
+            at, state = at[state >= 0], state[state >= 0]
+        return out
+
+    def _all_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``_apart`` of many pairs, without a limit."""
+        out = np.zeros(len(a), dtype=bool)
+        at, limit = np.arange(len(a)), np.full(len(a), np.iinfo(np.int64).max)
+        ranks, left, right = self.sides
+        while len(at):
+            joined = self.merged(a << 32 | b)
+            left_rank, right_rank = ranks[a], ranks[b]
+            go = (joined < 0) | (joined >= limit)
+            done = go & (left_rank < 0) & (right_rank < 0)
+            out[at[done]] = True
+            go &= ~done
+            at, a, b, left_rank, right_rank = at[go], a[go], b[go], left_rank[go], right_rank[go]
+            undo = left_rank > right_rank
+            limit = np.where(undo, left_rank, right_rank + 1)
+            a, b = np.where(undo, right[a], a), np.where(undo, b, left[b])
+        return out
+
+    def all_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``follows`` of many pairs; of those with one slot the last is remembered."""
+        keys = a << 32 | b
+        at = _slots(keys, PAIR_SLOTS)
+        out = self.pair_values[at]
+        new = np.flatnonzero(self.pair_keys[at] != keys)
+        if len(new):
+            out[new] = self._all_apart(a[new], b[new])
+            self.pair_keys[at[new]] = keys[new]
+            # Slots that several of them want belong to the key that is there now.
+            own = new[self.pair_keys[at[new]] == keys[new]]
+            self.pair_values[at[own]] = out[own]
+        return out
 
     def _apart(self, a: int, b: int, limit: float) -> bool:
         """Whether no merge of a rank below ``limit`` joins ``a`` and ``b`` while they are made side by side.
@@ -131,6 +267,67 @@ class Transducer:
             raise ValueError(f"symbols outside the vocabulary: {symbols!r}")
         return self._chain(last, back, len(symbols))
 
+    def blocks(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many tokens each piece has, and the tokens of all pieces, one after the other."""
+        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        counts = np.zeros(len(pieces), dtype=np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        long = int(np.count_nonzero(lengths > SHORT))
+        parts = []  # of the pieces in this order
+        for i in order[:long].tolist():
+            piece = pieces[i]
+            ids = self.whole(piece) if len(piece) <= STRIDE else list(self.stream(piece))
+            counts[i] = len(ids)
+            parts.append(np.array(ids, dtype=np.int64))
+        for at in range(long, len(pieces), ABREAST):
+            some = order[at : at + ABREAST]
+            counts[some], ids = self._abreast([pieces[i] for i in some.tolist()], lengths[some])
+            parts.append(ids)
+        values = np.concatenate([np.zeros(0, dtype=np.int64), *parts])
+        sizes = counts[order]
+        starts = np.empty(len(pieces), dtype=np.int64)
+        starts[order] = np.cumsum(sizes) - sizes
+        before = np.cumsum(counts) - counts
+        return counts, values[np.repeat(starts - before, counts) + np.arange(len(values))]
+
+    def _abreast(self, pieces: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of short pieces, the longest first; every round takes the next symbol of each."""
+        symbols = self._bytes(pieces).astype(np.int64)
+        if len(symbols) and symbols.min() < 0:
+            raise ValueError("symbols outside the vocabulary")
+        starts = np.cumsum(lengths) - lengths
+        width = len(pieces)
+        last = np.full((int(lengths.max(initial=0)) + 1, width), -1, dtype=np.int32)
+        flat = last.reshape(-1)
+        state = np.zeros(width, dtype=np.int64)
+        for end in range(1, len(last)):
+            going = int(np.searchsorted(-lengths, -end, side="right"))
+            state = self._step(state[:going], symbols[starts[:going] + end - 1])
+            here = np.arange(going)
+            token = self.ending[state]
+            while len(here):
+                if token.min() < 0:
+                    raise ValueError("symbols outside the vocabulary")
+                before = flat[(end - self.sizes[token]) * width + here].astype(np.int64)
+                good = before < 0
+                check = np.flatnonzero(~good)
+                good[check] = self.all_follow(before[check], token[check])
+                last[end, here[good]] = token[good]
+                here, token = here[~good], self.shorter[token[~good]]
+        at, end, rounds = np.flatnonzero(lengths), lengths[lengths > 0], []
+        counts = np.zeros(width, dtype=np.int64)
+        while len(at):
+            token = flat[end * width + at].astype(np.int64)
+            rounds.append((at, token))
+            counts[at] += 1
+            end = end - self.sizes[token]
+            at, end = at[end > 0], end[end > 0]
+        out = np.empty(int(counts.sum()), dtype=np.int64)
+        stops = np.cumsum(counts)
+        for k, (at, token) in enumerate(rounds, 1):
+            out[stops[at] - k] = token
+        return counts, out
+
     def stream(self, symbols: Iterable[str]) -> Iterator[int]:
         """Tokens of the symbols, each as soon as it is stable."""
         last, back = [-1], [0]  # after k held symbols: the last token, and where it starts
@@ -179,38 +376,55 @@ class Encoder:
         self.vocabulary = vocabulary(path)
         self.split = library(path).pre_tokenizer.pre_tokenize_str
         self.transducer = Transducer(self.vocabulary)
-        # Whether the pattern is the usual one for bytes, so ASCII text may be cut here.
+        # Whether the pattern is the usual one for bytes, so Latin text may be cut here.
         usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
         kind = json.loads(library(path).to_str())["pre_tokenizer"] or {}
         self.plain = usual.items() <= kind.items() and library(path).normalizer is None
-        self.symbols = dict(enumerate(byte_symbols()[:128]))
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chunks = Coded(lambda chunks: [self._chunk(c) for c in chunks], CHUNKS_KEPT)
-
-    def _piece(self, piece: str, keep: bool = True) -> tuple[int, ...]:
-        known = self.pieces.get(piece)
-        if known is None:
-            short = len(piece) <= STRIDE
-            known = tuple(self.transducer.whole(piece) if short else self.transducer.stream(piece))
-            if keep and len(piece) <= LONG:
-                if len(self.pieces) >= PIECES_KEPT:
-                    self.pieces.clear()
-                self.pieces[piece] = known
-        return known
-
-    def _chunk(self, chunk: str) -> list[int] | tuple[int, ...]:
-        if self.plain and chunk.isascii():
-            cut = ASCII_PIECES(chunk)
-            if len(cut) == 1:
-                # The chunk itself is kept, so its only piece need not be kept again.
-                return self._piece(chunk.translate(self.symbols), False)
-            pieces = [p.translate(self.symbols) for p in cut]
+        self.symbols = np.array([ord(s) for s in byte_symbols()], dtype="<u2")
+        self.pieces = Coded(self.transducer.blocks, PIECES_KEPT)
+        self.chunks = Coded(self._solve, CHUNKS_KEPT)
+
+    def _in_symbols(self, pieces: list[str]) -> list[str]:
+        """Pieces of text as symbols of their bytes."""
+        data = np.frombuffer("".join(pieces).encode(), dtype=np.uint8)
+        symbols = self.symbols[data].tobytes().decode("utf-16-le")
+        places = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))
+        stops = places[np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))].tolist()
+        return [symbols[a:b] for a, b in zip([0, *stops], stops)]
+
+    def _cut(self, chunks: list[str]) -> tuple[list[str], np.ndarray]:
+        """The pieces of all chunks as symbols, one after the other, and their number in each chunk."""
+        if self.plain:
+            cuts = [LATIN_PIECES(c) if c.isascii() or latin(c) else None for c in chunks]
         else:
-            pieces = [p for p, _ in self.split(chunk)]
-        out: list[int] = []
-        for piece in pieces:
-            out.extend(self._piece(piece))
-        return out
+            cuts = [None] * len(chunks)
+        own = self._in_symbols([p for c in cuts if c for p in c])
+        if None in cuts:
+            ready, own = iter(own), []
+            for i, cut in enumerate(cuts):
+                if cut is None:
+                    cuts[i] = cut = [p for p, _ in self.split(chunks[i])]
+                    own.extend(cut)
+                else:
+                    own.extend(islice(ready, len(cut)))
+        return own, np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts))
+
+    def _solve(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each chunk has, and the ids of all chunks, one after the other."""
+        pieces, numbers = self._cut(chunks)
+        # A chunk of one piece is kept itself, so its piece need not be kept again.
+        keep = np.repeat(numbers > 1, numbers)
+        keep &= np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) <= LONG
+        rows = self.pieces.look_up([p for p, k in zip(pieces, keep.tolist()) if k])
+        counts, ids = self.transducer.blocks([p for p, k in zip(pieces, keep.tolist()) if not k])
+        sizes = np.empty(len(pieces), dtype=np.int64)
+        sizes[keep], sizes[~keep] = self.pieces.sizes[rows], counts
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        kept = np.repeat(keep, sizes)
+        values = np.empty(at[-1], dtype=np.int64)
+        values[kept], values[~kept] = self.pieces.gather(rows), ids
+        stops = np.cumsum(numbers)
+        return at[stops] - at[stops - numbers], values
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""

@@ -114,17 +114,21 @@ class _Codes(dict):
 class Coded:
     """Results for chunks, kept up to a number of chunks; a result is a row of a ragged array.
 
-    ``solve`` gets a list of new chunks and returns one sequence of ids for each.
+    ``solve`` gets a list of new chunks and returns one sequence of ids for each, or
+    a pair of arrays: how many ids each chunk has, and all ids one after the other.
     Once more than ``most`` chunks or sixteen times as many ids are kept, all are
     forgotten before the next batch, so the store is bounded by that and a batch.
     """
 
     MOST = 400_000
 
-    def __init__(self, solve: Callable[[list], list], most: int = MOST):
+    def __init__(self, solve: Callable[[list], list | tuple[np.ndarray, np.ndarray]], most: int = MOST):
         self.solve, self.most = solve, most
         self._clear()
 
+    def __contains__(self, chunk) -> bool:
+        return chunk in self.codes
+
     def _clear(self) -> None:
         self.codes = _Codes()
         self.starts = np.zeros(1 << 12, dtype=np.int64)
@@ -145,13 +149,19 @@ class Coded:
         new, codes.new = codes.new, []
         if new:
             results = self.solve(new)
-            sizes = np.fromiter(map(len, results), dtype=np.int64, count=len(new))
-            total, rows = int(sizes.sum()), self.rows + len(new)
+            if isinstance(results, tuple):
+                sizes, values = results
+                total = len(values)
+            else:
+                sizes = np.fromiter(map(len, results), dtype=np.int64, count=len(new))
+                total = int(sizes.sum())
+                values = np.fromiter(chain.from_iterable(results), dtype=np.int32, count=total)
+            rows = self.rows + len(new)
             self.starts, self.sizes = self._room(self.starts, rows), self._room(self.sizes, rows)
             self.values = self._room(self.values, self.filled + total)
             self.sizes[self.rows : rows] = sizes
             self.starts[self.rows : rows] = self.filled + np.cumsum(sizes) - sizes
-            self.values[self.filled : self.filled + total] = np.fromiter(chain.from_iterable(results), dtype=np.int32, count=total)
+            self.values[self.filled : self.filled + total] = values
             self.rows = rows
             self.filled += total
         return out

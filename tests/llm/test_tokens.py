@@ -161,3 +161,55 @@ def test_only_pieces_of_mixed_chunks_are_kept_beside_chunks():
     (ids,) = encoder.encode([text])
     assert ids.tolist() == ids_of(transducer.TOKENIZER, text)
     assert "alone" not in encoder.pieces and "\u0120again" in encoder.pieces and "," in encoder.pieces
+
+
+def test_short_pieces_go_through_the_transducer_side_by_side(monkeypatch):
+    encoder = transducer.Encoder(place(transducer.TOKENIZER))
+    own = encoder.transducer
+    monkeypatch.setattr(transducer, "ABREAST", 70)
+    rng = random.Random(9)
+    tokens = [own.text[t] for t in own.made]
+    pieces = ["".join(rng.choices(tokens, k=rng.randrange(0, 6))) for _ in range(600)]
+    pieces += ["".join(rng.choices("aeinrst", k=k)) for k in (63, 64, 65, 256, 257, 900)] + ["", "a" * 64, "-" * 300]
+    want = [own.whole(p) for p in pieces]
+    sizes, ids = own.blocks(pieces)
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+    assert [x.tolist() for x in own.blocks([])] == [[], []]
+    with pytest.raises(ValueError):
+        own.blocks(["ab", "a b"])
+
+    def refuse(piece):
+        raise AssertionError(f"worked on alone: {piece!r}")
+
+    monkeypatch.setattr(own, "whole", refuse)
+    monkeypatch.setattr(encoder, "split", refuse)
+    texts = ["the  caf\xe9's na\xefve words,\n12\xd8ɏ!? ", "", "x", "<|endoftext|>İŉ end"]
+    assert [x.tolist() for x in encoder.encode(texts)] == [ids_of(transducer.TOKENIZER, t) for t in texts]
+
+
+def test_latin_pieces_equal_the_library():
+    encoder = transducer.Encoder(place(transducer.TOKENIZER))
+    texts = [f"a{c}b {c} '{c}s 1{c}2  {c}\n{c}{c} !{c}?" for c in map(chr, range(0x260))]
+    assert [x.tolist() for x in encoder.encode(texts)] == [ids_of(transducer.TOKENIZER, t) for t in texts]
+
+
+def test_numbers_are_found_by_their_keys_alone():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 2**48, 5000))
+    values = rng.permutation(len(keys))
+    numbers = transducer.Numbers(keys, values)
+    others = np.setdiff1d(rng.integers(0, 2**48, 5000), keys)
+    assert (numbers(keys) == values).all() and (numbers(others) == -1).all()
+    assert transducer.Numbers(keys[:0], values[:0])(keys).max() == -1
+
+
+def test_pairs_with_one_slot_keep_their_own_answers(monkeypatch):
+    monkeypatch.setattr(transducer, "PAIR_SLOTS", 3)
+    own = transducer.Transducer(vocabulary(place(transducer.TOKENIZER)))
+    rng = random.Random(6)
+    tokens = list(own.made)[:600]
+    a, b = (np.array(rng.choices(tokens, k=4000)) for _ in range(2))
+    want = [own.follows(x, y) for x, y in zip(a.tolist(), b.tolist())]
+    assert 0 < sum(want) < len(want)
+    for _ in range(2):
+        assert own.all_follow(a, b).tolist() == want
