@@ -769,10 +769,10 @@ def stream_conflicts(spark, sf):
     """The corpus as a stream of units, verified batch by batch."""
     root = scratch(spark, "feed")
     units = corpus_units(spark, sf)
-    units.write.parquet(f"{root}/units")
+    units.write.parquet(f"{root}/units", compression="zstd")
     stream = spark.readStream.schema(units.schema).parquet(f"{root}/units")
     feed.verify_stream(stream, root, f"{root}/checkpoint", available_now=True).awaitTermination()
-    return feed.current_conflicts(spark, root).select(
+    return feed.current_conflicts(spark, root, texts=False).select(
         "session_id", "conflict_id", "conflict_type", "l_value", "r_value", "severity"
     )
 

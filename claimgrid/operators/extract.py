@@ -133,13 +133,17 @@ def rule_matches(units: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 
 def claims(
-    units: DataFrame, source_type: str = "REQUIREMENT", rules: Sequence[Rule] = RULES
+    units: DataFrame, source_type: str = "REQUIREMENT", rules: Sequence[Rule] = RULES,
+    deal: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Claims of every unit: first of each (subject, predicate), numbered from 0.
 
     One shuffle, by unit, serves both rankings. A unit is one text row, so no
-    key here can grow beyond that row.
+    key here can grow beyond that row. ``deal`` names columns that follow from the unit
+    key; rows are then shuffled by these, so the claims need no second shuffle to be
+    stored by them, and the claims keep the columns.
     """
+    deal = deal or {}
     found = rule_matches(units, rules)
     # What a rule fixes is looked up again by its place, so it isn't shuffled.
     fixed_by = {
@@ -147,10 +151,10 @@ def claims(
         for name in ("rule_id", "category", "confidence")
     }
     columns = found.columns
-    found = found.drop(*fixed_by).repartition(*UNIT_KEY)
+    found = found.drop(*fixed_by).withColumns(deal).repartition(*(deal or UNIT_KEY))
     place = ["seg_idx", "rule_idx"]
-    again = Window.partitionBy(*UNIT_KEY, "subject", "predicate").orderBy(*place)
-    running = Window.partitionBy(*UNIT_KEY).orderBy(*place)
+    again = Window.partitionBy(*deal, *UNIT_KEY, "subject", "predicate").orderBy(*place)
+    running = Window.partitionBy(*deal, *UNIT_KEY).orderBy(*place)
     kept = (
         found.withColumn("nth", F.row_number().over(again))
         .filter("nth = 1")
@@ -161,7 +165,7 @@ def claims(
         F.lit("assm_"),
         slug(F.col("unit_id"), F.col("subject"), F.col("predicate"), F.col("claim_idx").cast("string")),
     )
-    named = kept.withColumns({"claim_id": claim_id, **fixed_by}).select(*columns, "claim_idx", "claim_id")
+    named = kept.withColumns({"claim_id": claim_id, **fixed_by}).select(*columns, "claim_idx", "claim_id", *deal)
     return named.withColumn("source_type", F.lit(source_type))
 
 

@@ -13,7 +13,9 @@ from claimgrid.functions.rulings import (
     severity_ruling,
 )
 from claimgrid.functions.text import slug
+from claimgrid.operators import repeats
 from claimgrid.operators.extract import CLAIM_ORDER
+from claimgrid.session import stage
 
 MERGE_KEY = ["session_id", "canonical_subject", "canonical_predicate"]
 GROUP_KEY = ["session_id", "canonical_subject", "canonical_key"]
@@ -28,7 +30,8 @@ def claim_order() -> Column:
     return F.struct(*CLAIM_ORDER)
 
 
-# What only the texts of a report need of a merged claim.
+# What a merged claim keeps of its first claim, and what of it only the texts of a report need.
+MERGED = ["claim_id", "canonical_key", "canonical_value", "source_type", "source_file"]
 TEXTS = ["statement", "predicate", "evidence_text", "confidence"]
 
 
@@ -54,8 +57,11 @@ def merge_claims(normalized: DataFrame, texts: bool = True) -> DataFrame:
     return merged.select(*MERGE_KEY, "first.*", "n_claims")
 
 
-def merged_evidence(normalized: DataFrame) -> DataFrame:
-    """Evidence references of each merged claim, one row each, first per id."""
+def merged_evidence(normalized: DataFrame, stored: bool = False) -> DataFrame:
+    """Evidence references of each merged claim, one row each, first per id.
+
+    If ``normalized`` is ``stored``, only references whose id may come twice are grouped.
+    """
     from claimgrid.operators.normalize import references
 
     listed = references(normalized).select(
@@ -64,10 +70,13 @@ def merged_evidence(normalized: DataFrame) -> DataFrame:
         F.posexplode("refs").alias("ref_seq", "ref"),
     )
     fields = ["source_type", "file_path", "line_range", "text", "label"]
-    kept = listed.groupBy(*MERGE_KEY, F.col("ref.ref_id").alias("ref_id")).agg(
-        F.min(F.struct("ord", "ref_seq", *(F.col(f"ref.{f}").alias(f) for f in fields))).alias("ref")
-    )
-    return kept.select(*MERGE_KEY, "ref_id", "ref.*")
+    flat = listed.select(*MERGE_KEY, "ref.ref_id", "ord", "ref_seq", *(f"ref.{f}" for f in fields))
+
+    def first(rows: DataFrame) -> DataFrame:
+        kept = rows.groupBy(*MERGE_KEY, "ref_id").agg(F.min(F.struct("ord", "ref_seq", *fields)).alias("ref"))
+        return kept.select(*MERGE_KEY, "ref_id", "ref.*")
+
+    return repeats.one_per_key(flat, [*MERGE_KEY, "ref_id"], first) if stored else first(flat)
 
 
 def evidence_files(normalized: DataFrame) -> DataFrame:
@@ -100,30 +109,35 @@ SIDE = {
 }
 
 
-def in_blocks(claims: DataFrame, block: int = BLOCK) -> DataFrame:
+def in_blocks(claims: DataFrame, block: int = BLOCK, stored: bool = False) -> DataFrame:
     """``claims`` with the number of blocks of their group and their own block.
 
-    Group sizes are combined counts; only groups above ``block`` matter, and those
-    are looked up under ``SALTS`` keys each, so the claims of a hot group meet their
-    size in many tasks. A group for t tasks has the least number of blocks that
-    form t pairs of blocks.
+    Group sizes are combined counts; only groups above ``block`` matter. Of ``stored``
+    claims they are counted at once and sent to the claims, which then aren't shuffled, as
+    long as they are few. Else they are looked up under ``SALTS`` keys each, so the claims
+    of a hot group meet their size in many tasks. A group for t tasks has the least number
+    of blocks that form t pairs of blocks.
     """
     tasks = F.ceil(F.col("group_size") / block)
     large = (
         claims.groupBy(*GROUP_KEY).agg(F.count("*").alias("group_size")).filter(F.col("group_size") > block)
-        .select(
-            *GROUP_KEY, F.ceil((F.sqrt(8 * tasks + 1) - 1) / 2).cast("int").alias("blocks"),
-            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
-        )
+        .select(*GROUP_KEY, F.ceil((F.sqrt(8 * tasks + 1) - 1) / 2).cast("int").alias("blocks"))
     )
     value = F.xxhash64("canonical_value")
-    salted = claims.withColumn("salt", F.pmod(value, F.lit(SALTS)).cast("int"))
-    sized = salted.join(large, [*GROUP_KEY, "salt"], "left").drop("salt").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    if stored:
+        large = stage(large, "large-groups")
+    if stored and repeats.few(large):
+        sized = claims.join(F.broadcast(large), GROUP_KEY, "left")
+    else:
+        salts = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = claims.withColumn("salt", F.pmod(value, F.lit(SALTS)).cast("int"))
+        sized = salted.join(salts, [*GROUP_KEY, "salt"], "left").drop("salt")
+    sized = sized.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     # Bits beside those of the salt, or blocks would repeat its pattern.
     return sized.withColumn("block", F.pmod(F.shiftrightunsigned(value, 20), "blocks").cast("int"))
 
 
-def contradicting_pairs(claims: DataFrame, block: int = BLOCK) -> DataFrame:
+def contradicting_pairs(claims: DataFrame, block: int = BLOCK, stored: bool = False) -> DataFrame:
     """Pairs of one session, subject and key whose values differ, earlier claim left.
 
     After the merge a group holds one row per distinct value. Its rows are dealt to
@@ -134,10 +148,10 @@ def contradicting_pairs(claims: DataFrame, block: int = BLOCK) -> DataFrame:
     shuffled once and read twice; the rows of block i are taken for the left and those
     of block j for the right by one comparison of both, because a filter of one side
     would make two different shuffles. ``claims`` is pairable and read three times; a
-    caller whose claims are costly stages them.
+    caller whose claims are costly stages them, and says so by ``stored``.
     """
     met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = _sides(in_blocks(claims, block)).select(*GROUP_KEY, "conflict_type", "block", "side", met.alias("other")).select(
+    cells = _sides(in_blocks(claims, block, stored)).select(*GROUP_KEY, "conflict_type", "block", "side", met.alias("other")).select(
         *GROUP_KEY, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         F.struct("conflict_type", "block", "side.*").alias("row"),
     )
@@ -147,13 +161,13 @@ def contradicting_pairs(claims: DataFrame, block: int = BLOCK) -> DataFrame:
     return _in_order(joined.filter(taken & F.expr("i < j or x.ord < y.ord")).withColumn("conflict_type", F.col("x.conflict_type")))
 
 
-def changed_pairs(claims: DataFrame, block: int = BLOCK) -> DataFrame:
+def changed_pairs(claims: DataFrame, block: int = BLOCK, stored: bool = False) -> DataFrame:
     """The pairs of ``contradicting_pairs`` with a side that is ``changed``, without forming others.
 
     ``claims`` is pairable and holds whole groups, with the flag ``changed``. Changed
     claims are copied to the blocks of their group and meet the group's claims there.
     """
-    dealt = _sides(in_blocks(claims, block), "changed")
+    dealt = _sides(in_blocks(claims, block, stored), "changed")
     left = dealt.filter("changed").select(
         *GROUP_KEY, "conflict_type", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("side").alias("x"),
     )
@@ -196,16 +210,41 @@ def rule_on(pairs: DataFrame) -> DataFrame:
     ).drop("severity_of", "confidence_of")
 
 
+def with_texts(conflicts: DataFrame, normalized: DataFrame) -> DataFrame:
+    """Conflicts of claims merged without texts, with the statement and excerpt of their first claims."""
+    first = [*MERGE_KEY, "ord", "claim_id"]
+    of_claim = (
+        normalized.select(*MERGE_KEY, claim_order().alias("ord"), "claim_id", "statement", "evidence_text")
+        .groupBy(*first).agg(F.min(F.struct("statement", "evidence_text")).alias("said"))
+    )
+    found = conflicts
+    for side in ("l", "r"):
+        names = {"canonical_predicate": f"{side}_predicate", "ord": f"{side}_ord", "claim_id": f"{side}_claim_id"}
+        key = [names.get(c, c) for c in first]
+        found = found.join(of_claim.withColumnsRenamed({**names, "said": f"{side}_said"}), key, "left")
+    said = {f"{side}_{name}": F.col(f"{side}_said.{name}") for side in ("l", "r") for name in ("statement", "evidence_text")}
+    ordered = [f"{side}_{name}" for side in ("l", "r") for name in SIDE.values()]
+    head, tail = [*GROUP_KEY, "conflict_type"], [c for c in conflicts.columns if c not in ordered]
+    return found.withColumns(said).select(*head, *ordered, *(c for c in tail if c not in head))
+
+
 def conflict_id() -> Column:
     ids = [F.least("l_claim_id", "r_claim_id"), F.greatest("l_claim_id", "r_claim_id")]
     return F.concat(F.lit("conflict_"), slug(F.col("conflict_type"), *ids))
 
 
-def first_per_id(pairs: DataFrame) -> DataFrame:
-    """Drop later conflicts of the same id within a session."""
+def first_per_id(pairs: DataFrame, stored: bool = False) -> DataFrame:
+    """Drop later conflicts of the same id within a session.
+
+    If ``pairs`` are ``stored``, only those whose id may come twice are shuffled.
+    """
     ranked = Window.partitionBy("session_id", "conflict_id").orderBy("l_ord", "r_ord")
-    # Few ids come twice, so a limit a group before the shuffle would sort all rows for nothing.
-    return pairs.withColumn("later", F.lag(F.lit(True)).over(ranked)).filter("later is null").drop("later")
+
+    def first(rows: DataFrame) -> DataFrame:
+        # Few ids come twice, so a limit a group before the shuffle would sort all rows for nothing.
+        return rows.withColumn("later", F.lag(F.lit(True)).over(ranked)).filter("later is null").drop("later")
+
+    return repeats.one_per_key(pairs, ["session_id", "conflict_id"], first) if stored else first(pairs)
 
 
 def conflict_files() -> Column:
@@ -230,3 +269,12 @@ def ruled(pairs: DataFrame) -> DataFrame:
 
 def conflicts_from_pairable(claims: DataFrame, block: int = BLOCK) -> DataFrame:
     return first_per_id(ruled(contradicting_pairs(claims, block)))
+
+
+def staged_conflicts(claims: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``conflicts_from_pairable`` of staged claims, for callers that need every conflict.
+
+    Pairs are formed at once and staged, so that their ids can be compared before any
+    of them is shuffled again.
+    """
+    return first_per_id(stage(ruled(contradicting_pairs(claims, block, stored=True)), "pairs"), stored=True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,11 +12,30 @@ from claimgrid.session import prepare
 
 BUCKETS = 64
 # Rows of a bucket that one task writes.
-ROWS_PER_FILE = 1_000_000
+ROWS_PER_FILE = 250_000
+# Rows that one task writes, whichever buckets they are in.
+ROWS_AT_ONCE = 20_000
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")
 
 
 def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int"))
+    return rows.withColumn("bucket", _bucket(buckets))
+
+
+def _sizes(rows: DataFrame) -> dict[int, int]:
+    """Rows of each bucket; at most one row a bucket comes to the driver."""
+    return {r["bucket"]: r["count"] for r in rows.groupBy("bucket").count().collect()}
+
+
+def _file(sizes: dict[int, int], bucket: Column, key: list[str], per_file: int) -> Column:
+    """Which of the files of its bucket a row goes to: as many as the counted rows need, dealt by ``key``."""
+    if not sizes:
+        return F.lit(0)
+    files = F.create_map(*[F.lit(x) for b, n in sizes.items() for x in (b, -(-n // per_file))])
+    return F.pmod(F.xxhash64(*key), F.element_at(files, bucket)).cast("int")
 
 
 def _table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -29,6 +48,12 @@ def _table(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def _folder(spark: SparkSession, path: str):
+    """``path`` and its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def _replace(rows: DataFrame, path: str, numbers: list[int], per_file: int = ROWS_PER_FILE) -> None:
     """Replace the buckets ``numbers`` by those of ``rows`` and leave all others.
 
@@ -37,22 +62,31 @@ def _replace(rows: DataFrame, path: str, numbers: list[int], per_file: int = ROW
     overwrite only touches folders that it writes to.
     """
     spark = rows.sparkSession
-    # At most one row a bucket.
-    sizes = {r["bucket"]: -(-r["count"] // per_file) for r in rows.groupBy("bucket").count().collect()}
+    sizes = _sizes(rows)
     if sizes:
-        files = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("bucket"))
-        dealt = rows.withColumn("_file", F.pmod(F.xxhash64(*rows.columns), files).cast("int"))
+        dealt = rows.withColumn("_file", _file(sizes, F.col("bucket"), rows.columns, per_file))
         (
-            dealt.repartition(sum(sizes.values()), "bucket", "_file").drop("_file")
+            dealt.repartition(sum(-(-n // per_file) for n in sizes.values()), "bucket", "_file").drop("_file")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket").parquet(path)
         )
     for number in set(numbers) - set(sizes):
-        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={number}")
-        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+        place, system = _folder(spark, f"{path}/bucket={number}")
+        system.delete(place, True)
+
 
+def _publish(spark: SparkSession, work: str, path: str, numbers: list[int]) -> None:
+    """Put the bucket folders that were written under ``work`` in place of those under ``path``, as a dynamic overwrite does."""
+    top, system = _folder(spark, path)
+    system.mkdirs(top)
+    for number in numbers:
+        old, new = (_folder(spark, f"{at}/bucket={number}")[0] for at in (path, work))
+        system.delete(old, True)
+        if system.exists(new) and not system.rename(new, old):
+            raise OSError(f"{new} could not be moved to {old}")
 
-def _written(rows: DataFrame, path: str) -> DataFrame:
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+def _written(rows: DataFrame, path: str, *folders: str) -> DataFrame:
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy(*folders).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
@@ -69,28 +103,42 @@ def verify_batch(
     anew with each other and with the other values of their groups. Pairs of all
     other values stay as they are, and what is formed grows with the batch.
     ``buckets`` is fixed for a feed.
+
+    The shuffle of the extraction brings the claims of a bucket together, so they are
+    written once, as they are kept. Pairs carry no texts; ``current_conflicts`` reads
+    these from the claims.
     """
     spark = prepare(units.sparkSession)
     work = f"{root}/_work"
-    found = normalize.normalize(extract.claims(units, source_type))
-    new = _written(_bucketed(found, buckets).withColumn("batch_id", F.lit(batch_id).cast("long")), f"{work}/claims")
-    # At most ``buckets`` numbers.
-    numbers = [r[0] for r in _bucketed(units.select("session_id").distinct(), buckets).select("bucket").distinct().collect()]
+    sizes = _sizes(_bucketed(units.select("session_id"), buckets))
+    numbers = list(sizes)
+    place = _file(sizes, _bucket(buckets), extract.UNIT_KEY, ROWS_PER_FILE)
+    found = extract.claims(units, source_type, deal={"bucket": _bucket(buckets), "_file": place})
+    new = normalize.normalize(found).drop("_file").withColumn("batch_id", F.lit(batch_id).cast("long"))
     before = _table(spark, f"{root}/claims")
-    kept, renewed = new, new
+    kept, n = new, sum(sizes.values())
     if before is not None:
         old = before.filter(F.col("bucket").isin(numbers)).select(new.columns)
-        kept = kept.unionByName(old.filter(F.col("batch_id") != batch_id))
-        renewed = renewed.unionByName(old.filter(F.col("batch_id") == batch_id))
-    changed = _written(renewed.select(*pairing.MERGE_KEY).distinct(), f"{work}/changed")
-    groups = renewed.select(*pairing.GROUP_KEY).distinct()
-    kept = _written(kept, f"{work}/kept")
-    merged = pairing.pairable(pairing.merge_claims(kept.join(groups, pairing.GROUP_KEY, "left_semi")))
-    mark = changed.withColumn("changed", F.lit(True))
-    marked = merged.join(mark, pairing.MERGE_KEY, "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
-    pairs = pairing.ruled(pairing.changed_pairs(_written(marked, f"{work}/marked")))
-    pairs = _bucketed(pairs, buckets)
-    shown = _table(spark, f"{root}/pairs")
+        others = old.filter(F.col("batch_id") != batch_id)
+        held = _sizes(others)
+        kept, n = new.unionByName(others.repartition("bucket", _file(held, F.col("bucket"), extract.UNIT_KEY, ROWS_PER_FILE))), n + sum(held.values())
+    kept = _written(kept.coalesce(1) if n <= ROWS_AT_ONCE else kept, f"{work}/claims", "bucket")
+    if before is None:  # every value is a changed one, and there is no pair yet
+        merged = pairing.pairable(pairing.merge_claims(kept, texts=False))
+        pairs = pairing.contradicting_pairs(_written(merged, f"{work}/marked"), stored=True)
+    else:
+        new, repeated = kept.filter(F.col("batch_id") == batch_id), old.filter(F.col("batch_id") == batch_id)
+        renewed = new.unionByName(repeated.select(new.columns))
+        changed = _written(renewed.select(*pairing.MERGE_KEY).distinct(), f"{work}/changed")
+        groups = renewed.select(*pairing.GROUP_KEY).distinct()
+        # The groups of new claims are all wanted, so only older ones are looked up.
+        older = kept.filter(F.col("batch_id") != batch_id).join(groups, pairing.GROUP_KEY, "left_semi")
+        merged = pairing.pairable(pairing.merge_claims(new.unionByName(older.select(new.columns)), texts=False))
+        mark = changed.withColumn("changed", F.lit(True))
+        marked = merged.join(mark, pairing.MERGE_KEY, "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
+        pairs = pairing.changed_pairs(_written(marked, f"{work}/marked"), stored=True)
+    pairs = _bucketed(pairing.ruled(pairs), buckets)
+    shown = None if before is None else _table(spark, f"{root}/pairs")
     if shown is not None:
         stays = shown.filter(F.col("bucket").isin(numbers)).select(pairs.columns)
         for side in ("l", "r"):
@@ -98,7 +146,7 @@ def verify_batch(
             stays = stays.join(gone, ["session_id", "canonical_subject", f"{side}_predicate"], "left_anti")
         pairs = pairs.unionByName(stays.select(pairs.columns))
     pairs = _written(pairs, f"{work}/pairs")
-    _replace(kept, f"{root}/claims", numbers)
+    _publish(spark, f"{work}/claims", f"{root}/claims", numbers)
     _replace(pairs, f"{root}/pairs", numbers)
 
 
@@ -114,12 +162,14 @@ def verify_stream(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def current_conflicts(spark: SparkSession, root: str) -> DataFrame:
-    """Conflicts of each session as of the last batch that touched it."""
+def current_conflicts(spark: SparkSession, root: str, texts: bool = True) -> DataFrame:
+    """Conflicts of each session as of the last batch that touched it, with the texts of their claims if ``texts``."""
     pairs = _table(spark, f"{root}/pairs")
     if pairs is None:  # no bucket has a pair; the last batch's empty table has the columns
         pairs = spark.read.parquet(f"{root}/_work/pairs").limit(0)
-    return pairing.first_per_id(pairs.drop("bucket"))
+    found = pairing.first_per_id(pairs.drop("bucket"), stored=True)
+    claims = _table(spark, f"{root}/claims") if texts else None
+    return found if claims is None else pairing.with_texts(found, claims)
 
 
 def _folded(rows: DataFrame) -> DataFrame:

@@ -123,3 +123,47 @@ def test_status_stream_folds_and_compacts(spark, tmp_path):
     got = feed.current_status(spark, table)
     assert rows(got, "session_id", "status", "n_events") == rows(lifecycle.latest_status(events), "session_id", "status", "n_events")
     assert len(list((tmp_path / "out" / "compact").glob("upto=*"))) == 1
+
+
+def test_claims_are_stored_once_and_give_pairs_their_texts(spark, tmp_path):
+    root = tmp_path / "root"
+    parts = [
+        units(spark, "role = 'owner'", "email is required", "role = 'guest'", session="a", file="x.ts"),
+        units(spark, "-", "-", "-", "role === 'admin'", "email is optional", session="a").filter("change_seq >= 3"),
+        units(spark, "role = 'owner'", "role = 'member'", session="b"),
+    ]
+    everything = parts[0]
+    for i, part in enumerate(parts):
+        feed.verify_batch(part, i, str(root), buckets=4)
+        everything = part if i == 0 else everything.unionByName(part)
+        whole = pairing.detect_conflicts(normalize.normalize(claims(everything, "CODE_DIFF")))
+        got = feed.current_conflicts(spark, str(root))
+        assert got.columns == whole.columns and rows(got) == rows(whole)
+    pairs = spark.read.parquet(str(root / "pairs"))
+    assert not {"l_statement", "r_statement", "l_evidence_text", "r_evidence_text"} & set(pairs.columns)
+    # The claims were moved from where they were first written, and not written again.
+    assert not list((root / "_work" / "claims").glob("bucket=*"))
+    assert not (root / "_work" / "kept").exists()
+
+
+def test_claims_dealt_by_bucket_need_one_shuffle(spark):
+    table = units(spark, *(f"role = '{r}'" for r in ("owner", "admin", "guest")), session="a")
+    deal = {"bucket": feed._bucket(4), "_file": feed._file({b: 9 for b in range(4)}, feed._bucket(4), ["session_id", "change_seq"], 3)}
+    found = claims(table, "CODE_DIFF", deal=deal)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(bucket") == plan.count("Exchange hashpartitioning") == 1
+    plain = claims(table, "CODE_DIFF")
+    assert rows(found, *plain.columns) == rows(plain) and found.select("_file").distinct().count() > 1
+
+
+def test_a_large_batch_is_written_by_several_tasks_a_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feed, "ROWS_AT_ONCE", 0)
+    monkeypatch.setattr(feed, "ROWS_PER_FILE", 10)
+    table = units(spark, *(f"role = '{r}'" for r in ["owner", "admin", "guest"] * 40), session="a")
+    for batch in range(2):
+        part = table.filter(f"change_seq % 2 = {batch}")
+        feed.verify_batch(part, batch, str(tmp_path), buckets=4)
+    files = list((tmp_path / "claims").glob("bucket=*/*.parquet"))
+    assert 2 <= len(files) <= 12 and spark.read.parquet(str(tmp_path / "claims")).count() == 120
+    whole = pairing.detect_conflicts(normalize.normalize(claims(table, "CODE_DIFF")))
+    assert rows(feed.current_conflicts(spark, str(tmp_path)), *SHOWN) == rows(whole, *SHOWN)
