@@ -185,9 +185,11 @@ def report_files(spark, sf):
 
 @query
 def report_evidence(spark, sf):
-    normalized = stage(corpus_normalized(spark, sf), "normalized")
-    found = stage(found_conflicts(normalized), "found")
-    rows = reports.report_evidence(found, pairing.merged_evidence(normalized))
+    # What pairing and references read, so that nothing else is shuffled and staged.
+    read = [*pairing.MERGE_KEY, *pairing.MERGED, *extract.CLAIM_ORDER, "evidence_text"]
+    normalized = stage(corpus_normalized(spark, sf).select(*read), "normalized")
+    found = pairing.staged_conflicts(found_pairable(normalized))
+    rows = reports.report_evidence(found, pairing.merged_evidence(normalized, stored=True), stored=True)
     return rows.select("session_id", "conflict_id", "ref_id", "side", "file_path", "text")
 
 

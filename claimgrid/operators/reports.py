@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimgrid.functions import fixed
 from claimgrid.functions.rulings import locale_key, pair_text, severity_rank, source_label
+from claimgrid.operators import repeats
 from claimgrid.operators.pairing import MERGE_KEY, evidence_files, merged_evidence
 
 
@@ -53,16 +55,30 @@ def report_files(conflicts: DataFrame, evidence_files: DataFrame) -> DataFrame:
     )
 
 
-def report_evidence(conflicts: DataFrame, merged_evidence: DataFrame) -> DataFrame:
-    """Evidence of both sides, left before right, first reference per id."""
-    return _first_references(_side_keys(conflicts).join(merged_evidence, MERGE_KEY))
+def report_evidence(conflicts: DataFrame, merged_evidence: DataFrame, stored: bool = False) -> DataFrame:
+    """Evidence of both sides, left before right, first reference per id.
+
+    If the evidence is ``stored`` and ``conflicts`` has one row an id, as ``first_per_id``
+    leaves it, a reference whose id a session has once can't meet itself in a conflict,
+    because the two sides of a conflict are different merged claims. Only the others are
+    grouped again.
+    """
+    sides = _side_keys(conflicts)
+    alone, shared = repeats.split(merged_evidence, ["session_id", "ref_id"]) if stored else (None, merged_evidence)
+    parts = []
+    if alone is not None:
+        parts.append(sides.join(alone, MERGE_KEY).select("session_id", "conflict_id", "ref_id", *REFERENCE))
+    if shared is not None:
+        parts.append(_first_references(sides.join(shared, MERGE_KEY)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+# The order of a conflict's references, and what they say.
+REFERENCE = ["side", "ord", "ref_seq", "source_type", "file_path", "line_range", "text", "label"]
 
 
 def _first_references(rows: DataFrame) -> DataFrame:
-    fields = ["source_type", "file_path", "line_range", "text", "label"]
-    kept = rows.groupBy("session_id", "conflict_id", "ref_id").agg(
-        F.min(F.struct("side", "ord", "ref_seq", *fields)).alias("ref")
-    )
+    kept = rows.groupBy("session_id", "conflict_id", "ref_id").agg(F.min(F.struct(*REFERENCE)).alias("ref"))
     return kept.select("session_id", "conflict_id", "ref_id", "ref.*")
 
 
