@@ -338,7 +338,9 @@ def passport_components(spark, sf):
 
 @query
 def verification_summaries(spark, sf):
-    rows = stage(corpus_claims(spark, sf), "claims")
+    # What counting and coverage read, so that nothing else is shuffled and staged.
+    read = ["session_id", *extract.CLAIM_ORDER, "claim_id", "subject", "predicate", "statement", "source_type", "source_file"]
+    rows = stage(corpus_claims(spark, sf).select(*read), "claims")
     merged = pairing.merge_claims(normalize.normalize(rows), texts=False)
     sessions = corpus.sessions(spark, sf)
     changed = corpus_paths(spark, sf).groupBy("session_id").agg(F.count("*").alias("files_changed"))

@@ -12,10 +12,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from claimgrid.functions import fixed
+from claimgrid.functions.text import holds_any
 
 
 def _has(column: str, words: str) -> Column:
-    return F.rlike(column, F.lit(words))
+    return holds_any(F.col(column), words)
 
 
 def claim_class(subject: str = "canonical_subject", key: str = "canonical_key",

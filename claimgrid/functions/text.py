@@ -7,6 +7,8 @@ Java's regex defaults differ in all four, so the differences are settled here.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,9 +106,15 @@ def slug(*parts: Column) -> Column:
     return F.lower(F.regexp_replace(F.concat_ws("__", *parts), r"\W+", "_"))
 
 
+def holds_any(text: Column, words: str) -> Column:
+    """Whether the text holds one of the words between the bars. Plain searches cost far less than a pattern."""
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words.split("|")))
+
+
 def snake(text: Column) -> Column:
     humps = F.regexp_replace(text, "([A-Z]+)([A-Z][a-z])", "$1_$2")
-    return F.lower(F.regexp_replace(humps, r"([a-z\d])([A-Z])", "$1_$2"))
+    # A text in lower case has no hump.
+    return F.when(F.lower(text) == text, text).otherwise(F.lower(F.regexp_replace(humps, r"([a-z\d])([A-Z])", "$1_$2")))
 
 
 def strip_quotes(text: Column) -> Column:

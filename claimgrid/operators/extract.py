@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from claimgrid.functions import fixed
 from claimgrid.functions.rules import NOUN_REGEX, RULES, Rule, matches, tried
-from claimgrid.functions.text import is_blank, longer_than, slug, trim
+from claimgrid.functions.text import holds_any, is_blank, longer_than, slug, trim
 
 # A unit's place in its session; "first occurrence" everywhere follows this
 # order, then the segment, then the rule.
@@ -20,10 +20,14 @@ CLAIM_ORDER = ["part", "change_seq", "snippet_seq", "seg_idx", "rule_idx"]
 
 
 def category_hint(label: Column, source_type: Column) -> Column:
-    lowered = F.lower(label)
+    return _hint_of(F.lower(label), source_type)
+
+
+def _hint_of(lowered: Column, source_type: Column) -> Column:
+    """The hint of a label in lower case, which stands in a column of its own because each word is searched in it."""
 
     def choose(tests: list[tuple[str, str]], otherwise: Column) -> Column:
-        arms = [(F.rlike(lowered, F.lit(words)), F.lit(hint)) for words, hint in tests]
+        arms = [(holds_any(lowered, words), F.lit(hint)) for words, hint in tests]
         chain = F.when(*arms[0])
         for arm in arms[1:]:
             chain = chain.when(*arm)
@@ -74,15 +78,15 @@ def build_units(
             category_hint(F.lit("requirement"), F.lit("REQUIREMENT")), none,
         ),
         _unit(
-            changes, 1, F.col("change_seq"), zero, F.col("change_id"), F.col("content"),
-            category_hint(F.col("label"), F.lit("CODE_DIFF")), none,
+            changes.withColumn("lowered", F.lower("label")), 1, F.col("change_seq"), zero, F.col("change_id"), F.col("content"),
+            _hint_of(F.col("lowered"), F.lit("CODE_DIFF")), none,
         ),
     ]
-    file_hint = category_hint(F.col("file_path"), F.col("source_type"))
+    file_hint = _hint_of(F.col("lowered"), F.col("source_type"))
     if snippets is not None:
         units.append(
             _unit(
-                snippets, 1, F.col("change_seq"),
+                snippets.withColumn("lowered", F.lower("file_path")), 1, F.col("change_seq"),
                 F.col("snippet_seq") if keyed else (F.col("snippet_seq") + 1).cast("int"),
                 F.concat(
                     "change_id", F.lit("__snippet_"),
@@ -95,7 +99,7 @@ def build_units(
     if context_docs is not None:
         units.append(
             _unit(
-                context_docs, 2, F.col("doc_seq"), zero,
+                context_docs.withColumn("lowered", F.lower("file_path")), 2, F.col("doc_seq"), zero,
                 F.concat(F.lit("context_doc_"), "doc_seq"),
                 F.col("content"), file_hint, F.col("file_path"),
             )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimgrid.functions import fixed
 from claimgrid.functions.rulings import is_auth
+from claimgrid.operators import repeats
 from claimgrid.operators.pairing import GROUP_KEY, conflicts_from_pairable, pairable
 from claimgrid.session import stage
 
@@ -31,7 +32,8 @@ def conflict_counts(merged: DataFrame) -> DataFrame:
 
     Claims whose ids meet in a session (unit ids that differ in punctuation only)
     give no conflict or share one. Only groups that hold such an id are paired,
-    by the same steps as ``conflicts_from_merged``, so both always agree. The
+    by the same steps as ``conflicts_from_merged``, so both always agree. Hashes of the
+    ids are counted to tell them, and where none comes twice, claims are only grouped. The
     pairable claims feed all these steps and are staged once.
     """
     return counts_of_pairable(stage(pairable(merged), "countable"))
@@ -39,8 +41,13 @@ def conflict_counts(merged: DataFrame) -> DataFrame:
 
 def counts_of_pairable(claims: DataFrame) -> DataFrame:
     """``conflict_counts`` of pairable claims that the caller has staged."""
-    ids = claims.groupBy("session_id", "claim_id").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = claims.join(ids, ["session_id", "claim_id"], "left_semi").select(*GROUP_KEY).distinct()
+    alone, shared = repeats.split(claims, ["session_id", "claim_id"])
+    if shared is None:
+        return _group_counts(claims)
+    if alone is None:
+        ids = claims.groupBy("session_id", "claim_id").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+        shared = claims.join(ids, ["session_id", "claim_id"], "left_semi")
+    met = shared.select(*GROUP_KEY).distinct()
     paired = conflicts_from_pairable(claims.join(met, GROUP_KEY, "left_semi"))
     by_pair = paired.groupBy("session_id").agg(
         F.count("*").alias("conflicts_found"),
@@ -199,10 +206,20 @@ def candidate_stats(candidates: DataFrame) -> DataFrame:
 # --- requirement coverage ------------------------------------------------------
 
 
-def _key_hashes(text: Column, width: Column) -> Column:
-    """Hashes of the distinct pieces of ``width`` characters; a width of 0 gives the empty piece."""
-    starts = F.sequence(F.lit(1), F.length(text) - width + 1)
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(text, i, width))))
+def _last_start(text: Column, width: Column) -> Column:
+    """Where the last piece of ``width`` characters begins; a width of 0 has one piece, the empty one."""
+    return F.when(width == 0, 1).otherwise(F.length(text) - width + 1)
+
+
+def _hash_at(text: Column, start: Column, width: Column) -> Column:
+    return F.xxhash64(F.substring(text, start, width))
+
+
+def _tile_hashes(text: Column, width: Column) -> Column:
+    """Hashes of the distinct pieces of ``width`` characters that cover the text, one beside the other and the last at its end."""
+    last = _last_start(text, width)
+    starts = F.concat(F.sequence(F.lit(1), last, F.greatest(width, F.lit(1))), F.array(last))
+    return F.array_distinct(F.transform(starts, lambda i: _hash_at(text, i, width)))
 
 
 def _semi(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
@@ -218,7 +235,9 @@ def covered_criteria(criteria: DataFrame, statements: DataFrame) -> DataFrame:
     ``criteria(session_id, criterion_key, description)`` and
     ``statements(session_id, statement)``. Containment goes through an inverted
     index of keys, pieces of ``KEY_CHARS`` characters (shorter criteria are a key
-    themselves). The index holds hashes only: keys of statements that some criterion
+    themselves). The keys of a criterion lie side by side and cover it whole; a statement
+    that contains it has each of them, wherever it begins there, so all pieces of a
+    statement are looked up. The index holds hashes only: keys of statements that some criterion
     of the session has. Counting them tells each criterion's rarest key; a criterion
     with a key that no statement has is not covered. The rarest keys are joined to
     the index, and only for what meets there the texts are fetched and compared.
@@ -229,7 +248,7 @@ def covered_criteria(criteria: DataFrame, statements: DataFrame) -> DataFrame:
         .withColumns({"wanted_id": F.xxhash64("wanted"), "width": F.least(F.length("wanted"), F.lit(KEY_CHARS))})
     )
     keys = stage(
-        wanted.select("session_id", "wanted_id", "width", F.explode(_key_hashes(F.col("wanted"), F.col("width"))).alias("key")),
+        wanted.select("session_id", "wanted_id", "width", F.explode(_tile_hashes(F.col("wanted"), F.col("width"))).alias("key")),
         "criterion-keys",
     )
     widths = keys.groupBy("session_id").agg(F.collect_set("width").alias("widths"))
@@ -238,13 +257,17 @@ def covered_criteria(criteria: DataFrame, statements: DataFrame) -> DataFrame:
         .withColumn("text_id", F.xxhash64("text"))
     )
     texts = stage(texts, "statements")
+    text, width = F.col("text"), F.col("width")
     pieces = (
         texts.join(widths, "session_id").select("session_id", "text_id", "text", F.explode("widths").alias("width"))
-        .filter(F.length("text") >= F.col("width"))
-        .select("session_id", "text_id", F.explode(_key_hashes(F.col("text"), F.col("width"))).alias("key"))
+        .filter(F.length("text") >= width)
+        # Places are made to rows before their pieces are hashed, since array functions aren't compiled.
+        .select("session_id", "text_id", "text", "width", F.explode_outer(F.sequence(F.lit(1), _last_start(text, width))).alias("start"))
+        .select("session_id", "text_id", _hash_at(text, F.col("start"), width).alias("key"))
     )
     index = _semi(pieces, keys.select("key").distinct(), ["key"])
-    index = stage(index.join(keys.select("session_id", "key").distinct(), ["session_id", "key"], "left_semi"), "statement-keys")
+    index = index.join(keys.select("session_id", "key").distinct(), ["session_id", "key"], "left_semi").distinct()
+    index = stage(index, "statement-keys")
     counted = index.groupBy("session_id", "key").agg(F.count("*").alias("n"))
     rarest = (
         keys.join(counted, ["session_id", "key"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from claimgrid.operators import pairing, repeats, reports
+from claimgrid.operators import pairing, repeats, reports, summary
 from claimgrid.session import stage
 from tests.helpers import claim_table, rows
 
@@ -61,3 +61,21 @@ def test_large_groups_are_sent_to_stored_claims(spark, monkeypatch, most):
     plain = pairing.in_blocks(claims, 10)
     assert rows(pairing.in_blocks(claims, 10, stored=True), *plain.columns) == rows(plain)
     assert rows(pairing.contradicting_pairs(claims, 10, stored=True)) == rows(pairing.contradicting_pairs(claims, 10))
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+@pytest.mark.parametrize("met", [ALONE, SOME, ALL])
+def test_counts_agree_with_the_conflicts_however_ids_are_told(spark, monkeypatch, met, most):
+    monkeypatch.setattr(repeats, "FEW", most)
+    merged = pairing.merge_claims(table(spark, met), texts=False)
+    pairs = pairing.conflicts_from_merged(merged).groupBy("session_id").agg(
+        F.count("*").alias("conflicts_found"), F.count_if(F.col("severity") == "HIGH").alias("high")
+    )
+    names = ("session_id", "conflicts_found", "high")
+    counts = summary.conflict_counts(merged).filter("conflicts_found > 0 and session_id is not null")
+    assert rows(counts, *names) == rows(pairs, *names)
+
+
+def test_claims_with_ids_of_their_own_are_counted_without_a_join(spark):
+    counts = summary.conflict_counts(pairing.merge_claims(table(spark, ALONE), texts=False))
+    assert "Join" not in counts._jdf.queryExecution().executedPlan().toString()

@@ -2,6 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from claimgrid.functions import fixed
+from claimgrid.functions.text import holds_any, snake
 from claimgrid.operators import graph, summary
 from tests.helpers import rows
 
@@ -77,3 +79,40 @@ def test_components_and_tiers(spark):
     kinds = ["REQUIREMENT", "CHANGE", "ASSUMPTION", "FILE", "CONFLICT"]
     got = spark.createDataFrame([(k,) for k in kinds], "k string").select(graph.tier(F.col("k"))).collect()
     assert [r[0] for r in got] == [0, 1, 2, 3, 4]
+
+
+def test_coverage_of_long_repeating_and_short_texts_with_few_keys(spark):
+    rng = random.Random(3)
+    statements = [(f"s{i % 3}", "".join(rng.choices("abÄ ", k=rng.randint(0, 60)))) for i in range(90)]
+    statements += [("s0", "a" * 50), ("s1", "x" + "ab" * 30 + "y"), ("s2", None)]
+    criteria = [(f"s{i % 3}", i, t[a : a + rng.randint(0, 30)]) for i, (_, t) in enumerate(statements[:90]) for a in [rng.randint(0, 20)]]
+    criteria += [("s0", 100, "A" * 8), ("s0", 101, "a" * 51), ("s0", 102, "a" * 50), ("s1", 103, "ab" * 9), ("s1", 104, "yx"), ("s2", 105, None)]
+    got = summary.covered_criteria(
+        spark.createDataFrame(criteria, "session_id string, criterion_key int, description string"),
+        spark.createDataFrame(statements, "session_id string, statement string"),
+    )
+    want = [
+        (s, k, d is not None and any(t == s and text is not None and d.lower() in text.lower() for t, text in statements))
+        for s, k, d in criteria
+    ]
+    assert rows(got, "session_id", "criterion_key", "covered") == sorted(want, key=str)
+    # The keys of a criterion cover it side by side, and are no more than that takes.
+    texts = spark.createDataFrame([("abcdefghijklmnopqrstuvwxy",), ("abcdefgh",), ("abc",), ("",)], "t string")
+    width = F.least(F.length("t"), F.lit(summary.KEY_CHARS))
+    assert [r[0] for r in texts.select(F.size(summary._tile_hashes(F.col("t"), width))).collect()] == [4, 1, 1, 1]
+
+
+def test_words_are_found_as_by_their_pattern(spark):
+    lists = [words for tests in (fixed.REQUIREMENT_HINTS, fixed.CHANGE_HINTS) for words, _ in tests]
+    lists += [fixed.ROLE_SUBJECT, fixed.RULE_KEY, fixed.CONTRACT_SUBJECT, fixed.CONTRACT_KEY, fixed.DEPENDENCY_KEY]
+    texts = [(w,) for words in lists for w in words.split("|")] + [("src/" + w[1:],) for words in lists for w in words.split("|")]
+    table = spark.createDataFrame([*texts, ("",), (None,), ("ap|i",)], "t string")
+    for words in lists:
+        got = table.select(holds_any(F.col("t"), words).alias("a"), F.rlike("t", F.lit(words)).alias("b"))
+        assert got.filter("not (a <=> b)").count() == 0
+
+
+def test_snake_leaves_texts_in_lower_case(spark):
+    data = [("userRole", "user_role"), ("HTTPServer", "http_server"), ("user_role", "user_role"), ("öÄ", "öä"), ("ÄB", "äb"), ("a1B", "a1_b"), ("", "")]
+    table = spark.createDataFrame(data, "t string, want string")
+    assert table.filter(~snake(F.col("t")).eqNullSafe(F.col("want"))).count() == 0
